@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from latticework.llm import exact_dedup, language_id, line_dedup
+from latticework.llm import exact_dedup, language_id, line_dedup, toxicity
 
-_MODULES = (exact_dedup, line_dedup, language_id)
+_MODULES = (exact_dedup, line_dedup, language_id, toxicity)
 
 
 def queries() -> dict:
