@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm.codepoints import SPACE, blocks, folded
-from latticework.llm.common import broadcast_if, bucket_of, table
+from latticework.llm.common import broadcast_if, bucket_of, staged, table
 
 DISTANCE = 1
 FUZZY_LETTERS = 5
@@ -231,36 +231,41 @@ def _inside(before: str, after: str) -> bool:
     return False
 
 
+#: Share of the training rows whose words make the lexicon on which the logistic layer is fitted by the others.
+FOLD = 0.6
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, pos, neg) over all rows (text, toxic): in how many rows of either label each word stands."""
+    """(word, pos, neg, pos_a, neg_a) over all rows (text, toxic, first): in how many rows of either label, and of those with ``first``, each word stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        counts = {(y, a): Counter() for y in (1, 0) for a in (False, True)}
 
         def flush() -> pa.RecordBatch:
-            found = sorted(counts[0].keys() | counts[1].keys())
-            columns = [pa.array(found, pa.string()), pa.array([counts[1][w] for w in found], pa.int64()), pa.array([counts[0][w] for w in found], pa.int64())]
-            counts[0].clear(), counts[1].clear()
-            return pa.RecordBatch.from_arrays(columns, names=["word", "pos", "neg"])
+            found = sorted(set().union(*counts.values()))
+            columns = [[counts[y, True][w] + (0 if a else counts[y, False][w]) for w in found] for a in (False, True) for y in (1, 0)]
+            for c in counts.values():
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["word", "pos", "neg", "pos_a", "neg_a"])
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                counts[int(toxic)].update({w for w in _WORD.findall((text.as_py() or "").lower()) if len(w) >= 3})
-                if len(counts[0]) + len(counts[1]) > 300_000:
+            for text, toxic, first in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                counts[toxic, first].update({w for w in _WORD.findall((text.as_py() or "").lower()) if len(w) >= 3})
+                if sum(map(len, counts.values())) > 300_000:
                     yield flush()
         yield flush()
 
-    counted = rows.select("text", "toxic").mapInArrow(run, "word string, pos long, neg long")
-    return counted.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = rows.select("text", "toxic", "first").mapInArrow(run, "word string, pos long, neg long, pos_a long, neg_a long")
+    return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "pos_a", "neg_a")))
 
 
-def learn_lexicon(rows: DataFrame, n_pos: int, n_neg: int, *, max_terms: int = 1500, min_rows: int = 3) -> tuple[list[str], np.ndarray]:
-    """The at most ``max_terms`` words that speak most for label 1 (G statistic at least 12, at least five times as likely)."""
-    odds = F.log(((F.col("pos") + 0.5) / (n_pos + 1.0)) / ((F.col("neg") + 0.5) / (n_neg + 1.0)))
-    total = F.col("pos") + F.col("neg")
-    part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (total * share))).otherwise(0.0)
-    g = 2 * (part(F.col("pos"), n_pos / (n_pos + n_neg)) + part(F.col("neg"), n_neg / (n_pos + n_neg)))
-    chosen = word_counts(rows).where(F.col("pos") >= min_rows).withColumn("weight", odds).withColumn("g", g)
+def chosen_terms(counts: DataFrame, pos: str, neg: str, n_pos: int, n_neg: int, *, max_terms: int = 1500, min_rows: int = 3) -> tuple[list[str], np.ndarray]:
+    """The at most ``max_terms`` words that speak most for label 1 (G statistic at least 12, at least five times as likely), with log odds."""
+    p, n = F.col(pos), F.col(neg)
+    odds = F.log(((p + 0.5) / (n_pos + 1.0)) / ((n + 0.5) / (n_neg + 1.0)))
+    part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / ((p + n) * share))).otherwise(0.0)
+    g = 2 * (part(p, n_pos / (n_pos + n_neg)) + part(n, n_neg / (n_pos + n_neg)))
+    chosen = counts.where(p >= min_rows).select("word", odds.alias("weight"), g.alias("g"))
     chosen = chosen.where((F.col("weight") >= float(np.log(5))) & (F.col("g") >= 12))
     best = sorted((r["word"], r["weight"]) for r in chosen.orderBy(F.desc("g"), "word").limit(max_terms).collect())
     return [w for w, _ in best], np.array([x for _, x in best])
@@ -269,22 +274,28 @@ def learn_lexicon(rows: DataFrame, n_pos: int, n_neg: int, *, max_terms: int = 1
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, fit_rows: int = 20_000) -> ToxicityModel:
     """Lexicon and logistic layer from the ``usable`` labelled rows."""
     spark = docs.sparkSession
+    slot = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20))
     labels = labels.where(usable & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    n_labels = labels.count()
-    rows = docs.select("doc_id", "text").join(broadcast_if(labels, n_labels), "doc_id").select("doc_id", "text", "toxic")
-    n = labels.agg(F.sum("toxic").alias("pos")).first()["pos"] or 0
-    if not n_labels:
+    labels = labels.withColumn("first", F.coalesce(slot, F.lit(0)) < int(FOLD * (1 << 20))).withColumn("slot", slot)
+    of = {(r["first"], r["toxic"]): r["count"] for r in labels.groupBy("first", "toxic").count().collect()}
+    n_pos, n_neg = (of.get((True, y), 0) + of.get((False, y), 0) for y in (1, 0))
+    if not n_pos + n_neg:
         return ToxicityModel([], np.zeros(0))
-    base = n / n_labels
-    if not 0 < n < n_labels:
+    base = n_pos / (n_pos + n_neg)
+    if not n_pos or not n_neg:
         return ToxicityModel([], np.zeros(0), None, float(base))
-    terms, weights = learn_lexicon(rows, n, n_labels - n)
-    model = ToxicityModel(terms, weights, None, float(base))
-    if not terms:
+    rows = docs.select("doc_id", "text").join(broadcast_if(labels, n_pos + n_neg), "doc_id")
+    counts = staged(word_counts(rows).where("pos >= 2"), "toxic-words")
+    model = ToxicityModel(*chosen_terms(counts, "pos", "neg", n_pos, n_neg), None, float(base))
+    if not model.terms:
         return model
-    shared = spark.sparkContext.broadcast(model)
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20))
-    sample = rows.where(slot < int((1 << 20) * min(1.0, fit_rows / n_labels)) + 1)
+    # The layer is fitted on rows that had no say in its lexicon, so that it learns what a term is worth on new texts.
+    first = (of.get((True, 1), 0), of.get((True, 0), 0))
+    other = ToxicityModel(*chosen_terms(counts, "pos_a", "neg_a", *first)) if min(first) else model
+    n_second = max(1, of.get((False, 1), 0) + of.get((False, 0), 0))
+    shared = spark.sparkContext.broadcast(other)
+    share = min(1.0, fit_rows / n_second)
+    sample = rows.where(~F.col("first") & (F.col("slot") < int((1 << 20) * (FOLD + (1 - FOLD) * share)) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
@@ -295,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, fit_rows: int = 2
 
     got = sample.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").limit(2 * fit_rows).collect()
     x = np.array([[1.0, *r["x"]] for r in got]).reshape(-1, len(FEATURES) + 1)
-    model.coefficients = logistic(x, np.array([r["toxic"] for r in got], float))
+    if len(x):
+        model.coefficients = logistic(x, np.array([r["toxic"] for r in got], float))
     return model
 
 
