@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from latticework.llm import exact_dedup, language_id, line_dedup, toxicity
+from latticework.llm import exact_dedup, language_id, line_dedup, packing, toxicity
 
-_MODULES = (exact_dedup, line_dedup, language_id, toxicity)
+_MODULES = (exact_dedup, line_dedup, language_id, toxicity, packing)
 
 
 def queries() -> dict:
