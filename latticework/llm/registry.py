@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from latticework.llm import exact_dedup, language_id, line_dedup, packing, toxicity
+from latticework.llm import exact_dedup, language_id, line_dedup, packing, toxicity, warc
 
-_MODULES = (exact_dedup, line_dedup, language_id, toxicity, packing)
+_MODULES = (exact_dedup, line_dedup, language_id, toxicity, packing, warc)
 
 
 def queries() -> dict:
