@@ -239,6 +239,14 @@ LABELLED = """
 0 9 0 3 100 6 0 0 0 0 0
 1 20 0 14 0 13 0 0 0 0 0
 1 13 0 22 0 18 0 0 0 0 0
+1 4 0 30 0 5 100 0 1 0 0
+1 6 0 8 0 3 100 0 1 0 0
+1 2 0 2 0 6 100 0 1 0 0
+1 3 0 50 0 4 100 0 1 0 1
+1 11 0 3 100 9 80 0 1 0 0
+1 1 0 1 100 1 100 0 1 0 0
+1 8 0 40 0 2 100 0 1 0 0
+1 5 0 0 0 3 100 0 1 0 0
 """
 
 
