@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from latticework.llm import exact_dedup, html_text, language_id, line_dedup, packing, toxicity, warc
+from latticework.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, packing, toxicity, warc
 
-_MODULES = (exact_dedup, line_dedup, language_id, toxicity, packing, warc, html_text)
+_MODULES = (exact_dedup, line_dedup, language_id, toxicity, packing, warc, html_text, decontaminate)
 
 
 def queries() -> dict:
