@@ -5,8 +5,8 @@
 14-digit date, the record type from scheme and content, block and payload digests.  Records with
 equal payloads become revisits of the one with the largest page_id.  ``read_warc`` reads archives back.
 
-Files are written by Spark's own writer (one archive a row, one row a file), so a lost task leaves no
-half-written archive.  An archive holds about ``ARCHIVE_BYTES``, one long page more at most.
+Files are written by Spark's own writer, gzip-packed as a whole (one archive a row, one row a file), so a
+lost task leaves no half-written archive.  An archive holds about ``ARCHIVE_BYTES``, one long page more at most.
 
 Edge cases: null html is an empty payload; a null or unusable url becomes ``urn:page:<page_id>``; of
 repeated rows with the largest page_id the first in its archive is the response; rows with a null
@@ -17,6 +17,7 @@ nothing; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -96,7 +97,7 @@ def write_arc(pages: DataFrame, path: str, *, date: str = "20240101000000") -> N
             yield pa.RecordBatch.from_arrays([pa.array(["".join(parts)], pa.string())], names=["value"])
 
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    source.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).text(path)
+    source.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def parse_arc(raw: bytes) -> Iterator[dict]:
@@ -175,6 +176,11 @@ _RECORD_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(),
 _RECORD_NAMES = [x.split(" ")[0] for x in RECORD.split(", ")]
 
 
+def unpacked(raw: bytes) -> bytes:
+    """An archive's bytes; gzip files, of one or many members, are unpacked."""
+    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     if not path_exists(spark, path):
         return spark.createDataFrame([], "path string, content binary")
@@ -187,7 +193,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [synthesise(r, name) for r in parse_arc(raw.as_py()) if not r["filedesc"]]
+                rows = [synthesise(r, name) for r in parse_arc(unpacked(raw.as_py())) if not r["filedesc"]]
                 columns = zip(*rows, strict=True) if rows else [[]] * len(_RECORD_KINDS)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _RECORD_KINDS, strict=True)], names=_RECORD_NAMES)
 
@@ -235,7 +241,7 @@ def convert(spark: SparkSession, source: str, target: str, *, least_bytes: int =
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["value"])
 
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(target)
+    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(target)
 
 
 def _as_warc(record_id: str, url: str, date: str, kind: str, content_type: str, head: bytes, payload: bytes, sha1: str, refers_to: str | None, refers_url: str | None, refers_date: str | None) -> bytes:
@@ -288,7 +294,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(1):
-                rows = [_read_back(f, b) for f, b in parse_warc(raw.as_py()) if f["WARC-Type"] != "warcinfo"]
+                rows = [_read_back(f, b) for f, b in parse_warc(unpacked(raw.as_py())) if f["WARC-Type"] != "warcinfo"]
                 columns = zip(*rows, strict=True) if rows else [[]] * len(_READ_KINDS)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _READ_KINDS, strict=True)], names=_READ_NAMES)
 
