@@ -5,8 +5,8 @@
 14-digit date, the record type from scheme and content, block and payload digests.  Records with
 equal payloads become revisits of the one with the largest page_id.  ``read_warc`` reads archives back.
 
-Files are written by Spark's own writer, gzip-packed as a whole (one archive a row, one row a file), so a
-lost task leaves no half-written archive.  An archive holds about ``ARCHIVE_BYTES``, one long page more at most.
+Files are written by Spark's own writer (one archive a row, one row a file, WARC files packed with gzip as
+a whole), so a lost task leaves no half-written archive.  An archive holds about ``ARCHIVE_BYTES``, one long page more at most.
 
 Edge cases: null html is an empty payload; a null or unusable url becomes ``urn:page:<page_id>``; of
 repeated rows with the largest page_id the first in its archive is the response; rows with a null
@@ -64,7 +64,7 @@ def arc_start(version: str, name: str, date: str) -> str:
     return arc_header(version, f"filedesc://{name}", "0.0.0.0", date, "text/plain", len(body), code="200", name=name) + body + "\n"
 
 
-def write_arc(pages: DataFrame, path: str, *, date: str = "20240101000000") -> None:
+def write_arc(pages: DataFrame, path: str, *, date: str = "20240101000000", compression: str = "uncompressed") -> None:
     """ARC files below ``path`` from page_id, url and html; versions alternate from archive to archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def write_arc(pages: DataFrame, path: str, *, date: str = "20240101000000") -> N
             yield pa.RecordBatch.from_arrays([pa.array(["".join(parts)], pa.string())], names=["value"])
 
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    source.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    source.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).option("compression", compression).text(path)
 
 
 def parse_arc(raw: bytes) -> Iterator[dict]:
@@ -208,7 +208,7 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def convert(spark: SparkSession, source: str, target: str, *, least_bytes: int = 0) -> None:
+def convert(spark: SparkSession, source: str, target: str, *, least_bytes: int = 0, compression: str = "gzip") -> None:
     """ARC files below ``source`` -> WARC files below ``target``; equal payloads of ``least_bytes`` or more are stored once."""
     records = read_arc(spark, source)
     area = new_area(spark, "warc")
@@ -241,7 +241,7 @@ def convert(spark: SparkSession, source: str, target: str, *, least_bytes: int =
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["value"])
 
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(target)
+    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", compression).text(target)
 
 
 def _as_warc(record_id: str, url: str, date: str, kind: str, content_type: str, head: bytes, payload: bytes, sha1: str, refers_to: str | None, refers_url: str | None, refers_date: str | None) -> bytes:
