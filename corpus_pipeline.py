@@ -1,12 +1,68 @@
-"""Corpus pipeline over ``documents`` (stages follow)."""
+"""A corpus pipeline over ``documents``: language, lines, near copies, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in
+the shared folder and reads it back as the next stage's ``docs``.  All stages but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latticework.llm.common import broadcast_if, new_area, staged, table, write_table
+from latticework.llm.decontaminate import decontaminate
+from latticework.llm.language_id import fit, predict
+from latticework.llm.line_dedup import line_dedup
+from latticework.llm.ngram_join import similar_documents
+from latticework.llm.packing import pack
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told: those without a letter, or below the calibrated score, go."""
+    model = fit(docs.select("doc_id", "text", "lang"), F.lit(True))
+    return predict(docs, model).where(~F.col("rejected")).select(docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of 40 characters or more in five documents or more stay in the largest doc_id only; n_chars follows the text."""
+    kept = line_dedup(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link at a similarity of 0.8 on five-word shingles the smallest doc_id of each component stays."""
+    found = similar_documents(docs, words=5, percent=80)
+    gone = staged(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
+    return docs.join(broadcast_if(gone, gone.count()), docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti").select(docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its error budget."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, in sequences of 1024 tokens: one row a piece."""
+    return pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", repeated_lines),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("packing", packed),
+]
+#: Language scores and edit distances have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    area = new_area(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = write_table(stage(spark, docs, sf_dir), f"{area}/{k}")
+    return docs
