@@ -2,8 +2,8 @@
 
 Candidates come as postings: (token, grp, n, pos), where texts that may be similar share a token.  Each
 star round lets every token's most central group (by size class) stand for the token: its
-pivot member is compared with all members of the token's other groups, so a round's pairs are at most
-the postings.  Verified links contract components; what remains are pairs whose components still
+pivot member is compared with the members of those other groups that share most tokens with it, so a
+round has no more pairs than there are members.  Verified links contract components; what remains are pairs whose components still
 differ.  Their number is computed without listing them, and star rounds go on with other pivots while it
 is large.  A last round verifies every remaining pair, so no link between components is
 ever missed.
@@ -72,17 +72,39 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def possible(pairs: DataFrame, hints: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that histograms (id, n, cells) do not rule out: nothing that links is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            whole = np.array([bool(p) and bool(q) for p, q in zip(x, y, strict=True)], bool)
+            keep = np.ones(len(batch), bool)
+            if whole.any():
+                at = np.flatnonzero(whole)
+                left, right = (np.frombuffer(b"".join(c[i] for i in at), np.uint8).reshape(len(at), -1) for c in (x, y))
+                most = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+                total = left.sum(axis=1, dtype=np.int64) + right.sum(axis=1, dtype=np.int64)
+                keep[at] = most * (100 + percent) >= percent * total
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    left = hints.select(F.col("id").alias("a"), F.col("cells").alias("x"))
+    right = hints.select(F.col("id").alias("b"), F.col("cells").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 class LinkSearch:
     """Star rounds and the closing round over one set of postings.
 
     postings: token, grp, n (set size), pos (place of the token in the group's order, or null where
-    order says nothing), central.  members: grp, id.  sets_of(ids) gives (id, members) of the named ids.
+    order says nothing), central.  members: grp, id.  sets_of(ids) gives (id, members) of the named ids;
+    hints (id, cells) their histograms.
     """
 
-    def __init__(self, postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, *, star_rounds: int = 6, close_factor: float = 0.5, close_pairs: int = 50_000) -> None:
+    def __init__(self, postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], hints: DataFrame, percent: int, *, star_rounds: int = 6, close_factor: float = 0.5, close_pairs: int = 50_000) -> None:
         self.spark = postings.sparkSession
         self.area = new_area(self.spark, "links")
-        self.percent, self.sets_of, self.members = percent, sets_of, members
+        self.percent, self.sets_of, self.members, self.hints = percent, sets_of, members, hints
         self.star_rounds, self.close_factor, self.close_pairs = star_rounds, close_factor, close_pairs
         self.postings = postings
         self.links: DataFrame | None = None
@@ -112,8 +134,10 @@ class LinkSearch:
         n = pairs.count()
         self.report.append((name, n))
         if n:
-            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-            links = write_table(jaccard_links(pairs, self.sets_of(ids), self.percent), f"{self.area}/{name}-links")
+            left = write_table(possible(pairs, self.hints, self.percent), f"{self.area}/{name}-possible")
+            self.report.append((f"{name} possible", left.count()))
+            ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
+            links = write_table(jaccard_links(left, self.sets_of(ids), self.percent), f"{self.area}/{name}-links")
             self.links = links if self.links is None else self.links.unionByName(links)
             self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         return n
@@ -125,7 +149,9 @@ class LinkSearch:
         rank = F.struct(F.col("central"), (-F.xxhash64("grp")).alias("h"), "grp", "n", "pos") if k == 0 else F.struct(F.xxhash64("grp", F.lit(k)).alias("h"), "grp", "n", "pos")
         pivots = p.groupBy("token", "size_class").agg(F.max(rank).alias("best")).select("token", "size_class", F.col("best.grp").alias("pivot"), F.col("best.n").alias("pn"), F.col("best.pos").alias("pp"))
         pivots = pivots.unionByName(pivots.withColumn("size_class", F.col("size_class") + 1))
-        met = p.join(pivots, ["token", "size_class"]).where(self._may_link("pos", "n", "pp", "pn")).select("pivot", "grp").distinct()
+        met = p.join(pivots, ["token", "size_class"]).where(self._may_link("pos", "n", "pp", "pn"))
+        # Each group goes to the one pivot that it shares most tokens with; what this leaves open later rounds take up.
+        met = met.groupBy("pivot", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max(F.struct("k", "pivot")).alias("best")).select(F.col("best.pivot").alias("pivot"), "grp")
         lead = labels.groupBy("grp").agg(F.min(F.struct("id", "component")).alias("lead"))
         first = lead.select(F.col("grp").alias("pivot"), F.col("lead.id").alias("a"), F.col("lead.component").alias("ca"))
         pairs = met.join(first, "pivot").join(labels, "grp").where("ca <> component").select("a", F.col("id").alias("b"))

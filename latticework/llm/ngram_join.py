@@ -41,7 +41,7 @@ def profiles(units: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH, np.int64)
         names, kinds = ["sketch", "id", "n", "k1", "k2"], (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        for batch in batches:
+        for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
             n, k1, k2 = [], [], []
             for s in wordhash.sets(batch.column(1), words):
                 n.append(len(s))
@@ -67,12 +67,12 @@ def rarity_levels(counters: np.ndarray) -> np.ndarray:
 
 
 def prefixes(units: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(id, n, prefix_key, prefix, central) of every text with a shingle; ``central`` grows with how common its shingles are."""
+    """(id, n, prefix_key, prefix, central, cells) of every text with a shingle; ``central`` grows with how common its shingles are."""
     shared = units.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
             rows: list[tuple] = []
             for i, s in zip(batch.column(0).to_pylist(), wordhash.sets(batch.column(1), words), strict=True):
                 n = len(s)
@@ -82,19 +82,19 @@ def prefixes(units: DataFrame, words: int, percent: int, levels: np.ndarray) ->
                 take = n - -(-percent * n // 100) + 1
                 front = s[np.argsort(of, kind="stable")[:take]]  # by level, then by hash
                 key = wordhash.set_digest(front * np.uint64(2) + np.uint64(1))[0]
-                rows.append((i, n, key, front.view(np.int64), int(1000 * of.mean())))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "prefix_key", "prefix", "central"])
+                rows.append((i, n, key, front.view(np.int64), int(1000 * of.mean()), wordhash.histogram(s)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "prefix_key", "prefix", "central", "cells"])
 
-    return units.mapInArrow(run, "id long, n long, prefix_key long, prefix array<long>, central long")
+    return units.mapInArrow(run, "id long, n long, prefix_key long, prefix array<long>, central long, cells binary")
 
 
 def shingle_sets(units: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, members) of the named ids: their sorted shingle hashes, from their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
             found = [s.tobytes() for s in wordhash.sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "members"])
 
@@ -128,7 +128,7 @@ def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, rep
     first = postings.where("pos = 0").join(several, "grp", "left_semi").select("token")
     useful = shared.unionByName(first).distinct()
     postings = write_table(postings.join(useful, "token", "left_semi"), f"{area}/postings")
-    search = LinkSearch(postings, members, lambda ids: shingle_sets(units, ids, words), percent)
+    search = LinkSearch(postings, members, lambda ids: shingle_sets(units, ids, words), fronts.select("id", "cells"), percent)
     found = search.run()
     if report is not None:
         report += [("classes", classes.count()), ("groups", leads.count()), ("postings", postings.count()), *search.report]

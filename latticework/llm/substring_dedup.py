@@ -57,46 +57,49 @@ def unit_id(docs: list[int], numbers: list[int]) -> np.ndarray:
     return wordhash.mix(wordhash.mix(d) + np.array(numbers, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """The band tokens of a set of shingle hashes."""
-    low = np.empty(ROWS * BANDS, np.uint64)
-    for a in range(0, len(_SEEDS), 8):
-        h = s[None, :] * _SEEDS[a : a + 8, None]
+def signatures(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The band tokens of the sets that begin at ``starts`` in the concatenation ``s``: a row a set."""
+    low = np.empty((ROWS * BANDS, len(starts)), np.uint64)
+    for k, seed in enumerate(_SEEDS):
+        h = s * seed
         h ^= h >> np.uint64(31)
-        low[a : a + 8] = (h * np.uint64(0x94D049BB133111EB)).min(axis=1)
-    bands = low.reshape(BANDS, ROWS)
-    token = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for r in range(ROWS):
-        token = wordhash.mix(token * np.uint64(0xD6E8FEB86659FD93) + bands[:, r])
-    return token.view(np.int64)
+        low[k] = np.minimum.reduceat(h * np.uint64(0x94D049BB133111EB), starts)
+    tokens = np.empty((len(starts), BANDS), np.int64)
+    for b in range(BANDS):
+        token = np.full(len(starts), b + 1, np.uint64)
+        for r in range(ROWS):
+            token = wordhash.mix(token * np.uint64(0xD6E8FEB86659FD93) + low[b * ROWS + r])
+        tokens[:, b] = token.view(np.int64)
+    return tokens
 
 
 def paragraph_classes(units: DataFrame, words: int) -> DataFrame:
-    """(doc, line, id, n, k1, k2, bands) of every paragraph."""
+    """(doc, line, id, n, k1, k2, bands, cells) of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
             docs, numbers, lines = paragraphs(batch)
             h, bounds = wordhash.words(lines)
-            long = np.diff(bounds) >= LEAST_WORDS
             s, at = wordhash.shingles(h, bounds, words)
             ids = unit_id(docs, numbers) if docs else np.zeros(0, np.int64)
-            rows = []
-            for i in np.flatnonzero(long):
-                members = np.unique(s[at[i] : at[i + 1]])
-                rows.append((docs[i], numbers[i], int(ids[i]), len(members), *wordhash.set_digest(members), signature(members)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            rows, held = [], []
+            for i in np.flatnonzero(np.diff(bounds) >= LEAST_WORDS):
+                held.append(np.unique(s[at[i] : at[i + 1]]))
+                rows.append((docs[i], numbers[i], int(ids[i]), len(held[-1]), *wordhash.set_digest(held[-1]), wordhash.histogram(held[-1])))
+            bands = signatures(np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])) if held else np.zeros((0, BANDS), np.int64)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             columns = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "line", "id", "n", "k1", "k2", "bands"])
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(bands), pa.list_(pa.int64()))], names=["doc", "line", "id", "n", "k1", "k2", "cells", "bands"])
 
-    return units.mapInArrow(run, "doc long, line long, id long, n long, k1 long, k2 long, bands array<long>")
+    return units.mapInArrow(run, "doc long, line long, id long, n long, k1 long, k2 long, cells binary, bands array<long>")
 
 
 def _paragraph_sets(units: DataFrame, docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, members) of the named paragraphs, which lie in ``docs`` (doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
             of, numbers, lines = paragraphs(batch)
             found = [s.tobytes() for s in wordhash.sets(lines, words)]
             yield pa.RecordBatch.from_arrays([pa.array(unit_id(of, numbers) if of else [], pa.int64()), pa.array(found, pa.binary())], names=["id", "members"])
@@ -114,7 +117,8 @@ def repeated_paragraphs(docs: DataFrame, *, words: int = 5, percent: int = 80, r
     first = rows.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc", "line", "id")).alias("first"))
     classes = write_table(first.select("n", "k1", "k2", F.col("first.id").alias("rep"), F.col("first.doc").alias("doc")), f"{area}/classes")
     reps = classes.select(F.col("rep").alias("id"))
-    tokens = rows.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("token"))
+    lead = rows.join(reps, "id", "left_semi").dropDuplicates(["id"])
+    tokens = lead.select("id", "n", F.explode("bands").alias("token"))
     tokens = write_table(tokens, f"{area}/tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     postings = tokens.join(shared, "token", "left_semi").select("token", F.col("id").alias("grp"), "n", F.lit(None).cast("long").alias("pos"), F.lit(0).cast("long").alias("central"))
@@ -126,7 +130,8 @@ def repeated_paragraphs(docs: DataFrame, *, words: int = 5, percent: int = 80, r
         where = classes.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").select("doc").distinct()
         return _paragraph_sets(units, write_table(where, new_area(spark, "para-docs")), ids, words)
 
-    search = LinkSearch(postings, members, sets_of, percent)
+    hints = rows.join(members.select("id"), "id", "left_semi").select("id", "cells")
+    search = LinkSearch(postings, members, sets_of, hints, percent)
     found = search.run().where("id <> component").select(F.col("id").alias("rep"), "component")
     if report is not None:
         report += [("paragraphs", rows.count()), ("classes", classes.count()), ("postings", postings.count()), *search.report]
@@ -140,7 +145,7 @@ def windows(units: DataFrame) -> DataFrame:
     """(doc, at, digest): the windows at every text's winnowed words, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
             h, bounds = wordhash.words(batch.column(1))
             if len(h) < WINDOW:
                 continue

@@ -141,6 +141,19 @@ def shingles(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return result, to
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``size`` bytes of text, so that what is computed for a run stays small."""
+    if not len(batch):
+        return
+    _, offsets = text_bytes(batch.column(column))
+    first = 0
+    while first < len(batch):
+        last = int(np.searchsorted(offsets, offsets[first] + size, "left"))
+        last = min(max(last, first + 1), len(batch))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     h, bounds = shingles(*words(column), n)
@@ -148,6 +161,19 @@ def sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield np.unique(h[a:z])
 
 
+#: Counters of a set's histogram.
+CELLS = 256
+
+
+def histogram(h: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of CELLS cells; empty where a cell overflows a byte.
+
+    Two sets share at most the sum of their cells' minima, so histograms rule pairs out exactly.
+    """
+    cells = np.bincount((h >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
+    return cells.astype(np.uint8).tobytes() if len(h) and cells.max() < 256 else b""
+
+
 def set_digest(h: np.ndarray) -> tuple[int, int]:
     """128 bits that two sets share only when equal, but for chance."""
     with np.errstate(over="ignore"):
