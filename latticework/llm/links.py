@@ -192,7 +192,9 @@ class LinkSearch:
         if left:
             x = open_.where("short").select("token", F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("qa"))
             y = open_.select("token", F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("qb"))
-            met = x.join(y, "token").where((F.col("na") <= F.col("nb")) & (F.col("ca") != F.col("cb")) & self._may_link("qa", "na", "qb", "nb")).select("ga", "ca", "gb", "cb").distinct()
+            # The smaller text's short prefix meets the other's whole one; of equal sizes either would do, so one order is enough.
+            ordered = (F.col("na") < F.col("nb")) & (F.col("ca") != F.col("cb")) | (F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb"))
+            met = x.join(y, "token").where(ordered & self._may_link("qa", "na", "qb", "nb")).select("ga", "ca", "gb", "cb").distinct()
             ma = labels.select(F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("id").alias("a"))
             mb = labels.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("id").alias("b"))
             self._verify(met.join(ma, ["ga", "ca"]).join(mb, ["gb", "cb"]).select("a", "b"), "close")
