@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,8 +32,28 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch: with texts of some kilobytes, larger ones cost executors memory and win nothing.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, unless it has smaller ones already."""
+    units = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(key).lower())
+        if not now or not 0 < int(now[1]) * units.get(now[2], 1 << 40) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what is done: its cleaner waits for the driver to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def new_area(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
+    small_batches(spark)
     return f"{shared_root(spark)}/latticework/{tag}-{uuid.uuid4().hex}"
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import delete_path, new_area, write_table
+from latticework.llm.common import delete_path, new_area, release, write_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,6 +186,7 @@ class LinkSearch:
             open_ = write_table(self._open(labels), f"{self.area}/open-{k}")
             left = self._left(open_)
             self.report.append((f"left after star-{k}", left))
+            release(self.spark)
             if not tested or left <= max(self.close_pairs, self.close_factor * n_postings) or before is not None and left > before / 2:
                 break
             before = left

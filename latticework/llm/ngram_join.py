@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import wordhash
-from latticework.llm.common import broadcast_if, new_area, table, write_table
+from latticework.llm.common import broadcast_if, new_area, release, table, write_table
 from latticework.llm.links import LinkSearch
 
 SKETCH = 1 << 16
@@ -114,20 +114,28 @@ def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, rep
         counters[r["id"]] = r["n"]
     rows = profile.where("NOT sketch").select("id", "n", "k1", "k2")
     classes = write_table(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), f"{area}/classes")
-    reps = classes.select(F.col("rep").alias("id"), "n").distinct()
-    fronts = write_table(prefixes(units, words, percent, rarity_levels(counters)).join(reps, ["id", "n"], "left_semi"), f"{area}/fronts")
-    # Groups: classes with the same prefix and size.
+    # Copies beyond their class's first document need no prefix.
+    copies = rows.where("n > 0").join(classes, ["n", "k1", "k2"]).where("id <> rep").select("id", "n").distinct()
+    copies = write_table(copies.join(classes.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_anti"), f"{area}/copies")
+    fronts = prefixes(units, words, percent, rarity_levels(counters)).join(broadcast_if(copies, copies.count()), ["id", "n"], "left_anti")
+    fronts = write_table(fronts, f"{area}/fronts")
+    # Groups: classes with the same prefix and size, named by their first member.
     groups = fronts.groupBy("n", "prefix_key").agg(F.min("id").alias("grp"))
-    members = write_table(fronts.select("id", "n", "prefix_key").join(groups, ["n", "prefix_key"]).select("grp", "id").distinct(), f"{area}/members")
-    leads = fronts.join(members.select(F.col("grp").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "n", "prefix_key"])
-    postings = leads.select(F.posexplode("prefix").alias("pos", "token"), F.col("id").alias("grp"), "n", "central")
-    postings = write_table(postings.select("token", "grp", "n", F.col("pos").cast("long").alias("pos"), "central"), f"{area}/all-postings")
-    # A token matters where two groups hold it, or one group of several members.
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    placed = write_table(fronts.select("id", "n", "prefix_key").join(groups, ["n", "prefix_key"]).distinct(), f"{area}/members")
+    members = placed.select("grp", "id").distinct()
+    others = placed.where("grp <> id").select("id", "n", "prefix_key")
+    leads = fronts.join(broadcast_if(others, others.count()), ["id", "n", "prefix_key"], "left_anti")
+    # A token matters where two groups hold it, or one group of several members.  Only tokens are counted first; what is
+    # left of the postings is read off the prefixes again, so that no table of all postings is ever written.
+    each = leads.select(F.posexplode("prefix").alias("pos", "token"), F.col("id").alias("grp"), "n", "central")
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     several = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
-    first = postings.where("pos = 0").join(several, "grp", "left_semi").select("token")
-    useful = shared.unionByName(first).distinct()
-    postings = write_table(postings.join(useful, "token", "left_semi"), f"{area}/postings")
+    first = leads.join(several, leads["id"] == several["grp"], "left_semi").select(F.get("prefix", F.lit(0)).alias("token"))
+    useful = write_table(shared.unionByName(first).distinct(), f"{area}/useful")
+    release(spark)
+    postings = each.join(useful, "token", "left_semi")
+    postings = write_table(postings.select("token", "grp", "n", F.col("pos").cast("long").alias("pos"), "central"), f"{area}/postings")
+    release(spark)
     search = LinkSearch(postings, members, lambda ids: shingle_sets(units, ids, words), fronts.select("id", "cells"), percent)
     found = search.run()
     if report is not None:
