@@ -8,7 +8,8 @@ exact Jaccard, and make components.  The paragraph of a component's smallest doc
 A repeated passage need not be a line of its own.  Windows of WINDOW words begin at the words that a
 winnowing of ANCHORS positions picks by content alone, so any passage of WINDOW + ANCHORS - 1 = 50 words or more
 that two documents share holds at least one window that both of them have.  Windows found in two documents
-or more are merged to passages within each document.
+or more are merged to passages within each document; passages shorter than 50 words are kept only if 50
+words around them are shared too.
 
 Edge cases: null and short texts have no paragraph or window; a repeat within one document alone is no
 repeat across documents; rows that repeat a doc_id count as one document; a null doc_id is one document that
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import wordhash
-from latticework.llm.common import broadcast_if, new_area, table, write_table
+from latticework.llm.common import broadcast_if, new_area, release, table, write_table
 from latticework.llm.links import LinkSearch
 
 LEAST_WORDS = 50
@@ -150,10 +151,7 @@ def windows(units: DataFrame) -> DataFrame:
             if len(h) < WINDOW:
                 continue
             # The digest of the window at each word, and where it lies within one text.
-            rolled = np.zeros(len(h) - WINDOW + 1, np.uint64)
-            for k in range(WINDOW):
-                rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + h[k : len(h) - WINDOW + 1 + k]
-            digest = wordhash.mix(rolled)
+            digest = rolling(h, WINDOW)
             count = np.diff(bounds)
             text = np.repeat(np.arange(len(count)), count)
             inside = np.arange(len(digest)) + WINDOW <= bounds[text[: len(digest)] + 1]
@@ -169,21 +167,59 @@ def windows(units: DataFrame) -> DataFrame:
     return units.mapInArrow(run, "doc long, at long, digest long")
 
 
+def rolling(h: np.ndarray, width: int) -> np.ndarray:
+    """The digest of the ``width`` words at each position."""
+    out = np.zeros(max(len(h) - width + 1, 0), np.uint64)
+    for k in range(width):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + h[k : len(h) - width + 1 + k] if len(out) else out
+    return wordhash.mix(out)
+
+
+def _around(units: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc, at, digest): all stretches of LEAST_WORDS words that hold a window of one of a document's short runs (doc, at, n_words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
+            h, bounds = wordhash.words(batch.column(1))
+            rows: list[tuple] = []
+            for i, (doc, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                digest = rolling(h[bounds[i] : bounds[i + 1]], LEAST_WORDS).view(np.int64)
+                for p in places:
+                    for start in range(max(0, p["at"] + WINDOW - LEAST_WORDS), min(p["at"] + p["n_words"] - WINDOW, len(digest) - 1) + 1):
+                        rows.append((doc, p["at"], int(digest[start])))
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc", "at", "digest"])
+
+    places = runs.groupBy("doc").agg(F.collect_list(F.struct("at", "n_words")).alias("places"))
+    places = write_table(places, new_area(units.sparkSession, "places"))
+    return units.join(broadcast_if(places, places.count(), 100_000), "doc").select("doc", "text", "places").mapInArrow(run, "doc long, at long, digest long")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc, at, n_words, keeper): stretches of each document covered by windows that other documents have too.
 
-    A stretch ends where the smallest document that has its windows changes.
+    A stretch ends where the smallest document that has its windows changes.  A stretch shorter than
+    LEAST_WORDS counts only if some LEAST_WORDS words around it stand in another document as well.
     """
     units = _ids(docs)
     area = new_area(docs.sparkSession, "passages")
     found = write_table(windows(units), f"{area}/windows")
-    shared = found.groupBy("digest").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper <> last").select("digest", "keeper")
+    spans = (F.min("doc").alias("keeper"), F.max("doc").alias("last"))
+    shared = found.groupBy("digest").agg(*spans).where("keeper <> last").select("digest", "keeper")
     shared = write_table(shared, f"{area}/shared")
     hits = found.join(broadcast_if(shared, shared.count()), "digest").select("doc", "at", "keeper").distinct()
     order = Window.partitionBy("doc").orderBy("at", "keeper")
     new = F.lag("at").over(order).isNull() | (F.col("at") - F.lag("at").over(order) > WINDOW) | (F.lag("keeper").over(order) != F.col("keeper"))
     runs = hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("doc", "run").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + WINDOW).alias("n_words"), F.min("keeper").alias("keeper")).drop("run")
+    runs = runs.groupBy("doc", "run").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + WINDOW).alias("n_words"), F.min("keeper").alias("keeper")).drop("run")
+    runs = write_table(runs, f"{area}/runs")
+    release(docs.sparkSession)
+    short = runs.where(F.col("n_words") < LEAST_WORDS)
+    around = write_table(_around(units, short), f"{area}/around")
+    both = around.groupBy("digest").agg(*spans).where("keeper <> last").select("digest", F.col("keeper").alias("by"))
+    proved = around.join(both, "digest").groupBy("doc", "at").agg(F.min("by").alias("keeper"))
+    proved = proved.select("doc", "at", F.lit(LEAST_WORDS).cast("long").alias("n_words"), "keeper")
+    return runs.where(F.col("n_words") >= LEAST_WORDS).unionByName(proved)
 
 
 def substring_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, report: list | None = None) -> DataFrame:
