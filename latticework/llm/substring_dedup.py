@@ -175,24 +175,22 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     return wordhash.mix(out)
 
 
-def _around(units: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc, at, digest): all stretches of LEAST_WORDS words that hold a window of one of a document's short runs (doc, at, n_words)."""
+def _around(units: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, at, digest): all stretches of LEAST_WORDS words that hold the window at one of ``places`` (doc, at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
             h, bounds = wordhash.words(batch.column(1))
             rows: list[tuple] = []
-            for i, (doc, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for i, (doc, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 digest = rolling(h[bounds[i] : bounds[i + 1]], LEAST_WORDS).view(np.int64)
-                for p in places:
-                    for start in range(max(0, p["at"] + WINDOW - LEAST_WORDS), min(p["at"] + p["n_words"] - WINDOW, len(digest) - 1) + 1):
-                        rows.append((doc, p["at"], int(digest[start])))
+                rows += [(doc, p, int(digest[k])) for p in at for k in range(max(0, p + WINDOW - LEAST_WORDS), min(p, len(digest) - 1) + 1)]
             columns = zip(*rows, strict=True) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc", "at", "digest"])
 
-    places = runs.groupBy("doc").agg(F.collect_list(F.struct("at", "n_words")).alias("places"))
-    places = write_table(places, new_area(units.sparkSession, "places"))
-    return units.join(broadcast_if(places, places.count(), 100_000), "doc").select("doc", "text", "places").mapInArrow(run, "doc long, at long, digest long")
+    packed = places.groupBy("doc").agg(F.collect_list("at").alias("places"))
+    packed = write_table(packed, new_area(units.sparkSession, "places"))
+    return units.join(broadcast_if(packed, packed.count(), 100_000), "doc").select("doc", "text", "places").mapInArrow(run, "doc long, at long, digest long")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -207,19 +205,23 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spans = (F.min("doc").alias("keeper"), F.max("doc").alias("last"))
     shared = found.groupBy("digest").agg(*spans).where("keeper <> last").select("digest", "keeper")
     shared = write_table(shared, f"{area}/shared")
-    hits = found.join(broadcast_if(shared, shared.count()), "digest").select("doc", "at", "keeper").distinct()
+    hits = found.join(broadcast_if(shared, shared.count()), "digest").select("doc", "at", "digest", "keeper").distinct()
     order = Window.partitionBy("doc").orderBy("at", "keeper")
     new = F.lag("at").over(order).isNull() | (F.col("at") - F.lag("at").over(order) > WINDOW) | (F.lag("keeper").over(order) != F.col("keeper"))
-    runs = hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("doc", "run").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + WINDOW).alias("n_words"), F.min("keeper").alias("keeper")).drop("run")
-    runs = write_table(runs, f"{area}/runs")
+    hits = write_table(hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order)).drop("new"), f"{area}/hits")
     release(docs.sparkSession)
-    short = runs.where(F.col("n_words") < LEAST_WORDS)
-    around = write_table(_around(units, short), f"{area}/around")
+    runs = hits.groupBy("doc", "run").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + WINDOW).alias("n_words"), F.min("keeper").alias("keeper"))
+    runs = write_table(runs, f"{area}/runs")
+    # The windows of short runs, wherever they stand, and what LEAST_WORDS words around them are shared.
+    short = runs.where(F.col("n_words") < LEAST_WORDS).select("doc", "run")
+    open_ = write_table(hits.join(short, ["doc", "run"], "left_semi").select("digest").distinct(), f"{area}/open")
+    twins = hits.join(broadcast_if(open_, open_.count()), "digest", "left_semi").select("doc", "at").distinct()
+    around = write_table(_around(units, twins), f"{area}/around")
     both = around.groupBy("digest").agg(*spans).where("keeper <> last").select("digest", F.col("keeper").alias("by"))
-    proved = around.join(both, "digest").groupBy("doc", "at").agg(F.min("by").alias("keeper"))
+    proved = around.join(both, "digest").groupBy("doc", "at").agg(F.min("by").alias("by"))
+    proved = hits.join(proved, ["doc", "at"]).join(short, ["doc", "run"], "left_semi").groupBy("doc", "run").agg(F.min("at").alias("at"), F.min("by").alias("keeper"))
     proved = proved.select("doc", "at", F.lit(LEAST_WORDS).cast("long").alias("n_words"), "keeper")
-    return runs.where(F.col("n_words") >= LEAST_WORDS).unionByName(proved)
+    return runs.where(F.col("n_words") >= LEAST_WORDS).drop("run").unionByName(proved)
 
 
 def substring_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, report: list | None = None) -> DataFrame:
