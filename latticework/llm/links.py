@@ -144,8 +144,8 @@ class LinkSearch:
 
     def _star(self, k: int, labels: DataFrame) -> int:
         """One star round: pivots by centrality first, then by a hash that differs from round to round."""
-        width = float(np.log(100 / self.percent)) if self.percent < 100 else 1e-9
-        p = self.postings.withColumn("size_class", F.floor(F.log("n") / width).cast("int"))
+        size_class = F.floor(F.log("n") / float(np.log(100 / self.percent))) if self.percent < 100 else F.col("n")
+        p = self.postings.withColumn("size_class", size_class.cast("long"))
         rank = F.struct(F.col("central"), (-F.xxhash64("grp")).alias("h"), "grp", "n", "pos") if k == 0 else F.struct(F.xxhash64("grp", F.lit(k)).alias("h"), "grp", "n", "pos")
         pivots = p.groupBy("token", "size_class").agg(F.max(rank).alias("best")).select("token", "size_class", F.col("best.grp").alias("pivot"), F.col("best.n").alias("pn"), F.col("best.pos").alias("pp"))
         pivots = pivots.unionByName(pivots.withColumn("size_class", F.col("size_class") + 1))
