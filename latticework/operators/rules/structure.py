@@ -19,10 +19,10 @@ def acyclic(metadata: RuleMetadata, graph: Graph, selected: DataFrame, *, kinds:
     graph is induced, so a cycle through an unselected node does not count.
     """
     g = graph
-    if not keep_synthetic and "synthetic" in graph.evidence.columns:
+    if not keep_synthetic and "synthetic" in graph.rows.columns:
         g = g.without_evidence(F.col("synthetic"))
     if kinds is not None:
-        g = Graph(g.nodes, g.evidence.where(F.col("kind").isin(kinds) if kinds else F.lit(False)))
+        g = Graph(g.nodes, g.rows.where(F.col("kind").isin(kinds) if kinds else F.lit(False)))
     g = g.induced(selected)
     parts = strongly_connected(g.connections(), g.nodes.select(F.col("stable_key").alias("id")), by=by)
     shown = cycles(g.connections(), parts, CycleLimits(cycles=1)).select("component", F.array_join("closed_path", " -> ").alias("path"))

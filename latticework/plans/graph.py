@@ -31,39 +31,44 @@ class GraphError(ValueError):
 class Graph:
     """Nodes (stable_key, ...) and evidence rows; the edge of an evidence row is (origin, target, kind).
 
-    Evidence is the base table: arrays are built only where a result asks for them, so connectivity
-    never carries evidence through a shuffle.
+    Evidence is the base table, a set: ``rows`` may hold repeats, ``evidence`` has none.  Arrays are built
+    only where a result asks for them, and connectivity reads two columns of ``rows``, so it never carries
+    evidence through a shuffle.
     """
 
     nodes: DataFrame
-    evidence: DataFrame
+    rows: DataFrame
+
+    @property
+    def evidence(self) -> DataFrame:
+        return self.rows.distinct()
 
     def edges(self) -> DataFrame:
         """One row an edge with its distinct evidence, sorted (nulls first)."""
-        return self.evidence.groupBy(*EDGE).agg(F.sort_array(F.collect_set(F.struct(*DETAIL))).alias("evidence"))
+        return self.rows.groupBy(*EDGE).agg(F.sort_array(F.collect_set(F.struct(*DETAIL))).alias("evidence"))
 
     def edge_counts(self) -> DataFrame:
         """One row an edge with the number of its distinct evidence rows."""
-        return self.evidence.select(*EDGE, *DETAIL).distinct().groupBy(*EDGE).agg(F.count(F.lit(1)).alias("n_evidence"))
+        return self.rows.select(*EDGE, *DETAIL).distinct().groupBy(*EDGE).agg(F.count(F.lit(1)).alias("n_evidence"))
 
     def connections(self) -> DataFrame:
         """Distinct (origin, target): parallel edges collapse before any connectivity."""
-        return self.evidence.select("origin", "target").distinct()
+        return self.rows.select("origin", "target").distinct()
 
     def induced(self, keys: DataFrame) -> Graph:
         """The subgraph on ``keys`` (stable_key): its nodes, and the evidence between them."""
         kept = keys.select("stable_key").distinct()
-        evidence = self.evidence.join(kept.withColumnRenamed("stable_key", "origin"), "origin", "left_semi")
+        evidence = self.rows.join(kept.withColumnRenamed("stable_key", "origin"), "origin", "left_semi")
         evidence = evidence.join(kept.withColumnRenamed("stable_key", "target"), "target", "left_semi")
-        return Graph(self.nodes.join(kept, "stable_key", "left_semi"), evidence.select(self.evidence.columns))
+        return Graph(self.nodes.join(kept, "stable_key", "left_semi"), evidence.select(self.rows.columns))
 
     def without_evidence(self, removed: Column) -> Graph:
         """Drops evidence rows; an edge goes with its last one, nodes stay."""
-        return Graph(self.nodes, self.evidence.where(~F.coalesce(removed, F.lit(False))))
+        return Graph(self.nodes, self.rows.where(~F.coalesce(removed, F.lit(False))))
 
     def dangling(self) -> DataFrame:
         """(endpoint, n): endpoints of edges that are no node."""
-        ends = self.evidence.select(F.col("origin").alias("endpoint")).unionByName(self.evidence.select(F.col("target").alias("endpoint")))
+        ends = self.evidence.select(F.explode(F.array("origin", "target")).alias("endpoint"))
         ends = ends.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"))
         return ends.join(self.nodes.select(F.col("stable_key").alias("endpoint")), "endpoint", "left_anti")
 
@@ -84,7 +89,7 @@ def conform(evidence: DataFrame) -> DataFrame:
 
 def build(nodes: DataFrame, evidence: DataFrame, *, check: bool = False) -> Graph:
     """Set semantics: nodes by key, evidence by all its columns.  ``check`` raises on endpoints that are no node."""
-    graph = Graph(nodes.dropDuplicates(["stable_key"]), conform(evidence).distinct())
+    graph = Graph(nodes.dropDuplicates(["stable_key"]), conform(evidence))
     if check and (row := graph.dangling().orderBy("endpoint").first()):
         raise GraphError(f"an edge ends at {row['endpoint']}, which is no node")
     return graph
@@ -92,7 +97,7 @@ def build(nodes: DataFrame, evidence: DataFrame, *, check: bool = False) -> Grap
 
 def graph_from(evidence: DataFrame, isolated: DataFrame | None = None) -> Graph:
     """A graph whose nodes are the endpoints of its evidence, and ``isolated`` ones (stable_key)."""
-    keys = evidence.select(F.col("origin").alias("stable_key")).unionByName(evidence.select(F.col("target").alias("stable_key")))
+    keys = evidence.select(F.explode(F.array("origin", "target")).alias("stable_key"))
     if isolated is not None:
         keys = keys.unionByName(isolated.select("stable_key"))
-    return Graph(nodes_of(keys), conform(evidence).distinct())
+    return Graph(nodes_of(keys), conform(evidence))

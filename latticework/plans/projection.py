@@ -62,7 +62,7 @@ class Projection:
     def judged(self, graph: Graph) -> DataFrame:
         """Evidence with its mapped ends, new kind and drop_reason (null: kept); reasons in the order kind, exclusion, mapping, self."""
         ends = self.mapped_nodes(graph.nodes)
-        rows = graph.evidence.join(ends.withColumnsRenamed({"source": "origin", "mapped": "new_origin"}), "origin", "left")
+        rows = graph.rows.join(ends.withColumnsRenamed({"source": "origin", "mapped": "new_origin"}), "origin", "left")
         rows = rows.join(ends.withColumnsRenamed({"source": "target", "mapped": "new_target"}), "target", "left")
         excluded = F.lit(False)
         if self.excluded is not None:
@@ -82,7 +82,7 @@ class Projection:
         """(the projected graph, its ledger: origin, target, kind, drop_reason of each dropped source edge).  Isolated nodes stay."""
         rows = self.judged(graph)
         kept = rows.where("drop_reason IS NULL").drop("origin", "target", "kind", "drop_reason")
-        evidence = conform(kept.withColumnsRenamed({"new_origin": "origin", "new_target": "target", "new_kind": "kind"})).distinct()
+        evidence = conform(kept.withColumnsRenamed({"new_origin": "origin", "new_target": "target", "new_kind": "kind"}))
         keys = self.mapped_nodes(graph.nodes).where("mapped IS NOT NULL").select(F.col("mapped").alias("stable_key"))
         dropped = rows.where("drop_reason IS NOT NULL").select(*EDGE, "drop_reason").distinct()
         return Graph(nodes_of(keys), evidence), dropped

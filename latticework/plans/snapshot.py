@@ -51,7 +51,7 @@ class SnapshotQuery:
         return rows.select("source", "id")
 
     def _evidence(self, graph: Graph, places: DataFrame) -> DataFrame:
-        evidence = graph.evidence
+        evidence = graph.rows
         if self.kinds is not None:
             evidence = evidence.where(F.col("kind").isin(*self.kinds) if self.kinds else F.lit(False))
         rows = evidence.join(places.withColumnsRenamed({"source": "origin", "id": "o"}), "origin").join(places.withColumnsRenamed({"source": "target", "id": "t"}), "target")

@@ -66,7 +66,7 @@ SELECT endpoint, count(*) AS n FROM ends WHERE NOT EXISTS (SELECT 1 FROM here WH
 def graph_dangling_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     g = wl.trade(spark, sf)
     public = wl.catalog(spark, sf).where(F.array_contains("modifiers", "PUBLIC")).select(F.col("type_key").alias("stable_key"))
-    return Graph(g.nodes.join(public, "stable_key", "left_semi"), g.evidence).dangling()
+    return Graph(g.nodes.join(public, "stable_key", "left_semi"), g.rows).dangling()
 
 
 _PROJECT = """SELECT origin, target, kind, count(*) AS n_evidence FROM (SELECT DISTINCT {o} AS origin, {t} AS target, {k} AS kind, location, bytecode_offset FROM {g}{w}) GROUP BY origin, target, kind"""
@@ -104,8 +104,8 @@ SELECT DISTINCT origin, target, kind, CASE WHEN kind NOT IN ('METHOD_CALL', 'THR
 FROM flow, x WHERE kind NOT IN ('METHOD_CALL', 'THROWS') OR origin = x.o OR {_PKG.format(c="origin")} = {_PKG.format(c="target")}""")
 def project_drop_ledger(spark: SparkSession, sf: str) -> DataFrame:
     g = wl.flow(spark, sf)
-    first = g.evidence.agg(F.min("origin").alias("origin"))
-    excluded = g.evidence.join(first, "origin", "left_semi").select(*EDGE)
+    first = g.rows.agg(F.min("origin").alias("origin"))
+    excluded = g.rows.join(first, "origin", "left_semi").select(*EDGE)
     return projection.packages().including_only("METHOD_CALL", "THROWS").without_self_edges().excluding(excluded).apply(g)[1]
 
 

@@ -104,8 +104,8 @@ def type_graph(classes: DataFrame) -> Graph:
     where = classes.select(F.col("binary_name").alias("origin"), F.concat(F.lit("location:"), F.translate("binary_name", ".", "/"), F.lit(".class")).alias("location"), "source_file")
     rows = declaration_dependencies(classes).unionByName(code_dependencies(classes), allowMissingColumns=True).join(where, "origin")
     rows = rows.withColumn("origin", F.concat(F.lit("type:"), "origin")).withColumn("target", F.concat(F.lit("type:"), "target"))
-    evidence = conform(rows).distinct()
-    keys = evidence.select(F.col("origin").alias("stable_key")).unionByName(evidence.select(F.col("target").alias("stable_key"))).unionByName(classes.select(F.concat(F.lit("type:"), "binary_name").alias("stable_key")))
+    evidence = conform(rows)
+    keys = evidence.select(F.explode(F.array("origin", "target")).alias("stable_key")).unionByName(classes.select(F.concat(F.lit("type:"), "binary_name").alias("stable_key")))
     return Graph(nodes_of(keys), evidence)
 
 

@@ -79,7 +79,7 @@ def trade_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
     """Nodes are the whole catalog, so types without trade stay as isolated nodes."""
     nodes = catalog(spark, sf_dir).select(F.col("type_key").alias("stable_key"), F.lit("type").alias("id_kind"), F.col("type_key").alias("owner_type"), "package")
-    return Graph(nodes, conform(trade_evidence(spark, sf_dir)).distinct())
+    return Graph(nodes, conform(trade_evidence(spark, sf_dir)))
 
 
 TRADE_SQL = (
