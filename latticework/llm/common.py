@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,11 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return write_table(df, new_area(df.sparkSession, tag))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` kept in memory, or on the executors' disks; what a lost executor held is computed again.  For what is read several times and soon freed."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a staged table through Hadoop's file system, wherever it lives."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import delete_path, new_area, release, write_table
+from latticework.llm.common import delete_path, held, new_area, release, write_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ class LinkSearch:
     hints (id, cells) their histograms.
     """
 
-    def __init__(self, postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], hints: DataFrame, percent: int, *, star_rounds: int = 6, close_factor: float = 0.5, close_pairs: int = 50_000) -> None:
+    def __init__(self, postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], hints: DataFrame, percent: int, *, star_rounds: int = 6, close_factor: float = 20, close_pairs: int = 50_000) -> None:
         self.spark = postings.sparkSession
         self.area = new_area(self.spark, "links")
         self.percent, self.sets_of, self.members, self.hints = percent, sets_of, members, hints
@@ -110,6 +110,7 @@ class LinkSearch:
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.report: list[tuple[str, int]] = []
+        self.kept: list[DataFrame] = []
 
     def _may_link(self, pa_: str, na: str, pb: str, nb: str):
         """Size filter, and the position filter where positions are given."""
@@ -130,22 +131,32 @@ class LinkSearch:
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = write_table(pairs, f"{self.area}/{name}-pairs")
+        pairs = held(pairs)
         n = pairs.count()
         self.report.append((name, n))
         if n:
-            left = write_table(possible(pairs, self.hints, self.percent), f"{self.area}/{name}-possible")
+            left = held(possible(pairs, self.hints, self.percent))
             self.report.append((f"{name} possible", left.count()))
-            ids = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
-            links = write_table(jaccard_links(left, self.sets_of(ids), self.percent), f"{self.area}/{name}-links")
+            ids = held(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct())
+            sets = held(self.sets_of(ids))
+            sets.count()
+            links = write_table(jaccard_links(left, sets, self.percent), f"{self.area}/{name}-links")
+            for done in (sets, ids, left):
+                done.unpersist()
             self.links = links if self.links is None else self.links.unionByName(links)
             self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+            self.kept.append(pairs)
         return n
 
-    def _star(self, k: int, labels: DataFrame) -> int:
-        """One star round: pivots by centrality first, then by a hash that differs from round to round."""
+    def _short(self):
+        """Whether a posting lies in the shorter prefix that the smaller text of a linked pair must share a token in."""
+        p = self.percent
+        return F.col("pos").isNull() | ((F.col("n") - F.col("pos")) * (100 + p) >= 2 * p * F.col("n"))
+
+    def _star(self, k: int, labels: DataFrame, postings: DataFrame) -> int:
+        """One star round over the short prefixes: pivots by centrality first, then by a hash that differs from round to round."""
         size_class = F.floor(F.log("n") / float(np.log(100 / self.percent))) if self.percent < 100 else F.col("n")
-        p = self.postings.withColumn("size_class", size_class.cast("long"))
+        p = postings.where(self._short()).withColumn("size_class", size_class.cast("long"))
         rank = F.struct(F.col("central"), (-F.xxhash64("grp")).alias("h"), "grp", "n", "pos") if k == 0 else F.struct(F.xxhash64("grp", F.lit(k)).alias("h"), "grp", "n", "pos")
         pivots = p.groupBy("token", "size_class").agg(F.max(rank).alias("best")).select("token", "size_class", F.col("best.grp").alias("pivot"), F.col("best.n").alias("pn"), F.col("best.pos").alias("pp"))
         pivots = pivots.unionByName(pivots.withColumn("size_class", F.col("size_class") + 1))
@@ -158,16 +169,11 @@ class LinkSearch:
         return self._verify(pairs, f"star-{k}")
 
     def _open(self, labels: DataFrame) -> DataFrame:
-        """Postings by component, of tokens on which components still meet.
-
-        ``short``: within the shorter prefix that the smaller text of a linked pair must share a token in.
-        """
+        """Postings by component, of tokens on which components still meet."""
         parts = labels.select("grp", "component").distinct()
-        mine = self.postings.join(parts, "grp").select("token", "grp", "component", "n", "pos")
+        mine = self.postings.join(parts, "grp").select("token", "grp", "component", "n", "pos", "central")
         several = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        p = self.percent
-        short = F.col("pos").isNull() | ((F.col("n") - F.col("pos")) * (100 + p) >= 2 * p * F.col("n"))
-        return mine.join(several, "token", "left_semi").withColumn("short", short)
+        return mine.join(several, "token", "left_semi").withColumn("short", self._short())
 
     @staticmethod
     def _left(open_: DataFrame) -> int:
@@ -179,9 +185,9 @@ class LinkSearch:
     def run(self) -> DataFrame:
         """(id, component) of all members; links and tested pairs stay in the attributes of those names."""
         n_postings = self.postings.count()
-        labels, left, before = self._labels(), 0, None
+        labels, left, before, open_ = self._labels(), 0, None, self.postings
         for k in range(self.star_rounds):
-            tested = self._star(k, labels) if n_postings else 0
+            tested = self._star(k, labels, open_.select("token", "grp", "n", "pos", "central").distinct() if k else open_) if n_postings else 0
             labels = write_table(self._labels(), f"{self.area}/labels-{k}")
             open_ = write_table(self._open(labels), f"{self.area}/open-{k}")
             left = self._left(open_)
@@ -200,4 +206,6 @@ class LinkSearch:
             mb = labels.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("id").alias("b"))
             self._verify(met.join(ma, ["ga", "ca"]).join(mb, ["gb", "cb"]).select("a", "b"), "close")
             labels = write_table(self._labels(), f"{self.area}/labels-close")
+        for done in self.kept:
+            done.unpersist()
         return labels.select("id", "component")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import wordhash
-from latticework.llm.common import broadcast_if, new_area, release, table, write_table
+from latticework.llm.common import broadcast_if, held, new_area, release, table, write_table
 from latticework.llm.links import LinkSearch
 
 SKETCH = 1 << 16
@@ -98,9 +98,7 @@ def shingle_sets(units: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             found = [s.tobytes() for s in wordhash.sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "members"])
 
-    ids = write_table(ids, new_area(units.sparkSession, "ids"))
-    chosen = units.join(broadcast_if(ids, ids.count()), "id", "left_semi")
-    return write_table(chosen.mapInArrow(run, "id long, members binary"), new_area(units.sparkSession, "sets"))
+    return units.join(broadcast_if(ids, ids.count()), "id", "left_semi").mapInArrow(run, "id long, members binary")
 
 
 def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, report: list | None = None) -> DataFrame:
@@ -116,12 +114,12 @@ def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, rep
     classes = write_table(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), f"{area}/classes")
     # Copies beyond their class's first document need no prefix.
     copies = rows.where("n > 0").join(classes, ["n", "k1", "k2"]).where("id <> rep").select("id", "n").distinct()
-    copies = write_table(copies.join(classes.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_anti"), f"{area}/copies")
+    copies = held(copies.join(classes.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_anti"))
     fronts = prefixes(units, words, percent, rarity_levels(counters)).join(broadcast_if(copies, copies.count()), ["id", "n"], "left_anti")
     fronts = write_table(fronts, f"{area}/fronts")
     # Groups: classes with the same prefix and size, named by their first member.
     groups = fronts.groupBy("n", "prefix_key").agg(F.min("id").alias("grp"))
-    placed = write_table(fronts.select("id", "n", "prefix_key").join(groups, ["n", "prefix_key"]).distinct(), f"{area}/members")
+    placed = held(fronts.select("id", "n", "prefix_key").join(groups, ["n", "prefix_key"]).distinct())
     members = placed.select("grp", "id").distinct()
     others = placed.where("grp <> id").select("id", "n", "prefix_key")
     leads = fronts.join(broadcast_if(others, others.count()), ["id", "n", "prefix_key"], "left_anti")
@@ -131,15 +129,18 @@ def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, rep
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     several = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
     first = leads.join(several, leads["id"] == several["grp"], "left_semi").select(F.get("prefix", F.lit(0)).alias("token"))
-    useful = write_table(shared.unionByName(first).distinct(), f"{area}/useful")
+    useful = held(shared.unionByName(first).distinct())
     release(spark)
     postings = each.join(useful, "token", "left_semi")
     postings = write_table(postings.select("token", "grp", "n", F.col("pos").cast("long").alias("pos"), "central"), f"{area}/postings")
+    useful.unpersist()
+    copies.unpersist()
     release(spark)
     search = LinkSearch(postings, members, lambda ids: shingle_sets(units, ids, words), fronts.select("id", "cells"), percent)
     found = search.run()
+    placed.unpersist()
     if report is not None:
-        report += [("classes", classes.count()), ("groups", leads.count()), ("postings", postings.count()), *search.report]
+        report += [("classes", classes.count()), ("groups", members.select("grp").distinct().count()), ("postings", postings.count()), *search.report]
     # Back to documents: a class's component, and the least document of each component.
     found = found.where("id <> component").select(F.col("id").alias("rep"), "component")
     placed = rows.join(classes, ["n", "k1", "k2"], "left").join(found, "rep", "left")

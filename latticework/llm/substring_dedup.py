@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import wordhash
-from latticework.llm.common import broadcast_if, new_area, release, table, write_table
+from latticework.llm.common import broadcast_if, held, new_area, release, table, write_table
 from latticework.llm.links import LinkSearch
 
 LEAST_WORDS = 50
@@ -106,7 +106,7 @@ def _paragraph_sets(units: DataFrame, docs: DataFrame, ids: DataFrame, words: in
             yield pa.RecordBatch.from_arrays([pa.array(unit_id(of, numbers) if of else [], pa.int64()), pa.array(found, pa.binary())], names=["id", "members"])
 
     chosen = units.join(broadcast_if(docs, docs.count()), "doc", "left_semi").mapInArrow(run, "id long, members binary")
-    return write_table(chosen.join(broadcast_if(ids, ids.count()), "id", "left_semi"), new_area(units.sparkSession, "para-sets"))
+    return chosen.join(broadcast_if(ids, ids.count()), "id", "left_semi")
 
 
 def repeated_paragraphs(docs: DataFrame, *, words: int = 5, percent: int = 80, report: list | None = None) -> DataFrame:
@@ -116,20 +116,20 @@ def repeated_paragraphs(docs: DataFrame, *, words: int = 5, percent: int = 80, r
     units = _ids(docs)
     rows = write_table(paragraph_classes(units, words), f"{area}/rows")
     first = rows.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc", "line", "id")).alias("first"))
-    classes = write_table(first.select("n", "k1", "k2", F.col("first.id").alias("rep"), F.col("first.doc").alias("doc")), f"{area}/classes")
+    classes = held(first.select("n", "k1", "k2", F.col("first.id").alias("rep"), F.col("first.doc").alias("doc")))
     reps = classes.select(F.col("rep").alias("id"))
     lead = rows.join(reps, "id", "left_semi").dropDuplicates(["id"])
     tokens = lead.select("id", "n", F.explode("bands").alias("token"))
-    tokens = write_table(tokens, f"{area}/tokens")
+    tokens = held(tokens)
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     postings = tokens.join(shared, "token", "left_semi").select("token", F.col("id").alias("grp"), "n", F.lit(None).cast("long").alias("pos"), F.lit(0).cast("long").alias("central"))
     postings = write_table(postings, f"{area}/postings")
+    tokens.unpersist()
     members = postings.select("grp", F.col("grp").alias("id")).distinct()
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        ids = write_table(ids, new_area(spark, "para-ids"))
         where = classes.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").select("doc").distinct()
-        return _paragraph_sets(units, write_table(where, new_area(spark, "para-docs")), ids, words)
+        return _paragraph_sets(units, where, ids, words)
 
     hints = rows.join(members.select("id"), "id", "left_semi").select("id", "cells")
     search = LinkSearch(postings, members, sets_of, hints, percent)
@@ -189,7 +189,6 @@ def _around(units: DataFrame, places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc", "at", "digest"])
 
     packed = places.groupBy("doc").agg(F.collect_list("at").alias("places"))
-    packed = write_table(packed, new_area(units.sparkSession, "places"))
     return units.join(broadcast_if(packed, packed.count(), 100_000), "doc").select("doc", "text", "places").mapInArrow(run, "doc long, at long, digest long")
 
 
@@ -204,24 +203,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = write_table(windows(units), f"{area}/windows")
     spans = (F.min("doc").alias("keeper"), F.max("doc").alias("last"))
     shared = found.groupBy("digest").agg(*spans).where("keeper <> last").select("digest", "keeper")
-    shared = write_table(shared, f"{area}/shared")
+    shared = held(shared)
     hits = found.join(broadcast_if(shared, shared.count()), "digest").select("doc", "at", "digest", "keeper").distinct()
     order = Window.partitionBy("doc").orderBy("at", "keeper")
     new = F.lag("at").over(order).isNull() | (F.col("at") - F.lag("at").over(order) > WINDOW) | (F.lag("keeper").over(order) != F.col("keeper"))
-    hits = write_table(hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order)).drop("new"), f"{area}/hits")
-    release(docs.sparkSession)
+    hits = held(hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order)).drop("new"))
     runs = hits.groupBy("doc", "run").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + WINDOW).alias("n_words"), F.min("keeper").alias("keeper"))
-    runs = write_table(runs, f"{area}/runs")
+    runs = held(runs)
     # The windows of short runs, wherever they stand, and what LEAST_WORDS words around them are shared.
     short = runs.where(F.col("n_words") < LEAST_WORDS).select("doc", "run")
-    open_ = write_table(hits.join(short, ["doc", "run"], "left_semi").select("digest").distinct(), f"{area}/open")
+    open_ = held(hits.join(short, ["doc", "run"], "left_semi").select("digest").distinct())
     twins = hits.join(broadcast_if(open_, open_.count()), "digest", "left_semi").select("doc", "at").distinct()
-    around = write_table(_around(units, twins), f"{area}/around")
+    around = held(_around(units, twins))
     both = around.groupBy("digest").agg(*spans).where("keeper <> last").select("digest", F.col("keeper").alias("by"))
     proved = around.join(both, "digest").groupBy("doc", "at").agg(F.min("by").alias("by"))
     proved = hits.join(proved, ["doc", "at"]).join(short, ["doc", "run"], "left_semi").groupBy("doc", "run").agg(F.min("at").alias("at"), F.min("by").alias("keeper"))
     proved = proved.select("doc", "at", F.lit(LEAST_WORDS).cast("long").alias("n_words"), "keeper")
-    return runs.where(F.col("n_words") >= LEAST_WORDS).drop("run").unionByName(proved)
+    out = write_table(runs.where(F.col("n_words") >= LEAST_WORDS).drop("run").unionByName(proved), f"{area}/found")
+    for done in (around, open_, runs, hits, shared):
+        done.unpersist()
+    release(docs.sparkSession)
+    return out
 
 
 def substring_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, report: list | None = None) -> DataFrame:
