@@ -97,7 +97,8 @@ class LinkSearch:
     """Star rounds and the closing round over one set of postings.
 
     postings: token, grp, n (set size), pos (place of the token in the group's order, or null where
-    order says nothing), central.  members: grp, id.  sets_of(ids) gives (id, members) of the named ids;
+    order says nothing), central, and, where given, earlier: the group's tokens before this one, so that a pair
+    that shares several tokens is met at the first alone.  members: grp, id.  sets_of(ids) gives (id, members) of the named ids;
     hints (id, cells) their histograms.
     """
 
@@ -106,11 +107,10 @@ class LinkSearch:
         self.area = new_area(self.spark, "links")
         self.percent, self.sets_of, self.members, self.hints = percent, sets_of, members, hints
         self.star_rounds, self.close_factor, self.close_pairs = star_rounds, close_factor, close_pairs
-        self.postings = postings
+        self.postings = postings if "earlier" in postings.columns else postings.withColumn("earlier", F.lit(None).cast("array<long>"))
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.report: list[tuple[str, int]] = []
-        self.kept: list[DataFrame] = []
 
     def _may_link(self, pa_: str, na: str, pb: str, nb: str):
         """Size filter, and the position filter where positions are given."""
@@ -131,7 +131,7 @@ class LinkSearch:
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = held(pairs)
+        pairs = write_table(pairs, f"{self.area}/{name}-pairs")
         n = pairs.count()
         self.report.append((name, n))
         if n:
@@ -145,7 +145,6 @@ class LinkSearch:
                 done.unpersist()
             self.links = links if self.links is None else self.links.unionByName(links)
             self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-            self.kept.append(pairs)
         return n
 
     def _short(self):
@@ -171,7 +170,7 @@ class LinkSearch:
     def _open(self, labels: DataFrame) -> DataFrame:
         """Postings by component, of tokens on which components still meet."""
         parts = labels.select("grp", "component").distinct()
-        mine = self.postings.join(parts, "grp").select("token", "grp", "component", "n", "pos", "central")
+        mine = self.postings.join(parts, "grp").select("token", "grp", "component", "n", "pos", "central", "earlier")
         several = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         return mine.join(several, "token", "left_semi").withColumn("short", self._short())
 
@@ -197,15 +196,14 @@ class LinkSearch:
                 break
             before = left
         if left:
-            x = open_.where("short").select("token", F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("qa"))
-            y = open_.select("token", F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("qb"))
+            x = open_.where("short").select("token", F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("qa"), F.col("earlier").alias("ea"))
+            y = open_.select("token", F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("qb"), F.col("earlier").alias("eb"))
             # The smaller text's short prefix meets the other's whole one; of equal sizes either would do, so one order is enough.
             ordered = (F.col("na") < F.col("nb")) & (F.col("ca") != F.col("cb")) | (F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb"))
-            met = x.join(y, "token").where(ordered & self._may_link("qa", "na", "qb", "nb")).select("ga", "ca", "gb", "cb").distinct()
+            first = F.col("ea").isNull() | F.col("eb").isNull() | ~F.arrays_overlap("ea", "eb")
+            met = x.join(y, "token").where(ordered & first & self._may_link("qa", "na", "qb", "nb")).select("ga", "ca", "gb", "cb").distinct()
             ma = labels.select(F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("id").alias("a"))
             mb = labels.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("id").alias("b"))
             self._verify(met.join(ma, ["ga", "ca"]).join(mb, ["gb", "cb"]).select("a", "b"), "close")
             labels = write_table(self._labels(), f"{self.area}/labels-close")
-        for done in self.kept:
-            done.unpersist()
         return labels.select("id", "component")

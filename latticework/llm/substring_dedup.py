@@ -119,10 +119,11 @@ def repeated_paragraphs(docs: DataFrame, *, words: int = 5, percent: int = 80, r
     classes = held(first.select("n", "k1", "k2", F.col("first.id").alias("rep"), F.col("first.doc").alias("doc")))
     reps = classes.select(F.col("rep").alias("id"))
     lead = rows.join(reps, "id", "left_semi").dropDuplicates(["id"])
-    tokens = lead.select("id", "n", F.explode("bands").alias("token"))
+    tokens = lead.select("id", "n", F.posexplode("bands").alias("band", "token"))
     tokens = held(tokens)
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    postings = tokens.join(shared, "token", "left_semi").select("token", F.col("id").alias("grp"), "n", F.lit(None).cast("long").alias("pos"), F.lit(0).cast("long").alias("central"))
+    postings = tokens.join(shared, "token", "left_semi").join(lead.select("id", "bands"), "id")
+    postings = postings.select("token", F.col("id").alias("grp"), "n", F.lit(None).cast("long").alias("pos"), F.lit(0).cast("long").alias("central"), F.slice("bands", F.lit(1), F.col("band")).alias("earlier"))
     postings = write_table(postings, f"{area}/postings")
     tokens.unpersist()
     members = postings.select("grp", F.col("grp").alias("id")).distinct()
@@ -134,6 +135,7 @@ def repeated_paragraphs(docs: DataFrame, *, words: int = 5, percent: int = 80, r
     hints = rows.join(members.select("id"), "id", "left_semi").select("id", "cells")
     search = LinkSearch(postings, members, sets_of, hints, percent)
     found = search.run().where("id <> component").select(F.col("id").alias("rep"), "component")
+    release(spark)
     if report is not None:
         report += [("paragraphs", rows.count()), ("classes", classes.count()), ("postings", postings.count()), *search.report]
     placed = rows.select("doc", "line", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"]).join(found, "rep", "left")
@@ -203,11 +205,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = write_table(windows(units), f"{area}/windows")
     spans = (F.min("doc").alias("keeper"), F.max("doc").alias("last"))
     shared = found.groupBy("digest").agg(*spans).where("keeper <> last").select("digest", "keeper")
-    shared = held(shared)
+    shared = write_table(shared, f"{area}/shared")
     hits = found.join(broadcast_if(shared, shared.count()), "digest").select("doc", "at", "digest", "keeper").distinct()
     order = Window.partitionBy("doc").orderBy("at", "keeper")
     new = F.lag("at").over(order).isNull() | (F.col("at") - F.lag("at").over(order) > WINDOW) | (F.lag("keeper").over(order) != F.col("keeper"))
-    hits = held(hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order)).drop("new"))
+    hits = write_table(hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order)).drop("new"), f"{area}/hits")
     runs = hits.groupBy("doc", "run").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + WINDOW).alias("n_words"), F.min("keeper").alias("keeper"))
     runs = held(runs)
     # The windows of short runs, wherever they stand, and what LEAST_WORDS words around them are shared.
@@ -220,7 +222,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     proved = hits.join(proved, ["doc", "at"]).join(short, ["doc", "run"], "left_semi").groupBy("doc", "run").agg(F.min("at").alias("at"), F.min("by").alias("keeper"))
     proved = proved.select("doc", "at", F.lit(LEAST_WORDS).cast("long").alias("n_words"), "keeper")
     out = write_table(runs.where(F.col("n_words") >= LEAST_WORDS).drop("run").unionByName(proved), f"{area}/found")
-    for done in (around, open_, runs, hits, shared):
+    for done in (around, open_, runs):
         done.unpersist()
     release(docs.sparkSession)
     return out
