@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import delete_path, held, new_area, release, write_table
+from latticework.llm.common import broadcast_if, delete_path, held, new_area, release, write_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,11 +168,18 @@ class LinkSearch:
         return self._verify(pairs, f"star-{k}")
 
     def _open(self, labels: DataFrame) -> DataFrame:
-        """Postings by component, of tokens on which components still meet."""
+        """Postings with each component that has a member in their group, and whether they lie in the short prefix.
+
+        A group of one member that nothing has been linked to yet is its own component; only the others are looked up.
+        """
         parts = labels.select("grp", "component").distinct()
-        mine = self.postings.join(parts, "grp").select("token", "grp", "component", "n", "pos", "central", "earlier")
-        several = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        return mine.join(several, "token", "left_semi").withColumn("short", self._short())
+        changed = write_table(parts.where("component <> grp").select("grp").distinct(), f"{self.area}/changed-{len(self.report)}")
+        n = changed.count()
+        plain = self.postings.join(broadcast_if(changed, n), "grp", "left_anti").withColumn("component", F.col("grp"))
+        special = parts.join(broadcast_if(changed, n), "grp", "left_semi")
+        looked = self.postings.join(broadcast_if(special, special.count()), "grp")
+        columns = ["token", "grp", "component", "n", "pos", "central", "earlier"]
+        return plain.select(columns).unionByName(looked.select(columns)).withColumn("short", self._short())
 
     @staticmethod
     def _left(open_: DataFrame) -> int:
@@ -188,7 +195,7 @@ class LinkSearch:
         for k in range(self.star_rounds):
             tested = self._star(k, labels, open_.select("token", "grp", "n", "pos", "central").distinct() if k else open_) if n_postings else 0
             labels = write_table(self._labels(), f"{self.area}/labels-{k}")
-            open_ = write_table(self._open(labels), f"{self.area}/open-{k}")
+            open_ = self._open(labels)
             left = self._left(open_)
             self.report.append((f"left after star-{k}", left))
             release(self.spark)
