@@ -98,7 +98,8 @@ class LinkSearch:
 
     postings: token, grp, n (set size), pos (place of the token in the group's order, or null where
     order says nothing), central, and, where given, earlier: the group's tokens before this one, so that a pair
-    that shares several tokens is met at the first alone.  members: grp, id.  sets_of(ids) gives (id, members) of the named ids;
+    that shares several tokens is met at the first alone; marks: the counts of a small histogram of the set, so that
+    pairs which it rules out never leave the join.  members: grp, id.  sets_of(ids) gives (id, members) of the named ids;
     hints (id, cells) their histograms.
     """
 
@@ -107,7 +108,9 @@ class LinkSearch:
         self.area = new_area(self.spark, "links")
         self.percent, self.sets_of, self.members, self.hints = percent, sets_of, members, hints
         self.star_rounds, self.close_factor, self.close_pairs = star_rounds, close_factor, close_pairs
-        self.postings = postings if "earlier" in postings.columns else postings.withColumn("earlier", F.lit(None).cast("array<long>"))
+        for name, kind in (("earlier", "array<long>"), ("marks", "array<smallint>")):
+            postings = postings if name in postings.columns else postings.withColumn(name, F.lit(None).cast(kind))
+        self.postings = postings
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.report: list[tuple[str, int]] = []
@@ -178,7 +181,7 @@ class LinkSearch:
         plain = self.postings.join(broadcast_if(changed, n), "grp", "left_anti").withColumn("component", F.col("grp"))
         special = parts.join(broadcast_if(changed, n), "grp", "left_semi")
         looked = self.postings.join(broadcast_if(special, special.count()), "grp")
-        columns = ["token", "grp", "component", "n", "pos", "central", "earlier"]
+        columns = ["token", "grp", "component", "n", "pos", "central", "earlier", "marks"]
         return plain.select(columns).unionByName(looked.select(columns)).withColumn("short", self._short())
 
     @staticmethod
@@ -203,12 +206,14 @@ class LinkSearch:
                 break
             before = left
         if left:
-            x = open_.where("short").select("token", F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("qa"), F.col("earlier").alias("ea"))
-            y = open_.select("token", F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("qb"), F.col("earlier").alias("eb"))
+            x = open_.where("short").select("token", F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("qa"), F.col("earlier").alias("ea"), F.col("marks").alias("ma"))
+            y = open_.select("token", F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("qb"), F.col("earlier").alias("eb"), F.col("marks").alias("mb"))
             # The smaller text's short prefix meets the other's whole one; of equal sizes either would do, so one order is enough.
             ordered = (F.col("na") < F.col("nb")) & (F.col("ca") != F.col("cb")) | (F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb"))
             first = F.col("ea").isNull() | F.col("eb").isNull() | ~F.arrays_overlap("ea", "eb")
-            met = x.join(y, "token").where(ordered & first & self._may_link("qa", "na", "qb", "nb")).select("ga", "ca", "gb", "cb").distinct()
+            most = F.aggregate(F.zip_with("ma", "mb", lambda u, v: F.least(u, v).cast("int")), F.lit(0), lambda u, v: u + v)
+            within = F.col("ma").isNull() | F.col("mb").isNull() | (most * (100 + self.percent) >= (F.col("na") + F.col("nb")) * self.percent)
+            met = x.join(y, "token").where(ordered & first & within & self._may_link("qa", "na", "qb", "nb")).select("ga", "ca", "gb", "cb").distinct()
             ma = labels.select(F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("id").alias("a"))
             mb = labels.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("id").alias("b"))
             self._verify(met.join(ma, ["ga", "ca"]).join(mb, ["gb", "cb"]).select("a", "b"), "close")

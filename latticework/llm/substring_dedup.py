@@ -32,6 +32,8 @@ from latticework.llm.links import LinkSearch
 LEAST_WORDS = 50
 WINDOW, ANCHORS = 35, 16
 ROWS, BANDS = 4, 14
+#: Cells of the histogram that paragraphs carry into the closing join.
+MARKS = 256
 _NO_ID = -(2**63)
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -75,7 +77,7 @@ def signatures(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def paragraph_classes(units: DataFrame, words: int) -> DataFrame:
-    """(doc, line, id, n, k1, k2, bands, cells) of every paragraph."""
+    """(doc, line, id, n, k1, k2, cells, bands, marks) of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
@@ -91,9 +93,12 @@ def paragraph_classes(units: DataFrame, words: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(bands), pa.list_(pa.int64()))], names=["doc", "line", "id", "n", "k1", "k2", "cells", "bands"])
+            marks = [np.bincount((x >> np.uint64(20)).astype(np.int64) & (MARKS - 1), minlength=MARKS) for x in held]
+            marks = [m.astype(np.int16) if m.max() < 2**15 else None for m in marks]
+            lists = [pa.array(list(bands), pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays([*arrays, *lists], names=["doc", "line", "id", "n", "k1", "k2", "cells", "bands", "marks"])
 
-    return units.mapInArrow(run, "doc long, line long, id long, n long, k1 long, k2 long, cells binary, bands array<long>")
+    return units.mapInArrow(run, "doc long, line long, id long, n long, k1 long, k2 long, cells binary, bands array<long>, marks array<smallint>")
 
 
 def _paragraph_sets(units: DataFrame, docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -122,8 +127,8 @@ def repeated_paragraphs(docs: DataFrame, *, words: int = 5, percent: int = 80, r
     tokens = lead.select("id", "n", F.posexplode("bands").alias("band", "token"))
     tokens = held(tokens)
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    postings = tokens.join(shared, "token", "left_semi").join(lead.select("id", "bands"), "id")
-    postings = postings.select("token", F.col("id").alias("grp"), "n", F.lit(None).cast("long").alias("pos"), F.lit(0).cast("long").alias("central"), F.slice("bands", F.lit(1), F.col("band")).alias("earlier"))
+    postings = tokens.join(shared, "token", "left_semi").join(lead.select("id", "bands", "marks"), "id")
+    postings = postings.select("token", F.col("id").alias("grp"), "n", F.lit(None).cast("long").alias("pos"), F.lit(0).cast("long").alias("central"), F.slice("bands", F.lit(1), F.col("band")).alias("earlier"), "marks")
     postings = write_table(postings, f"{area}/postings")
     tokens.unpersist()
     members = postings.select("grp", F.col("grp").alias("id")).distinct()
