@@ -467,7 +467,7 @@ def cycle_violations(spark: SparkSession, sf: str) -> DataFrame:
 def cycle_enumeration(spark: SparkSession, sf: str) -> DataFrame:
     g = wl.flow(spark, sf)
     parts = algorithms.strongly_connected(g.connections(), _ids(g.nodes, "stable_key"))
-    found = algorithms.cycles(g.connections(), parts, algorithms.CycleLimits(100, 4, 100_000))
+    found = algorithms.cycles(g.connections(), parts)
     return found.select("component", F.array_join(algorithms.canonical(F.col("cycle")), ",").alias("cycle"), F.array_join("closed_path", ",").alias("closed_path"), "length", "truncated")
 
 

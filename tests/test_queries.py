@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 
 from conftest import DATA, same_as_duck
@@ -14,6 +17,27 @@ def test_query_runs(spark, name):
     assert q.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_cycle_enumeration_equals_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    walks = {1: [0, 1, 2, 3, 4, 5, 0], 2: [7, 7, 8], 3: [rng.randrange(7) for _ in range(14)], 4: [3, 4, 5, 6]}
+    rows = [(100 * u + i, u, i, f'{{"k": {k}}}') for u, ks in walks.items() for i, k in enumerate(ks)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, at long, props string")
+    events.selectExpr("event_id", "user_id", "'click' AS event_type", "timestamp_seconds(at) AS ts", "props").write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for u, ks in walks.items():
+        steps = set(itertools.pairwise(ks))
+        for n in range(1, len(set(ks)) + 1):
+            for c in itertools.permutations(sorted(set(ks), key=lambda k: f"type:app.p{k % 10}.U{u}K{k}"), n):
+                if c[0] == min(c) and all(s in steps for s in itertools.pairwise([*c, c[0]])):
+                    want.append(",".join(f"type:app.p{k % 10}.U{u}K{k}" for k in c))
+    found = q.QUERIES["cycle_enumeration"](spark, str(tmp_path)).collect()
+    assert sorted(r["cycle"] for r in found) == sorted(want) and len(want) < 100
+    assert {r["length"] for r in found} >= {1, 6} and not any(r["truncated"] for r in found)
+    for r in found:
+        nodes = r["cycle"].split(",")
+        assert r["closed_path"].split(",") == [*nodes, nodes[0]] and len(nodes) == r["length"] and r["component"] == min(nodes[0], r["component"])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
