@@ -7,9 +7,8 @@ exact Jaccard, and make components.  The paragraph of a component's smallest doc
 
 A repeated passage need not be a line of its own.  Windows of WINDOW words begin at the words that a
 winnowing of ANCHORS positions picks by content alone, so any passage of WINDOW + ANCHORS - 1 = 50 words or more
-that two documents share holds at least one window that both of them have.  Windows found in two documents
-or more are merged to passages within each document; passages shorter than 50 words are kept only if 50
-words around them are shared too.
+that two documents share holds at least one window that both of them have.  From the windows found in two
+documents or more the maximal stretches are derived whose every 50 words stand in another document.
 
 Edge cases: null and short texts have no paragraph or window; a repeat within one document alone is no
 repeat across documents; rows that repeat a doc_id count as one document; a null doc_id is one document that
@@ -150,7 +149,7 @@ def repeated_paragraphs(docs: DataFrame, *, words: int = 5, percent: int = 80, r
 
 
 def windows(units: DataFrame) -> DataFrame:
-    """(doc, at, digest): the windows at every text's winnowed words, once each."""
+    """(doc, row, at, digest): the windows at every text's winnowed words, once each; ``row`` tells the texts of one doc apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
@@ -168,10 +167,10 @@ def windows(units: DataFrame) -> DataFrame:
             chosen = np.unique(np.arange(len(place)) + low.argmin(axis=1))
             chosen = chosen[chosen < len(place)]
             chosen = chosen[inside[chosen]]
-            ids = np.array([_NO_ID if d is None else d for d in batch.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text[chosen]]), pa.array(chosen - bounds[text[chosen]], pa.int64()), pa.array(digest[chosen].view(np.int64))], names=["doc", "at", "digest"])
+            ids = [batch.column(k).to_numpy()[text[chosen]] for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(chosen - bounds[text[chosen]], pa.int64()), pa.array(digest[chosen].view(np.int64))], names=["doc", "row", "at", "digest"])
 
-    return units.mapInArrow(run, "doc long, at long, digest long")
+    return units.mapInArrow(run, "doc long, row long, at long, digest long")
 
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
@@ -183,51 +182,75 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _around(units: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc, at, digest): all stretches of LEAST_WORDS words that hold the window at one of ``places`` (doc, at)."""
+    """(doc, row, at, digest): all stretches of LEAST_WORDS words that hold the window at one of ``places`` (doc, row, at), by their first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
             h, bounds = wordhash.words(batch.column(1))
-            rows: list[tuple] = []
-            for i, (doc, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                digest = rolling(h[bounds[i] : bounds[i + 1]], LEAST_WORDS).view(np.int64)
-                rows += [(doc, p, int(digest[k])) for p in at for k in range(max(0, p + WINDOW - LEAST_WORDS), min(p, len(digest) - 1) + 1)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc", "at", "digest"])
-
-    packed = places.groupBy("doc").agg(F.collect_list("at").alias("places"))
-    return units.join(broadcast_if(packed, packed.count(), 100_000), "doc").select("doc", "text", "places").mapInArrow(run, "doc long, at long, digest long")
+            if len(h) < LEAST_WORDS:
+                continue
+            digest = rolling(h, LEAST_WORDS)
+            lists = batch.column(3)
+            text = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            at = lists.flatten().to_numpy() + bounds[text]
+            first = np.maximum(at + WINDOW - LEAST_WORDS, bounds[text])
+            last = np.minimum(at, bounds[text + 1] - LEAST_WORDS)
+            first, last = first[first <= last], last[first <= last]
+            edge = np.zeros(len(h) + 1, np.int64)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + 1, -1)
+            chosen = np.flatnonzero(np.cumsum(edge) > 0)
+            text = np.searchsorted(bounds, chosen, "right") - 1
+            ids = [batch.column(k).to_numpy()[text] for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(chosen - bounds[text], pa.int64()), pa.array(digest[chosen].view(np.int64))], names=["doc", "row", "at", "digest"])
+
+    packed = held(places.groupBy("doc", "row").agg(F.collect_list("at").alias("places")))
+    size = packed.agg(F.count(F.lit(1)), F.sum(F.size("places"))).first()
+    rows = units.join(broadcast_if(packed.select("doc", "row"), size[0]), ["doc", "row"], "left_semi")
+    rows = rows.join(broadcast_if(packed, size[1] or 0, 500_000), ["doc", "row"])
+    return rows.select("doc", "text", "row", "places").mapInArrow(run, "doc long, row long, at long, digest long")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc, at, n_words, keeper): stretches of each document covered by windows that other documents have too.
+    """(doc, at, n_words, keeper): the maximal stretches of each document whose every LEAST_WORDS words stand in another document too.
 
-    A stretch ends where the smallest document that has its windows changes.  A stretch shorter than
-    LEAST_WORDS counts only if some LEAST_WORDS words around it stand in another document as well.
+    A stretch ends where the smallest document that has its LEAST_WORDS words changes; stretches of different
+    keepers may overlap.  Windows that follow one another both here and in one other document prove all words
+    between them; the LEAST_WORDS words at the ends of such a run are looked up wherever its end windows stand.
     """
-    units = _ids(docs)
+    units = _ids(docs).withColumn("row", F.xxhash64("text"))
     area = new_area(docs.sparkSession, "passages")
     found = write_table(windows(units), f"{area}/windows")
-    spans = (F.min("doc").alias("keeper"), F.max("doc").alias("last"))
-    shared = found.groupBy("digest").agg(*spans).where("keeper <> last").select("digest", "keeper")
+    shared = found.groupBy("digest").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper <> last").select("digest")
     shared = write_table(shared, f"{area}/shared")
-    hits = found.join(broadcast_if(shared, shared.count()), "digest").select("doc", "at", "digest", "keeper").distinct()
-    order = Window.partitionBy("doc").orderBy("at", "keeper")
-    new = F.lag("at").over(order).isNull() | (F.col("at") - F.lag("at").over(order) > WINDOW) | (F.lag("keeper").over(order) != F.col("keeper"))
-    hits = write_table(hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order)).drop("new"), f"{area}/hits")
-    runs = hits.groupBy("doc", "run").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + WINDOW).alias("n_words"), F.min("keeper").alias("keeper"))
-    runs = held(runs)
-    # The windows of short runs, wherever they stand, and what LEAST_WORDS words around them are shared.
-    short = runs.where(F.col("n_words") < LEAST_WORDS).select("doc", "run")
-    open_ = held(hits.join(short, ["doc", "run"], "left_semi").select("digest").distinct())
-    twins = hits.join(broadcast_if(open_, open_.count()), "digest", "left_semi").select("doc", "at").distinct()
-    around = held(_around(units, twins))
-    both = around.groupBy("digest").agg(*spans).where("keeper <> last").select("digest", F.col("keeper").alias("by"))
-    proved = around.join(both, "digest").groupBy("doc", "at").agg(F.min("by").alias("by"))
-    proved = hits.join(proved, ["doc", "at"]).join(short, ["doc", "run"], "left_semi").groupBy("doc", "run").agg(F.min("at").alias("at"), F.min("by").alias("keeper"))
-    proved = proved.select("doc", "at", F.lit(LEAST_WORDS).cast("long").alias("n_words"), "keeper")
-    out = write_table(runs.where(F.col("n_words") >= LEAST_WORDS).drop("run").unionByName(proved), f"{area}/found")
-    for done in (around, open_, runs):
+    hits = held(found.join(broadcast_if(shared, shared.count()), "digest", "left_semi").distinct())
+    place = F.struct("doc", "row", "at")
+    ends = hits.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("z"))
+    # The same window in the smallest document, or, seen from there, in the largest.
+    other = F.when(F.col("doc") == F.col("a.doc"), F.col("z")).otherwise(F.col("a"))
+    paired = hits.join(ends, "digest").select("doc", "row", "at", "digest", F.col("a.doc").alias("keeper"), other.alias("other"))
+    paired = paired.select("doc", "row", "at", "digest", "keeper", F.col("other.doc").alias("doc2"), F.col("other.row").alias("row2"), (F.col("other.at") - F.col("at")).alias("shift"))
+    order = Window.partitionBy("doc", "row").orderBy("at")
+    new = F.lag("at").over(order).isNull() | (F.col("at") - F.lag("at").over(order) > WINDOW)
+    for c in ("doc2", "row2", "shift"):
+        new |= F.lag(c).over(order) != F.col(c)
+    paired = paired.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(order)).withColumn("last", F.coalesce(F.lead("new").over(order), F.lit(True)))
+    paired = write_table(paired.select("doc", "row", "at", "digest", "keeper", "run", (F.col("new") | F.col("last")).alias("end")), f"{area}/hits")
+    hits.unpersist()
+    inner = paired.groupBy("doc", "row", "run").agg(F.min("at").alias("at"), (F.max("at") + WINDOW - LEAST_WORDS).alias("to"), F.min("keeper").alias("keeper"))
+    inner = inner.where("at <= to").select("doc", "row", "at", "to", "keeper")
+    open_ = held(paired.where("end").select("digest").distinct())
+    twins = paired.join(broadcast_if(open_, open_.count()), "digest", "left_semi").select("doc", "row", "at")
+    around = write_table(_around(units, twins), f"{area}/around")
+    both = held(around.groupBy("digest").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper <> last").select("digest", "keeper"))
+    proved = around.join(broadcast_if(both, both.count()), "digest").select("doc", "row", "at", F.col("at").alias("to"), "keeper")
+    # Stretches by their first words, at to to: those that overlap or follow one another are one.
+    order = Window.partitionBy("doc", "row", "keeper").orderBy("at", "to")
+    apart = F.col("at") > F.coalesce(F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
+    runs = inner.unionByName(proved).withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc", "row", "keeper", "run").agg(F.min("at").alias("at"), (F.max("to") - F.min("at") + LEAST_WORDS).alias("n_words"))
+    out = write_table(runs.select("doc", "at", "n_words", "keeper").distinct(), f"{area}/found")
+    for done in (open_, both):
         done.unpersist()
     release(docs.sparkSession)
     return out

@@ -249,6 +249,41 @@ def test_passages_equal_brute_force(spark):
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
 
 
+def passages_by_hand(texts):
+    """(doc, at, n_words, keeper) of the maximal stretches of shared 50 words, by looking at all of them."""
+    where, want = {}, set()
+    grams = [(-(2**63) if i is None else i, [tuple(w[k : k + 50]) for k in range(len(w) - 49)]) for i, w in ((i, words_of(t)) for i, t in texts)]
+    for i, g in grams:
+        for x in g:
+            where.setdefault(x, set()).add(i)
+    for i, g in grams:
+        keepers = [min(where[x]) if len(where[x]) > 1 else None for x in g]
+        for k, keeper in enumerate(keepers):
+            if keeper is not None and (not k or keepers[k - 1] != keeper):
+                n = next((j for j in range(k, len(g)) if keepers[j] != keeper), len(g)) - k
+                want.add((i, k, n + 49, keeper))
+    return want
+
+
+def test_passages_span_what_is_shared(spark):
+    rng = random.Random(23)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for k in (50, 51, 58, 64, 65, 66, 80, 130, 400):  # runs of windows shorter and longer than 50 words, at all places
+        for before in (0, 7, 100):
+            shared = fresh(k)
+            texts += [(len(texts) + j, " ".join([*fresh(before * j), *shared, *fresh(9 * j)])) for j in range(2)]
+    base = fresh(600)
+    for j in range(12):  # near copies, parts, and a passage that stands twice
+        copy = [*base]
+        for at in rng.sample(range(600), 4):
+            copy[at] = fresh(1)[0]
+        texts.append((len(texts), " ".join(copy[rng.randrange(60) : rng.randrange(300, 600)])))
+    texts += [(None, " ".join([*fresh(30), *base[100:190], *fresh(5), *base[100:170]])), (None, " ".join(base[120:200])), (5, " ".join([*fresh(3), *base[:70]]))]
+    found = substring_dedup.repeated_passages(docs_frame(spark, texts)).collect()
+    assert sorted((r["doc"], r["at"], r["n_words"], r["keeper"]) for r in found) == sorted(passages_by_hand(texts))
+
+
 def test_near_paragraphs_make_components(spark):
     rng = random.Random(22)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
