@@ -284,6 +284,16 @@ def test_passages_span_what_is_shared(spark):
     assert sorted((r["doc"], r["at"], r["n_words"], r["keeper"]) for r in found) == sorted(passages_by_hand(texts))
 
 
+def test_snippets_side_by_side_are_no_passage(spark):
+    rng = random.Random(24)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        one, two = fresh(45), fresh(49)
+        texts += [(len(texts), " ".join([*one, *fresh(60), *two])), (len(texts) + 1, " ".join([*fresh(20), *one, *two, *fresh(20)]))]
+    assert substring_dedup.repeated_passages(docs_frame(spark, texts)).count() == 0 and not passages_by_hand(texts)
+
+
 def test_near_paragraphs_make_components(spark):
     rng = random.Random(22)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
