@@ -126,12 +126,12 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, hi long, lo long")
 
 
-def _change_filter(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Keys that crossed the bound (shard, hi, lo, up) and the shard's filter -> its filter afterwards."""
+def _change_filter(left: pa.Table, right: pa.Table, room: int = 2) -> pa.Table:
+    """Keys that crossed the bound (shard, hi, lo, up) and the shard's filter -> its filter afterwards; a fresh one has room for ``room`` times its keys."""
     shard = (left if len(left) else right).column("shard")[0].as_py()
     hi, lo = (left.column(k).to_numpy() for k in KEY)
     up = left.column("up").to_numpy(zero_copy_only=False).astype(bool)
-    kept = CuckooFilter.from_bytes(right.column("filter")[0].as_py()) if len(right) else CuckooFilter.for_items(2 * int(up.sum()))
+    kept = CuckooFilter.from_bytes(right.column("filter")[0].as_py()) if len(right) else CuckooFilter.for_items(room * int(up.sum()))
     kept.delete(hi[~up], lo[~up])
     whole = kept.insert(hi[up], lo[up])
     return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([kept.to_bytes()], pa.binary()), "whole": pa.array([whole])})
@@ -195,14 +195,23 @@ class LineIndex:
     def _shard(self):
         return F.pmod(F.xxhash64("hi", "lo"), F.lit(self.shards)).cast("int")
 
-    def _changed(self, crossed: DataFrame, filters: DataFrame) -> DataFrame:
+    def _changed(self, crossed: DataFrame, filters: DataFrame, room: int = 2) -> DataFrame:
+        def change(left: pa.Table, right: pa.Table) -> pa.Table:
+            return _change_filter(left, right, room)
+
         left = crossed.select(self._shard().alias("shard"), *KEY, "up").groupBy("shard")
-        return left.cogroup(filters.groupBy("shard")).applyInArrow(_change_filter, "shard int, filter binary, whole boolean")
+        return left.cogroup(filters.groupBy("shard")).applyInArrow(change, "shard int, filter binary, whole boolean")
 
     def _rebuild(self, now: DataFrame, at: str) -> None:
+        """Fresh filters of all keys at the bound, made again at twice the room until every shard holds its keys."""
         self.shards = max(1, -(-now.count() // self.keys_per_shard))
         empty = self.spark.createDataFrame([], "shard int, filter binary, whole boolean")
-        self.filters = write_table(self._changed(now.select(*KEY, F.lit(True).alias("up")), empty), f"{at}/filters")
+        up, room = now.select(*KEY, F.lit(True).alias("up")), 2
+        while True:
+            self.filters = write_table(self._changed(up, empty, room), f"{at}/filters-{room}")
+            if not self.filters.where("NOT whole").limit(1).count():
+                return
+            room *= 2
 
     def frequent(self) -> DataFrame:
         """The exact counts of the keys at the bound."""

@@ -115,6 +115,14 @@ def test_line_index_is_reversible(spark):
     assert index.dedup(docs_frame(spark, odd).limit(0)).count() == 0
 
 
+def test_rebuilt_filters_hold_all_keys(spark, tmp_path):
+    keys = [((3 << 50) + k, 32 * k) for k in range(20)]  # one fingerprint and, at the first size, one bucket
+    index = line_dedup.LineIndex(spark, str(tmp_path))
+    index._rebuild(spark.createDataFrame(keys, "hi long, lo long"), f"{tmp_path}/1")
+    row, (hi, lo) = index.filters.first(), np.array(keys, np.int64).T.copy()
+    assert row["whole"] and line_dedup.CuckooFilter.from_bytes(row["filter"]).contains(hi, lo).all()
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(3)
     hi, lo = rng.integers(-(2**63), 2**63, (2, 3000))
