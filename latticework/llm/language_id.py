@@ -8,7 +8,7 @@ temperature is fitted to the scores, and the rejection bound is the score that a
 its rightly labelled texts reach.  Since all layers are linear before the softmax, prediction sums one small row of logits an n-gram.
 
 Edge cases: null text, or text without a letter, gives ``und`` with score 0 and is rejected; rows without lang or
-text are never learned from; equal scores go to the label first in order; without any labelled row
+text are never learned from; of more than ``max_labels`` labels only the most frequent are learned, and the others never predicted; equal scores go to the label first in order; without any labelled row
 every text is ``und``; one label alone is predicted with score 1; other columns pass unchanged.
 """
 
@@ -146,28 +146,31 @@ def train(rows: list[tuple[str, str]], *, dim: int = 16, epochs: int = 4, rate:
     return model
 
 
-def training_rows(docs: DataFrame, usable: Column, max_rows: int) -> list[tuple[str, str]]:
-    """At most ``max_rows`` (text, lang) rows: a share of the usable ones of every label, chosen by a hash of doc_id."""
+#: Labels that are learned unless a call says otherwise.
+MAX_LABELS = 512
+
+
+def training_rows(docs: DataFrame, usable: Column, max_rows: int, max_labels: int = MAX_LABELS) -> list[tuple[str, str]]:
+    """At most ``max_rows`` (text, lang) rows: a share of the usable ones of each of the ``max_labels`` most frequent labels, chosen by a hash of doc_id."""
 
     labelled = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()}
     if not counts:
         return []
     each = max(1, max_rows // len(counts))
     slot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
-    wanted = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        wanted |= (F.col("lang") == lang) & (slot < int((1 << 20) * min(1.0, 1.1 * each / n)) + 1)
-    found = labelled.where(wanted).select("text", "lang", slot.alias("slot"), "doc_id").limit(4 * max_rows).collect()
+    bounds = [(lang, int((1 << 20) * min(1.0, 1.1 * each / n)) + 1) for lang, n in sorted(counts.items())]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    found = labelled.join(wanted, "lang").where(slot < F.col("bound")).select("text", "lang", slot.alias("slot"), "doc_id").limit(4 * max_rows).collect()
     by_lang: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["slot"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
         by_lang.setdefault(r["lang"], []).append((r["text"], r["lang"]))
     return [row for lang in sorted(by_lang) for row in by_lang[lang][:each]]
 
 
-def fit(docs: DataFrame, usable: Column, max_rows: int = 2400) -> LanguageModel:
-    """A model from the ``usable`` rows of ``docs`` (columns doc_id, text, lang); ``max_rows`` bounds what the driver sees."""
-    return train(training_rows(docs, usable, max_rows))
+def fit(docs: DataFrame, usable: Column, max_rows: int = 2400, max_labels: int = MAX_LABELS) -> LanguageModel:
+    """A model from the ``usable`` rows of ``docs`` (columns doc_id, text, lang); ``max_rows`` bounds what the driver sees, ``max_labels`` the labels learned."""
+    return train(training_rows(docs, usable, max_rows, max_labels))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -112,6 +112,14 @@ def test_arc_versions(version):
 # ---- language and toxicity -----------------------------------------------------------------------
 
 
+def test_language_label_bound_is_a_parameter(spark):
+    rows = [(k, f"some text {k}", f"l{k % 600:03}") for k in range(602)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    for bound in (2, 520):
+        labels = {lang for _, lang in language_id.training_rows(docs, F.lit(True), 2400, max_labels=bound)}
+        assert labels == {f"l{k:03}" for k in range(bound)}
+
+
 def test_language_learns_and_rejects(spark):
     rng = random.Random(3)
     words = {"xx": "bala bolo bidu balu".split(), "yy": "čerk šipt žmrk čvsk".split()}
