@@ -198,6 +198,8 @@ class LinkSearch:
         for k in range(self.star_rounds):
             tested = self._star(k, labels, open_.select("token", "grp", "n", "pos", "central").distinct() if k else open_) if n_postings else 0
             labels = write_table(self._labels(), f"{self.area}/labels-{k}")
+            if k:
+                delete_path(self.spark, f"{self.area}/labels-{k - 1}")
             open_ = self._open(labels)
             left = self._left(open_)
             self.report.append((f"left after star-{k}", left))

@@ -5,8 +5,9 @@ order, rare ones first; classes similar enough share a shingle in their prefixes
 Classes with the same prefix and size make one group: only groups enter the postings, group pairs are
 filtered by size and position, and what passes is expanded to members and verified on whole sets.
 
-Rarity comes from a count sketch of fixed size (``SKETCH`` counters whatever the corpus); the order
-decides only how many candidates there are, never which links are found.
+Rarity is counted exactly, over all classes, for the part of the hash space that prefixes are taken from, and for
+the rest of it over the classes whose prefixes reach it; counts reach the tasks as tables of levels of bounded size.  The order decides only how many candidates there are, never
+which links are found.
 
 Edge cases: null, empty and blank texts have no shingle, link with nothing and are their own
 component; texts with fewer words than a shingle are one shingle as a whole; rows that repeat a doc_id count as one
@@ -24,10 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import wordhash
-from latticework.llm.common import broadcast_if, held, new_area, release, table, write_table
+from latticework.llm.common import broadcast_if, delete_path, held, new_area, release, table, write_table
 from latticework.llm.links import LinkSearch
 
-SKETCH = 1 << 16
+#: A shingle in more classes than this is common, and comes last in the order.
+RARE = 16
+#: Cells of the table of levels at most: 32 MB in each Python worker.
+CELLS_MOST = 1 << 25
 _NO_ID = -(2**63)
 
 
@@ -35,59 +39,112 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
 
 
-def profiles(units: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds from (id, text): sketch false: id, n and the set's 128-bit digest; sketch true: counter id and its count n in this task."""
+def rare_bound(percent: int) -> np.uint64:
+    """Hashes below this are counted: a quarter more of the hash space than a prefix takes of a set."""
+    return np.uint64(min(2**64 - 1, (100 - percent + 1) * 5 * 2**64 // 400))
+
+
+def profiles(units: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, n, k1, k2, low) from (id, text): the size of the shingle set, its 128-bit digest and its hashes below ``rare_bound``."""
+    bound = rare_bound(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["n", "k1", "k2", "low"], (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
+            rows = [(len(s), *wordhash.set_digest(s), s[: np.searchsorted(s, bound)].view(np.int64)) for s in wordhash.sets(batch.column(1), words)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["id", *names])
+
+    return units.mapInArrow(run, "id long, n long, k1 long, k2 long, low array<long>")
+
+
+class Levels:
+    """How common shingles are, from exact counts (token, k), k > 1: a table of levels by hash cell.
+
+    Level 1 is a count of up to RARE, each doubling beyond is one more; a cell has the highest level of its tokens, 0 if
+    it has none.  There are eight cells a token and CELLS_MOST at most; where more tokens are common than that has
+    room for, the rarer levels stay out of it (``first`` says up to which), so its size never grows with the corpus.
+    """
+
+    def __init__(self, counts: DataFrame) -> None:
+        level = F.greatest(F.lit(1), F.ceil(F.log2(F.col("k") / RARE)) + 1).cast("int")
+        sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # a row a doubling
+        self.first = 1
+        while sum(n for k, n in sizes.items() if k >= self.first) > CELLS_MOST // 8:
+            self.first += 1
+        chosen = sum(n for k, n in sizes.items() if k >= self.first)
+        self.cells = np.zeros(1 << max(10, (8 * chosen).bit_length()), np.uint8)
+        cell = F.expr(f"token & {len(self.cells) - 1}")
+        found = counts.select(cell.alias("cell"), level.alias("level")).where(F.col("level") >= self.first).groupBy("cell").agg(F.max("level").cast("byte").alias("level"))
+        for batch in found.toArrow().to_batches() if chosen else ():  # CELLS_MOST / 8 rows at most
+            self.cells[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint8)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return self.cells[(s & np.uint64(len(self.cells) - 1)).astype(np.int64)]
+
+
+def _prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def short_of_rare(low: DataFrame, percent: int, levels: Levels) -> DataFrame:
+    """The (id) of those (id, n, low) whose counted rare shingles do not fill the prefix."""
+    shared = low.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            common = shared.value.of(lists.flatten().to_numpy().view(np.uint64)) > 1
+            before = np.concatenate([[0], np.cumsum(~common)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            n = batch.column(1).to_numpy()
+            keep = np.diff(before) < n - -(-percent * n // 100) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["id"]).filter(pa.array(keep))
+
+    return low.select("id", "n", "low").mapInArrow(run, "id long").distinct()
+
+
+def other_tokens(units: DataFrame, words: int, percent: int) -> DataFrame:
+    """(token): the hashes that ``profiles`` leaves out, once a text."""
+    bound = rare_bound(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(SKETCH, np.int64)
-        names, kinds = ["sketch", "id", "n", "k1", "k2"], (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
-            n, k1, k2 = [], [], []
-            for s in wordhash.sets(batch.column(1), words):
-                n.append(len(s))
-                a, b = wordhash.set_digest(s)
-                k1.append(a)
-                k2.append(b)
-                counters += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH // 8 else 0
-                if len(s) <= SKETCH // 8:
-                    np.add.at(counters, (s >> np.uint64(48)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([False] * len(n), batch.column(0).to_pylist(), n, k1, k2), kinds, strict=True)], names=names)
-        full = np.flatnonzero(counters)
-        none = np.zeros(len(full), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.ones(len(full), bool), full, counters[full], none, none), kinds, strict=True)], names=names)
-
-    return units.mapInArrow(run, "sketch boolean, id long, n long, k1 long, k2 long")
-
-
-def rarity_levels(counters: np.ndarray) -> np.ndarray:
-    """0 for counters about the mean, rising by one with each doubling beyond."""
-    mean = counters.mean()
-    level = np.floor(np.log2(np.maximum(counters, 1) / (1.25 * mean + 24))) + 1
-    return np.maximum(level, 0).astype(np.uint8)
-
-
-def prefixes(units: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(id, n, prefix_key, prefix, central, cells) of every text with a shingle; ``central`` grows with how common its shingles are."""
-    shared = units.sparkSession.sparkContext.broadcast(levels)
+            found = [s[np.searchsorted(s, bound) :] for s in wordhash.sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["token"])
+
+    return units.mapInArrow(run, "token long")
+
+
+def prefixes(units: DataFrame, words: int, percent: int, low: Levels, high: Levels) -> DataFrame:
+    """(id, n, prefix_key, prefix, places, central, cells) of every text with a shingle.
+
+    The order of shingles is: rare ones below ``rare_bound``, rare ones above, common ones by level; by hash within each.
+    ``prefix`` leaves out what the counts show to be in no other prefix, ``places`` are the others' places; ``central`` grows with
+    how common the shingles are.
+    """
+    shared = units.sparkSession.sparkContext.broadcast((low, high))
+    bound = rare_bound(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        low, high = shared.value
         for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
             rows: list[tuple] = []
             for i, s in zip(batch.column(0).to_pylist(), wordhash.sets(batch.column(1), words), strict=True):
                 n = len(s)
                 if not n:
                     continue
-                of = level[(s >> np.uint64(48)).astype(np.int64)]
-                take = n - -(-percent * n // 100) + 1
-                front = s[np.argsort(of, kind="stable")[:take]]  # by level, then by hash
-                key = wordhash.set_digest(front * np.uint64(2) + np.uint64(1))[0]
-                rows.append((i, n, key, front.view(np.int64), int(1000 * of.mean()), wordhash.histogram(s)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "prefix_key", "prefix", "central", "cells"])
+                cut = int(np.searchsorted(s, bound))
+                of = np.concatenate([low.of(s[:cut]), high.of(s[cut:])])
+                rank = np.where(of > 1, of, np.arange(n) >= cut)
+                front = np.argsort(rank, kind="stable")[: _prefix_size(n, percent)]
+                key = wordhash.set_digest(s[front] * np.uint64(2) + np.uint64(1))[0]
+                places = np.flatnonzero((of[front] > 0) | (np.where(front < cut, low.first, high.first) > 1))
+                rows.append((i, n, key, s[front[places]].view(np.int64), places.astype(np.int32), int(1000 * rank.mean()), wordhash.histogram(s)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "prefix_key", "prefix", "places", "central", "cells"])
 
-    return units.mapInArrow(run, "id long, n long, prefix_key long, prefix array<long>, central long, cells binary")
+    return units.mapInArrow(run, "id long, n long, prefix_key long, prefix array<long>, places array<int>, central long, cells binary")
 
 
 def shingle_sets(units: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -105,17 +162,30 @@ def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, rep
     """(doc_id, n_shingles, component_id) for every row of ``docs``: documents link at 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     area = new_area(spark, "ngram")
+
+    def counted(tokens: DataFrame, path: str) -> Levels:
+        counts = write_table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), path)
+        levels = Levels(counts)
+        delete_path(spark, path)
+        release(spark)
+        return levels
+
     units = _ids(docs)
-    profile = write_table(profiles(units, words), f"{area}/profile")
-    counters = np.zeros(SKETCH, np.int64)
-    for r in profile.where("sketch").groupBy("id").agg(F.sum("n").alias("n")).collect():  # SKETCH rows at most
-        counters[r["id"]] = r["n"]
-    rows = profile.where("NOT sketch").select("id", "n", "k1", "k2")
+    profile = write_table(profiles(units, words, percent), f"{area}/profile")
+    rows = write_table(profile.select("id", "n", "k1", "k2"), f"{area}/rows")
     classes = write_table(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), f"{area}/classes")
     # Copies beyond their class's first document need no prefix.
     copies = rows.where("n > 0").join(classes, ["n", "k1", "k2"]).where("id <> rep").select("id", "n").distinct()
     copies = held(copies.join(classes.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_anti"))
-    fronts = prefixes(units, words, percent, rarity_levels(counters)).join(broadcast_if(copies, copies.count()), ["id", "n"], "left_anti")
+    alone = broadcast_if(copies, copies.count())
+    first = profile.where("n > 0").join(alone, ["id", "n"], "left_anti")
+    low = counted(first.select(F.explode("low").alias("token")), f"{area}/low")
+    # Texts whose counted shingles are too common to fill a prefix have their other shingles counted too.
+    common = held(short_of_rare(first, percent, low))
+    high = counted(other_tokens(units.join(broadcast_if(common, common.count()), "id", "left_semi"), words, percent), f"{area}/high")
+    common.unpersist()
+    delete_path(spark, f"{area}/profile")
+    fronts = prefixes(units, words, percent, low, high).join(alone, ["id", "n"], "left_anti")
     fronts = write_table(fronts, f"{area}/fronts")
     # Groups: classes with the same prefix and size, named by their first member.
     groups = fronts.groupBy("n", "prefix_key").agg(F.min("id").alias("grp"))
@@ -125,14 +195,15 @@ def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, rep
     leads = fronts.join(broadcast_if(others, others.count()), ["id", "n", "prefix_key"], "left_anti")
     # A token matters where two groups hold it, or one group of several members.  Only tokens are counted first; what is
     # left of the postings is read off the prefixes again, so that no table of all postings is ever written.
-    each = leads.select(F.posexplode("prefix").alias("pos", "token"), F.col("id").alias("grp"), "n", "central")
+    each = leads.select(F.explode(F.arrays_zip("prefix", "places")).alias("at"), F.col("id").alias("grp"), "n", "central")
+    each = each.select(F.col("at.prefix").alias("token"), "grp", "n", F.col("at.places").cast("long").alias("pos"), "central")
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     several = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
-    first = leads.join(several, leads["id"] == several["grp"], "left_semi").select(F.get("prefix", F.lit(0)).alias("token"))
-    useful = held(shared.unionByName(first).distinct())
+    one = leads.join(several, leads["id"] == several["grp"], "left_semi").where(F.size("prefix") > 0).select(F.get("prefix", F.lit(0)).alias("token"))
+    useful = held(shared.unionByName(one).distinct())
     release(spark)
     postings = each.join(useful, "token", "left_semi")
-    postings = write_table(postings.select("token", "grp", "n", F.col("pos").cast("long").alias("pos"), "central"), f"{area}/postings")
+    postings = write_table(postings, f"{area}/postings")
     useful.unpersist()
     copies.unpersist()
     release(spark)
