@@ -6,11 +6,12 @@ document holds the item within k edits, at least one piece stands there unchange
 automaton finds all pieces in the whole text; a hit fixes where the item would lie, and Myers'
 bit-parallel algorithm gives the least edit distance of the item to any part of that window.
 
-Items go to the tasks in blocks of ``block_items``; documents are never joined or shuffled.  Edge
-cases: null and empty texts match nothing, and items without a letter or digit are never found; items of
-fewer than ``least_chars`` characters must stand as whole words; equal items are reported each; of
-several places in a document the one with the fewest edits, then the first, counts; repeated rows of
-documents are reported each.
+Items go to the tasks in blocks of ``block_items`` items and ``block_chars`` characters; documents are never joined or
+shuffled.  Edge cases: null and empty texts match nothing, and items without a letter or digit are never found; items of
+fewer than ``least_chars`` characters must stand as whole words: the part of the text that is within their budget begins and
+ends where words do; equal items are reported each; of several places in a document the one with the fewest edits, then the
+first, counts; repeated rows of documents, and rows with a null doc_id, are reported and judged each; an empty table of items
+or documents finds nothing; columns beside doc_id and text are ignored, and pass ``decontaminate`` unchanged.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import broadcast_if, staged, table
+from latticework.llm.common import table
 
 _OTHER = re.compile(r"[\W_]+")
 ERROR_RATE = 0.08
@@ -67,6 +68,44 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
     return best
 
 
+def distance(a: str, b: str, budget: int) -> int:
+    """The edit distance of two whole strings, or budget + 1 where it is larger: Myers' algorithm with both ends fixed."""
+    if abs(len(a) - len(b)) > budget:
+        return budget + 1
+    m = len(a)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score = full, 0, m
+    for c in b:
+        eq = masks.get(c, 0)
+        vertical = eq | minus
+        horizontal = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | (full & ~(horizontal | plus))
+        down = plus & horizontal
+        score += bool(up & top) - bool(down & top)
+        up = (up << 1 | 1) & full  # the match begins with the text
+        down = down << 1 & full
+        plus = down | (full & ~(vertical | up))
+        minus = up & vertical
+    return min(score, budget + 1)
+
+
+def whole_words(item: str, text: str, start: int, budget: int) -> tuple[int, int] | None:
+    """(edits, end) of the best part of ``text`` near ``start`` that begins and ends where words do, or None beyond ``budget``."""
+    best: tuple[int, int] | None = None
+    for a in range(max(0, start - budget), min(len(text), start + budget) + 1):
+        if a and text[a - 1] != " ":
+            continue
+        for z in range(max(a + 1, a + len(item) - budget), min(len(text), a + len(item) + budget) + 1):
+            if z == len(text) or text[z] == " ":
+                found = (distance(item, text[a:z], budget), z)
+                if found[0] <= budget and (best is None or found < best):
+                    best = found
+    return best
+
+
 class Matcher:
     """The pieces of all items of a block in one automaton."""
 
@@ -101,9 +140,10 @@ class Matcher:
                     continue
                 tried.add((k, start))
                 if len(item) < self.least_chars:
-                    whole = norm[max(0, start - 1) : start + len(item) + 1].strip() == item if budget == 0 else True
-                    if not whole:
-                        continue
+                    found = whole_words(item, norm, start, budget)
+                    if found and (k not in best or found < best[k]):
+                        best[k] = found
+                    continue
                 if start >= 0 and norm.startswith(item, start):
                     best[k] = (0, start + len(item))
                     continue
@@ -119,13 +159,11 @@ class Matcher:
 MATCH = "doc_id long, item_id long, edits int, end long, item_chars int"
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = 25, block_items: int = 20_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = 25, block_items: int = 20_000, block_chars: int = 20_000_000) -> DataFrame:
     """(doc_id, item_id, edits, end, item_chars): each item that a document holds within its error budget."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
-    rest = items.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
-    block: list[tuple[int | None, str]] = []
 
     def matched(block: list[tuple[int | None, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
@@ -140,21 +178,44 @@ def contamination(docs: DataFrame, items: DataFrame, *, error_rate: float = ERRO
 
         return source.mapInArrow(run, MATCH)
 
-    for row in rest.toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        if len(block) == block_items:
-            found = matched(block) if found is None else found.unionByName(matched(block))
-            block = []
-    if block or found is None:
+    for block in item_blocks(items, block_items, block_chars):
         found = matched(block) if found is None else found.unionByName(matched(block))
-    return found
+    return spark.createDataFrame([], MATCH) if found is None else found
+
+
+def item_blocks(items: DataFrame, block_items: int, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items (item_id, text) in blocks of bounded number and size; an item beyond ``block_chars`` is a block of its own."""
+    block: list[tuple[int | None, str]] = []
+    size = 0
+    for row in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").toLocalIterator():
+        if block and (len(block) == block_items or size + len(row["text"]) > block_chars):
+            yield block
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
+        size += len(row["text"])
+    if block:
+        yield block
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = 25, block_items: int = 20_000, block_chars: int = 20_000_000) -> DataFrame:
+    """``docs`` without the rows that hold an item.  Every row is judged by its own text, so null and repeated doc_ids cost no other row."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def without(rows: DataFrame, block: list[tuple[int | None, str]]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        at = rows.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, error_rate, least_chars)
+            for batch in batches:
+                clean = [next(matcher.find(text.as_py()), None) is None for text in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
+        return rows.mapInArrow(run, fields)
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold an item (rows with a null doc_id are judged as one document)."""
-    hits = contamination(docs, items, **options).select(F.col("doc_id").alias("hit_id")).distinct()
-    hits = staged(hits, "leaks")
-    return docs.join(broadcast_if(hits, hits.count()), docs["doc_id"].eqNullSafe(hits["hit_id"]), "left_anti")
+    for block in item_blocks(items, block_items, block_chars):
+        docs = without(docs, block)
+    return docs
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
