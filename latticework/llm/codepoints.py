@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 SPACE = 32
-_LIMIT = 0x30000
+#: No letter has a code point from here on.
+_LIMIT = 0x33500
 _fold: np.ndarray | None = None
 
 

@@ -3,12 +3,13 @@
 A text is the mean of the embeddings of its hashed character n-grams (over lower-cased letters, any
 run of other characters being one space); a linear layer and a softmax follow.  Embeddings and layer
 are trained together by stochastic gradient descent in numpy on at most ``max_rows`` labelled
-documents, chosen by a hash of the identifier.  A share of those is left out of training; on it a
+documents, chosen by a hash of identifier and text, an equal number of each language.  A share of those is left out of training; on it a
 temperature is fitted to the scores, and the rejection bound is the score that all but ``reject`` of
 its rightly labelled texts reach.  Since all layers are linear before the softmax, prediction sums one small row of logits an n-gram.
 
 Edge cases: null text, or text without a letter, gives ``und`` with score 0 and is rejected; rows without lang or
-text are never learned from; of more than ``max_labels`` labels only the most frequent are learned, and the others never predicted; equal scores go to the label first in order; without any labelled row
+text are never learned from; every label is learned, unless there are more labels
+than ``max_rows`` (or than ``max_labels``, where given): then the most frequent; equal scores go to the label first in order; without any labelled row
 every text is ``und``; one label alone is predicted with score 1; other columns pass unchanged.
 """
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.codepoints import SPACE, blocks, folded
@@ -146,30 +147,28 @@ def train(rows: list[tuple[str, str]], *, dim: int = 16, epochs: int = 4, rate:
     return model
 
 
-#: Labels that are learned unless a call says otherwise.
-MAX_LABELS = 512
-
-
-def training_rows(docs: DataFrame, usable: Column, max_rows: int, max_labels: int = MAX_LABELS) -> list[tuple[str, str]]:
-    """At most ``max_rows`` (text, lang) rows: a share of the usable ones of each of the ``max_labels`` most frequent labels, chosen by a hash of doc_id."""
+def training_rows(docs: DataFrame, usable: Column, max_rows: int, max_labels: int | None = None) -> list[tuple[str, str]]:
+    """At most ``max_rows`` (text, lang) rows: of each label the first of its usable rows by a hash of doc_id and text.
 
+    Rows alike in doc_id, text and label are interchangeable, so the rows chosen never depend on their order.
+    """
     labelled = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(max_rows, max_labels or max_rows)).collect()}
     if not counts:
         return []
     each = max(1, max_rows // len(counts))
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
-    bounds = [(lang, int((1 << 20) * min(1.0, 1.1 * each / n)) + 1) for lang, n in sorted(counts.items())]
+    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 20))
+    # Some rows more than are wanted, by a bound on the hash, so that few reach the ranking; a label too rare for that keeps all its rows.
+    bounds = [(lang, int((1 << 20) * min(1.0, (1.5 * each + 50) / n)) + 1) for lang, n in sorted(counts.items())]
     wanted = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
-    found = labelled.join(wanted, "lang").where(slot < F.col("bound")).select("text", "lang", slot.alias("slot"), "doc_id").limit(4 * max_rows).collect()
-    by_lang: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["slot"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
-        by_lang.setdefault(r["lang"], []).append((r["text"], r["lang"]))
-    return [row for lang in sorted(by_lang) for row in by_lang[lang][:each]]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("slot", "doc_id", "text"))
+    found = labelled.join(wanted, "lang").where(slot < F.col("bound")).select("text", "lang", slot.alias("slot"), "doc_id").withColumn("place", place).where(F.col("place") <= each)
+    rows = sorted(found.select("lang", "place", "text").collect(), key=lambda r: (r["lang"], r["place"]))
+    return [(r["text"], r["lang"]) for r in rows]
 
 
-def fit(docs: DataFrame, usable: Column, max_rows: int = 2400, max_labels: int = MAX_LABELS) -> LanguageModel:
-    """A model from the ``usable`` rows of ``docs`` (columns doc_id, text, lang); ``max_rows`` bounds what the driver sees, ``max_labels`` the labels learned."""
+def fit(docs: DataFrame, usable: Column, max_rows: int = 2400, max_labels: int | None = None) -> LanguageModel:
+    """A model from the ``usable`` rows of ``docs`` (columns doc_id, text, lang); ``max_rows`` bounds the rows that the driver sees, ``max_labels`` the labels learned."""
     return train(training_rows(docs, usable, max_rows, max_labels))
 
 
