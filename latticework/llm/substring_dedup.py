@@ -11,8 +11,8 @@ that two documents share holds at least one window that both of them have.  From
 documents or more the maximal stretches are derived whose every 50 words stand in another document.
 
 Edge cases: null and short texts have no paragraph or window; a repeat within one document alone is no
-repeat across documents; rows that repeat a doc_id count as one document; a null doc_id is one document that
-sorts first; every column beside doc_id and text is ignored.
+repeat across documents; rows that repeat a doc_id count as one document, though each text keeps its own
+paragraphs and places; a null doc_id is one document that sorts first; every column beside doc_id and text is ignored.
 """
 
 from __future__ import annotations
@@ -38,25 +38,25 @@ _SEEDS = np.random.default_rng(5).integers(1, 2**63, ROWS * BANDS, dtype=np.uint
 
 
 def _ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("row"))
 
 
-def paragraphs(batch: pa.RecordBatch) -> tuple[list[int], list[int], pa.Array]:
-    """(doc, line number, line) of the lines of a batch (doc, text) that may be long enough."""
-    docs, numbers, lines = [], [], []
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+def paragraphs(batch: pa.RecordBatch) -> tuple[list[int], np.ndarray, list[int], pa.Array]:
+    """(doc, identity, line number, line) of the lines of a batch (doc, text, row) that may be long enough.
+
+    The identity covers doc, text and line number: texts that repeat a doc_id, or have none, keep their paragraphs apart.
+    """
+    docs, rows, numbers, lines = [], [], [], []
+    for doc, text, row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
         for k, line in enumerate((text or "").split("\n")):
             if len(line) >= 2 * LEAST_WORDS - 1:
                 docs.append(doc)
+                rows.append(row)
                 numbers.append(k)
                 lines.append(line)
-    return docs, numbers, pa.array(lines, pa.string())
-
-
-def unit_id(docs: list[int], numbers: list[int]) -> np.ndarray:
-    """One 64-bit number a paragraph."""
-    d = np.array(docs, np.int64).view(np.uint64)
-    return wordhash.mix(wordhash.mix(d) + np.array(numbers, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    d, r = (np.array(x, np.int64).view(np.uint64) for x in (docs, rows))
+    ids = wordhash.mix(wordhash.mix(wordhash.mix(d) + r) + np.array(numbers, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return docs, ids.view(np.int64), numbers, pa.array(lines, pa.string())
 
 
 def signatures(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -80,10 +80,9 @@ def paragraph_classes(units: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
-            docs, numbers, lines = paragraphs(batch)
+            docs, ids, numbers, lines = paragraphs(batch)
             h, bounds = wordhash.words(lines)
             s, at = wordhash.shingles(h, bounds, words)
-            ids = unit_id(docs, numbers) if docs else np.zeros(0, np.int64)
             rows, held = [], []
             for i in np.flatnonzero(np.diff(bounds) >= LEAST_WORDS):
                 held.append(np.unique(s[at[i] : at[i + 1]]))
@@ -105,9 +104,9 @@ def _paragraph_sets(units: DataFrame, docs: DataFrame, ids: DataFrame, words: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in wordhash.slices(whole, 1)):
-            of, numbers, lines = paragraphs(batch)
+            _, named, _, lines = paragraphs(batch)
             found = [s.tobytes() for s in wordhash.sets(lines, words)]
-            yield pa.RecordBatch.from_arrays([pa.array(unit_id(of, numbers) if of else [], pa.int64()), pa.array(found, pa.binary())], names=["id", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array(found, pa.binary())], names=["id", "members"])
 
     chosen = units.join(broadcast_if(docs, docs.count()), "doc", "left_semi").mapInArrow(run, "id long, members binary")
     return chosen.join(broadcast_if(ids, ids.count()), "id", "left_semi")
@@ -218,7 +217,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     keepers may overlap.  Windows that follow one another both here and in one other document prove all words
     between them; the LEAST_WORDS words at the ends of such a run are looked up wherever its end windows stand.
     """
-    units = _ids(docs).withColumn("row", F.xxhash64("text"))
+    units = _ids(docs)
     area = new_area(docs.sparkSession, "passages")
     found = write_table(windows(units), f"{area}/windows")
     shared = found.groupBy("digest").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper <> last").select("digest")
