@@ -66,6 +66,19 @@ def digest_runs(docs: DataFrame, *, digest_bits: int = 64, memtable_rows: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_memtables(digest_bits, memtable_rows), ENTRY)
 
 
+def digested(docs: DataFrame, *, digest_bits: int = 64) -> DataFrame:
+    """(digest, doc_id, n_chars, text) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [text.as_buffer().to_pybytes() if text.is_valid else b"" for text in batch.column(1)]
+            found = [int.from_bytes(hashlib.sha256(x.translate(None, _DELETE)).digest()[:8], "big", signed=True) >> (64 - digest_bits) for x in raw]
+            n = pc.cast(pc.fill_null(pc.utf8_length(batch.column(1)), 0), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0), n, batch.column(1)], names=["digest", "doc_id", "n_chars", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "digest long, doc_id long, n_chars long, text string")
+
+
 def _bloom_positions(digests: np.ndarray, bits: int) -> np.ndarray:
     h = digests.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
@@ -173,16 +186,14 @@ def exact_dedup(docs: DataFrame, *, digest_bits: int = 64, batches: int = 2, mem
     n_hits = hits.count()
     members = runs.join(broadcast_if(hits, n_hits), "digest")
     n_members = members.count() if n_hits else 0
-    # Byte verification of the hits: only their texts move, to their keeper's text.
+    # Byte verification of the hits: only their texts move, by their digest, to one text of a row that equals their keeper.
     split = spark.createDataFrame([], "digest long")
     if n_members:
-        wanted = members.select("digest", "doc_id", F.col("best.doc_id").alias("keeper"))
-        source = docs.select(F.col("doc_id").cast("long"), "text")
-        ids = wanted.select("doc_id", "digest", "keeper").distinct()
-        texts = source.join(broadcast_if(ids, n_members), source["doc_id"].eqNullSafe(ids["doc_id"])).select("digest", "keeper", "text")
-        keeper_ids = hits.select("digest", F.col("best.doc_id").alias("doc_id"))
-        keepers = source.join(broadcast_if(keeper_ids, n_hits), source["doc_id"].eqNullSafe(keeper_ids["doc_id"])).select("digest", F.col("text").alias("kept_text"))
-        split = write_table(texts.join(keepers, "digest").select("digest", "text", "kept_text").mapInArrow(_verify, "digest long").distinct(), f"{area}/split")
+        named = broadcast_if(hits.select("digest", F.col("best.doc_id").alias("keeper"), (-F.col("best.less")).alias("keeper_chars")), n_hits)
+        texts = digested(docs, digest_bits=digest_bits).join(named, "digest")
+        keepers = texts.where(F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("n_chars") == F.col("keeper_chars")))
+        keepers = keepers.select("digest", F.col("text").alias("kept_text")).dropDuplicates(["digest"])
+        split = write_table(texts.select("digest", "text").join(keepers, "digest").select("digest", "text", "kept_text").mapInArrow(_verify, "digest long").distinct(), f"{area}/split")
     n_split = split.count()
     group = F.when(F.lit(False), F.lit(b""))
     keyed = runs
