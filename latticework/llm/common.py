@@ -6,6 +6,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where neither the session nor the context has one (local tests) is a temporary folder set.
+    Only where neither the session nor the context has one, and driver and executors are one machine (local tests), is a
+    temporary folder set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="latticework-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -84,6 +88,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(``docs`` with the columns called like one of ``names``, which an operator adds, renamed; what gives a result the columns of ``docs``)."""
+    taken = {c.lower() for c in docs.columns} | {n.lower() for n in names}
+    renamed: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            other = f"{c}_0"
+            while other.lower() in taken:
+                other += "0"
+            taken.add(other.lower())
+            renamed[c] = other
+
+    def back(result: DataFrame) -> DataFrame:
+        return result.select([F.col(f"`{renamed.get(c, c)}`").alias(c) for c in docs.columns])
+
+    return docs.withColumnsRenamed(renamed), back
+
+
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast: some 50 MB.
 BROADCAST_ROWS = 1_000_000
 

@@ -251,9 +251,11 @@ class LineIndex:
         maybe = distinct.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(probe, "hi long, lo long")
         dropped = maybe.join(self.frequent(), KEY).select(*KEY, "last_doc")
         drops = mine.join(dropped, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        packed = drops.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct(*KEY)).alias("drop_keys"))
-        joined = docs.join(packed, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").drop("drop_id")
-        return _rewrite(joined, self.min_chars, None, "drop_keys")
+        # Working columns with names that the table hasn't.
+        drop_id, drop_keys = (name + "_" * (1 + max((len(c) for c in docs.columns if c.lower().startswith(name)), default=0)) for name in ("drop_id", "drop_keys"))
+        packed = drops.groupBy(F.col("doc_id").alias(drop_id)).agg(F.collect_set(F.struct(*KEY)).alias(drop_keys))
+        joined = docs.join(packed, F.col("doc_id").eqNullSafe(F.col(drop_id)), "left").drop(drop_id)
+        return _rewrite(joined, self.min_chars, None, drop_keys)
 
 
 class CuckooShards:

@@ -103,9 +103,9 @@ class LinkSearch:
     hints (id, cells) their histograms.
     """
 
-    def __init__(self, postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], hints: DataFrame, percent: int, *, star_rounds: int = 6, close_factor: float = 20, close_pairs: int = 50_000) -> None:
+    def __init__(self, postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], hints: DataFrame, percent: int, *, area: str | None = None, star_rounds: int = 6, close_factor: float = 20, close_pairs: int = 50_000) -> None:
         self.spark = postings.sparkSession
-        self.area = new_area(self.spark, "links")
+        self.area = area or new_area(self.spark, "links")
         self.percent, self.sets_of, self.members, self.hints = percent, sets_of, members, hints
         self.star_rounds, self.close_factor, self.close_pairs = star_rounds, close_factor, close_pairs
         for name, kind in (("earlier", "array<long>"), ("marks", "array<smallint>")):

@@ -158,10 +158,13 @@ def shingle_sets(units: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return units.join(broadcast_if(ids, ids.count()), "id", "left_semi").mapInArrow(run, "id long, members binary")
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, report: list | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``: documents link at 100 * intersection >= percent * union."""
+def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, area: str | None = None, report: list | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``: documents link at 100 * intersection >= percent * union.
+
+    The result reads tables below ``area``, which the caller may delete when it has been used.
+    """
     spark = docs.sparkSession
-    area = new_area(spark, "ngram")
+    area = area or new_area(spark, "ngram")
 
     def counted(tokens: DataFrame, path: str) -> Levels:
         counts = write_table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), path)
@@ -207,7 +210,7 @@ def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, rep
     useful.unpersist()
     copies.unpersist()
     release(spark)
-    search = LinkSearch(postings, members, lambda ids: shingle_sets(units, ids, words), fronts.select("id", "cells"), percent)
+    search = LinkSearch(postings, members, lambda ids: shingle_sets(units, ids, words), fronts.select("id", "cells"), percent, area=f"{area}/links")
     found = search.run()
     placed.unpersist()
     if report is not None:
