@@ -7,14 +7,16 @@ import uuid
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session has none."""
+    """``spark.checkpoint.dir``; a temporary folder only where the session has none and driver and executors are one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="latticework-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -43,60 +45,190 @@ def reachable(edges: DataFrame, entries: DataFrame, *, max_rounds: int | None =
 
 
 def closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(origin, target) of the reflexive transitive closure, by path doubling: rounds grow with the logarithm of the diameter."""
-    edges = edges.select("origin", "target").where("origin <> target").distinct()
+    """(origin, target) of the reflexive transitive closure, by path doubling over what the last round found: rounds grow with the logarithm of the diameter."""
     ids = edges.select(F.col("origin").alias("id")).unionByName(edges.select(F.col("target").alias("id")))
     ids = (ids if nodes is None else ids.unionByName(nodes.select("id"))).distinct()
-    same = ids.select(F.col("id").alias("origin"), F.col("id").alias("target"))
-    now = cut(edges.unionByName(same), "closure")
-    size = now.count()
-    while True:
+    now = new = cut(edges.select("origin", "target").where("origin <> target").distinct(), "closure")
+    while new.limit(1).count():
+        # A shortest path of more than k edges begins with one of exactly k, and those are among the last round's.
         right = now.select(F.col("origin").alias("middle"), F.col("target").alias("end"))
-        now = cut(now.join(right, now["target"] == right["middle"]).select("origin", F.col("end").alias("target")).distinct(), "closure")
-        grown = now.count()
-        if grown == size:
-            return now
-        size = grown
-
-
-def min_label_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component) of undirected components: least label, with pointer jumping."""
-    both = edges.select("origin", "target").unionByName(edges.select(F.col("target").alias("origin"), F.col("origin").alias("target"))).where("origin <> target").distinct()
-    both = cut(both, "both")
-    labels = cut(nodes.select("id").distinct().withColumn("component", F.col("id")), "labels")
-    while True:
-        near = both.join(labels, both["target"] == labels["id"]).groupBy("origin").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["id"] == near["origin"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = step.select(F.col("id").alias("at"), F.col("component").alias("further"))
-        step = cut(step.join(jump, step["component"] == jump["at"]).select("id", F.least("component", "further").alias("component")), "labels")
-        if not step.join(labels.withColumnRenamed("component", "was"), "id").where("component <> was").limit(1).count():
-            return step
-        labels = step
+        step = new.join(right, new["target"] == right["middle"]).select("origin", F.col("end").alias("target")).where("origin <> target").distinct()
+        new = cut(step.join(now, ["origin", "target"], "left_anti"), "closure")
+        now = now.unionByName(new)
+    return now.unionByName(ids.select(F.col("id").alias("origin"), F.col("id").alias("target")))
 
 
-#: Closure rows up to which strongly connected components are read off the closure.
-CLOSURE_ROWS = 20_000_000
+def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, component) of undirected components: every node learns the least id it is joined to.
 
-
-def strongly_connected(edges: DataFrame, nodes: DataFrame, *, by: str = "closure") -> DataFrame:
+    Alternating star contraction: in each round a node's larger neighbours, then its smaller ones, are hung on its least
+    neighbour.  Every step aggregates minima before a join with one row an id, so a giant component is no hot key.
+    """
+    pair = lambda x, y: (F.greatest(x, y).alias("big"), F.least(x, y).alias("small"))
+    now = cut(edges.where("origin <> target").select(*pair("origin", "target")).distinct(), "stars")
+    seen = None
+    while True:
+        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first())
+        if state == seen or not state[0]:
+            break
+        seen = state
+        sides = now.select(F.col("big").alias("at"), F.col("small").alias("near")).unionByName(now.select(F.col("small").alias("at"), F.col("big").alias("near")))
+        least = sides.groupBy("at").agg(F.min("near").alias("low")).select("at", F.least("at", "low").alias("low"))
+        hung = sides.join(least, "at").where("near > at").select(F.col("near").alias("at"), F.col("low").alias("near")).distinct()
+        least = hung.groupBy("at").agg(F.min("near").alias("low"))
+        moved = hung.join(least, "at").where("near <> low").select(*pair("near", "low")).unionByName(least.select(*pair("at", "low")))
+        now = cut(moved.where("big <> small").distinct(), "stars")
+    found = now.groupBy(F.col("big").alias("id")).agg(F.min("small").alias("component"))
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+#: Edges and nodes of a weak component up to which one task solves it: some tens of MB.  Larger ones are solved by joins.
+PART_EDGES, PART_NODES = 200_000, 20_000
+
+
+def strong_parts(successors: list[list[int]]) -> list[list[int]]:
+    """The strongly connected components of nodes 0, 1, ..; each comes after all that it leads to."""
+    order, low, state = [-1] * len(successors), [0] * len(successors), [0] * len(successors)  # state 1: on the stack, 2: done
+    parts: list[list[int]] = []
+    pile: list[int] = []
+    clock = 0
+    for root in range(len(successors)):
+        todo = [(root, 0)] if order[root] < 0 else []
+        while todo:
+            v, k = todo.pop()
+            if not k:
+                order[v] = low[v] = clock
+                clock += 1
+                pile.append(v)
+                state[v] = 1
+            else:
+                low[v] = min(low[v], low[successors[v][k - 1]]) if state[successors[v][k - 1]] == 1 else low[v]
+            while k < len(successors[v]):
+                w = successors[v][k]
+                k += 1
+                if order[w] < 0:
+                    todo += [(v, k), (w, 0)]
+                    break
+                if state[w] == 1:
+                    low[v] = min(low[v], order[w])
+            else:
+                if low[v] == order[v]:
+                    cut_at = len(pile) - 1
+                    while pile[cut_at] != v:
+                        cut_at -= 1
+                    parts.append(pile[cut_at:])
+                    del pile[cut_at:]
+                    for w in parts[-1]:
+                        state[w] = 2
+    return parts
+
+
+def _part_graph(rows: pd.DataFrame) -> tuple[list[str], list[list[int]], list[list[int]]]:
+    """(names, successors, strong parts) of edges (origin, target); an edge to itself only names its node."""
+    codes, names = pd.factorize(pd.concat([rows["origin"], rows["target"]], ignore_index=True))
+    successors: list[list[int]] = [[] for _ in names]
+    for o, t in zip(codes[: len(rows)].tolist(), codes[len(rows) :].tolist(), strict=True):
+        if o != t:
+            successors[o].append(t)
+    return list(names), successors, strong_parts(successors)
+
+
+def _strong_of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+    names, _, parts = _part_graph(rows)
+    out = [(names[v], least) for part in parts for least in [min(names[v] for v in part)] for v in part]
+    return pd.DataFrame(out, columns=["id", "component"])
+
+
+def _reach_of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+    """How many nodes each one reaches: bit sets over the strong parts of one weak component after another."""
+    out: list[tuple[str, int]] = []
+    for _, part in rows.groupby("part", sort=False):
+        names, successors, strong = _part_graph(part)
+        of = {v: k for k, members in enumerate(strong) for v in members}
+        planes: dict[int, int] = {}  # the strong parts whose size has a bit set, by bit
+        for k, members in enumerate(strong):
+            for bit in range(len(members).bit_length()):
+                if len(members) >> bit & 1:
+                    planes[bit] = planes.get(bit, 0) | 1 << k
+        reach: list[int] = []
+        for k, members in enumerate(strong):
+            bits = 1 << k
+            for j in {of[w] for v in members for w in successors[v]} - {k}:
+                bits |= reach[j]
+            reach.append(bits)
+            n = sum((bits & plane).bit_count() << bit for bit, plane in planes.items())
+            out += [(names[v], n) for v in members]
+    return pd.DataFrame(out, columns=["id", "reached"])
+
+
+def _read_once(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges and all ids as tables: what they are made from may be costly, and they are read many times."""
+    edges = cut(edges.select("origin", "target").distinct(), "edges")
+    ids = edges.select(F.explode(F.array("origin", "target")).alias("id")).unionByName(nodes.select("id")).distinct()
+    return edges, cut(ids, "ids")
+
+
+def _by_size(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(weak components in buckets for one task each, edges and ids of the larger ones as (origin, target), their number).
+
+    A node comes as an edge to itself, so every node has a row.
+    """
+    weak = cut(weak_components(edges, ids), "weak")
+    rows = edges.where("origin <> target").unionByName(ids.select(F.col("id").alias("origin"), F.col("id").alias("target")))
+    rows = cut(rows.join(weak.select(F.col("id").alias("origin"), F.col("component").alias("part")), "origin"), "parts")
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("origin") == F.col("target")).alias("nodes"))
+    large = cut(sizes.where((F.col("n") > PART_EDGES) | (F.col("nodes") > PART_NODES)).select("part"), "large")
+    n_large = large.count()
+    small = rows.join(large, "part", "left_anti") if n_large else rows
+    buckets = max(32, 8 * rows.count() // PART_EDGES)
+    return small.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))), rows.join(large, "part", "left_semi").select("origin", "target"), n_large
+
+
+def strongly_connected(edges: DataFrame, nodes: DataFrame, *, by: str = "parts") -> DataFrame:
     """(id, component, size, cyclic): a component's name is its least id; cyclic means larger than one, or a self edge.
 
-    by="closure": nodes that reach each other, off the closure.  by="colouring": trimmed, then the least
-    label spreads forwards and each colour's root is followed backwards within its colour, so memory
-    stays in proportion to the edges.
+    by="parts": weak components of a bounded size are solved in one task each, larger ones by colouring.  by="colouring":
+    trimmed, then the least label spreads forwards and each colour's root is followed backwards within its colour, so memory
+    stays in proportion to the edges.  by="closure": nodes that reach each other, off the closure; for small graphs.
     """
-    ids = edges.select(F.col("origin").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).unionByName(nodes.select("id")).distinct()
+    edges, ids = _read_once(edges, nodes)
     if by == "closure":
         reach = closure(edges, ids)
         back = reach.select(F.col("target").alias("origin"), F.col("origin").alias("target"))
         found = reach.join(back, ["origin", "target"], "left_semi").groupBy(F.col("origin").alias("id")).agg(F.min("target").alias("component"))
-    else:
+    elif by == "colouring":
         found = _coloured(edges, ids)
+    else:
+        small, rest, n_large = _by_size(edges, ids)
+        found = small.groupBy("bucket").applyInPandas(_strong_of_bucket, "id string, component string")
+        if n_large:
+            found = found.unionByName(_coloured(rest, rest.where("origin = target").select(F.col("origin").alias("id"))))
+        found = cut(found, "strong")
     loops = edges.where("origin = target").select(F.col("origin").alias("id")).distinct().withColumn("loop", F.lit(True))
     sizes = found.join(loops, "id", "left").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.bool_or(F.coalesce("loop", F.lit(False))).alias("loop"))
     return found.join(sizes, "component").select("id", "component", "size", (F.col("loop") | (F.col("size") > 1)).alias("cyclic"))
 
 
+def reach_sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, reached): how many nodes each one reaches, itself included.
+
+    Weak components of a bounded size are counted in one task each; larger ones by the closure of what is left when every
+    strong component is one node, so that a cycle of k nodes costs one row and not k * k.
+    """
+    edges, ids = _read_once(edges, nodes)
+    small, rest, n_large = _by_size(edges, ids)
+    found = small.groupBy("bucket").applyInPandas(_reach_of_bucket, "id string, reached long")
+    if not n_large:
+        return found
+    part = cut(_coloured(rest, rest.where("origin = target").select(F.col("origin").alias("id"))), "strong")
+    sizes = part.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    short = rest.join(part.withColumnsRenamed({"id": "origin", "component": "c1"}), "origin").join(part.withColumnsRenamed({"id": "target", "component": "c2"}), "target")
+    short = short.where("c1 <> c2").select(F.col("c1").alias("origin"), F.col("c2").alias("target"))
+    reach = closure(short, sizes.select(F.col("component").alias("id"))).join(sizes.withColumnRenamed("component", "target"), "target")
+    reach = reach.groupBy(F.col("origin").alias("component")).agg(F.sum("size").alias("reached"))
+    return found.unionByName(part.join(reach, "component").select("id", "reached"))
+
+
 def _coloured(edges: DataFrame, ids: DataFrame) -> DataFrame:
     left = cut(ids, "left")
     live = cut(edges.select("origin", "target").where("origin <> target").distinct(), "live")
@@ -138,43 +270,48 @@ class CycleLimits:
     edges: int = 100_000
 
 
-def elementary_cycles(adjacency: dict[str, list[str]], limits: CycleLimits) -> tuple[list[list[str]], bool, int]:
-    """(cycles, truncated, edges walked) of one component: each cycle starts at its least node and is found once, by an iterative walk."""
-    found: list[list[str]] = []
+def elementary_cycles(adjacency: dict[str, list[str]], limits: CycleLimits) -> tuple[list[tuple[int, list[str]]], bool, int]:
+    """(cycles, truncated, edges walked) of one component.
+
+    Each cycle starts at its least node and is found once, by an iterative walk; it comes with the edges walked till then.  A
+    walk ends before the edge, or the cycle, that would go beyond its budget.
+    """
+    found: list[tuple[int, list[str]]] = []
     walked, truncated = 0, False
     for start in sorted(adjacency):
         path, on_path = [start], {start}
-        stack = [iter(adjacency[start])]
+        ahead = lambda node: iter([x for x in adjacency.get(node, []) if x >= start])  # noqa: B023, E731
+        stack = [ahead(start)]
         while stack:
             nxt = next(stack[-1], None)
             if nxt is None:
                 stack.pop()
                 on_path.discard(path.pop())
                 continue
-            if walked >= limits.edges or len(found) >= limits.cycles:
+            if walked >= limits.edges:
                 return found, True, walked
             walked += 1
             if nxt == start:
-                found.append(list(path))
-            elif nxt > start and nxt not in on_path:
+                if len(found) >= limits.cycles:
+                    return found, True, walked
+                found.append((walked, list(path)))
+            elif nxt not in on_path:
                 if len(path) >= limits.length:
                     truncated = True
                     continue
                 path.append(nxt)
                 on_path.add(nxt)
-                stack.append(iter(adjacency.get(nxt, [])))
+                stack.append(ahead(nxt))
     return found, truncated, walked
 
 
-def cycles(edges: DataFrame, components: DataFrame, limits: CycleLimits | None = None) -> DataFrame:
-    """(component, cycle, closed_path, length, truncated, walked) of every cyclic component, each within its own budget.
+def _walks(edges: DataFrame, part: DataFrame, limits: CycleLimits) -> DataFrame:
+    """(component, cycle, at, truncated, walked): each component (id, component) walked with a budget of its own; one row without a cycle where none is found.
 
     The order in which a budget runs out is part of the result, so one task walks one component.
     """
-    limits = limits or CycleLimits()
-    part = components.where("cyclic").select("id", "component")
     inner = edges.select("origin", "target").distinct()
-    inner = inner.join(part.withColumnsRenamed({"id": "origin", "component": "c1"}), "origin").join(part.withColumnsRenamed({"id": "target", "component": "c2"}), "target")
+    inner = inner.join(part.select(F.col("id").alias("origin"), F.col("component").alias("c1")), "origin").join(part.select(F.col("id").alias("target"), F.col("component").alias("c2")), "target")
     inner = inner.where("c1 = c2").select(F.col("c1").alias("component"), "origin", "target")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
@@ -183,10 +320,44 @@ def cycles(edges: DataFrame, components: DataFrame, limits: CycleLimits | None =
             adjacency.setdefault(o, []).append(t)
         found, truncated, walked = elementary_cycles(adjacency, limits)
         name = rows["component"].iloc[0]
-        out = [(name, c, [*c, c[0]], len(c), truncated, walked) for c in found] or [(name, None, None, None, truncated, walked)]
-        return pd.DataFrame(out, columns=["component", "cycle", "closed_path", "length", "truncated", "walked"])
+        out = [(name, c, at, truncated, walked) for at, c in found] or [(name, None, None, truncated, walked)]
+        return pd.DataFrame(out, columns=["component", "cycle", "at", "truncated", "walked"])
+
+    return inner.groupBy("component").applyInPandas(walk, "component string, cycle array<string>, at long, truncated boolean, walked long")
+
 
-    return inner.groupBy("component").applyInPandas(walk, "component string, cycle array<string>, closed_path array<string>, length long, truncated boolean, walked long")
+def representative_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, closed_path): the first cycle of every cyclic component."""
+    found = _walks(edges, components.where("cyclic"), CycleLimits(cycles=1)).where("cycle IS NOT NULL")
+    return found.select("component", F.concat("cycle", F.slice("cycle", F.lit(1), F.lit(1))).alias("closed_path"))
+
+
+def cycles(edges: DataFrame, components: DataFrame, limits: CycleLimits | None = None) -> DataFrame:
+    """(component, cycle, closed_path, length, truncated, walked): the cycles of all components within one budget.
+
+    Components are walked in the order of their names; when the budget of cycles or edges is spent, the walk ends for all that
+    follow.  ``truncated`` and ``walked`` are those of the whole enumeration, on every row.  Each component is walked by
+    itself; what the ones before it have spent is a running sum over at most as many components as the budget can pay for: one
+    that yields no cycle walks more edges than a cycle may be long.
+    """
+    limits = limits or CycleLimits()
+    cyclic = components.where("cyclic")
+    most = limits.cycles + limits.edges // max(1, limits.length) + 2
+    first = cyclic.select("component").distinct().orderBy("component").limit(most)
+    walked = cut(_walks(edges, cyclic.join(F.broadcast(first), "component", "left_semi"), limits), "walks")
+    each = walked.groupBy("component").agg(F.count("cycle").alias("n"), F.max("walked").alias("w"), F.bool_or("truncated").alias("cut_short"))
+    before = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("component", "n", "w", "cut_short", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "nw"))
+    spent = (F.col("n0") + F.col("n") > limits.cycles) | (F.col("w0") + F.col("w") > limits.edges)
+    place = F.row_number().over(Window.partitionBy("component").orderBy("at"))
+    rows = walked.where("cycle IS NOT NULL").select("component", "cycle", "at", place.alias("k")).join(each.select("component", "n0", "w0"), "component")
+    # Where the walk ended: at the first cycle too many, or with the last component.
+    stop = rows.where(F.col("n0") + F.col("k") == limits.cycles + 1).select((F.col("w0") + F.col("at")).alias("w"))
+    stop = stop.unionByName(each.where((F.col("n0") + F.col("n") == limits.cycles) & (F.col("n") == limits.cycles) & F.col("cut_short")).select((F.col("w0") + F.col("w")).alias("w")))
+    total = each.agg(F.max(spent | F.col("cut_short")).alias("truncated"), F.sum("w").alias("all")).join(stop.agg(F.min("w").alias("stop")))  # one row by one row
+    total = total.select("truncated", F.least(F.coalesce("stop", "all"), F.lit(limits.edges)).alias("walked"))
+    rows = rows.where((F.col("n0") + F.col("k") <= limits.cycles) & (F.col("w0") + F.col("at") <= limits.edges)).join(F.broadcast(total))
+    return rows.select("component", "cycle", F.concat("cycle", F.slice("cycle", F.lit(1), F.lit(1))).alias("closed_path"), F.size("cycle").cast("long").alias("length"), "truncated", "walked")
 
 
 def canonical(cycle):

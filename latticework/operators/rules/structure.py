@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.patterns import NamePattern
-from latticework.operators.algorithms import CycleLimits, cycles, reachable, strongly_connected
+from latticework.operators.algorithms import reachable, representative_cycles, strongly_connected
 from latticework.operators.hierarchy import first_paths, supertypes
 from latticework.operators.rules.outcome import RuleMetadata, RuleOutcome, diagnostics, violations
 from latticework.plans.graph import Graph
 
 
-def acyclic(metadata: RuleMetadata, graph: Graph, selected: DataFrame, *, kinds: list[str] | None = None, keep_synthetic: bool = True, by: str = "closure") -> RuleOutcome:
+def acyclic(metadata: RuleMetadata, graph: Graph, selected: DataFrame, *, kinds: list[str] | None = None, keep_synthetic: bool = True, by: str = "parts") -> RuleOutcome:
     """No cyclic component among the selected nodes (stable_key): one violation a component, with a representative cycle.
 
     Evidence whose owner is compiler-made (column ``synthetic``, where given) can be left out first; then the
@@ -25,7 +25,7 @@ def acyclic(metadata: RuleMetadata, graph: Graph, selected: DataFrame, *, kinds:
         g = Graph(g.nodes, g.rows.where(F.col("kind").isin(kinds) if kinds else F.lit(False)))
     g = g.induced(selected)
     parts = strongly_connected(g.connections(), g.nodes.select(F.col("stable_key").alias("id")), by=by)
-    shown = cycles(g.connections(), parts, CycleLimits(cycles=1)).select("component", F.array_join("closed_path", " -> ").alias("path"))
+    shown = representative_cycles(g.connections(), parts).select("component", F.array_join("closed_path", " -> ").alias("path"))
     rows = parts.where("cyclic").select("component", "size").distinct().join(shown, "component", "left")
     found = violations(metadata, rows, "CYCLE", origin="component", target="path", kind=None, n="size")
     return RuleOutcome(metadata, found, selected=selected.agg(F.count(F.lit(1)).alias("n")))
@@ -116,7 +116,7 @@ def member_access(metadata: RuleMetadata, accesses: DataFrame, callers: DataFram
     return RuleOutcome(metadata, violations(metadata, bad, f"ACCESS_{mode}", origin="caller", target=None, kind=None), selected=callers.agg(F.count(F.lit(1)).alias("n")))
 
 
-def unreachable(metadata: RuleMetadata, graph: Graph, subjects: DataFrame, roots: DataFrame, *, external: DataFrame | None = None, reflective: DataFrame | None = None, ignored: DataFrame | None = None, by: str = "closure") -> RuleOutcome:
+def unreachable(metadata: RuleMetadata, graph: Graph, subjects: DataFrame, roots: DataFrame, *, external: DataFrame | None = None, reflective: DataFrame | None = None, ignored: DataFrame | None = None, by: str = "parts") -> RuleOutcome:
     """Subjects (id) that no entry reaches, one violation a strongly connected region of them.
 
     Entries are roots and what is used from outside or by reflection; ignored nodes leave entries, graph and subjects.
