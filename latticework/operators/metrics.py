@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.operators.algorithms import closure, min_label_components
+from latticework.operators.algorithms import reach_sizes, weak_components
 from latticework.operators.rules.outcome import RuleMetadata, RuleOutcome, violations
 
 COMPUTED, NOT_APPLICABLE, INCOMPLETE_EVIDENCE = "COMPUTED", "NOT_APPLICABLE", "INCOMPLETE_EVIDENCE"
@@ -46,7 +48,7 @@ def reach_counts(connections: DataFrame, subjects: DataFrame) -> DataFrame:
     """(subject, depends_on): how many subjects each one reaches, itself included."""
     keys = subjects.select(F.col("subject").alias("id")).distinct()
     e = connections.join(keys.withColumnRenamed("id", "origin"), "origin", "left_semi").join(keys.withColumnRenamed("id", "target"), "target", "left_semi").select("origin", "target")
-    return closure(e, keys).groupBy(F.col("origin").alias("subject")).agg(F.count(F.lit(1)).alias("depends_on"))
+    return reach_sizes(e, keys).select(F.col("id").alias("subject"), F.col("reached").alias("depends_on"))
 
 
 def cumulative(counts: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def lcom4(uses: DataFrame, methods: DataFrame, calls: DataFrame) -> DataFrame:
     edges = uses.select(node("m", "method").alias("origin"), node("f", "field").alias("target")).unionByName(calls.select(node("m", "method").alias("origin"), node("m", "callee").alias("target")))
     edges = edges.where("origin <> target").distinct()
     every = nodes.select("id").unionByName(edges.select(F.col("origin").alias("id"))).unionByName(edges.select(F.col("target").alias("id"))).distinct()
-    found = min_label_components(edges, every)
+    found = weak_components(edges, every)
     return found.join(nodes, "id").groupBy("type").agg(F.count_distinct("component").alias("lcom4"))
 
 
@@ -114,58 +116,33 @@ def member_counts(members: DataFrame, by: str = "owner") -> DataFrame:
     )
 
 
+#: White space of the source language.
+_SPACE = r"\t-\r\x1c-\x20\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000"
+#: What a source text is made of, white space apart: comments; text blocks, strings and characters; and the rest.
+_LEXEME = re.compile(
+    rf"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
+    |\"{{3}}(?:\\.|[^\\])*?(?:\"{{3}}|\\?\Z)
+    |(?P<quote>["'])(?:\\[^\n]|(?!(?P=quote))[^\\\n])*(?P=quote)?
+    |[^{_SPACE}"'/]+|/""",
+    re.DOTALL | re.VERBOSE,
+)
+
+
 def line_kinds(text: str) -> tuple[int, int, int, int]:
-    """(physical, blank, comment, code) lines of Java source: block comments and text blocks run across lines; a line with both is code.
+    """(physical, blank, comment, code) lines of Java source: every lexeme marks the lines it covers, and code outweighs a comment.
 
     A closing line break adds no line.
     """
-    if not text:
-        return 0, 0, 0, 0
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    if lines[-1] == "":
-        lines.pop()
-    blank = comment = code = 0
-    state = ""  # "", "comment" or "block" (a text block)
-    for line in lines:
-        has_code, has_comment, i = False, state == "comment", 0
-        if state == "block":
-            has_code = True
-        while i < len(line):
-            if state == "comment":
-                end = line.find("*/", i)
-                has_comment = True
-                if end < 0:
-                    break
-                state, i = "", end + 2
-            elif state == "block":
-                end = line.find('"""', i)
-                while end > 0 and line[end - 1] == "\\":
-                    end = line.find('"""', end + 1)
-                if end < 0:
-                    break
-                state, i = "", end + 3
-            elif line.startswith("//", i):
-                has_comment = True
-                break
-            elif line.startswith("/*", i):
-                has_comment, state, i = True, "comment", i + 2
-            elif line.startswith('"""', i):
-                has_code, state, i = True, "block", i + 3
-            elif line[i] in "\"'":
-                has_code, quote, i = True, line[i], i + 1
-                while i < len(line) and line[i] != quote:
-                    i += 2 if line[i] == "\\" else 1
-                i += 1
-            else:
-                has_code |= not line[i].isspace()
-                i += 1
-        if has_code:
-            code += 1
-        elif has_comment:
-            comment += 1
-        else:
-            blank += 1
-    return len(lines), blank, comment, code
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    n = len(starts) - (starts[-1] == len(text))
+    marks = bytearray(len(starts))
+    for m in _LEXEME.finditer(text):
+        mark = 1 if m["comment"] else 2
+        for line in range(bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1)):
+            marks[line] |= mark
+    code, comment = sum(x >= 2 for x in marks[:n]), marks[:n].count(1)
+    return n, n - code - comment, comment, code
 
 
 @F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in ("physical", "blank", "comment", "code")]))
