@@ -26,28 +26,32 @@ def compare(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """(identity_fp, evidence_fp, state): NEW, UNCHANGED, MOVED or RESOLVED, as a multiset.
 
     Current findings go in order; each takes the first unused equal finding of the baseline, else the first unused
-    one of the same identity.  That is sequential within an identity, so an identity is one group.
+    one of the same identity.  That is sequential within an identity, so an identity is one group; it comes as counts by
+    evidence, and one walk over them in order pairs them all.
     """
 
     def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        old = rows[rows["side"] == "old"].sort_values(["evidence_fp", "exact_fp"])["evidence_fp"].tolist()
-        new = rows[rows["side"] == "new"].sort_values(["evidence_fp", "exact_fp"])["evidence_fp"].tolist()
-        out = []
-        for e in new:
-            if e in old:
-                old.remove(e)
-                out.append((e, "UNCHANGED"))
-            elif old:
-                old.pop(0)
-                out.append((e, "MOVED"))
-            else:
-                out.append((e, "NEW"))
-        out += [(e, "RESOLVED") for e in old]
-        return pd.DataFrame([(key[0], e, s) for e, s in out], columns=["identity_fp", "evidence_fp", "state"])
-
-    columns = ["identity_fp", "evidence_fp", "exact_fp"]
-    rows = baseline.select(*columns, F.lit("old").alias("side")).unionByName(current.select(*columns, F.lit("new").alias("side")))
-    return rows.groupBy("identity_fp").applyInPandas(pair, "identity_fp string, evidence_fp string, state string")
+        rows = rows.sort_values("evidence_fp")
+        names, left, new = rows["evidence_fp"].tolist(), rows["old"].tolist(), rows["new"].tolist()
+        out, front = [], 0  # all before front is used up
+        for k, n in enumerate(new):
+            same = min(n, left[k])
+            left[k] -= same
+            n -= same
+            moved = n
+            while n and front < len(left):
+                used = min(n, left[front])
+                left[front] -= used
+                n -= used
+                front += not left[front]
+            out += [(names[k], state, count) for state, count in (("UNCHANGED", same), ("MOVED", moved - n), ("NEW", n)) if count]
+        out += [(names[k], "RESOLVED", count) for k, count in enumerate(left) if count]
+        return pd.DataFrame([(key[0], *x) for x in out], columns=["identity_fp", "evidence_fp", "state", "n"])
+
+    rows = baseline.select("identity_fp", "evidence_fp", F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(current.select("identity_fp", "evidence_fp", F.lit(0).alias("old"), F.lit(1).alias("new")))
+    rows = rows.groupBy("identity_fp", "evidence_fp").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
+    found = rows.groupBy("identity_fp").applyInPandas(pair, "identity_fp string, evidence_fp string, state string, n long")
+    return found.select("identity_fp", "evidence_fp", "state", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("one")).drop("one")
 
 
 def suppress(changes: DataFrame, suppressions: DataFrame, on: datetime.date) -> DataFrame:
@@ -56,21 +60,21 @@ def suppress(changes: DataFrame, suppressions: DataFrame, on: datetime.date) ->
     A suppression (rule_id, subject_id, location; null fits all; expires_on) expires strictly after its date.
     changes: rule_id, subject_id, location, state.
     """
-    s = suppressions.select(F.col("rule_id").alias("r"), F.col("subject_id").alias("s"), F.col("location").alias("l"), (F.col("expires_on").isNull() | (F.col("expires_on") >= F.lit(on))).alias("active"))
-    rows = changes.withColumn("row", F.monotonically_increasing_id())
-    # By which keys a suppression names, so that each kind is an equi-join.
-    found = None
-    for keys in ([], ["rule_id"], ["subject_id"], ["location"], ["rule_id", "subject_id"], ["rule_id", "location"], ["subject_id", "location"], ["rule_id", "subject_id", "location"]):
-        fits = F.lit(True)
-        for name, column in (("rule_id", "r"), ("subject_id", "s"), ("location", "l")):
-            fits &= F.col(column).isNotNull() if name in keys else F.col(column).isNull()
-        part = s.where(fits).select(F.col("r").alias("rule_id"), F.col("s").alias("subject_id"), F.col("l").alias("location"), "active").groupBy(*keys).agg(F.bool_or("active").alias("active"))
-        part = rows.join(part, keys, "inner").select("row", "active") if keys else rows.select("row").join(part.where("active IS NOT NULL")).select("row", "active")
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy("row").agg(F.bool_or("active").alias("active"))
-    out = rows.join(best, "row", "left")
-    state = F.when(F.col("state") == "RESOLVED", "RESOLVED").when(F.col("active"), "SUPPRESSED").when(~F.col("active"), "EXPIRED").otherwise(F.col("state"))
-    return out.withColumn("state", state).drop("row", "active")
+    names = ("rule_id", "subject_id", "location")
+    active = F.col("expires_on").isNull() | (F.col("expires_on") >= F.lit(on))
+    # By which keys a suppression names, so that each kind is one row a key and an equi-join; the key of those that name none is a constant.
+    out, fits = changes.withColumn("_all", F.lit(0)), []
+    for k in range(8):
+        keys = [n for i, n in enumerate(names) if k >> i & 1]
+        of_kind = F.lit(True)
+        for n in names:
+            of_kind &= F.col(n).isNotNull() if n in keys else F.col(n).isNull()
+        part = suppressions.where(of_kind).select(*keys, F.lit(0).alias("_all"), active.alias(f"_active{k}")).groupBy("_all", *keys).agg(F.bool_or(f"_active{k}").alias(f"_active{k}"))
+        out = out.join(part, ["_all", *keys], "left")
+        fits.append(F.col(f"_active{k}"))
+    best = F.greatest(*fits)  # true before false, nulls left out
+    state = F.when(F.col("state") == "RESOLVED", "RESOLVED").when(best, "SUPPRESSED").when(~best, "EXPIRED").otherwise(F.col("state"))
+    return out.withColumn("state", state).select(*changes.columns)
 
 
 def freeze(current: DataFrame, suppressed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.identity import identity_hash
@@ -89,5 +89,11 @@ def top_evidence(evidence: DataFrame, by: list[str], n: int = 20) -> DataFrame:
     """The first ``n`` distinct evidence rows of each key, and how many there are; the rest is counted, not kept."""
     from latticework.plans.graph import DETAIL
 
-    found = evidence.groupBy(*by).agg(F.collect_set(F.struct(*DETAIL)).alias("all"))
-    return found.select(*by, F.slice(F.sort_array("all"), 1, n).alias("evidence"), F.size("all").alias("matched"), F.greatest(F.size("all") - n, F.lit(0)).alias("omitted"))
+    rows = evidence.select(*by, *DETAIL).distinct()
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("matched"))
+    # A rank up to n is cut off in each task before the shuffle, so a key of any size sends n rows a task at most.
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*DETAIL))).where(F.col("place") <= n)
+    first = first.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*DETAIL))).alias("evidence"))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
+    found = counts.alias("c").join(first.alias("f"), same, "left")
+    return found.select(*(F.col(f"c.{c}").alias(c) for c in by), F.coalesce("evidence", F.array().cast(first.schema["evidence"].dataType)).alias("evidence"), "matched", F.greatest(F.col("matched") - n, F.lit(0)).alias("omitted"))
