@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import posixpath
+import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.functions.patterns import last_rule_wins
 
 MAX_CLASS_BYTES = 16_000_000
 MAX_MAJOR = 69
@@ -41,10 +45,19 @@ class ClassFile:
     module: str | None = None
     requires: list[str] = field(default_factory=list)
     exports: list[str] = field(default_factory=list)
+    opens: list[str] = field(default_factory=list)
+    uses: list[str] = field(default_factory=list)
+    provides: list[str] = field(default_factory=list)
+    nesting: list[tuple] = field(default_factory=list)  # inner, outer, simple name, flags
+    enclosing_class: str | None = None
+    enclosing_method: str | None = None
+    components: list[tuple] = field(default_factory=list)  # name, descriptor, signature
+    constants: list[tuple] = field(default_factory=list)  # member, value
+    defaults: list[tuple] = field(default_factory=list)  # member, value
     members: list[tuple] = field(default_factory=list)  # name, descriptor, flags, has_code, signature
     accesses: list[tuple] = field(default_factory=list)  # caller, owner, name, descriptor, kind, opcode, offset, line
     references: list[tuple] = field(default_factory=list)  # kind, member, class, offset, line
-    annotations: list[tuple] = field(default_factory=list)  # subject, type, visible
+    annotations: list[tuple] = field(default_factory=list)  # subject, type, visible, target, elements (name, value)
     call_sites: list[tuple] = field(default_factory=list)  # caller, bootstrap owner, bootstrap name, offset
 
 
@@ -121,29 +134,74 @@ def _attributes(r: _Reader, pool: _Pool) -> Iterator[tuple[str, _Reader]]:
         yield name, _Reader(r.take(r.u4()))
 
 
-def _skip_element(r: _Reader, depth: int = 0) -> None:
+#: Bytes of a type path's target before the path itself, by the first and last target type of a range: positions, bounds, offsets.
+_TYPE_TARGETS = ((0x00, 0x01, 1), (0x10, 0x10, 2), (0x11, 0x12, 2), (0x13, 0x15, 0), (0x16, 0x16, 1), (0x17, 0x17, 2), (0x42, 0x42, 2), (0x43, 0x46, 2), (0x47, 0x4B, 3))
+
+
+def _constant(pool: _Pool, index: int, tag: str = "") -> str:
+    """A constant as text: numbers in decimal, booleans as true or false, characters as themselves."""
+    kind, raw = pool.get(index)[:2]
+    if kind == 1:
+        return raw
+    if kind == 8:
+        return pool.text(raw)
+    n = struct.unpack({3: ">i", 4: ">f", 5: ">q", 6: ">d"}[kind], raw)[0] if kind in (3, 4, 5, 6) else None
+    if n is None:
+        raise ClassFileError(f"constant {index} isn't a value")
+    return ("true" if n else "false") if tag == "Z" else chr(n & 0xFFFF) if tag == "C" else repr(n)
+
+
+def _element(r: _Reader, pool: _Pool, depth: int = 0) -> str:
+    """An annotation element's value as text: lists in brackets, enum constants as type.name, classes and annotations by name."""
     if depth > 64:
         raise ClassFileError("annotation values are nested too deeply")
     tag = chr(r.u1())
-    if tag in "BCDFIJSZsc":
-        r.u2()
-    elif tag == "e":
-        r.take(4)
-    elif tag == "@":
-        _annotation(r, None, depth + 1)
-    elif tag == "[":
-        for _ in range(r.u2()):
-            _skip_element(r, depth + 1)
+    if tag in "BCDFIJSZs":
+        return _constant(pool, r.u2(), tag)
+    if tag == "c":
+        return pool.text(r.u2())
+    if tag == "e":
+        return f"{_type_name(pool.text(r.u2()))}.{pool.text(r.u2())}"
+    if tag == "@":
+        name, elements = _annotation(r, pool, depth + 1)
+        return f"@{name}(" + ", ".join(f"{e['name']}={e['value']}" for e in elements) + ")"
+    if tag == "[":
+        return "[" + ", ".join(_element(r, pool, depth + 1) for _ in range(r.u2())) + "]"
+    raise ClassFileError(f"element tag {tag!r} isn't known")
+
+
+def _type_name(descriptor: str) -> str:
+    return descriptor[1:-1].replace("/", ".") if descriptor.startswith("L") else descriptor
+
+
+def _annotation(r: _Reader, pool: _Pool, depth: int = 0) -> tuple[str, list[dict[str, str]]]:
+    kind = _type_name(pool.text(r.u2()))
+    return kind, [{"name": pool.text(r.u2()), "value": _element(r, pool, depth)} for _ in range(r.u2())]
+
+
+def _annotations(subject: str, attribute: str, r: _Reader, pool: _Pool) -> list[tuple]:
+    """(subject, type, visible, target, elements) of an annotation attribute; none for other attributes."""
+    kind = attribute.removeprefix("RuntimeVisible").removeprefix("RuntimeInvisible")
+    visible = attribute.startswith("RuntimeVisible")
+    if kind == "Annotations":
+        return [(subject, name, visible, "DECLARATION", elements) for _ in range(r.u2()) for name, elements in [_annotation(r, pool)]]
+    if kind == "ParameterAnnotations":
+        return [(f"{subject}:{k}", name, visible, "PARAMETER", elements) for k in range(r.u1()) for _ in range(r.u2()) for name, elements in [_annotation(r, pool)]]
+    if kind == "TypeAnnotations":
+        return [(subject, name, visible, "TYPE_USE", elements) for _ in range(r.u2()) for _ in [_skip_type_target(r)] for name, elements in [_annotation(r, pool)]]
+    return []
+
+
+def _skip_type_target(r: _Reader) -> None:
+    target = r.u1()
+    if target in (0x40, 0x41):  # local variables: a table of ranges
+        r.take(6 * r.u2())
     else:
-        raise ClassFileError(f"element tag {tag!r} isn't known")
-
-
-def _annotation(r: _Reader, pool: _Pool | None, depth: int = 0) -> str | None:
-    kind = r.u2()
-    for _ in range(r.u2()):
-        r.u2()
-        _skip_element(r, depth)
-    return pool.text(kind)[1:-1].replace("/", ".") if pool else None
+        found = [n for first, last, n in _TYPE_TARGETS if first <= target <= last]
+        if not found:
+            raise ClassFileError(f"type annotation target {target} isn't known")
+        r.take(found[0])
+    r.take(2 * r.u1())
 
 
 def _code(out: ClassFile, member: str, r: _Reader, pool: _Pool, bootstraps: list[tuple[str, str]]) -> None:
@@ -158,6 +216,8 @@ def _code(out: ClassFile, member: str, r: _Reader, pool: _Pool, bootstraps: list
     for name, a in _attributes(r, pool):
         if name == "LineNumberTable":
             lines += [(a.u2(), a.u2()) for _ in range(a.u2())]
+        else:
+            out.annotations += _annotations(member, name, a, pool)
     lines.sort()
 
     def line(pc: int) -> int | None:
@@ -224,8 +284,12 @@ def decode(raw: bytes) -> ClassFile:
                     signature = pool.text(a.u2())
                 elif attribute == "Exceptions":
                     out.references += [("THROWS", member, pool.name(a.u2()), None, None) for _ in range(a.u2())]
-                elif attribute in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations"):
-                    out.annotations += [(member, _annotation(a, pool), attribute[7] == "V") for _ in range(a.u2())]
+                elif attribute == "ConstantValue":
+                    out.constants.append((member, _constant(pool, a.u2(), descriptor)))
+                elif attribute == "AnnotationDefault":
+                    out.defaults.append((member, _element(a, pool)))
+                else:
+                    out.annotations += _annotations(member, attribute, a, pool)
             out.members.append((name, descriptor, flags, has_code, signature))
     bootstraps: list[tuple[str, str]] = []
     for attribute, a in _attributes(r, pool):
@@ -235,6 +299,19 @@ def decode(raw: bytes) -> ClassFile:
             out.signature = pool.text(a.u2())
         elif attribute == "Record":
             out.record = True
+            for _ in range(a.u2()):
+                name, descriptor, signature = pool.text(a.u2()), pool.text(a.u2()), None
+                for inner, x in _attributes(a, pool):
+                    if inner == "Signature":
+                        signature = pool.text(x.u2())
+                    else:
+                        out.annotations += _annotations(f"{out.binary_name}#{name}", inner, x, pool)
+                out.components.append((name, descriptor, signature))
+        elif attribute == "InnerClasses":
+            out.nesting = [(pool.name(a.u2()), pool.name(a.u2()), pool.text(i) if (i := a.u2()) else None, a.u2()) for _ in range(a.u2())]
+        elif attribute == "EnclosingMethod":
+            out.enclosing_class, i = pool.name(a.u2()), a.u2()
+            out.enclosing_method = "".join(pool.pair(i)) if i else None
         elif attribute == "PermittedSubclasses":
             out.permitted = [pool.name(a.u2()) for _ in range(a.u2())]
         elif attribute == "BootstrapMethods":
@@ -242,18 +319,23 @@ def decode(raw: bytes) -> ClassFile:
                 _, _, ref = pool.get(a.u2(), 15)
                 bootstraps.append(pool.ref(ref)[:2])
                 a.take(2 * a.u2())
-        elif attribute in ("RuntimeVisibleAnnotations", "RuntimeInvisibleAnnotations"):
-            out.annotations += [(out.binary_name, _annotation(a, pool), attribute[7] == "V") for _ in range(a.u2())]
         elif attribute == "Module":
             out.module = pool.name(a.u2())
             a.take(4)
             for _ in range(a.u2()):
                 out.requires.append(pool.name(a.u2()))
                 a.take(4)
+            for names in (out.exports, out.opens):
+                for _ in range(a.u2()):
+                    names.append(pool.name(a.u2()))
+                    a.take(2)
+                    a.take(2 * a.u2())
+            out.uses = [pool.name(a.u2()) for _ in range(a.u2())]
             for _ in range(a.u2()):
-                out.exports.append(pool.name(a.u2()))
-                a.take(2)
+                out.provides.append(pool.name(a.u2()))
                 a.take(2 * a.u2())
+        else:
+            out.annotations += _annotations(out.binary_name, attribute, a, pool)
     if r.at != len(raw):
         raise ClassFileError("bytes follow the class")
     for member, a in bodies:
@@ -268,19 +350,50 @@ ENTRY = "container string, entry string, input_kind string, content binary, diag
 
 @dataclass(frozen=True)
 class ArchiveLimits:
-    """Bounds of what is unpacked: entries, bytes of one and of all, and the packing ratio."""
+    """Bounds of what is unpacked: entries, bytes of one and of all, the packing ratio, and folders above an entry."""
 
     entries: int = 100_000
     entry_bytes: int = MAX_CLASS_BYTES
     total_bytes: int = 2_000_000_000
     ratio: int = 200
+    depth: int = 64
+
+
+MANIFEST = "META-INF/MANIFEST.MF"
+VERSIONS = "META-INF/versions/"
+
+
+def parse_manifest(text: str) -> dict[str, str]:
+    """The main attributes of a manifest, names in lower case; a line that begins with a space goes on with the one before."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    lines = text.partition("\n\n")[0].replace("\n ", "")
+    return {name.strip().lower(): value.strip() for name, colon, value in (x.partition(":") for x in lines.split("\n")) if colon}
+
+
+def read_manifest(archive: zipfile.ZipFile, limit: int = 1_000_000) -> dict[str, str]:
+    """Nothing where the archive has no manifest, or one beyond ``limit`` bytes."""
+    info = next((i for i in archive.infolist() if i.filename.upper() == MANIFEST.upper()), None)
+    return parse_manifest(archive.read(info).decode("utf-8", "replace")) if info and info.file_size <= limit else {}
+
+
+def versioned_fault(path: str, multi_release: bool) -> str | None:
+    """Why an entry below META-INF/versions is left out, whatever the target release; null where it isn't."""
+    version, _, name = path.removeprefix(VERSIONS).partition("/")
+    if not re.fullmatch(r"[1-9][0-9]*", version) or not name.strip() or name.startswith("META-INF/"):
+        return "malformed-versioned-path"
+    if len(version) > 9:
+        return "version-overflow"
+    if int(version) < 9:
+        return "release-below-9"
+    return None if multi_release else "manifest-not-multi-release"
 
 
 def archive_entries(name: str, raw: bytes, limits: ArchiveLimits) -> Iterator[tuple]:
-    """Class entries of one archive in order of name; what breaks a bound becomes a diagnostic."""
+    """Class entries of one archive in order of name; what breaks a bound, or is versioned without right, becomes a diagnostic."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(raw))
-    except zipfile.BadZipFile as e:
+        multi_release = read_manifest(archive).get("multi-release", "").lower() == "true"
+    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
         yield name, None, "JAR", None, f"ARCHIVE_DAMAGED {e}"
         return
     total = 0
@@ -293,6 +406,10 @@ def archive_entries(name: str, raw: bytes, limits: ArchiveLimits) -> Iterator[tu
             continue
         if path.startswith("/") or "\\" in path or ".." in path.split("/"):
             yield name, path, "JAR", None, "ENTRY_PATH"
+        elif path.count("/") > limits.depth:
+            yield name, path, "JAR", None, "ENTRY_DEPTH"
+        elif path.startswith(VERSIONS) and (fault := versioned_fault(path, multi_release)):
+            yield name, path, "JAR", None, f"VERSIONED_ENTRY {fault}"
         elif info.file_size > limits.entry_bytes or info.file_size > limits.ratio * max(info.compress_size, 1):
             yield name, path, "JAR", None, "ENTRY_SIZE"
         else:
@@ -300,7 +417,78 @@ def archive_entries(name: str, raw: bytes, limits: ArchiveLimits) -> Iterator[tu
             if total > limits.total_bytes:
                 yield name, path, "JAR", None, "TOTAL_SIZE"
                 return
-            yield name, path, "JAR", archive.read(info), None
+            try:
+                content = archive.read(info)
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
+                yield name, path, "JAR", None, f"ENTRY_DAMAGED {e}"
+                continue
+            yield name, path, "JAR", content, None
+
+
+def manifest_class_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, place, entry): the Class-Path entries of the archives at ``paths``, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    entries = read_manifest(zipfile.ZipFile(io.BytesIO(raw.as_py()))).get("class-path", "").split()
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError):
+                    entries = []
+                rows += [(name, k, e) for k, e in enumerate(entries)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["path", "place", "entry"])
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, place int, entry string")
+
+
+def follow_manifests(spark: SparkSession, inputs: list[tuple[str, str]], *, max_depth: int = 8, max_entries: int = 1_000) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(inputs with what their manifests' class paths name behind each of them, diagnostics (path, text)).
+
+    An entry must be a relative path that stays in the folder of the input it comes from.  Manifests are read a depth at a
+    time; a depth, or a number of entries, beyond the bounds is a diagnostic.
+    """
+    is_jar = lambda kind, path: kind == "JAR" or kind == "AUTO" and path.endswith((".jar", ".zip"))
+    named: dict[str, list[str]] = {}
+    said: list[tuple[str, str]] = []
+    roots = {path: posixpath.dirname(posixpath.abspath(path)) for kind, path in inputs if is_jar(kind, path)}
+    wave, depth, followed, spent = dict(roots), 0, 0, False
+    while wave and depth < max_depth and not spent:
+        entries: dict[str, list[str]] = {path: [] for path in wave}
+        by_uri = {posixpath.abspath(path): path for path in wave}
+        for r in manifest_class_paths(spark, sorted(wave)).orderBy("path", "place").limit(max_entries + 1).collect():
+            path = by_uri[posixpath.abspath(re.sub(r"^file:/+", "/", r["path"]))]
+            if followed >= max_entries:
+                said.append((path, f"LIMIT manifest-class-path-entries {max_entries}"))
+                spent = True
+                break
+            followed += 1
+            to = posixpath.normpath(posixpath.join(posixpath.dirname(posixpath.abspath(path)), r["entry"]))
+            if ":" in r["entry"] or r["entry"].startswith("/") or not to.startswith(f"{wave[path]}/"):
+                said.append((path, f"MANIFEST_CLASS_PATH_REJECTED {r['entry']}"))
+            else:
+                entries[path].append(to)
+        named |= entries
+        there = {to: wave[path] for path, found in entries.items() for to in found if to.endswith((".jar", ".zip"))}
+        wave, depth = {to: root for to, root in there.items() if to not in named and posixpath.exists(to)}, depth + 1
+    said += [(path, f"LIMIT manifest-depth {max_depth}") for path in sorted(wave) if not spent]
+    out: list[tuple[str, str]] = []
+    placed: set[str] = set()
+
+    def place(kind: str, path: str) -> None:
+        out.append((kind, path))
+        if path in named and path not in placed:
+            placed.add(path)
+            for to in named[path]:
+                if posixpath.exists(to):
+                    place("JAR" if to.endswith((".jar", ".zip")) else "DIRECTORY", to)
+                else:
+                    said.append((path, f"MANIFEST_CLASS_PATH_MISSING {to}"))
+
+    for kind, path in inputs:
+        place(kind, path)
+    return out, said
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -325,27 +513,44 @@ def read_jars(spark: SparkSession, path: str, limits: ArchiveLimits | None = Non
     return rows.select("path", "content").mapInArrow(run, ENTRY)
 
 
-def read_inputs(spark: SparkSession, inputs: list[tuple[str, str]]) -> DataFrame:
-    """Entries of (kind, path) inputs, kind DIRECTORY, JAR or AUTO, with the input's precedence; a repeated input counts once."""
+def read_inputs(spark: SparkSession, inputs: list[tuple[str, str]], *, manifests: bool = False, ignore: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Entries of (kind, path) inputs, kind DIRECTORY, JAR or AUTO, with the input's precedence.
+
+    A repeated input counts once and leaves a diagnostic.  ``manifests`` follows the class paths of archives' manifests;
+    ``ignore`` has the rules of an ignore file, over the entries' paths below their container.
+    """
+    said: list[tuple[str, str]] = []
+    if manifests:
+        inputs, said = follow_manifests(spark, inputs)
     out, seen = None, set()
     for precedence, (kind, path) in enumerate(inputs):
         if path in seen:
+            said.append((path, "DUPLICATE_INPUT"))
             continue
         seen.add(path)
-        jar = kind == "JAR" or kind == "AUTO" and path.endswith(".jar")
+        jar = kind == "JAR" or kind == "AUTO" and path.endswith((".jar", ".zip"))
         part = (read_jars if jar else read_directory)(spark, path).withColumn("precedence", F.lit(precedence))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no input is given")
+    if ignore:
+        below = F.expr("substring(entry, locate(container, entry) + length(container))")
+        place = F.when(F.col("input_kind") == "DIRECTORY", F.ltrim(below, F.lit("/"))).otherwise(F.col("entry"))
+        out = out.where(F.col("entry").isNull() | ~last_rule_wins(place, ignore))
+    if said:
+        notes = spark.createDataFrame([(path, text) for path, text in said], "container string, diagnostic string")
+        out = out.unionByName(notes.withColumns({"input_kind": F.lit("INPUT"), "precedence": F.lit(len(inputs))}), allowMissingColumns=True)
     return out
 
 
 DECODED = (
-    "container string, entry string, precedence int, binary_name string, superclass string, interfaces array<string>, access_flags int, major int, source_file string, signature string, record boolean,"
-    " permitted array<string>, module string, requires array<string>, exports array<string>,"
+    "container string, entry string, input_kind string, precedence int, binary_name string, superclass string, interfaces array<string>, access_flags int, major int, source_file string, signature string, record boolean,"
+    " permitted array<string>, module string, requires array<string>, exports array<string>, opens array<string>, uses array<string>, provides array<string>,"
+    " enclosing_class string, enclosing_method string, nesting array<struct<inner:string,outer:string,name:string,flags:int>>,"
+    " components array<struct<name:string,descriptor:string,signature:string>>, constants array<struct<member:string,value:string>>, defaults array<struct<member:string,value:string>>,"
     " members array<struct<name:string,descriptor:string,flags:int,has_code:boolean,signature:string>>,"
     " accesses array<struct<caller:string,owner:string,name:string,descriptor:string,kind:string,opcode:string,offset:int,line:int>>,"
-    " references array<struct<kind:string,member:string,class:string,offset:int,line:int>>, annotations array<struct<subject:string,type:string,visible:boolean>>,"
+    " references array<struct<kind:string,member:string,class:string,offset:int,line:int>>, annotations array<struct<subject:string,type:string,visible:boolean,target:string,elements:array<struct<name:string,value:string>>>>,"
     " call_sites array<struct<caller:string,owner:string,name:string,offset:int>>, diagnostic string"
 )
 
@@ -362,17 +567,17 @@ def decode_entries(entries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for container, entry, precedence, raw, why in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                row = dict.fromkeys(names) | {"container": container, "entry": entry, "precedence": precedence, "diagnostic": why}
+            for container, entry, kind, precedence, raw, why in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                row = dict.fromkeys(names) | {"container": container, "entry": entry, "input_kind": kind, "precedence": precedence, "diagnostic": why}
                 if raw is not None:
                     try:
                         c = vars(decode(raw))
                         row |= {k: [dict(zip(fields[k], x, strict=True)) for x in c[k]] if k in fields else c[k] for k in names if k in c}
-                    except (ClassFileError, struct.error, IndexError, UnicodeDecodeError) as e:
+                    except (ClassFileError, struct.error, IndexError, KeyError, UnicodeDecodeError) as e:
                         row["diagnostic"] = f"CLASS_DAMAGED {e}"
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return entries.select("container", "entry", F.col("precedence").cast("int"), "content", "diagnostic").mapInArrow(run, DECODED)
+    return entries.select("container", "entry", "input_kind", F.col("precedence").cast("int"), "content", "diagnostic").mapInArrow(run, DECODED)
 
 

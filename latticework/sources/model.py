@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions import descriptors as d
-from latticework.functions.classify import FLAGS, call_site_kind, has_flag, member_kind, type_kind, visibility
+from latticework.functions.classify import FLAGS, call_site_kind, has_flag, member_kind, nesting_kind, type_kind, visibility
 from latticework.functions.identity import package_of
-from latticework.operators.lookup import winners
+from latticework.functions.patterns import NamePattern, any_of
+from latticework.operators.lookup import classpath_winners
 from latticework.plans.graph import Graph, conform, nodes_of
 
 
@@ -20,13 +21,78 @@ def _modifiers(flags: Column, names: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*[F.when(has_flag(flags, n), n) for n in names]))
 
 
-def resolve(decoded: DataFrame, *, policy: str = "COLLECT") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(types, shadows, diagnostics): of equal binary names the lowest precedence, then the first entry, wins."""
-    diagnostics = decoded.where("diagnostic IS NOT NULL").select("container", "entry", "diagnostic")
+#: The release that versioned entries are chosen for where none is named.
+TARGET_RELEASE = 25
+
+
+def resources(decoded: DataFrame, *, mode: str = "CLASSPATH") -> DataFrame:
+    """``decoded`` with scope, name, release, multi_release and resource: what competes for a name, and with which release.
+
+    Class files of an archive below META-INF/versions/N have release N; the archive's manifest has allowed them already.  On a
+    class path all containers are one scope, on a module path each is its own.
+    """
+    release = F.regexp_extract("entry", "^META-INF/versions/([1-9][0-9]{0,8})/", 1)
+    versioned = (F.col("input_kind") == "JAR") & (release != "")
+    scope = F.lit("classpath") if mode == "CLASSPATH" else F.concat_ws(":", F.lit("module-path"), "input_kind", "container")
+    return decoded.select(
+        "*", scope.alias("scope"), F.col("binary_name").alias("name"), F.when(versioned, release.try_cast("int")).otherwise(0).alias("release"),
+        versioned.alias("multi_release"), F.concat_ws("!", "container", "entry").alias("resource"),
+    )
+
+
+def resolve(decoded: DataFrame, *, policy: str = "COLLECT", release: int = TARGET_RELEASE, mode: str = "CLASSPATH", include: list[NamePattern] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(types, shadows, diagnostics): of equal binary names in one scope the lowest precedence, then the highest release up to ``release``, wins.
+
+    ``include`` limits the import to binary names that a pattern matches.
+    """
+    rows = resources(decoded, mode=mode)
+    above = F.col("diagnostic").isNull() & (F.col("release") > release)
+    rows = rows.withColumn("diagnostic", F.when(above, "VERSIONED_ENTRY release-above-target").otherwise(F.col("diagnostic")))
+    diagnostics = rows.where("diagnostic IS NOT NULL").select("container", "entry", "diagnostic")
     if policy == "STRICT" and (row := diagnostics.orderBy("container", "entry").first()):
         raise ImportFailure(f"{row['entry']}: {row['diagnostic']}")
-    ranked = winners(decoded.where("diagnostic IS NULL AND module IS NULL"), ["binary_name"], [F.col("precedence"), F.col("container"), F.col("entry")])
-    return ranked.where("winner").drop("winner"), ranked.where("NOT winner").select("binary_name", "container", "entry"), diagnostics
+    rows = rows.where(F.expr("diagnostic IS NULL AND module IS NULL") & any_of(F.col("binary_name"), include or []))
+    ranked = classpath_winners(rows, release=release)
+    classes = ranked.where("winner").drop("winner", "name", "release", "multi_release", "resource", *(["scope"] if mode == "CLASSPATH" else []))
+    return classes, ranked.where("NOT winner").select("binary_name", "container", "entry"), diagnostics
+
+
+def modules_table(decoded: DataFrame) -> DataFrame:
+    """(name, kind, requires, exports, opens, uses, provides): a row a module descriptor."""
+    found = decoded.where("diagnostic IS NULL AND module IS NOT NULL")
+    return found.select(F.col("module").alias("name"), F.lit("EXPLICIT").alias("kind"), "requires", "exports", "opens", "uses", "provides")
+
+
+def nesting_table(classes: DataFrame) -> DataFrame:
+    """(binary_name, nesting, outer, enclosing_class, enclosing_method, problem): how each type is nested, and what speaks against it.
+
+    A type's own inner-class entry decides; entries that other types hold of it must agree on its outer type.
+    """
+    own = classes.select("binary_name", "enclosing_class", "enclosing_method", F.explode_outer(F.filter("nesting", lambda e: e["inner"] == F.col("binary_name"))).alias("e"))
+    own = own.groupBy("binary_name").agg(
+        F.count("e").alias("entries"), F.max("e.outer").alias("outer"), F.max("e.name").alias("simple_name"),
+        F.max("enclosing_class").alias("enclosing_class"), F.max("enclosing_method").alias("enclosing_method"),
+    )
+    said = classes.select(F.explode("nesting").alias("e")).where("e.outer IS NOT NULL").groupBy(F.col("e.inner").alias("binary_name")).agg(F.count_distinct("e.outer").alias("owners"))
+    rows = own.join(said, "binary_name", "left").withColumn("owners", F.coalesce("owners", F.lit(0)))
+    enclosed, outer, named_ = F.col("enclosing_class").isNotNull(), F.col("outer").isNotNull(), F.col("simple_name").isNotNull()
+    problem = (
+        F.when(F.col("owners") > 1, "CONFLICTING_OWNERS").when(F.col("entries") > 1, "REPEATED_ENTRY").when((F.col("entries") == 0) & enclosed, "ENCLOSED_WITHOUT_ENTRY")
+        .when((F.col("entries") == 0) & (F.col("owners") > 0), "ENTRY_MISSING").when(outer & enclosed, "MEMBER_WITH_ENCLOSING_METHOD").when(outer & ~named_, "MEMBER_WITHOUT_NAME")
+        .when((F.col("entries") > 0) & ~outer & ~enclosed, "LOCAL_WITHOUT_ENCLOSING_CLASS").when(F.col("outer") == F.col("binary_name"), "OWN_OWNER")
+    )
+    kind = nesting_kind(F.col("entries"), outer, named_, enclosed, F.col("owners"))
+    return rows.select("binary_name", kind.alias("nesting"), "outer", "enclosing_class", "enclosing_method", problem.alias("problem"))
+
+
+def annotations_table(classes: DataFrame) -> DataFrame:
+    """(subject, owner, type, visible, target, elements): DECLARATION, PARAMETER (subject ends in :position) and TYPE_USE annotations."""
+    return classes.select(F.col("binary_name").alias("owner"), F.explode("annotations").alias("a")).select("a.subject", "owner", "a.type", "a.visible", "a.target", "a.elements")
+
+
+def record_components(classes: DataFrame) -> DataFrame:
+    rows = classes.select(F.col("binary_name").alias("owner"), F.posexplode("components").alias("position", "c"))
+    return rows.select("owner", "position", "c.name", "c.descriptor", d.element_name(F.col("c.descriptor")).alias("type"), "c.signature")
 
 
 def bounded_diagnostics(diagnostics: DataFrame, limit: int = 1_000) -> DataFrame:
@@ -78,7 +144,7 @@ def declaration_dependencies(classes: DataFrame) -> DataFrame:
     classes_signed = classes.where("signature IS NOT NULL").withColumn("s", d.parse_signature("signature", F.lit("class")))
     bases = F.concat("interfaces", F.array_compact(F.array("superclass")))
     generic_up = classes_signed.select(name, F.explode(F.array_except("s.classes", bases)).alias("target"), F.lit("GENERIC_SIGNATURE").alias("kind"), F.lit(None).cast("string").alias("owner_member"))
-    notes = classes.select(name, F.explode("annotations").alias("a")).select("origin", F.col("a.type").alias("target"), F.lit("ANNOTATION").alias("kind"), F.col("a.subject").alias("owner_member"))
+    notes = classes.select(name, F.explode("annotations").alias("a")).select("origin", F.col("a.type").alias("target"), F.lit("ANNOTATION").alias("kind"), F.regexp_replace("a.subject", r":\d+$", "").alias("owner_member"))
     throws = classes.select(name, F.explode("references").alias("r")).where("r.kind = 'THROWS'").select("origin", F.col("r.class").alias("target"), F.lit("THROWS").alias("kind"), F.col("r.member").alias("owner_member"))
     out = up
     for more in (part("interfaces", "IMPLEMENTS"), part("permitted", "TYPE_REFERENCE"), fields, params, returns, generic, generic_up, notes, throws):
