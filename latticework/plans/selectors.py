@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -106,7 +107,7 @@ def parameters_are(column: str, *types: str) -> Selector:
 
 def listed(column: str, keys: DataFrame, description: str) -> Selector:
     """By membership in another table's one column: annotated types, assignable types, declaring owners."""
-    name = f"__{abs(hash(description)) % 10**9}"
+    name = f"__{uuid.uuid4().hex}"
     other = keys.toDF(column).distinct()
 
     def prepare(rows: DataFrame) -> DataFrame:

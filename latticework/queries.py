@@ -611,3 +611,6 @@ def baseline_suppressions(spark: SparkSession, sf: str) -> DataFrame:
     return baseline.suppress(changes, rules.unionByName(places), day(2024, 2, 1))
 
 
+
+
+from latticework import model_queries as _model_queries  # noqa: E402, F401  registers its queries
