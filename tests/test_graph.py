@@ -1,9 +1,14 @@
+import datetime
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.operators import algorithms as a
+from latticework.operators import baseline
 from latticework.operators import metrics as m
 from latticework.operators.rules.dependencies import DependencySpec, dependency_rule, layer_rule
-from latticework.operators.rules.outcome import FAILED, INCOMPLETE, PASSED, RuleMetadata
+from latticework.operators.rules.outcome import FAILED, INCOMPLETE, PASSED, RuleMetadata, top_evidence
 from latticework.plans import projection
 from latticework.plans.graph import GraphError, build, graph_from, nodes_of
 
@@ -135,3 +140,153 @@ def test_reachability(spark):
     g = graph(spark, [("A", "B"), ("B", "C"), ("D", "A")])
     found = a.reachable(g.connections(), spark.createDataFrame([("type:A",)], "id string"))
     assert {r["id"]: r["depth"] for r in found.collect()} == {"type:A": 0, "type:B": 1, "type:C": 2}
+
+
+# ---- large and odd graphs ------------------------------------------------------------------------
+
+
+def random_graph(seed, n=30, m=45):
+    rng = random.Random(seed)
+    return sorted({(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(m)} | {("x1", "x2"), ("x2", "x1"), ("y", "y"), ("z1", "z2")})
+
+
+def reach_by_hand(pairs):
+    ids = {x for p in pairs for x in p}
+    out = {}
+    for start in ids:
+        seen, todo = {start}, [start]
+        while todo:
+            at = todo.pop()
+            for o, t in pairs:
+                if o == at and t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        out[start] = seen
+    return out
+
+
+@pytest.mark.parametrize("seed, by, most", [(1, "parts", 200_000), (2, "parts", 8), (3, "colouring", 0), (4, "closure", 0)])
+def test_components_and_reach_equal_brute_force(spark, monkeypatch, seed, by, most):
+    monkeypatch.setattr(a, "PART_EDGES", most)
+    pairs = random_graph(seed)
+    frame = spark.createDataFrame(pairs, "origin string, target string")
+    nodes = spark.createDataFrame([("alone",)], "id string")
+    reach = reach_by_hand(pairs) | {"alone": {"alone"}}
+    got = {r["id"]: (r["component"], r["size"], r["cyclic"]) for r in a.strongly_connected(frame, nodes, by=by).collect()}
+    want = {}
+    for x, seen in reach.items():
+        part = [y for y in seen if x in reach[y]]
+        want[x] = (min(part), len(part), len(part) > 1 or (x, x) in pairs)
+    assert got == want
+    if by == "parts":
+        assert {r["id"]: r["reached"] for r in a.reach_sizes(frame, nodes).collect()} == {x: len(s) for x, s in reach.items()}
+    if by == "closure":
+        assert {(r["origin"], r["target"]) for r in a.closure(frame, nodes).collect()} == {(x, y) for x, s in reach.items() for y in s}
+
+
+def test_strong_parts_of_a_long_cycle():
+    n = 5000
+    parts = a.strong_parts([[(i + 1) % n] for i in range(n)] + [[0], []])
+    assert [len(p) for p in parts] == [n, 1, 1]
+
+
+def walk_by_hand(components, pairs, limits):
+    """The enumeration in one go over all components, within one budget."""
+    found, walked, truncated = [], 0, False
+
+    class Spent(Exception):
+        pass
+
+    def search(start, at, path, inside):
+        nonlocal walked, truncated
+        for o, t in pairs:
+            if o != at or t not in inside or t < start:
+                continue
+            if walked == limits.edges:
+                raise Spent
+            walked += 1
+            if t == start:
+                if len(found) == limits.cycles:
+                    raise Spent
+                found.append(list(path))
+            elif t not in path:
+                if len(path) >= limits.length:
+                    truncated = True
+                else:
+                    search(start, t, [*path, t], inside)
+
+    try:
+        for inside in components:
+            for start in sorted(inside):
+                search(start, start, [start], inside)
+    except Spent:
+        truncated = True
+    return found, walked, truncated
+
+
+@pytest.mark.parametrize("limits", [a.CycleLimits(), a.CycleLimits(4, 100, 10_000), a.CycleLimits(100, 100, 17), a.CycleLimits(100, 2, 1000), a.CycleLimits(3, 2, 9), a.CycleLimits(1, 5, 40)])
+def test_cycles_share_one_budget(spark, limits):
+    pairs = sorted({(f"{c}{i}", f"{c}{j}") for c, k in (("a", 3), ("b", 1), ("c", 4), ("d", 2)) for i in range(k) for j in range(k)})
+    frame = spark.createDataFrame(pairs, "origin string, target string")
+    parts = a.strongly_connected(frame, frame.select(F.col("origin").alias("id")))
+    inside = [{f"{c}{i}" for i in range(k)} for c, k in (("a", 3), ("b", 1), ("c", 4), ("d", 2))]
+    found, walked, truncated = walk_by_hand(inside, pairs, limits)
+    rows = a.cycles(frame, parts, limits).collect()
+    assert sorted(r["cycle"] for r in rows) == sorted(found)
+    assert {(r["walked"], r["truncated"]) for r in rows} <= {(walked, truncated)}
+    shown = {r["component"]: r["closed_path"] for r in a.representative_cycles(frame, parts).collect()}
+    assert set(shown) == {"a0", "b0", "c0", "d0"} and all(x[0] == x[-1] for x in shown.values())
+
+
+# ---- metrics, baselines --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text, counts", [
+    ("", (0, 0, 0, 0)), ("\n", (1, 1, 0, 0)), ("a\n\n/* x\n\n*/ \n// c\nint b; // d\n", (7, 1, 4, 2)), ("/*", (1, 0, 1, 0)), ("/*/\n*/ x", (2, 0, 1, 1)),
+    ('s = """\n a \\\\"""\n\n// c\nx', (5, 1, 1, 3)), ('s = """\n a \\"""\n\n// c\n', (4, 0, 0, 4)), ('s = """\n a \\\\\\"""\n// c', (3, 0, 0, 3)), ("'\"' // c\n\"// no\"\n/ * 2\n", (3, 0, 0, 3)),
+    ('"a\\\n// c', (2, 0, 1, 1)), ("a\r\rb\r\n", (3, 1, 0, 2)), ("\x1c\n\u2003\n\xa0\n", (3, 2, 0, 1)), ('"/*" /* "\n" */ "', (2, 0, 0, 2)), ("'\\'' // '\n'", (2, 0, 0, 2)),
+])
+def test_source_lines(text, counts):
+    assert m.line_kinds(text) == counts
+
+
+def test_lines_of_plain_text_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        lines = ["".join(rng.choices(["a ", " ", "// n", "x;"], k=rng.randint(0, 3))) for _ in range(rng.randint(1, 8))]
+        kinds = ["blank" if not x.strip() else "comment" if x.strip().startswith("//") else "code" for x in lines]
+        assert m.line_kinds("\n".join(lines) + "\n") == (len(lines), *(kinds.count(k) for k in ("blank", "comment", "code")))
+
+
+def test_baseline_comparison_equals_brute_force(spark):
+    rng = random.Random(6)
+    rows = {side: [(f"i{rng.randrange(6)}", f"e{rng.randrange(5)}") for _ in range(60)] for side in ("old", "new")}
+    want = []
+    for i in {i for side in rows.values() for i, _ in side}:
+        old = sorted(e for x, e in rows["old"] if x == i)
+        for e in sorted(e for x, e in rows["new"] if x == i):
+            state = "UNCHANGED" if e in old else "MOVED" if old else "NEW"
+            if old:
+                old.remove(e if e in old else old[0])
+            want.append((i, e, state))
+        want += [(i, e, "RESOLVED") for e in old]
+    frames = [spark.createDataFrame(x, "identity_fp string, evidence_fp string").withColumn("exact_fp", F.concat("identity_fp", "evidence_fp")) for x in rows.values()]
+    assert sorted(map(tuple, baseline.compare(*frames).collect())) == sorted(want)
+
+
+def test_suppressions_of_every_kind(spark):
+    changes = spark.createDataFrame([("r", "s", None, "NEW"), ("r", "t", "l", "NEW"), ("q", "s", "l", "MOVED"), ("q", "u", "m", "NEW"), ("r", "s", "l", "RESOLVED"), ("r", "s", None, "NEW")], "rule_id string, subject_id string, location string, state string")
+    day = datetime.date
+    rules = spark.createDataFrame([("r", "s", None, day(2024, 1, 5)), ("r", "s", None, day(2024, 1, 1)), ("r", "t", "l", day(2024, 1, 1)), (None, None, "l", None)], "rule_id string, subject_id string, location string, expires_on date")
+    got = sorted((r["rule_id"], r["subject_id"], r["state"]) for r in baseline.suppress(changes, rules, day(2024, 1, 5)).collect())
+    assert got == [("q", "s", "SUPPRESSED"), ("q", "u", "NEW"), ("r", "s", "RESOLVED"), ("r", "s", "SUPPRESSED"), ("r", "s", "SUPPRESSED"), ("r", "t", "SUPPRESSED")]
+    every = spark.createDataFrame([(None, None, None, day(2023, 1, 1))], rules.schema)
+    assert {r["state"] for r in baseline.suppress(changes, every, day(2024, 1, 5)).collect()} == {"EXPIRED", "RESOLVED"}
+    assert baseline.suppress(changes, rules.limit(0), day(2024, 1, 5)).exceptAll(changes).count() == 0
+
+
+def test_top_evidence_is_bounded(spark):
+    rows = spark.createDataFrame([("a", None, f"l{i:02}") for i in range(30)] * 2 + [("b", "k", "l")], "origin string, kind string, location string").withColumns({c: F.lit(None).cast("string") for c in ("owner_member", "bytecode_offset", "source_file", "line_number")})
+    got = {r["origin"]: r for r in top_evidence(rows, ["origin", "kind"], 3).collect()}
+    assert [e["location"] for e in got["a"]["evidence"]] == ["l00", "l01", "l02"] and (got["a"]["matched"], got["a"]["omitted"]) == (30, 27) and got["b"]["omitted"] == 0
+    assert {(r["matched"], len(r["evidence"])) for r in top_evidence(rows, ["kind"], 0).collect()} == {(30, 0), (1, 0)}
