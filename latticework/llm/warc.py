@@ -217,13 +217,12 @@ def convert(spark: SparkSession, source: str, target: str, *, least_bytes: int =
     order = F.struct(F.col("page_id").isNull().alias("none"), (-F.col("page_id")).alias("less"), "archive", "offset", "record_id", "url", "date")
     stored = small.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1", "sha256", "payload_bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stored = write_table(stored.select("sha1", "sha256", "payload_bytes", "first"), f"{area}/stored")
-    n = stored.count()
-    stored = broadcast_if(stored, n, 200_000)
-    joined = records.join(stored, ["sha1", "sha256", "payload_bytes"], "left").select(
-        "record_id", "url", "date", "warc_type", "content_type", "head", "payload", "sha1",
-        F.when(F.col("first.record_id") != F.col("record_id"), F.col("first.record_id")).alias("refers_to"),
-        F.col("first.url").alias("refers_url"), F.col("first.date").alias("refers_date"),
-    )
+    # Which record refers to which is found on narrow rows; payloads move by their own record only, so a common payload is no hot key.
+    referring = small.join(broadcast_if(stored, stored.count(), 200_000), ["sha1", "sha256", "payload_bytes"]).where(F.col("first.record_id") != F.col("record_id"))
+    referring = referring.select("record_id", F.col("first.record_id").alias("refers_to"), F.col("first.url").alias("refers_url"), F.col("first.date").alias("refers_date"))
+    referring = write_table(referring, f"{area}/referring")
+    joined = records.join(broadcast_if(referring, referring.count(), 200_000), "record_id", "left")
+    joined = joined.select("record_id", "url", "date", "warc_type", "content_type", "head", "payload", "sha1", "refers_to", "refers_url", "refers_date")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
