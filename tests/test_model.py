@@ -147,3 +147,27 @@ def test_results_show_bounded_evidence(spark):
     result = render.collect(RuleOutcome(rule, violations(rule, ends, "X")), render.ResultLimits(evidence=2), proof)
     assert [e["location"] for e in result.violations[0]["evidence"]] == ["l0", "l1"] and result.violations[0]["omitted_evidence"] == 3
     assert "    at l0:0\n    at l1:1\n    ... 3 more\n" in render.console([result])
+
+
+def test_rules_are_collected_as_tests(spark, classes, tmp_path):
+    from latticework import pytest_plugin
+
+    folder = tmp_path / "classes/py4j/reflection"
+    folder.mkdir(parents=True)
+    for name, raw in classes.items():
+        if name.startswith("py4j/reflection/"):
+            (tmp_path / "classes" / name).write_bytes(raw)
+    rule = "rule.{0}.type=no\nrule.{0}.origin=glob:py4j.reflection.**\nrule.{0}.target=glob:{1}\nrule.{0}.external=non-matching\n"
+    (tmp_path / "some.rules.properties").write_text("schema=1\ninput.1=classes\n" + rule.format("net", "java.net.**") + rule.format("self", "py4j.reflection.**"))
+
+    class Seen:
+        def __init__(self):
+            self.outcomes = {}
+
+        def pytest_runtest_logreport(self, report):
+            if report.when == "call":
+                self.outcomes[report.nodeid.rpartition("::")[2]] = report.outcome
+
+    seen = Seen()
+    pytest.main([str(tmp_path), "-p", "no:cacheprovider", "-p", "no:terminal"], plugins=[seen, pytest_plugin])
+    assert seen.outcomes == {"net": "passed", "self": "failed"}
