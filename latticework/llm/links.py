@@ -108,6 +108,7 @@ class LinkSearch:
         self.area = area or new_area(self.spark, "links")
         self.percent, self.sets_of, self.members, self.hints = percent, sets_of, members, hints
         self.star_rounds, self.close_factor, self.close_pairs = star_rounds, close_factor, close_pairs
+        self.marked = "marks" in postings.columns
         for name, kind in (("earlier", "array<long>"), ("marks", "array<smallint>")):
             postings = postings if name in postings.columns else postings.withColumn(name, F.lit(None).cast(kind))
         self.postings = postings
@@ -129,8 +130,11 @@ class LinkSearch:
         found = components(self.links)
         return self.members.join(found, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component"))
 
-    def _verify(self, pairs: DataFrame, name: str) -> int:
-        """Tests new pairs (a, b) of ids and adds what holds to the links; gives the number tested."""
+    def _verify(self, pairs: DataFrame, name: str, *, bounded: bool = False) -> int:
+        """Tests new pairs (a, b) of ids and adds what holds to the links; gives the number tested.
+
+        ``bounded``: histograms have been compared already, so only whole sets are left to compare.
+        """
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
@@ -138,7 +142,7 @@ class LinkSearch:
         n = pairs.count()
         self.report.append((name, n))
         if n:
-            left = held(possible(pairs, self.hints, self.percent))
+            left = held(pairs if bounded else possible(pairs, self.hints, self.percent))
             self.report.append((f"{name} possible", left.count()))
             ids = held(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct())
             sets = held(self.sets_of(ids))
@@ -218,6 +222,6 @@ class LinkSearch:
             met = x.join(y, "token").where(ordered & first & within & self._may_link("qa", "na", "qb", "nb")).select("ga", "ca", "gb", "cb").distinct()
             ma = labels.select(F.col("grp").alias("ga"), F.col("component").alias("ca"), F.col("id").alias("a"))
             mb = labels.select(F.col("grp").alias("gb"), F.col("component").alias("cb"), F.col("id").alias("b"))
-            self._verify(met.join(ma, ["ga", "ca"]).join(mb, ["gb", "cb"]).select("a", "b"), "close")
+            self._verify(met.join(ma, ["ga", "ca"]).join(mb, ["gb", "cb"]).select("a", "b"), "close", bounded=self.marked)
             labels = write_table(self._labels(), f"{self.area}/labels-close")
         return labels.select("id", "component")
