@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from latticework.llm import decontaminate, exact_dedup, html_text, language_id, line_dedup, ngram_join, packing, substring_dedup, toxicity, warc
+from latticework.llm import bitplanes, decontaminate, exact_dedup, hard_negatives, html_text, language_id, line_dedup, ngram_join, packing, substring_dedup, toxicity, vector_codes, warc
 
-_MODULES = (exact_dedup, line_dedup, language_id, toxicity, packing, warc, html_text, decontaminate, ngram_join, substring_dedup)
+_MODULES = (exact_dedup, line_dedup, language_id, toxicity, packing, warc, html_text, decontaminate, ngram_join, substring_dedup, vector_codes, hard_negatives, bitplanes)
 
 
 def queries() -> dict:
