@@ -84,6 +84,9 @@ class Words:
         other = "".join(f"\\u{c:04x}" for c in range(0x500) if unicodedata.category(chr(c)) == "Cn" or 0x1C <= c <= 0x1F or c == 0x85)
         special = "|".join(re.escape(x["content"]) for x in said.get("added_tokens", []))
         self.apart = re.compile(f"[{other}Ԁ-\U0010ffff]" + (f"|{special}" if special else ""))
+        self.letters = re.compile(f" ?[{letters}]+")
+        line_end = self.library.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
@@ -107,8 +110,15 @@ class Words:
     def _joined(self, words: list[str]) -> bytes:
         if len(self.known) > WORDS_HELD:
             self.known.clear()
-        new = list(set(words).difference(self.known))
-        for word, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
+        new = set(words).difference(self.known)
+        lines = [w for w in new if self.letters.fullmatch(w)] if self.line_end is not None else []
+        if lines:  # one call for all of them: a line end is a word of its own between two
+            ids = np.array(self.library.encode("\n".join(lines), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.line_end)).tolist()
+            raw = ids.tobytes()
+            self.known.update((w, raw[i:k]) for w, i, k in zip(lines, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True))
+        others = list(new.difference(lines))
+        for word, found in zip(others, self.library.encode_batch(others, add_special_tokens=False), strict=True):
             self.known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
         out = b"".join(map(self.known.__getitem__, words))
         for word in new:
