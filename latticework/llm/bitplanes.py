@@ -51,7 +51,7 @@ MODES = ("bit", "byte")
 
 # ---- ids ---------------------------------------------------------------------------------------
 
-#: Words whose ids a worker remembers, and their length: some 100 MB.
+#: Words whose ids a worker remembers, twice as many at most, and their length: some 200 MB.
 WORDS_HELD, WORD_LENGTH = 500_000, 60
 
 
@@ -64,7 +64,7 @@ class Words:
     """Ids by ``tokenizers``, word by word where that is the same.
 
     A byte-level vocabulary splits a text by one pattern before it merges, so a word's ids don't depend on what stands beside
-    it: each distinct word goes through the library once.  The pattern here is that of the vocabulary file, for texts of
+    it: each distinct word goes through the library's model once.  The pattern here is that of the vocabulary file, for texts of
     characters below U+0500 whose category no version of Unicode has changed; every other text, and one that holds a special token, goes
     through the library whole.
     """
@@ -84,9 +84,11 @@ class Words:
         other = "".join(f"\\u{c:04x}" for c in range(0x500) if unicodedata.category(chr(c)) == "Cn" or 0x1C <= c <= 0x1F or c == 0x85)
         special = "|".join(re.escape(x["content"]) for x in said.get("added_tokens", []))
         self.apart = re.compile(f"[{other}Ԁ-\U0010ffff]" + (f"|{special}" if special else ""))
-        self.letters = re.compile(f" ?[{letters}]+")
-        line_end = self.library.encode("\n", add_special_tokens=False).ids
-        self.line_end = line_end[0] if len(line_end) == 1 else None
+        # A byte-level vocabulary writes printable bytes as themselves, and all others as the characters from U+0100 on.
+        plain = [c for c in range(256) if 33 <= c <= 126 or c >= 161 and c != 173]
+        self.alphabet = {c: chr(256 + k) for k, c in enumerate(c for c in range(256) if c not in plain)}
+        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
@@ -108,22 +110,19 @@ class Words:
         return np.frombuffer(b"".join(parts), "<u4")
 
     def _joined(self, words: list[str]) -> bytes:
-        if len(self.known) > WORDS_HELD:
-            self.known.clear()
-        new = set(words).difference(self.known)
-        lines = [w for w in new if self.letters.fullmatch(w)] if self.line_end is not None else []
-        if lines:  # one call for all of them: a line end is a word of its own between two
-            ids = np.array(self.library.encode("\n".join(lines), add_special_tokens=False).ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.line_end)).tolist()
-            raw = ids.tobytes()
-            self.known.update((w, raw[i:k]) for w, i, k in zip(lines, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True))
-        others = list(new.difference(lines))
-        for word, found in zip(others, self.library.encode_batch(others, add_special_tokens=False), strict=True):
-            self.known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-        out = b"".join(map(self.known.__getitem__, words))
-        for word in new:
+        if len(self.known) > WORDS_HELD:  # what is still in use comes back from the older half
+            self.older, self.known = self.known, {}
+        for word in set(words).difference(self.known):
+            ids = self.older.get(word)
+            if ids is None:
+                found = self.library.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
+                ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+            self.known[word] = ids
             if len(word) > WORD_LENGTH:
-                del self.known[word]
+                self.long.append(word)
+        out = b"".join(map(self.known.__getitem__, words))
+        while self.long:
+            del self.known[self.long.pop()]
         return out
 
 
