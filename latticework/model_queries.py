@@ -35,15 +35,85 @@ def _chain(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_CHAIN}, s AS (SELECT x.o AS id, min(x.t) AS component FROM r x JOIN r y ON x.o = y.t AND x.t = y.o GROUP BY x.o) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM s")
 def scc_user_chain(spark: SparkSession, sf: str) -> DataFrame:
     g = graph_from(_chain(spark, sf))
-    return algorithms.strongly_connected(g.connections(), _ids(g.nodes, "stable_key")).select("id", "component", "size")
+    return algorithms.strongly_connected(g.connections(), _ids(g.nodes, "stable_key"), by="pivots").select("id", "component", "size")
 
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT o AS subject, count(*) AS depends_on FROM r GROUP BY o")
 def reach_user_chain(spark: SparkSession, sf: str) -> DataFrame:
     g = graph_from(_chain(spark, sf))
+    return metrics.reach_counts(g.connections(), g.nodes.select(F.col("stable_key").alias("subject")), by="blocks")
+
+
+# ---- components and reach of graphs beyond one task -------------------------------------------------
+
+_HANDOVER = f"""WITH RECURSIVE {wl.HANDOVER_SQL}, e AS (SELECT DISTINCT origin AS o, target AS t FROM handover WHERE origin <> target), v AS (SELECT origin AS id FROM handover UNION SELECT target FROM handover),
+r AS (SELECT id AS o, id AS t FROM v UNION SELECT r.o, e.t FROM r JOIN e ON r.t = e.o)"""
+_HANDOVER_PARTS = _HANDOVER + ", s AS (SELECT x.o AS id, min(x.t) AS component FROM r x JOIN r y ON x.o = y.t AND x.t = y.o GROUP BY x.o), z AS (SELECT component, count(*) AS size FROM s GROUP BY component)"
+_HANDOVER_SCC = _HANDOVER_PARTS + " SELECT id, component, size, size > 1 OR id IN (SELECT origin FROM handover WHERE origin = target) OR component IN (SELECT s2.component FROM s s2 JOIN handover h ON h.origin = s2.id AND h.target = s2.id) AS cyclic FROM s JOIN z USING (component)"
+
+
+def _handover_components(spark: SparkSession, sf: str, by: str) -> DataFrame:
+    g = wl.handover(spark, sf)
+    return algorithms.strongly_connected(g.connections(), _ids(g.nodes, "stable_key"), by=by)
+
+
+@query(_HANDOVER_SCC)
+def scc_handover(spark: SparkSession, sf: str) -> DataFrame:
+    return _handover_components(spark, sf, "parts")
+
+
+@query(_HANDOVER_SCC)
+def scc_handover_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    return _handover_components(spark, sf, "pivots")
+
+
+@query(_HANDOVER_PARTS + " SELECT component AS origin, size AS n_evidence FROM z WHERE size > 1 OR component IN (SELECT s2.component FROM s s2 JOIN handover h ON h.origin = s2.id AND h.target = s2.id)")
+def cycle_violations_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    g = wl.handover(spark, sf)
+    return _shown(structure.acyclic(_RULE, g, g.nodes.select("stable_key"), by="pivots"), "origin", "n_evidence")
+
+
+@query(_HANDOVER + """, b AS (SELECT DISTINCT t FROM r WHERE ends_with(o, 'w2.U7')), lost AS (SELECT id FROM v WHERE id NOT IN (SELECT t FROM b))
+SELECT component AS origin, count(*) AS n_evidence FROM (SELECT x.o AS id, min(x.t) AS component FROM r x JOIN r y ON x.o = y.t AND x.t = y.o WHERE x.o IN (SELECT id FROM lost) GROUP BY x.o) GROUP BY component""")
+def unreachable_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    g = wl.handover(spark, sf)
+    ids = _ids(g.nodes, "stable_key")
+    return _shown(structure.unreachable(_RULE, g, ids, ids.where(F.col("id").endswith("w2.U7")), by="pivots"), "origin", "n_evidence")
+
+
+@query(_HANDOVER + " SELECT o AS subject, count(*) AS depends_on FROM r GROUP BY o")
+def reach_handover(spark: SparkSession, sf: str) -> DataFrame:
+    g = wl.handover(spark, sf)
     return metrics.reach_counts(g.connections(), g.nodes.select(F.col("stable_key").alias("subject")))
 
 
+@query(_HANDOVER + " SELECT o AS subject, count(*) AS depends_on FROM r GROUP BY o")
+def reach_handover_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    g = wl.handover(spark, sf)
+    return metrics.reach_counts(g.connections(), g.nodes.select(F.col("stable_key").alias("subject")), by="blocks")
+
+
+def _forward_trade(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Trade without returns: an acyclic graph of all customers, parts and suppliers."""
+    g = wl.trade(spark, sf).without_evidence(F.col("kind") == "THROWS")
+    return g.connections(), g.nodes.select(F.col("stable_key").alias("subject"))
+
+
+_FORWARD = f"""WITH {wl.TRADE_SQL}, e AS (SELECT DISTINCT origin AS o, target AS t FROM trade WHERE kind <> 'THROWS'),
+r AS (SELECT type_key AS o, type_key AS t FROM catalog UNION SELECT o, t FROM e UNION SELECT a.o, b.t FROM e a JOIN e b ON a.t = b.o), c AS (SELECT o AS subject, count(*) AS depends_on FROM r GROUP BY o)"""
+
+
+@query(_FORWARD + " SELECT subject, depends_on FROM c")
+def reach_trade_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.reach_counts(*_forward_trade(spark, sf), by="blocks")
+
+
+@query(_FORWARD + """, s AS (SELECT count(*) AS n, sum(depends_on)::BIGINT AS ccd FROM c), d AS (SELECT sum(length(bin(i)))::BIGINT AS den FROM s, range(1, s.n + 1) AS q(i))
+SELECT n, ccd, ccd / n AS acd, ccd / (n * n) AS racd, ccd / den AS nccd FROM s, d""")
+def ccd_trade(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.cumulative(metrics.reach_counts(*_forward_trade(spark, sf)))
+
+
 # ---- class paths -----------------------------------------------------------------------------------
 
 

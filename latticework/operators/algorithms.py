@@ -187,10 +187,12 @@ def _by_size(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, in
 def strongly_connected(edges: DataFrame, nodes: DataFrame, *, by: str = "parts") -> DataFrame:
     """(id, component, size, cyclic): a component's name is its least id; cyclic means larger than one, or a self edge.
 
-    by="parts": weak components of a bounded size are solved in one task each, larger ones by colouring.  by="colouring":
-    trimmed, then the least label spreads forwards and each colour's root is followed backwards within its colour, so memory
+    by="parts": weak components of a bounded size are solved in one task each, larger ones by pivots.  by="pivots": forward and
+    backward reach from a pivot a region, trimmed (``condense``).  by="colouring": trimmed, then the least label spreads forwards and each colour's root is followed backwards within its colour, so memory
     stays in proportion to the edges.  by="closure": nodes that reach each other, off the closure; for small graphs.
     """
+    from latticework.operators.condense import strong_by_pivots
+
     edges, ids = _read_once(edges, nodes)
     if by == "closure":
         reach = closure(edges, ids)
@@ -198,35 +200,33 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame, *, by: str = "parts")
         found = reach.join(back, ["origin", "target"], "left_semi").groupBy(F.col("origin").alias("id")).agg(F.min("target").alias("component"))
     elif by == "colouring":
         found = _coloured(edges, ids)
+    elif by == "pivots":
+        found = cut(strong_by_pivots(edges, ids), "strong")
     else:
         small, rest, n_large = _by_size(edges, ids)
         found = small.groupBy("bucket").applyInPandas(_strong_of_bucket, "id string, component string")
         if n_large:
-            found = found.unionByName(_coloured(rest, rest.where("origin = target").select(F.col("origin").alias("id"))))
+            found = found.unionByName(strong_by_pivots(rest, rest.where("origin = target").select(F.col("origin").alias("id"))))
         found = cut(found, "strong")
     loops = edges.where("origin = target").select(F.col("origin").alias("id")).distinct().withColumn("loop", F.lit(True))
     sizes = found.join(loops, "id", "left").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.bool_or(F.coalesce("loop", F.lit(False))).alias("loop"))
     return found.join(sizes, "component").select("id", "component", "size", (F.col("loop") | (F.col("size") > 1)).alias("cyclic"))
 
 
-def reach_sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def reach_sizes(edges: DataFrame, nodes: DataFrame, *, by: str = "parts") -> DataFrame:
     """(id, reached): how many nodes each one reaches, itself included.
 
-    Weak components of a bounded size are counted in one task each; larger ones by the closure of what is left when every
-    strong component is one node, so that a cycle of k nodes costs one row and not k * k.
+    by="parts": weak components of a bounded size are counted in one task each; larger ones by bit-matrix blocks over the levels
+    of their strong components.  by="blocks": all of them the second way.
     """
+    from latticework.operators.condense import reach_in_large
+
     edges, ids = _read_once(edges, nodes)
+    if by == "blocks":
+        return reach_in_large(edges, ids)
     small, rest, n_large = _by_size(edges, ids)
     found = small.groupBy("bucket").applyInPandas(_reach_of_bucket, "id string, reached long")
-    if not n_large:
-        return found
-    part = cut(_coloured(rest, rest.where("origin = target").select(F.col("origin").alias("id"))), "strong")
-    sizes = part.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    short = rest.join(part.withColumnsRenamed({"id": "origin", "component": "c1"}), "origin").join(part.withColumnsRenamed({"id": "target", "component": "c2"}), "target")
-    short = short.where("c1 <> c2").select(F.col("c1").alias("origin"), F.col("c2").alias("target"))
-    reach = closure(short, sizes.select(F.col("component").alias("id"))).join(sizes.withColumnRenamed("component", "target"), "target")
-    reach = reach.groupBy(F.col("origin").alias("component")).agg(F.sum("size").alias("reached"))
-    return found.unionByName(part.join(reach, "component").select("id", "reached"))
+    return found.unionByName(reach_in_large(rest, rest.where("origin = target").select(F.col("origin").alias("id")))) if n_large else found
 
 
 def _coloured(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -44,11 +44,11 @@ def martin(connections: DataFrame, subjects: DataFrame, composition: DataFrame)
     return rows.select("subject", "ca", "ce", "instability", "abstractness", F.abs(F.col("abstractness") + F.col("instability") - 1).alias("distance"))
 
 
-def reach_counts(connections: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(subject, depends_on): how many subjects each one reaches, itself included."""
+def reach_counts(connections: DataFrame, subjects: DataFrame, *, by: str = "parts") -> DataFrame:
+    """(subject, depends_on): how many subjects each one reaches, itself included; ``by`` as in ``reach_sizes``."""
     keys = subjects.select(F.col("subject").alias("id")).distinct()
     e = connections.join(keys.withColumnRenamed("id", "origin"), "origin", "left_semi").join(keys.withColumnRenamed("id", "target"), "target", "left_semi").select("origin", "target")
-    return reach_sizes(e, keys).select(F.col("id").alias("subject"), F.col("reached").alias("depends_on"))
+    return reach_sizes(e, keys, by=by).select(F.col("id").alias("subject"), F.col("reached").alias("depends_on"))
 
 
 def cumulative(counts: DataFrame) -> DataFrame:

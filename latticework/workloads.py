@@ -42,6 +42,29 @@ flow AS (SELECT 'type:app.p' || (k % 10) || '.U' || u || 'K' || k AS origin, 'ty
   'location:u' || u AS location, event_id AS bytecode_offset, ts FROM fl WHERE k2 IS NOT NULL)"""
 
 
+def handover_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users in five-day windows, in the order of events of one type and one props.k.
+
+    Windows only lead on, so strong components lie within one: a giant one a window, small ones, and many nodes by themselves.
+    """
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("type:app.m"), F.date_format("ts", "yyyyMM"), F.lit("w"), F.expr("day(ts) div 5"), F.lit(".U"), "user_id").alias("origin"), "event_type", F.get_json_object("props", "$.k").alias("k"), "ts", "event_id")
+    w = Window.partitionBy("event_type", "k").orderBy("ts", "event_id")
+    e = e.select("origin", F.lead("origin").over(w).alias("target"), "event_type", "k", "event_id").where("target IS NOT NULL")
+    kind = F.lit(None).cast("string")
+    for name, value in EVENT_KINDS.items():
+        kind = F.when(F.col("event_type") == name, value).otherwise(kind)
+    return e.select("origin", "target", kind.alias("kind"), F.concat(F.lit("location:k"), "k").alias("location"), F.col("event_id").alias("bytecode_offset"))
+
+
+def handover(spark: SparkSession, sf_dir: str) -> Graph:
+    return graph_from(handover_evidence(spark, sf_dir))
+
+
+HANDOVER_SQL = """
+he AS (SELECT 'type:app.m' || strftime(ts, '%Y%m') || 'w' || (day(ts) // 5) || '.U' || user_id AS origin, event_type, json_extract_string(props, '$.k') AS k, ts, event_id FROM events),
+handover AS (SELECT origin, lead(origin) OVER (PARTITION BY event_type, k ORDER BY ts, event_id) AS target, event_type, k, event_id FROM he QUALIFY target IS NOT NULL)"""
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of the trade graph: type_key, binary_name, package, kind, modifiers, container."""
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("crm.n"), "c_nationkey", F.lit(".C"), "c_custkey").alias("binary_name"), F.concat(F.lit("crm.n"), "c_nationkey").alias("package"), F.lit("CLASS").alias("kind"), (F.col("c_acctbal") > 0).alias("public"), F.col("c_mktsegment").alias("container"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.operators import algorithms as a
-from latticework.operators import baseline
+from latticework.operators import baseline, condense
 from latticework.operators import metrics as m
 from latticework.operators.rules.dependencies import DependencySpec, dependency_rule, layer_rule
 from latticework.operators.rules.outcome import FAILED, INCOMPLETE, PASSED, RuleMetadata, top_evidence
@@ -246,7 +246,7 @@ def test_cycles_share_one_budget(spark, limits):
     ('s = """\n a \\\\"""\n\n// c\nx', (5, 1, 1, 3)), ('s = """\n a \\"""\n\n// c\n', (4, 0, 0, 4)), ('s = """\n a \\\\\\"""\n// c', (3, 0, 0, 3)), ("'\"' // c\n\"// no\"\n/ * 2\n", (3, 0, 0, 3)),
     ('"a\\\n// c', (2, 0, 1, 1)), ("a\r\rb\r\n", (3, 1, 0, 2)), ("\x1c\n\u2003\n\xa0\n", (3, 2, 0, 1)), ('"/*" /* "\n" */ "', (2, 0, 0, 2)), ("'\\'' // '\n'", (2, 0, 0, 2)),
 ])
-def test_source_lines(text, counts):
+def test_line_kinds_of_odd_texts(text, counts):
     assert m.line_kinds(text) == counts
 
 
@@ -290,3 +290,57 @@ def test_top_evidence_is_bounded(spark):
     got = {r["origin"]: r for r in top_evidence(rows, ["origin", "kind"], 3).collect()}
     assert [e["location"] for e in got["a"]["evidence"]] == ["l00", "l01", "l02"] and (got["a"]["matched"], got["a"]["omitted"]) == (30, 27) and got["b"]["omitted"] == 0
     assert {(r["matched"], len(r["evidence"])) for r in top_evidence(rows, ["kind"], 0).collect()} == {(30, 0), (1, 0)}
+
+
+def closed(pairs, names):
+    """What each name reaches, itself included."""
+    out = {n: {n} for n in names}
+    for _ in names:
+        for x, y in pairs:
+            out[x] |= out[y]
+    return out
+
+
+def graph_with_rings(seed, n, m):
+    rng = random.Random(seed)
+    pairs = {(f"{rng.randrange(n):02d}", f"{rng.randrange(n):02d}") for _ in range(m)}
+    return sorted(pairs | {("90", "91"), ("91", "92"), ("92", "90"), ("93", "93")}), [f"{k:02d}" for k in range(n)] + ["90", "91", "92", "93", "94"]
+
+
+@pytest.mark.parametrize("seed, n, m, rounds", [(1, 30, 35, 64), (2, 25, 60, 64), (3, 40, 30, 1)])
+def test_components_by_pivots(spark, seed, n, m, rounds):
+    pairs, names = graph_with_rings(seed, n, m)
+    reach = closed(pairs, names)
+    want = {x: min(y for y in reach[x] if x in reach[y]) for x in names}
+    found = condense.strong_by_pivots(spark.createDataFrame(pairs, "origin string, target string"), spark.createDataFrame([(x,) for x in names], "id string"), rounds=rounds)
+    assert {r["id"]: r["component"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("seed, n, m", [(4, 30, 40), (5, 20, 45)])
+def test_reach_by_blocks(spark, seed, n, m):
+    pairs, names = graph_with_rings(seed, n, m)
+    reach = closed(pairs, names)
+    found = a.reach_sizes(spark.createDataFrame(pairs, "origin string, target string"), spark.createDataFrame([(x,) for x in names], "id string"), by="blocks")
+    assert {r["id"]: r["reached"] for r in found.collect()} == {x: len(y) for x, y in reach.items()}
+
+
+@pytest.mark.parametrize("pass_columns", [16, 262_144])
+def test_reach_of_an_acyclic_graph_in_blocks_and_passes(spark, pass_columns):
+    rng = random.Random(6)
+    n = 700  # more than one block of columns
+    pairs = {(f"{x:03d}", f"{rng.randrange(x):03d}") for x in range(1, n) for _ in range(2) if x % 50}
+    sizes = {f"{x:03d}": rng.choice([1, 1, 1, 6, 1_000_000_007]) for x in range(n)}
+    reach = {}
+    for x in sorted(sizes):
+        reach[x] = {x}.union(*(reach[y] for z, y in pairs if z == x))
+    keep = pairs if pass_columns > 16 else {(x, y) for x, y in pairs if x < "060"}
+    names = sorted(sizes) if pass_columns > 16 else sorted(sizes)[:60]
+    found = condense.reach_by_blocks(spark.createDataFrame(sorted(keep), "origin string, target string"), spark.createDataFrame([(x, sizes[x]) for x in names], "id string, size long"), pass_columns=pass_columns)
+    assert {r["id"]: r["reached"] for r in found.collect()} == {x: sum(sizes[y] for y in reach[x]) for x in names}
+
+
+def test_levels_refuse_a_cycle(spark):
+    ids = spark.createDataFrame([("A",), ("B",)], "id string")
+    with pytest.raises(ValueError):
+        condense.topological_levels(spark.createDataFrame([("A", "B"), ("B", "A")], "origin string, target string"), ids)
+    assert condense.reach_by_blocks(spark.createDataFrame([], "origin string, target string"), spark.createDataFrame([], "id string, size long")).count() == 0
