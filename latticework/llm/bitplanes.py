@@ -80,16 +80,13 @@ class Words:
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not said.get("normalizer") and not said.get("truncation")
         letters, numbers = _class("L"), _class("N")
         self.words = re.compile(f" ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[{numbers}]+| ?[^\\s{letters}{numbers}]+|\\s+(?!\\S)|\\s+")
-        # Unassigned characters, and those that Python alone takes for white space, are left to the library.
-        other = "".join(f"\\u{c:04x}" for c in range(0x500) if unicodedata.category(chr(c)) == "Cn" or 0x1C <= c <= 0x1F or c == 0x85)
-        special = "|".join(re.escape(x["content"]) for x in said.get("added_tokens", []))
-        self.apart = re.compile(f"[{other}Ԁ-\U0010ffff]" + (f"|{special}" if special else ""))
+        # Unassigned characters, those that Python alone takes for white space, and all from U+0500 on are left to the library.
+        self.apart = np.array([unicodedata.category(chr(c)) == "Cn" or 0x1C <= c <= 0x1F or c == 0x85 for c in range(0x500)] + [True])
+        self.special = [x["content"] for x in said.get("added_tokens", [])]
         # A byte-level vocabulary writes printable bytes as themselves, and all others as the characters from U+0100 on.
         plain = [c for c in range(256) if 33 <= c <= 126 or c >= 161 and c != 173]
         self.alphabet = {c: chr(256 + k) for k, c in enumerate(c for c in range(256) if c not in plain)}
-        self.older: dict[str, bytes] = {}
-        self.long: list[str] = []
-        self.known: dict[str, bytes] = {}
+        self.known = _Remembered(self._word)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
@@ -97,7 +94,7 @@ class Words:
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if not self.by_word or self.apart.search(text):
+        if not self.by_word or self._odd(text):
             return self._whole(text)
         parts: list[bytes] = []
         words: list[str] = []
@@ -109,21 +106,35 @@ class Words:
         parts.append(self._joined(words if parts or words else self.words.findall(text)))
         return np.frombuffer(b"".join(parts), "<u4")
 
+    def _odd(self, text: str) -> bool:
+        if any(x in text for x in self.special):
+            return True
+        units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+        return bool(self.apart[np.minimum(units, 0x500)].any())
+
     def _joined(self, words: list[str]) -> bytes:
-        if len(self.known) > WORDS_HELD:  # what is still in use comes back from the older half
-            self.older, self.known = self.known, {}
-        for word in set(words).difference(self.known):
-            ids = self.older.get(word)
-            if ids is None:
-                found = self.library.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
-                ids = struct.pack(f"<{len(found)}I", *[x.id for x in found])
-            self.known[word] = ids
-            if len(word) > WORD_LENGTH:
-                self.long.append(word)
-        out = b"".join(map(self.known.__getitem__, words))
-        while self.long:
-            del self.known[self.long.pop()]
-        return out
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        found = self.library.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
+        return struct.pack(f"<{len(found)}I", *[x.id for x in found])
+
+
+class _Remembered(dict):
+    """The ids of words, made when first asked for; what is still in use comes back from the older half when one is full."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word) or self.make(word)
+        if len(word) <= WORD_LENGTH:
+            if len(self) >= WORDS_HELD:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 _held: dict[str, Words] = {}
