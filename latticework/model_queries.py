@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from latticework import workloads as wl
 from latticework.functions import classify, patterns
 from latticework.operators import algorithms, baseline, hierarchy, lookup, metrics
+from latticework.operators.rules import access, structure
 from latticework.operators.rules import modules as mod
-from latticework.operators.rules import structure
 from latticework.operators.rules.outcome import RuleMetadata, RuleOutcome, violations
 from latticework.plans import selectors
 from latticework.plans.graph import graph_from
@@ -264,6 +264,62 @@ def sealed_types(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.sealed_check(types)
 
 
+@query("""WITH RECURSIVE o AS (SELECT c_custkey AS s, c_custkey // 2 AS a FROM customer WHERE c_custkey > 1 UNION ALL SELECT 1, c_custkey FROM customer WHERE c_custkey = 5), n AS (SELECT DISTINCT a FROM o),
+r AS (SELECT s, a, 1 AS d FROM o WHERE s IN (SELECT a FROM n) UNION SELECT r.s, o.a, d + 1 FROM r JOIN o ON o.s = r.a WHERE d < 4 AND r.s <> r.a), m AS (SELECT s, a, min(d) AS d FROM r GROUP BY s, a)
+SELECT n.a::VARCHAR AS annotation, (SELECT count(*) FROM m WHERE m.s = n.a AND m.a <> n.a) AS n_meta,
+  EXISTS (SELECT 1 FROM m JOIN o ON o.s = m.a WHERE m.s = n.a AND m.d = 4 AND NOT EXISTS (SELECT 1 FROM m k WHERE k.s = n.a AND k.a = o.a)) AS "limit",
+  EXISTS (SELECT 1 FROM m WHERE m.s = n.a AND (m.a = n.a OR m.a IN (SELECT k.s FROM m k WHERE k.s = k.a))) AS cycle FROM n""")
+def meta_annotation_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotation k carries k div 2, and 1 carries 5: a cycle at the top, and more levels than the four that are followed."""
+    c = wl.table(spark, sf, "customer")
+    rows = c.where("c_custkey > 1").select(F.col("c_custkey").cast("string").alias("subject"), F.expr("cast(c_custkey div 2 AS string)").alias("annotation"))
+    rows = rows.unionByName(c.where("c_custkey = 5").select(F.lit("1").alias("subject"), F.col("c_custkey").cast("string").alias("annotation")))
+    return hierarchy.meta_annotation_states(rows, max_depth=4)
+
+
+@query("""WITH t AS (SELECT c_custkey AS k, c_custkey // 2 AS up, c_acctbal > 0 AS sealed, c_mktsegment = 'BUILDING' AS final, c_nationkey = 3 AS lost FROM customer),
+o AS (SELECT k, CASE WHEN lost THEN -1 ELSE up END AS up FROM t WHERE k > 1), r AS (SELECT k, up, 1 AS d FROM o),
+a AS (WITH RECURSIVE z AS (SELECT k, up FROM o UNION SELECT z.k, o.up FROM z JOIN o ON o.k = z.up) SELECT k FROM z WHERE up = -1 OR (up > 0 AND up NOT IN (SELECT k FROM t)) GROUP BY k),
+q AS (SELECT k FROM t WHERE k % 5 = 0 UNION SELECT 10000000), d AS (SELECT k AS s, 2 * k AS c FROM t WHERE sealed UNION SELECT k, 3 * k FROM t WHERE sealed), e AS (SELECT o.up AS s, o.k AS c FROM o JOIN t ON t.k = o.up AND t.sealed),
+b AS (SELECT coalesce(d.s, e.s) AS s, coalesce(d.c, e.c) AS c, d.s IS NOT NULL AS said, e.s IS NOT NULL AS seen FROM d FULL JOIN e ON d.s = e.s AND d.c = e.c)
+SELECT s::VARCHAR AS sealed, c::VARCHAR AS subtype, code FROM (SELECT b.s, b.c, CASE WHEN NOT said THEN 'UNDECLARED_SUBTYPE' WHEN s = c THEN 'SELF_PERMITTED' WHEN k.k IS NULL THEN 'MISSING_SUBTYPE' WHEN NOT seen AND b.c IN (SELECT k FROM a) THEN 'RELATIONSHIP_UNKNOWN' WHEN NOT seen THEN 'PERMITTED_NOT_SUBTYPE'
+  WHEN NOT (k.final OR k.sealed) THEN 'SUBTYPE_NOT_CLOSED' END AS code FROM b LEFT JOIN t k ON k.k = b.c WHERE s IN (SELECT k FROM q)) WHERE code IS NOT NULL AND s > 0
+UNION ALL SELECT '0', c::VARCHAR, code FROM (SELECT 0 AS c, CASE WHEN (SELECT sealed FROM t WHERE k = 0) THEN 'DUPLICATE_PERMITTED' END AS code) WHERE code IS NOT NULL
+UNION ALL SELECT s::VARCHAR, c::VARCHAR, 'UNDECLARED_SUBTYPE' FROM b WHERE s = 0 AND NOT said
+UNION ALL SELECT '10000000', NULL, 'QUERY_TYPE_MISSING'""")
+def sealed_types_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """A type permits 2k and 3k; customers of nation 3 extend a type that nobody knows.  Every fifth type is asked for, and one that isn't there."""
+    key = F.col("c_custkey").cast("string")
+    none = F.array().cast("array<string>")
+    c = wl.table(spark, sf, "customer")
+    permitted = F.array(F.expr("cast(2 * c_custkey AS string)"), F.expr("cast(3 * c_custkey AS string)"))
+    up = F.when(F.col("c_nationkey") == 3, "-1").otherwise(F.expr("cast(c_custkey div 2 AS string)"))
+    types = c.select(
+        key.alias("binary_name"), (F.col("c_acctbal") > 0).alias("sealed"), F.when(F.col("c_acctbal") > 0, permitted).otherwise(none).alias("permitted"), F.when(F.col("c_custkey") > 1, up).alias("superclass"),
+        none.alias("interfaces"), F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("FINAL"))).otherwise(none).alias("modifiers"), F.lit("p").alias("package"),
+    )
+    asked = c.where("c_custkey % 5 = 0").select(key.alias("binary_name")).unionByName(spark.createDataFrame([("10000000",)], "binary_name string"))
+    return hierarchy.sealed_check(types, asked)
+
+
+_NESTS = """h AS (SELECT 'T' || s_suppkey AS t, 'T' || (s_suppkey // 4 * 4) AS host FROM supplier WHERE s_suppkey % 4 <> 0 OR s_acctbal < 0 UNION SELECT 'T' || s_suppkey, 'T' || (s_suppkey // 8 * 8) FROM supplier WHERE s_nationkey = 3),
+l AS (SELECT 'T' || (s_suppkey // 4 * 4) AS t, 'T' || s_suppkey AS member FROM supplier WHERE s_suppkey % 4 <> 0 AND s_nationkey <> 5 UNION ALL SELECT 'T' || (s_suppkey // 4 * 4), 'T' || s_suppkey FROM supplier WHERE s_nationkey = 7)"""
+
+
+@query(f"""WITH {_NESTS} SELECT t AS type, 'CONFLICTING_HOSTS' AS problem, NULL AS other FROM h GROUP BY t HAVING count(DISTINCT host) > 1
+UNION ALL SELECT DISTINCT t, 'OWN_HOST', host FROM h WHERE t = host UNION ALL SELECT t, 'REPEATED_MEMBER', member FROM l GROUP BY t, member HAVING count(*) > 1
+UNION ALL SELECT DISTINCT t, 'HOST_AND_MEMBERS', NULL FROM h WHERE t IN (SELECT t FROM l)
+UNION ALL SELECT DISTINCT t, 'NOT_LISTED', host FROM h WHERE t <> host AND NOT EXISTS (SELECT 1 FROM l WHERE l.t = h.host AND l.member = h.t)
+UNION ALL SELECT DISTINCT t, 'HOST_NOT_NAMED', member FROM l WHERE t <> member AND NOT EXISTS (SELECT 1 FROM h WHERE h.t = l.member AND h.host = l.t)""")
+def nest_host_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Four suppliers are a nest; some name themselves or another host, some are listed twice or not at all."""
+    s = wl.table(spark, sf, "supplier")
+    name, host = F.concat(F.lit("T"), "s_suppkey"), F.concat(F.lit("T"), F.expr("s_suppkey div 4 * 4"))
+    hosts = s.where("s_suppkey % 4 <> 0 OR s_acctbal < 0").select(name.alias("type"), host.alias("host")).unionByName(s.where("s_nationkey = 3").select(name.alias("type"), F.concat(F.lit("T"), F.expr("s_suppkey div 8 * 8")).alias("host")))
+    listed = lambda rows: rows.select(host.alias("type"), name.alias("member"))
+    return hierarchy.nest_problems(hosts, listed(s.where("s_suppkey % 4 <> 0 AND s_nationkey <> 5")).unionByName(listed(s.where("s_nationkey = 7"))))
+
+
 @query(f"""WITH {_HIER}, t AS (SELECT DISTINCT o_custkey AS s FROM orders)
 SELECT s::VARCHAR AS source, EXISTS (SELECT 1 FROM up WHERE o = s AND t = 5) OR s = 5 AS excluded, EXISTS (SELECT 1 FROM up WHERE o = s AND t = 5) OR s = 5 OR EXISTS (SELECT 1 FROM up WHERE o = s AND t NOT IN (SELECT id FROM known)) AS included FROM t""")
 def assignability_policies(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,9 +344,10 @@ def _accesses(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     return rows, c.select(F.col("conv_id").cast("string").alias("id")).distinct(), spark.createDataFrame([("system", "m", "()V")], "owner string, name string, descriptor string")
 
 
-@query("SELECT conv_id::VARCHAR AS origin, turn AS n_evidence FROM conversations WHERE role = 'system' AND turn <> 0")
+@query("SELECT conv_id::VARCHAR AS origin, count(DISTINCT turn) AS n_evidence FROM conversations WHERE role = 'assistant' AND turn <> 0 GROUP BY conv_id")
 def member_access_no(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(structure.member_access(_RULE, *_accesses(spark, sf), "NO"), "origin", "n_evidence")
+    rows, callers, _ = _accesses(spark, sf)
+    return _shown(structure.member_access(_RULE, rows, callers, spark.createDataFrame([("assistant", "m", "()V")], "owner string, name string, descriptor string"), "NO"), "origin", "n_evidence")
 
 
 @query("SELECT conv_id::VARCHAR AS origin FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'system') = 0")
@@ -304,6 +361,99 @@ def member_access_any(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(structure.member_access(_RULE, rows, callers, spark.createDataFrame([("nobody", "m", "()V")], "owner string, name string, descriptor string"), "ANY"), "origin")
 
 
+# Callers are customers, targets suppliers, packages their nations, modules the nations' regions.
+_STATES = """x AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s, l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+reg AS (SELECT n_nationkey AS n, n_regionkey AS g, r_name AS m FROM nation JOIN region ON r_regionkey = n_regionkey),
+up AS (SELECT c_custkey AS c, c_custkey % 10 AS s FROM customer UNION ALL SELECT c_custkey, c_custkey % 10 // 2 FROM customer UNION ALL SELECT c_custkey, c_custkey % 10 // 4 FROM customer UNION ALL SELECT c_custkey, c_custkey % 10 // 8 FROM customer UNION ALL SELECT c_custkey, 0 FROM customer),
+j AS (SELECT x.c, x.s, count(*) AS n, c_nationkey = s_nationkey AS same, c_custkey % 7 = s_suppkey % 7 AS nest, s_suppkey % 4 AS v, a.m AS om, b.m AS tm, a.g AS og, b.g AS tg, b.n AS tn, c_custkey % 13 = 0 AS doubt, (x.c % 13 <> 0 AND (x.c, x.s) IN (SELECT c, s FROM up)) AS below
+  FROM x JOIN customer ON c_custkey = x.c JOIN supplier ON s_suppkey = x.s JOIN reg a ON a.n = c_nationkey JOIN reg b ON b.n = s_nationkey GROUP BY ALL),
+k AS (SELECT *, CASE v WHEN 0 THEN 'PUBLIC' WHEN 1 THEN CASE WHEN same THEN 'PROTECTED_SAME_PACKAGE' ELSE 'PROTECTED_CROSS_PACKAGE' END WHEN 2 THEN CASE WHEN same THEN 'PACKAGE_PRIVATE' ELSE 'PACKAGE_PRIVATE_INACCESSIBLE' END
+    ELSE CASE WHEN nest THEN 'PRIVATE_NESTMATE' ELSE 'PRIVATE_INACCESSIBLE' END END AS visibility,
+  CASE WHEN tg = 4 THEN 'UNNAMED_OR_UNKNOWN_MODULE' WHEN og = tg THEN 'SAME_MODULE' WHEN tg = 3 THEN 'AUTOMATIC_MODULE' WHEN tn % 3 = 0 THEN 'PACKAGE_NOT_EXPORTED' WHEN tn % 3 = 1 THEN 'UNQUALIFIED_EXPORT'
+    WHEN og = (tg + 1) % 5 THEN 'QUALIFIED_EXPORT_TO_CALLER' ELSE 'QUALIFIED_EXPORT_TO_OTHER_MODULES' END AS export FROM j)"""
+
+
+def _access_states(spark: SparkSession, sf: str) -> DataFrame:
+    """A supplier's member is public, protected, package-private or private by its number; a third of the packages is exported, a third to one module."""
+    t = lambda name: wl.table(spark, sf, name)
+    x = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey", "l_orderkey", "l_linenumber").distinct()
+    owner = F.concat(F.lit("S"), "l_suppkey")
+    accesses = x.select(F.concat(F.lit("C"), "o_custkey").alias("origin"), owner.alias("target_owner"), F.concat(owner, F.lit("#m")).alias("target_member"))
+    regions = t("nation").join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    known = regions.select(F.col("n_nationkey").alias("nation"), F.when(F.col("n_regionkey") != 4, F.col("r_name")).alias("module"))
+    of = lambda df, letter, key, nation: df.select(F.concat(F.lit(letter), key).alias("type"), F.col(nation).alias("nation"), F.concat(F.lit("H"), F.col(key) % 7).alias("nest_host"))
+    types = of(t("customer"), "C", "c_custkey", "c_nationkey").unionByName(of(t("supplier"), "S", "s_suppkey", "s_nationkey")).join(known, "nation")
+    types = types.select("type", F.concat(F.lit("n"), "nation").alias("package"), "module", "nest_host")
+    v = F.col("s_suppkey") % 4
+    members = t("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("type"), F.concat(F.lit("S"), "s_suppkey", F.lit("#m")).alias("member"), F.when(v == 0, "PUBLIC").when(v == 1, "PROTECTED").when(v == 2, "PACKAGE_PRIVATE").otherwise("PRIVATE").alias("visibility"))
+    modules = t("region").select(F.col("r_name").alias("module"), F.when(F.col("r_regionkey") == 3, "AUTOMATIC").otherwise("EXPLICIT").alias("kind"))
+    to = t("region").select(((F.col("r_regionkey") + 4) % 5).alias("n_regionkey"), F.col("r_name").alias("next"))
+    exports = regions.join(to, "n_regionkey").where("n_nationkey % 3 <> 0").select(F.col("r_name").alias("module"), F.concat(F.lit("n"), "n_nationkey").alias("package"), F.when(F.expr("n_nationkey % 3 = 2"), F.array("next")).alias("targets"))
+    up = t("customer").select(F.concat(F.lit("C"), "c_custkey").alias("origin"), F.when(F.expr("c_custkey % 13 = 0"), "Nowhere").otherwise(F.concat(F.lit("S"), F.expr("c_custkey % 10"))).alias("target"))
+    up = up.unionByName(t("supplier").where("s_suppkey BETWEEN 1 AND 9").select(F.concat(F.lit("S"), "s_suppkey").alias("origin"), F.concat(F.lit("S"), F.expr("s_suppkey div 2")).alias("target")))
+    return access.access_states(accesses, types, members, modules, exports, hierarchy.supertypes(up, types.select(F.col("type").alias("id"))))
+
+
+@query(f"""WITH {_STATES} SELECT 'C' || c AS origin, 'S' || s AS target_owner, n, visibility, export, CASE WHEN visibility LIKE '%INACCESSIBLE' OR export IN ('PACKAGE_NOT_EXPORTED', 'QUALIFIED_EXPORT_TO_OTHER_MODULES') OR (v = 1 AND NOT same AND NOT below AND NOT doubt) THEN 'NO'
+  WHEN export = 'UNNAMED_OR_UNKNOWN_MODULE' OR (v = 1 AND NOT same AND NOT below) THEN 'UNKNOWN' ELSE 'YES' END AS accessible FROM k""")
+def access_states(spark: SparkSession, sf: str) -> DataFrame:
+    return _access_states(spark, sf).select("origin", "target_owner", "n", "visibility", "export", "accessible")
+
+
+@query(f"""WITH {_STATES} SELECT 'C' || c AS origin, 'S' || s || '#m' AS target, CASE WHEN s % 10 = 9 THEN 'TYPE_NOT_APPROVED' WHEN s % 10 = 8 THEN 'MEMBER_NOT_APPROVED' WHEN NOT shown THEN 'TYPE_NOT_PUBLIC' WHEN v > 0 THEN 'MEMBER_' || visibility ELSE export END AS code, n AS n_evidence
+FROM (SELECT k.*, s_acctbal > 0 AND s_acctbal < 9000 AS shown FROM k JOIN supplier ON s_suppkey = s) WHERE NOT (same AND om = tm) AND (s % 10 >= 8 OR NOT shown OR v > 0 OR export IN ('PACKAGE_NOT_EXPORTED', 'QUALIFIED_EXPORT_TO_OTHER_MODULES'))""")
+def approved_interface(spark: SparkSession, sf: str) -> DataFrame:
+    """A supplier with a balance of 9000 or more stands within a type that isn't public."""
+    s = wl.table(spark, sf, "supplier").withColumn("type", F.concat(F.lit("S"), "s_suppkey"))
+    owners = spark.createDataFrame([("Shown", True, None), ("Hidden", False, None)], "type string, public boolean, owner string")
+    types = s.select("type", (F.col("s_acctbal") > 0).alias("public"), F.when(F.col("s_acctbal") >= 9000, "Hidden").when(F.expr("s_suppkey % 2 = 0"), "Shown").alias("owner")).unionByName(owners)
+    last = F.expr("s_suppkey % 10")
+    approved = s.where(last != 9).select(F.col("type").alias("id")), s.where(last != 8).select(F.concat("type", F.lit("#m")).alias("id"))
+    return _shown(access.approved_interface(_RULE, _access_states(spark, sf), access.visible_from_outside(types), *approved), "origin", "target", "code", "n_evidence")
+
+
+def _declarations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nations are modules, those of the last region automatic; customers are what they require or export, their balance and segment the flags and targets."""
+    c = wl.table(spark, sf, "customer")
+    targets = F.when(F.col("c_mktsegment") == "BUILDING", F.array("c_mktsegment", F.lit("AUTOMOBILE"))).when(F.col("c_mktsegment") == "MACHINERY", F.array("c_mktsegment"))
+    rows = c.select(F.concat(F.lit("n"), "c_nationkey").alias("name"), F.concat(F.lit("m."), "c_custkey").alias("value"), (F.col("c_acctbal") > 0).alias("transitive"), (F.col("c_acctbal") > 5000).alias("static"), targets.alias("targets"))
+    modules = wl.table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.when(F.col("n_regionkey") == 4, "AUTOMATIC").otherwise("EXPLICIT").alias("kind"))
+    return modules, rows
+
+
+_EXPLICIT = "FROM customer JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 4"
+
+
+@query(f"SELECT 'n' || c_nationkey AS origin, 'm.' || c_custkey AS target {_EXPLICIT} WHERE c_acctbal > 0 AND NOT c_acctbal > 5000 AND (c_custkey::VARCHAR) LIKE '1%'")
+def requires_transitive_no(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(mod.declaration_rule(_RULE, *_declarations(spark, sf), patterns.glob("m.1**"), "NO", transitive="REQUIRED", static="FORBIDDEN"), "origin", "target")
+
+
+@query(f"SELECT 'n' || c_nationkey AS origin, 'm.' || c_custkey AS target {_EXPLICIT} WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def exports_qualified_only(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(mod.declaration_rule(_RULE, *_declarations(spark, sf), patterns.glob("m.**"), "ONLY", qualification="QUALIFIED"), "origin", "target")
+
+
+@query(f"SELECT 'n' || c_nationkey AS origin, 'm.' || c_custkey AS target {_EXPLICIT} WHERE c_mktsegment <> 'MACHINERY'")
+def provides_targets_only(spark: SparkSession, sf: str) -> DataFrame:
+    """All providers of a service must fit: those of BUILDING have one that doesn't."""
+    return _shown(mod.declaration_rule(_RULE, *_declarations(spark, sf), patterns.glob("m.**"), "ONLY", targets=patterns.exact("MACHINERY")), "origin", "target")
+
+
+@query("SELECT 'n' || n_nationkey AS origin FROM nation WHERE n_regionkey <> 4 AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000)")
+def exports_to_required(spark: SparkSession, sf: str) -> DataFrame:
+    modules, rows = _declarations(spark, sf)
+    rich = wl.table(spark, sf, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("m."), "c_custkey").alias("value"))
+    return _shown(mod.declaration_rule(_RULE, modules, rows.join(rich, "value", "left_semi"), patterns.glob("m.**"), "REQUIRED", targets=patterns.exact("AUTOMOBILE")), "origin")
+
+
+@query(f"""WITH {wl.TRADE_SQL}, e AS (SELECT DISTINCT origin, target FROM trade), s AS (SELECT CASE WHEN NOT starts_with(origin, 'type:crm.') AND NOT starts_with(target, 'type:crm.') THEN 'BOTH' WHEN NOT starts_with(origin, 'type:crm.') THEN 'ORIGIN' ELSE 'TARGET' END AS unmapped FROM e)
+SELECT unmapped, count(*) AS n FROM s GROUP BY unmapped""")
+def unmapped_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Only customers have a module here."""
+    return mod.unmapped_connections(wl.trade(spark, sf).connections(), wl.modules(spark, sf).where(F.col("type_key").startswith("type:crm.")))
+
+
 def _supplier_modules(spark: SparkSession, sf: str) -> DataFrame:
     s = wl.table(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("name"), F.col("s_suppkey").cast("string").alias("x"))
     return s.groupBy("name").agg(F.collect_set(F.concat(F.lit("s."), "x")).alias("opens"), F.collect_set(F.concat(F.lit("u."), "x")).alias("uses"), F.collect_set(F.concat(F.lit("p."), "x")).alias("provides")).withColumn("kind", F.lit("EXPLICIT"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.algorithms import cut
+from latticework.operators.algorithms import cut, reachable
 
 OBJECT = "java.lang.Object"
 
@@ -74,6 +74,27 @@ def meta_annotations(occurrences: DataFrame, *, max_depth: int = 256) -> DataFra
     return supertypes(on_types, names, max_depth=max_depth).select(F.col("origin").alias("annotation"), F.col("target").alias("meta"), "depth", "cycle")
 
 
+def meta_annotation_states(occurrences: DataFrame, *, max_depth: int = 256) -> DataFrame:
+    """(annotation, n_meta, limit, cycle): for every annotation type how many others it carries within ``max_depth``, and what that leaves out.
+
+    ``limit``: at the bound something carries annotations that were not followed, so the number may be too small; ``cycle``: a
+    type on the way carries itself.
+    """
+    names = occurrences.select(F.col("annotation").alias("id")).distinct()
+    found = cut(meta_annotations(occurrences, max_depth=max_depth), "meta")
+    carrying = occurrences.join(names, occurrences["subject"] == names["id"], "left_semi").select(F.col("subject").alias("meta")).distinct()
+    stopped = found.where(F.col("depth") == max_depth).join(carrying, "meta", "left_semi")
+    # What lies behind the bound may have been reached on a shorter way; only what hasn't counts.
+    behind = stopped.select("annotation", F.col("meta").alias("subject")).join(occurrences.select("subject", F.col("annotation").alias("meta")), "subject")
+    cut_off = behind.join(found, ["annotation", "meta"], "left_anti").select("annotation").distinct().withColumn("limit", F.lit(True))
+    turning = found.where("cycle").select("annotation").distinct()
+    cyclic = found.join(turning.withColumnRenamed("annotation", "meta"), "meta", "left_semi").select("annotation").unionByName(turning).distinct().withColumn("turns", F.lit(True))
+    counts = found.where("annotation <> meta").groupBy("annotation").agg(F.count(F.lit(1)).alias("n_meta"))
+    rows = names.withColumnRenamed("id", "annotation").join(counts, "annotation", "left").join(cut_off, "annotation", "left").join(cyclic, "annotation", "left")
+    no = F.lit(False)
+    return rows.select("annotation", F.coalesce("n_meta", F.lit(0)).alias("n_meta"), F.coalesce("limit", no).alias("limit"), F.coalesce("turns", no).alias("cycle"))
+
+
 def annotated_with(occurrences: DataFrame, annotation: str, mode: str, *, superclass: DataFrame | None = None, inheritable: DataFrame | None = None, max_depth: int = 256) -> DataFrame:
     """(subject): DIRECT, META (through annotations of the annotation) or INHERITED (along the superclass chain).
 
@@ -91,23 +112,43 @@ def annotated_with(occurrences: DataFrame, annotation: str, mode: str, *, superc
     return chain.join(direct.withColumnRenamed("subject", "target"), "target", "left_semi").select(F.col("origin").alias("subject")).unionByName(direct).distinct()
 
 
-def sealed_check(types: DataFrame) -> DataFrame:
+def incomplete_types(relations: DataFrame, subjects: DataFrame, known: DataFrame) -> DataFrame:
+    """(id): subjects with a supertype, near or far, that is no known type (id); java.lang.Object counts as known."""
+    near = reachable(relations, subjects).select("id")
+    up = relations.join(near.withColumnRenamed("id", "origin"), "origin", "left_semi").where(F.col("target") != OBJECT)
+    lost = up.join(known.select(F.col("id").alias("target")), "target", "left_anti").select(F.col("target").alias("id")).distinct()
+    back = up.select(F.col("target").alias("origin"), F.col("origin").alias("target"))
+    return reachable(back, lost).select("id").join(subjects.select("id").distinct(), "id", "left_semi")
+
+
+def sealed_check(types: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(sealed, subtype, code): where declared and observed subtypes of sealed types differ.
 
-    types: binary_name, sealed, permitted, superclass, interfaces, modifiers, package.
+    types: binary_name, sealed, permitted, superclass, interfaces, modifiers, package.  A permitted subtype that isn't seen as one
+    is RELATIONSHIP_UNKNOWN, and not wrong, where its own hierarchy leads to types that nobody knows.  ``asked`` (binary_name)
+    limits the answer to these types; one that isn't there is QUERY_TYPE_MISSING.
     """
+    if asked is not None:
+        asked = asked.select("binary_name").distinct()
+        found = sealed_check(types).join(asked.withColumnRenamed("binary_name", "sealed"), "sealed", "left_semi")
+        absent = asked.join(types.select("binary_name"), "binary_name", "left_anti")
+        return found.unionByName(absent.select(F.col("binary_name").alias("sealed"), F.lit(None).cast("string").alias("subtype"), F.lit("QUERY_TYPE_MISSING").alias("code")))
     known = types.select(F.col("binary_name").alias("subtype"), "modifiers", "sealed", F.col("package").alias("sub_package")).withColumnRenamed("sealed", "sub_sealed")
     declared = types.where("sealed").select(F.col("binary_name").alias("sealed"), "package", F.explode("permitted").alias("subtype"))
     repeated = declared.groupBy("sealed", "subtype").agg(F.count(F.lit(1)).alias("times"), F.first("package").alias("package"))
     observed = direct_relations(types).select(F.col("target").alias("sealed"), F.col("origin").alias("subtype")).distinct()
     observed = observed.join(types.where("sealed").select(F.col("binary_name").alias("sealed")), "sealed", "left_semi").withColumn("observed", F.lit(True))
     both = repeated.join(observed, ["sealed", "subtype"], "full").join(known, "subtype", "left")
+    doubtful = repeated.join(observed, ["sealed", "subtype"], "left_anti").select(F.col("subtype").alias("id")).distinct()
+    unknown = incomplete_types(direct_relations(types), doubtful, types.select(F.col("binary_name").alias("id")))
+    both = both.join(unknown.select(F.col("id").alias("subtype"), F.lit(True).alias("open")), "subtype", "left")
     final = F.array_contains("modifiers", "FINAL") | F.coalesce("sub_sealed", F.lit(False)) | F.array_contains("modifiers", "NON_SEALED")
     code = (
         F.when(F.col("times").isNull(), "UNDECLARED_SUBTYPE")
         .when(F.col("times") > 1, "DUPLICATE_PERMITTED")
         .when(F.col("subtype") == F.col("sealed"), "SELF_PERMITTED")
         .when(F.col("modifiers").isNull(), "MISSING_SUBTYPE")
+        .when(F.col("observed").isNull() & F.col("open"), "RELATIONSHIP_UNKNOWN")
         .when(F.col("observed").isNull(), "PERMITTED_NOT_SUBTYPE")
         .when(~final, "SUBTYPE_NOT_CLOSED")
         .when(F.col("package") != F.col("sub_package"), "SUBTYPE_IN_OTHER_PACKAGE")
@@ -132,3 +173,25 @@ def first_paths(relations: DataFrame, subjects: DataFrame, targets: DataFrame) -
             break
         seen = seen.unionByName(frontier)
     return seen.where("subject <> at").join(targets.select(F.col("id").alias("at")), "at", "left_semi").select("subject", F.col("at").alias("target"), "path")
+
+
+def nest_problems(hosts: DataFrame, members: DataFrame) -> DataFrame:
+    """(type, problem, other): where hosts (type, host) and member lists (type, member) don't make nests.
+
+    A nest is an equivalence that both sides state: its host lists the members, and every member names the host.
+    CONFLICTING_HOSTS: several hosts (``other`` is null).  OWN_HOST: a type names itself.  REPEATED_MEMBER: listed more than once.
+    HOST_AND_MEMBERS: a type that names a host lists members too.  NOT_LISTED: the host that a type names doesn't list it.
+    HOST_NOT_NAMED: a listed member doesn't name the type that lists it.
+    """
+    none = F.lit(None).cast("string")
+    row = lambda df, problem, other: df.select("type", F.lit(problem).alias("problem"), other.alias("other"))
+    named = hosts.select("type", "host").distinct()
+    listed = members.groupBy("type", "member").agg(F.count(F.lit(1)).alias("times"))
+    out = row(named.groupBy("type").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "CONFLICTING_HOSTS", none)
+    out = out.unionByName(row(named.where("type = host"), "OWN_HOST", F.col("host")))
+    out = out.unionByName(row(listed.where("times > 1"), "REPEATED_MEMBER", F.col("member")))
+    out = out.unionByName(row(named.select("type").distinct().join(listed.select("type").distinct(), "type", "left_semi"), "HOST_AND_MEMBERS", none))
+    stated = listed.select(F.col("member").alias("type"), F.col("type").alias("host"))
+    out = out.unionByName(row(named.where("type <> host").join(stated, ["type", "host"], "left_anti"), "NOT_LISTED", F.col("host")))
+    silent = stated.where("type <> host").join(named, ["type", "host"], "left_anti")
+    return out.unionByName(silent.select(F.col("host").alias("type"), F.lit("HOST_NOT_NAMED").alias("problem"), F.col("type").alias("other")))

@@ -19,6 +19,32 @@ def as_of(probes: DataFrame, entries: DataFrame, by: list[str], order: list[str]
     return rows.select(*by, *order, *[F.col(f"__probe.{c}").alias(c) for c in others], value)
 
 
+def as_of_ranges(probes: DataFrame, entries: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """``as_of`` where one key may hold most rows: a scan in two levels, so that no task holds a key.
+
+    Rows are dealt to ranges of (by, order).  Within a key and range a window finds the last entry; across ranges each hands
+    on its last entry by a running prefix over (key, range), of which there are few.  Entries of one place count by value, the largest
+    last.
+    """
+    from latticework.operators.algorithms import cut
+
+    others = [c for c in probes.columns if c not in (*by, *order)]
+    probe = F.struct(*others) if others else F.struct(F.lit(True).alias("here"))
+    left = probes.select(*by, *order, probe.alias("__probe"), F.lit(None).cast(entries.schema[value].dataType).alias(value), F.lit(1).alias("__side"))
+    right = entries.select(*by, *order, F.lit(None).cast(left.schema["__probe"].dataType).alias("__probe"), value, F.lit(0).alias("__side"))
+    keys = [*by, *order, "__side", value]
+    rows = left.unionByName(right).withColumn("__place", F.monotonically_increasing_id())  # many rows of one place are no hot range either
+    rows = cut(rows.repartitionByRange(*keys, "__place").withColumn("__range", F.spark_partition_id()).drop("__place"), "ranges")
+    inner = Window.partitionBy(*by, "__range").orderBy(*order, "__side", value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entry = (F.col("__side") == 0) & F.col(value).isNotNull()
+    last = rows.groupBy(*by, "__range").agg(F.max_by(value, F.when(entry, F.struct(*order, F.col(value)))).alias("__last"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    handed = last.select(F.struct(*by).alias("__key"), F.col("__range").alias("__at"), F.last("__last", ignorenulls=True).over(before).alias("__handed"))
+    found = rows.withColumn("__inner", F.last(value, ignorenulls=True).over(inner)).where("__side = 1")
+    found = found.join(handed, F.struct(*by).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__at")))
+    return found.select(*by, *order, *[F.col(f"__probe.{c}").alias(c) for c in others], F.coalesce("__inner", "__handed").alias(value))
+
+
 def line_of(accesses: DataFrame, line_table: DataFrame) -> DataFrame:
     """Accesses (member, offset, ...) with the line of the largest line-table (member, pc, line) offset at or before theirs."""
     return as_of(accesses, line_table.withColumnRenamed("pc", "offset"), ["member"], ["offset"], "line")

@@ -48,6 +48,57 @@ def compare_modules(declared: DataFrame, connections: DataFrame, membership: Dat
     return both.select("origin", "target", state.alias("state"))
 
 
+def unmapped_connections(connections: DataFrame, membership: DataFrame) -> DataFrame:
+    """(unmapped, n): how many connections ``compare_modules`` cannot place, by which of their ends has no module (ORIGIN, TARGET, BOTH)."""
+    end = lambda k: membership.select(F.col("type_key").alias(k), F.lit(True).alias(f"{k}_there")).distinct()
+    rows = connections.join(end("origin"), "origin", "left").join(end("target"), "target", "left")
+    o, t = F.col("origin_there").isNull(), F.col("target_there").isNull()
+    side = F.when(o & t, "BOTH").when(o, "ORIGIN").when(t, "TARGET")
+    return rows.select(side.alias("unmapped")).where("unmapped IS NOT NULL").groupBy("unmapped").agg(F.count(F.lit(1)).alias("n"))
+
+
+FLAG_POLICIES = ("ANY", "REQUIRED", "FORBIDDEN")
+QUALIFICATIONS = ("ANY", "UNQUALIFIED", "QUALIFIED")
+
+
+def _flag(c: Column, policy: str) -> Column:
+    if policy not in FLAG_POLICIES:
+        raise ValueError(f"a policy is one of {FLAG_POLICIES}")
+    there = F.coalesce(c, F.lit(False))
+    return {"ANY": F.lit(True), "REQUIRED": there, "FORBIDDEN": ~there}[policy]
+
+
+def declaration_rule(
+    metadata: RuleMetadata, modules: DataFrame, declarations: DataFrame, pattern: NamePattern, mode: str, *, transitive: str = "ANY", static: str = "ANY",
+    qualification: str = "ANY", targets: NamePattern | None = None, non_explicit: str = "SKIP",
+) -> RuleOutcome:
+    """NO, ONLY or REQUIRED over one kind of directive: a declaration (name, value, transitive, static, targets) fits by its value's pattern, flags and targets.
+
+    transitive and static are those of ``requires``.  ``targets`` are the modules of a qualified export or opening, or the
+    providers of a service: all must fit under ONLY, one under NO and REQUIRED; no target fits where a pattern asks for one.
+    """
+    if qualification not in QUALIFICATIONS:
+        raise ValueError(f"a qualification is one of {QUALIFICATIONS}")
+    explicit = modules.where("kind = 'EXPLICIT'").select("name").distinct()
+    rows = declarations.join(explicit, "name", "left_semi")
+    fits = pattern.matches(F.col("value")) & _flag(F.col("transitive"), transitive) & _flag(F.col("static"), static)
+    qualified = F.coalesce(F.size("targets") > 0, F.lit(False))
+    if qualification != "ANY":
+        fits = fits & (qualified if qualification == "QUALIFIED" else ~qualified)
+    if targets is not None:
+        fits = fits & qualified & (F.forall if mode == "ONLY" else F.exists)(F.coalesce("targets", F.array().cast("array<string>")), targets.matches)
+    rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False)))
+    if mode == "REQUIRED":
+        bad = explicit.join(rows.where("fits").select("name").distinct(), "name", "left_anti").withColumn("value", F.lit(None).cast("string"))
+    elif mode in ("NO", "ONLY"):
+        bad = rows.where(F.col("fits") if mode == "NO" else ~F.col("fits")).select("name", "value").distinct()
+    else:
+        raise ValueError("a mode is NO, ONLY or REQUIRED")
+    other = modules.where("kind <> 'EXPLICIT'")
+    incomplete = diagnostics(metadata, other, "NO_DESCRIPTOR", "name") if non_explicit == "FAIL" else None
+    return RuleOutcome(metadata, violations(metadata, bad, f"MODULE_DIRECTIVE_{mode}", origin="name", target="value", kind=None), incomplete, modules.agg(F.count(F.lit(1)).alias("n")), incomplete=incomplete)
+
+
 _ALIAS = re.compile(r"^\[([^\]\n]+)\](?:\s+as\s+(\w+))?(?:\s+<<([^<>\n]+)>>)?$")
 _ARROW = re.compile(r"^(\[[^\]\n]+\]|\w+)\s+(-+>|<-+)\s+(\[[^\]\n]+\]|\w+)(?:\s*:.*)?$")
 MAX_DIAGRAM = 65_536

@@ -15,11 +15,10 @@ from latticework.plans.graph import Graph
 def acyclic(metadata: RuleMetadata, graph: Graph, selected: DataFrame, *, kinds: list[str] | None = None, keep_synthetic: bool = True, by: str = "parts") -> RuleOutcome:
     """No cyclic component among the selected nodes (stable_key): one violation a component, with a representative cycle.
 
-    Evidence whose owner is compiler-made (column ``synthetic``, where given) can be left out first; then the
-    graph is induced, so a cycle through an unselected node does not count.
+    Evidence whose owner is compiler-made (column ``synthetic``) can be left out first; then the graph is induced, so a cycle through an unselected node does not count.
     """
     g = graph
-    if not keep_synthetic and "synthetic" in graph.rows.columns:
+    if not keep_synthetic:
         g = g.without_evidence(F.col("synthetic"))
     if kinds is not None:
         g = Graph(g.nodes, g.rows.where(F.col("kind").isin(kinds) if kinds else F.lit(False)))
@@ -95,7 +94,8 @@ def annotation_rule(metadata: RuleMetadata, subjects: DataFrame, annotated: Data
 def member_access(metadata: RuleMetadata, accesses: DataFrame, callers: DataFrame, targets: DataFrame, mode: str, *, kinds: list[str] | None = None, show_compiler_made: bool = False) -> RuleOutcome:
     """NO, ONLY, ANY or REQUIRED over call sites (caller, target_owner, target_name, target_desc, kind, offset, compiler_created).
 
-    Targets are symbolic (owner, name, descriptor): never dispatched, and array owners match nothing.
+    Targets are symbolic (owner, name, descriptor): never dispatched, and array owners match nothing.  NO and ONLY give one
+    violation a caller, target and kind, with the number of its call sites (distinct offsets) as evidence.
     """
     rows = accesses.join(callers.select(F.col("id").alias("caller")).distinct(), "caller", "left_semi")
     if not show_compiler_made:
@@ -106,8 +106,8 @@ def member_access(metadata: RuleMetadata, accesses: DataFrame, callers: DataFram
     flagged = rows.join(targets.select(F.col("owner").alias("target_owner"), F.col("name").alias("target_name"), F.col("descriptor").alias("target_desc")).distinct().withColumn("chosen", F.lit(True)), on, "left")
     flagged = flagged.withColumn("matches", F.coalesce("chosen", F.lit(False)) & ~F.col("target_owner").startswith("[")).withColumn("target", F.concat("target_owner", F.lit("#"), "target_name", "target_desc"))
     if mode in ("NO", "ONLY"):
-        bad = flagged.where(F.col("matches") if mode == "NO" else ~F.col("matches"))
-        return RuleOutcome(metadata, violations(metadata, bad, f"ACCESS_{mode}", origin="caller", n="offset"), selected=callers.agg(F.count(F.lit(1)).alias("n")))
+        bad = flagged.where(F.col("matches") if mode == "NO" else ~F.col("matches")).groupBy("caller", "target", "kind").agg(F.count_distinct("offset").alias("sites"))
+        return RuleOutcome(metadata, violations(metadata, bad, f"ACCESS_{mode}", origin="caller", n="sites"), selected=callers.agg(F.count(F.lit(1)).alias("n")))
     matched = flagged.where("matches").select("caller").distinct()
     if mode == "REQUIRED":
         bad = callers.select(F.col("id").alias("caller")).distinct().join(matched, "caller", "left_anti")

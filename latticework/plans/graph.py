@@ -17,7 +17,7 @@ NODE_SCHEMA = T.StructType([
 EVIDENCE_SCHEMA = T.StructType([
     T.StructField("origin", T.StringType(), False), T.StructField("target", T.StringType(), False), T.StructField("kind", T.StringType(), False),
     T.StructField("location", T.StringType(), False), T.StructField("owner_member", T.StringType()), T.StructField("bytecode_offset", T.LongType()),
-    T.StructField("source_file", T.StringType()), T.StructField("line_number", T.IntegerType()),
+    T.StructField("source_file", T.StringType()), T.StructField("line_number", T.IntegerType()), T.StructField("synthetic", T.BooleanType()),
 ])
 EDGE = ["origin", "target", "kind"]
 DETAIL = ["location", "owner_member", "bytecode_offset", "source_file", "line_number"]

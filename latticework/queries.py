@@ -19,7 +19,7 @@ from latticework.operators.rules import modules as mod
 from latticework.operators.rules import structure
 from latticework.operators.rules.outcome import RuleMetadata, top_evidence
 from latticework.plans import projection, selectors
-from latticework.plans.graph import EDGE, Graph
+from latticework.plans.graph import EDGE, Graph, graph_from
 from latticework.plans.snapshot import SnapshotQuery
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,6 +131,24 @@ def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.as_of(e.select("user_id", "t", "event_id"), table, ["user_id"], ["t"], "line").select("user_id", "event_id", "line")
 
 
+@query("""WITH p AS (SELECT epoch_us(ts) AS t, max(event_id) AS buy FROM events WHERE event_type = 'purchase' GROUP BY 1), q AS (SELECT epoch_us(ts) AS t, event_id FROM events)
+SELECT q.event_id, p.buy AS line FROM q ASOF LEFT JOIN p ON q.t >= p.t""")
+def asof_one_key(spark: SparkSession, sf: str) -> DataFrame:
+    """All events are one key."""
+    e = wl.table(spark, sf, "events").select(F.lit("all").alias("member"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type")
+    table = e.where("event_type = 'purchase'").select("member", "t", F.col("event_id").alias("line"))
+    return lookup.as_of_ranges(e.select("member", "t", "event_id"), table, ["member"], ["t"], "line").select("event_id", "line")
+
+
+@query(f"""{"WITH RECURSIVE " + wl.FLOW_SQL}, e AS (SELECT DISTINCT origin AS o, target AS t FROM flow WHERE kind <> 'FIELD_ACCESS'), v AS (SELECT o AS id FROM e UNION SELECT t FROM e),
+r AS (SELECT id AS o, id AS t FROM v UNION SELECT r.o, e.t FROM r JOIN e ON r.t = e.o), s AS (SELECT x.o AS id, min(x.t) AS component FROM r x JOIN r y ON x.o = y.t AND x.t = y.o GROUP BY x.o), z AS (SELECT component, count(*) AS size FROM s GROUP BY component)
+SELECT component AS origin, size AS n_evidence FROM z WHERE size > 1 OR component IN (SELECT s.component FROM s JOIN e ON e.o = s.id AND e.t = s.id)""")
+def cycles_without_synthetic(spark: SparkSession, sf: str) -> DataFrame:
+    """Views stand for compiler-made evidence: cycles that need one are gone."""
+    g = graph_from(wl.flow_evidence(spark, sf).drop("ts").withColumn("synthetic", F.col("kind") == "FIELD_ACCESS"))
+    return _shown(structure.acyclic(_RULE, g, g.nodes.select("stable_key"), keep_synthetic=False), "origin", "n_evidence")
+
+
 # ---- predicates and selectors --------------------------------------------------------------------
 
 
@@ -379,7 +397,7 @@ def annotation_meta(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.annotated_with(h.select(F.col("origin").alias("subject"), F.col("target").alias("annotation")), "7", "META")
 
 
-@query("""SELECT conv_id::VARCHAR AS origin, role || '#m()V' AS target, turn AS n_evidence FROM conversations WHERE role <> 'user'""")
+@query("""SELECT conv_id::VARCHAR AS origin, role || '#m()V' AS target, count(DISTINCT turn) AS n_evidence FROM conversations WHERE role <> 'user' GROUP BY ALL""")
 def member_access_only(spark: SparkSession, sf: str) -> DataFrame:
     c = wl.table(spark, sf, "conversations")
     accesses = c.select(F.col("conv_id").cast("string").alias("caller"), F.col("role").alias("target_owner"), F.lit("m").alias("target_name"), F.lit("()V").alias("target_desc"), F.lit("METHOD_CALL").alias("kind"), F.col("turn").alias("offset"), F.lit(False).alias("compiler_created"))
