@@ -10,6 +10,7 @@ scores, fitted on at most ``fit_rows`` training rows, gives the score.
 
 Edge cases: null or empty text has no hit and gets the score of a text without hits; rows without a
 label are not learned from; a doc_id labelled more than once counts as toxic if any label says so;
+rows that repeat a labelled doc_id are all learned from, each by its own text, within ``fit_rows`` for the layer;
 without a single label every score is 0; repeated rows are scored alike; other columns pass unchanged.
 """
 
@@ -25,17 +26,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.codepoints import SPACE, blocks, folded
+from latticework.llm.codepoints import SPACE, blocks, folded_at
 from latticework.llm.common import broadcast_if, bucket_of, staged, table
 
 DISTANCE = 1
 FUZZY_LETTERS = 5
 WINDOW = 60
 _WORD = re.compile(r"[^\W\d_]+")
-#: Marks of quotation, and English words that report speech or address a reader.
+#: Marks of quotation, and words of English, German, French and Spanish that report speech or address a reader.
 _QUOTES = "\"'‘’“”«»„"
-_REPORT = frozenset("called calling quote quoted quotes said says saying term word wrote".split())
-_ADDRESS = frozenset("you your yours yourself u ur".split())
+_REPORT = frozenset((
+    "called calling quote quoted quotes said says saying term word wrote "
+    "genannt nannte sagte sagt schrieb wort zitat zitiert zitierte "
+    "appelé appelée cita citation cité disait écrit écrivait écrivit mot "
+    "citado citó dice dicen dijo escribió llamado llamó palabra"
+).split())
+_ADDRESS = frozenset("you your yours yourself u ur dich dir euch euer dein deine toi vous votre vos usted ustedes vosotros contigo".split())
 
 
 @dataclass
@@ -158,7 +164,7 @@ class Scorer:
         if not self.model.terms or not texts:
             return out
         texts = [t or "" for t in texts]
-        codes, bounds = folded(texts)
+        codes, bounds, source = folded_at(texts)
         letter = (codes != SPACE) & (codes != 0)
         first, last = letter.copy(), letter.copy()
         first[1:] &= ~letter[:-1]
@@ -171,11 +177,9 @@ class Scorer:
         if not len(starts):
             return out
         errors, term = self._distinct(codes, starts, lengths)
-        places: dict[int, tuple[str, int]] = {}
         for k in np.flatnonzero(term >= 0):
             text = int(np.searchsorted(bounds, starts[k], "right")) - 1
-            word = "".join(map(chr, codes[starts[k] : starts[k] + lengths[k]]))
-            self._count(out[text], places, text, texts[text], word, int(errors[k]), float(self.model.weights[term[k]]))
+            self._count(out[text], texts[text], int(source[starts[k]]), int(lengths[k]), int(errors[k]), float(self.model.weights[term[k]]))
         out[:, [0, 2, 3, 4, 6]] = np.log1p(out[:, [0, 2, 3, 4, 6]])
         return out
 
@@ -194,14 +198,9 @@ class Scorer:
         errors, term = self.trie.match(codes, starts[index], lengths[index])
         return errors[back], term[back]
 
-    def _count(self, row: np.ndarray, places: dict, key: int, text: str, word: str, errors: int, weight: float) -> None:
-        """Adds one hit, judged by the window around it; ``places`` holds how far each text has been searched."""
-        low, at = places.get(key) or (text.lower(), 0)
-        found = low.find(word, at)
-        if found < 0:
-            found = max(low.find(word), 0)
-        places[key] = (low, found + len(word))
-        before, after = low[max(0, found - WINDOW) : found], low[found + len(word) : found + len(word) + WINDOW]
+    def _count(self, row: np.ndarray, text: str, at: int, length: int, errors: int, weight: float) -> None:
+        """Adds one hit, the word of ``length`` letters at ``at``, judged by the window around it."""
+        before, after = text[max(0, at - WINDOW) : at].lower(), text[at + length : at + length + WINDOW].lower()
         near = set(_WORD.findall(before)) | set(_WORD.findall(after))
         quoted = bool(near & _REPORT) or (before.rstrip(" ")[-1:] in _QUOTES and after.lstrip(" ")[:1] in _QUOTES and before != "" and after != "") or _inside(before, after)
         if quoted:
@@ -302,9 +301,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, fit_rows: int = 2
         for batch in batches:
             found = [scorer.features(texts) for _, texts in blocks(batch.column(0))]
             x = np.vstack(found) if found else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "toxic", "slot", "doc_id", "hash"])
 
-    got = sample.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").limit(2 * fit_rows).collect()
+    # The first rows by their labels' slots, in a fixed order: the bound holds where doc_ids repeat too.
+    order = ["slot", "doc_id", "hash"]
+    found = sample.select("text", "toxic", "slot", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash")).mapInArrow(run, "x array<double>, toxic int, slot long, doc_id long, hash long")
+    got = found.orderBy(*order).limit(fit_rows).select("x", "toxic").collect()
     x = np.array([[1.0, *r["x"]] for r in got]).reshape(-1, len(FEATURES) + 1)
     if len(x):
         model.coefficients = logistic(x, np.array([r["toxic"] for r in got], float))

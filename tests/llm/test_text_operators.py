@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from latticework.llm import common, decontaminate, html_text, language_id, packing, toxicity, warc
+from latticework.llm import codepoints, common, decontaminate, html_text, language_id, packing, toxicity, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -189,6 +189,50 @@ def test_toxicity_finds_misspellings_and_spares_quotations(spark):
     assert {r["score"] for r in toxicity.score(docs.limit(5), nothing).collect()} == {0.0}
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aBé İ\x00'.1\n漢"), max_size=12)), min_size=1, max_size=4))
+def test_folded_letters_know_their_places(texts):
+    codes, bounds, source = codepoints.folded_at(texts)
+    for i, text in enumerate(texts):
+        for k in range(bounds[i], bounds[i + 1]):
+            if codes[k] not in (0, codepoints.SPACE):
+                assert codes[k] == codepoints.fold_table()[ord(text[source[k]])]
+    assert (codes != codepoints.SPACE).sum() - (codes == 0).sum() == sum(c.isalpha() for t in texts for c in t or "")
+
+
+@pytest.mark.parametrize("text, quoted", [
+    ('The class is long and then, with no link to it, at the very end of it all, they wrote "ass" on a wall', True),
+    ("The İİİİ class is long and has a grass roof; nothing about it is out of order at all, dear friends, but ass", False),
+    ("er sagte ass zu ihm", True), ("il a écrit ass ici", True), ("ella dijo ass", True), ("we have a term for it: ass", True), ("« ass »", True), ("an ass", False),
+])
+def test_windows_stand_around_the_word_itself(text, quoted):
+    scorer = toxicity.ToxicityModel(["ass"], np.array([2.0]), None, 0.1).scorer()
+    x = scorer.features(["nothing", text])[1]
+    assert (x[4] > 0, x[0] > 0) == (quoted, not quoted)
+
+
+def test_toxicity_of_repeated_rows_and_long_texts(spark):
+    rng = random.Random(7)
+    rows = [(i, ("grobian " if i % 4 == 0 else "") + " ".join(rng.choices("the of house river morning letter".split(), k=20)), "en", "s", 0) for i in range(200)]
+    rows += [(4, "grobian and more of it", "en", "s", 0)] * 300 + [(900, "river house " * 200_000 + "grobian", "en", "s", 0)] * 2
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, DOC)
+    model = toxicity.fit(docs, labels, F.lit(True), fit_rows=50)
+    again = toxicity.fit(docs.repartition(5), labels.repartition(3), F.lit(True), fit_rows=50)
+    assert model.terms == again.terms and model.coefficients.tolist() == again.coefficients.tolist()
+    found = toxicity.score(docs, model).where("doc_id IN (4, 900)").collect()
+    assert len({r["score"] for r in found if r["text"] == "grobian and more of it"}) == 1 and all(r["predicted"] for r in found)
+
+
+def test_toxicity_on_rows_held_out(spark):
+    """Bounds of a stated size: ranking 0.95, precision 0.9, recall 0.85 on the labelled rows that had no say in the model."""
+    data = "/root/testdata/sf0.1"
+    found = toxicity.op10_toxicity(spark, data).where("held_out").join(spark.read.parquet(f"{data}/labels.parquet").where("toxic IS NOT NULL"), "doc_id").select("score", "toxic", "predicted").collect()
+    bad, good = (np.array([r["score"] for r in found if r["toxic"] == y]) for y in (1, 0))
+    assert len(bad) > 100 and np.mean((bad[:, None] > good) + 0.5 * (bad[:, None] == good)) > 0.95
+    assert np.mean([r["toxic"] for r in found if r["predicted"]]) > 0.9 and sum(r["predicted"] for r in found if r["toxic"]) > 0.85 * len(bad)
+
+
 # ---- decontamination and packing -----------------------------------------------------------------
 
 
