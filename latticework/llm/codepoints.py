@@ -25,28 +25,36 @@ def fold_table() -> np.ndarray:
     return _fold
 
 
-def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, bounds): text i, led and followed by a space, is ``bounds[i]:bounds[i + 1]``; runs of non-letters are one space."""
-    return folded_at(texts)[:2]
-
-
-def folded_at(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``folded``, and the place of each code point in its own text (-1 and len(text): what leads and follows it)."""
+def _kept(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters and spaces of all texts joined, which of them stay, where one text ends and the next begins)."""
     joined = " " + " \x00 ".join(t or "" for t in texts) + " "
     raw = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     ends = np.flatnonzero(raw == 0)
     stray = len(ends) != len(texts) - 1
     if stray:  # some text holds NUL itself
-        return folded_at([(t or "").replace("\x00", " ") for t in texts])
+        return _kept([(t or "").replace("\x00", " ") for t in texts])
     letters = fold_table()[np.minimum(raw, _LIMIT - 1)]
     keep = np.ones(len(raw), bool)
     keep[1:] = (letters[1:] != SPACE) | (letters[:-1] != SPACE)
     keep[ends] = True
     keep[ends + 1] = True
+    return letters, keep, ends
+
+
+def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, bounds): text i, led and followed by a space, is ``bounds[i]:bounds[i + 1]``; runs of non-letters are one space."""
+    letters, keep, ends = _kept(texts)
     at = np.cumsum(keep) - 1
     bounds = np.concatenate([[0], at[ends] + 1, [at[-1] + 1]]) if len(texts) else np.zeros(1, np.int64)
+    return letters[keep], bounds
+
+
+def folded_at(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``folded`` of one text or more, and the place of each code point in its own text (-1 and len(text): what leads and follows it)."""
+    letters, keep, ends = _kept(texts)
     source = np.flatnonzero(keep)
     begins = np.r_[1, ends + 2]  # where each text begins in what was joined
+    bounds = np.concatenate([[0], np.searchsorted(source, ends) + 1, [len(source)]])
     return letters[keep], bounds, source - begins[np.searchsorted(ends, source, "left")]
 
 
