@@ -345,7 +345,7 @@ def decode(raw: bytes) -> ClassFile:
 
 # ---- sources ---------------------------------------------------------------------------------------
 
-ENTRY = "container string, entry string, input_kind string, content binary, diagnostic string"
+ENTRY = "container string, entry string, input_kind string, content binary, diagnostic string, multi_release boolean"
 
 
 @dataclass(frozen=True)
@@ -360,7 +360,10 @@ class ArchiveLimits:
 
 
 MANIFEST = "META-INF/MANIFEST.MF"
-VERSIONS = "META-INF/versions/"
+#: Endings of archives that an archive may hold; they are not opened.
+ARCHIVES = (".jar", ".zip", ".war", ".ear")
+#: Entries, and bytes of content, that leave a task at a time.
+BATCH_ENTRIES, BATCH_CONTENT = 256, 8_000_000
 
 
 def parse_manifest(text: str) -> dict[str, str]:
@@ -376,53 +379,60 @@ def read_manifest(archive: zipfile.ZipFile, limit: int = 1_000_000) -> dict[str,
     return parse_manifest(archive.read(info).decode("utf-8", "replace")) if info and info.file_size <= limit else {}
 
 
-def versioned_fault(path: str, multi_release: bool) -> str | None:
-    """Why an entry below META-INF/versions is left out, whatever the target release; null where it isn't."""
-    version, _, name = path.removeprefix(VERSIONS).partition("/")
-    if not re.fullmatch(r"[1-9][0-9]*", version) or not name.strip() or name.startswith("META-INF/"):
-        return "malformed-versioned-path"
-    if len(version) > 9:
-        return "version-overflow"
-    if int(version) < 9:
-        return "release-below-9"
-    return None if multi_release else "manifest-not-multi-release"
-
-
 def archive_entries(name: str, raw: bytes, limits: ArchiveLimits) -> Iterator[tuple]:
-    """Class entries of one archive in order of name; what breaks a bound, or is versioned without right, becomes a diagnostic."""
+    """Class entries of one archive in order of name, one at a time; what breaks a bound becomes a diagnostic.
+
+    So do archives within the archive, which are not opened, and an entry whose name came before: the first one stands.
+    """
     try:
         archive = zipfile.ZipFile(io.BytesIO(raw))
         multi_release = read_manifest(archive).get("multi-release", "").lower() == "true"
     except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
-        yield name, None, "JAR", None, f"ARCHIVE_DAMAGED {e}"
+        yield name, None, "JAR", None, f"ARCHIVE_DAMAGED {e}", None
         return
-    total = 0
+    row = lambda path, content, said: (name, path, "JAR", content, said, multi_release)
+    total, before = 0, None
     for k, info in enumerate(sorted(archive.infolist(), key=lambda i: i.filename)):
         if k >= limits.entries:
-            yield name, None, "JAR", None, "ENTRY_LIMIT"
+            yield row(None, None, "ENTRY_LIMIT")
             return
         path = info.filename
+        repeated, before = path == before, path
+        if path.lower().endswith(ARCHIVES):
+            yield row(path, None, "NESTED_ARCHIVE")
         if not path.endswith(".class"):
             continue
-        if path.startswith("/") or "\\" in path or ".." in path.split("/"):
-            yield name, path, "JAR", None, "ENTRY_PATH"
+        if repeated:
+            yield row(path, None, "REPEATED_ENTRY")
+        elif path.startswith("/") or "\\" in path or ".." in path.split("/"):
+            yield row(path, None, "ENTRY_PATH")
         elif path.count("/") > limits.depth:
-            yield name, path, "JAR", None, "ENTRY_DEPTH"
-        elif path.startswith(VERSIONS) and (fault := versioned_fault(path, multi_release)):
-            yield name, path, "JAR", None, f"VERSIONED_ENTRY {fault}"
+            yield row(path, None, "ENTRY_DEPTH")
         elif info.file_size > limits.entry_bytes or info.file_size > limits.ratio * max(info.compress_size, 1):
-            yield name, path, "JAR", None, "ENTRY_SIZE"
+            yield row(path, None, "ENTRY_SIZE")
         else:
             total += info.file_size
             if total > limits.total_bytes:
-                yield name, path, "JAR", None, "TOTAL_SIZE"
+                yield row(path, None, "TOTAL_SIZE")
                 return
             try:
-                content = archive.read(info)
+                yield row(path, archive.read(info), None)
             except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
-                yield name, path, "JAR", None, f"ENTRY_DAMAGED {e}"
-                continue
-            yield name, path, "JAR", content, None
+                yield row(path, None, f"ENTRY_DAMAGED {e}")
+
+
+def _in_batches(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """``rows`` of entries in lists of a bounded size, so that no archive is held unpacked as a whole."""
+    held: list[tuple] = []
+    content = 0
+    for row in rows:
+        held.append(row)
+        content += len(row[3] or b"")
+        if len(held) >= BATCH_ENTRIES or content >= BATCH_CONTENT:
+            yield held
+            held, content = [], 0
+    if held:
+        yield held
 
 
 def manifest_class_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -460,19 +470,19 @@ def follow_manifests(spark: SparkSession, inputs: list[tuple[str, str]], *, max_
         for r in manifest_class_paths(spark, sorted(wave)).orderBy("path", "place").limit(max_entries + 1).collect():
             path = by_uri[posixpath.abspath(re.sub(r"^file:/+", "/", r["path"]))]
             if followed >= max_entries:
-                said.append((path, f"LIMIT manifest-class-path-entries {max_entries}"))
+                said.append((path, f"CLASS_PATH_TOO_LONG {max_entries}"))
                 spent = True
                 break
             followed += 1
             to = posixpath.normpath(posixpath.join(posixpath.dirname(posixpath.abspath(path)), r["entry"]))
             if ":" in r["entry"] or r["entry"].startswith("/") or not to.startswith(f"{wave[path]}/"):
-                said.append((path, f"MANIFEST_CLASS_PATH_REJECTED {r['entry']}"))
+                said.append((path, f"CLASS_PATH_LEADS_OUT {r['entry']}"))
             else:
                 entries[path].append(to)
         named |= entries
         there = {to: wave[path] for path, found in entries.items() for to in found if to.endswith((".jar", ".zip"))}
         wave, depth = {to: root for to, root in there.items() if to not in named and posixpath.exists(to)}, depth + 1
-    said += [(path, f"LIMIT manifest-depth {max_depth}") for path in sorted(wave) if not spent]
+    said += [(path, f"CLASS_PATH_TOO_DEEP {max_depth}") for path in sorted(wave) if not spent]
     out: list[tuple[str, str]] = []
     placed: set[str] = set()
 
@@ -484,7 +494,7 @@ def follow_manifests(spark: SparkSession, inputs: list[tuple[str, str]], *, max_
                 if posixpath.exists(to):
                     place("JAR" if to.endswith((".jar", ".zip")) else "DIRECTORY", to)
                 else:
-                    said.append((path, f"MANIFEST_CLASS_PATH_MISSING {to}"))
+                    said.append((path, f"CLASS_PATH_ABSENT {to}"))
 
     for kind, path in inputs:
         place(kind, path)
@@ -494,7 +504,7 @@ def follow_manifests(spark: SparkSession, inputs: list[tuple[str, str]], *, max_
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """Class files below a directory, as entries."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.class").load(path)
-    return rows.select(F.lit(path).alias("container"), F.col("path").alias("entry"), F.lit("DIRECTORY").alias("input_kind"), "content", F.lit(None).cast("string").alias("diagnostic"))
+    return rows.select(F.lit(path).alias("container"), F.col("path").alias("entry"), F.lit("DIRECTORY").alias("input_kind"), "content", F.lit(None).cast("string").alias("diagnostic"), F.lit(None).cast("boolean").alias("multi_release"))
 
 
 def read_jars(spark: SparkSession, path: str, limits: ArchiveLimits | None = None) -> DataFrame:
@@ -502,21 +512,26 @@ def read_jars(spark: SparkSession, path: str, limits: ArchiveLimits | None = Non
     limits = limits or ArchiveLimits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
+        kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.bool_())
+        names = ["container", "entry", "input_kind", "content", "diagnostic", "multi_release"]
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = list(archive_entries(name, raw.as_py(), limits))
-                columns = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["container", "entry", "input_kind", "content", "diagnostic"])
+                for rows in _in_batches(archive_entries(name, raw.as_py(), limits)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jar").load(path)
     return rows.select("path", "content").mapInArrow(run, ENTRY)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_inputs(spark: SparkSession, inputs: list[tuple[str, str]], *, manifests: bool = False, ignore: list[tuple[str, str]] | None = None) -> DataFrame:
     """Entries of (kind, path) inputs, kind DIRECTORY, JAR or AUTO, with the input's precedence.
 
-    A repeated input counts once and leaves a diagnostic.  ``manifests`` follows the class paths of archives' manifests;
+    A repeated input counts once and leaves a diagnostic, and so does one that isn't there.  ``manifests`` follows the class paths of archives' manifests;
     ``ignore`` has the rules of an ignore file, over the entries' paths below their container.
     """
     said: list[tuple[str, str]] = []
@@ -528,11 +543,16 @@ def read_inputs(spark: SparkSession, inputs: list[tuple[str, str]], *, manifests
             said.append((path, "DUPLICATE_INPUT"))
             continue
         seen.add(path)
+        if not _exists(spark, path):
+            said.append((path, "INPUT_ABSENT"))
+            continue
         jar = kind == "JAR" or kind == "AUTO" and path.endswith((".jar", ".zip"))
         part = (read_jars if jar else read_directory)(spark, path).withColumn("precedence", F.lit(precedence))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        raise ValueError("no input is given")
+        if not inputs:
+            raise ValueError("no input is given")
+        out = spark.createDataFrame([], f"{ENTRY}, precedence int")
     if ignore:
         below = F.expr("substring(entry, locate(container, entry) + length(container))")
         place = F.when(F.col("input_kind") == "DIRECTORY", F.ltrim(below, F.lit("/"))).otherwise(F.col("entry"))
@@ -544,7 +564,7 @@ def read_inputs(spark: SparkSession, inputs: list[tuple[str, str]], *, manifests
 
 
 DECODED = (
-    "container string, entry string, input_kind string, precedence int, binary_name string, superclass string, interfaces array<string>, access_flags int, major int, source_file string, signature string, record boolean,"
+    "container string, entry string, input_kind string, precedence int, multi_release boolean, binary_name string, superclass string, interfaces array<string>, access_flags int, major int, source_file string, signature string, record boolean,"
     " permitted array<string>, module string, requires array<string>, exports array<string>, opens array<string>, uses array<string>, provides array<string>,"
     " enclosing_class string, enclosing_method string, nesting array<struct<inner:string,outer:string,name:string,flags:int>>,"
     " components array<struct<name:string,descriptor:string,signature:string>>, constants array<struct<member:string,value:string>>, defaults array<struct<member:string,value:string>>,"
@@ -567,8 +587,8 @@ def decode_entries(entries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for container, entry, kind, precedence, raw, why in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                row = dict.fromkeys(names) | {"container": container, "entry": entry, "input_kind": kind, "precedence": precedence, "diagnostic": why}
+            for container, entry, kind, precedence, raw, why, multi_release in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                row = dict.fromkeys(names) | {"container": container, "entry": entry, "input_kind": kind, "precedence": precedence, "diagnostic": why, "multi_release": multi_release}
                 if raw is not None:
                     try:
                         c = vars(decode(raw))
@@ -578,6 +598,6 @@ def decode_entries(entries: DataFrame) -> DataFrame:
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return entries.select("container", "entry", "input_kind", F.col("precedence").cast("int"), "content", "diagnostic").mapInArrow(run, DECODED)
+    return entries.select("container", "entry", "input_kind", F.col("precedence").cast("int"), "content", "diagnostic", "multi_release").mapInArrow(run, DECODED)
 
 

@@ -25,18 +25,34 @@ def _modifiers(flags: Column, names: tuple[str, ...]) -> Column:
 TARGET_RELEASE = 25
 
 
+def versioned_problem(entry: Column, multi_release: Column, target: int) -> Column:
+    """Why an archive's entry below META-INF/versions takes no part for the release ``target``; null where it does, or is no such entry.
+
+    VERSIONS_NOT_ENABLED: the manifest doesn't say that the archive has several releases.  VERSIONED_NAME_INVALID: no number without
+    leading zeros, or nothing but META-INF below it.  VERSION_OUT_OF_RANGE: a release below 9, where versions begin, or above the target.
+    """
+    parts = F.split(entry, "/", 4)
+    number, rest = F.get(parts, F.lit(2)), F.coalesce(F.get(parts, F.lit(3)), F.lit(""))
+    named = number.rlike(r"^[1-9]\d*$") & rest.rlike(r"\S") & ~rest.startswith("META-INF/")
+    reached = F.coalesce(number.try_cast("int").between(9, target), F.lit(False))
+    first = F.coalesce(
+        F.when(~F.coalesce(multi_release, F.lit(False)), "VERSIONS_NOT_ENABLED"), F.when(~named, "VERSIONED_NAME_INVALID"), F.when(~reached, "VERSION_OUT_OF_RANGE")
+    )
+    return F.when(entry.startswith("META-INF/versions/"), first)
+
+
 def resources(decoded: DataFrame, *, mode: str = "CLASSPATH") -> DataFrame:
     """``decoded`` with scope, name, release, multi_release and resource: what competes for a name, and with which release.
 
-    Class files of an archive below META-INF/versions/N have release N; the archive's manifest has allowed them already.  On a
+    Class files of an archive below META-INF/versions/N have release N.  On a
     class path all containers are one scope, on a module path each is its own.
     """
     release = F.regexp_extract("entry", "^META-INF/versions/([1-9][0-9]{0,8})/", 1)
     versioned = (F.col("input_kind") == "JAR") & (release != "")
     scope = F.lit("classpath") if mode == "CLASSPATH" else F.concat_ws(":", F.lit("module-path"), "input_kind", "container")
     return decoded.select(
-        "*", scope.alias("scope"), F.col("binary_name").alias("name"), F.when(versioned, release.try_cast("int")).otherwise(0).alias("release"),
-        versioned.alias("multi_release"), F.concat_ws("!", "container", "entry").alias("resource"),
+        *(c for c in decoded.columns if c != "multi_release"), scope.alias("scope"), F.col("binary_name").alias("name"), F.when(versioned, release.try_cast("int")).otherwise(0).alias("release"),
+        F.coalesce("multi_release", F.lit(False)).alias("multi_release"), F.concat_ws("!", "container", "entry").alias("resource"),
     )
 
 
@@ -46,8 +62,8 @@ def resolve(decoded: DataFrame, *, policy: str = "COLLECT", release: int = TARGE
     ``include`` limits the import to binary names that a pattern matches.
     """
     rows = resources(decoded, mode=mode)
-    above = F.col("diagnostic").isNull() & (F.col("release") > release)
-    rows = rows.withColumn("diagnostic", F.when(above, "VERSIONED_ENTRY release-above-target").otherwise(F.col("diagnostic")))
+    problem = F.when(F.col("input_kind") == "JAR", versioned_problem(F.col("entry"), F.col("multi_release"), release))
+    rows = rows.withColumn("diagnostic", F.coalesce("diagnostic", problem))
     diagnostics = rows.where("diagnostic IS NOT NULL").select("container", "entry", "diagnostic")
     if policy == "STRICT" and (row := diagnostics.orderBy("container", "entry").first()):
         raise ImportFailure(f"{row['entry']}: {row['diagnostic']}")
@@ -169,6 +185,8 @@ def type_graph(classes: DataFrame) -> Graph:
     """Declarations and instructions as one evidence table; nodes are all types seen, external ones included."""
     where = classes.select(F.col("binary_name").alias("origin"), F.concat(F.lit("location:"), F.translate("binary_name", ".", "/"), F.lit(".class")).alias("location"), "source_file")
     rows = declaration_dependencies(classes).unionByName(code_dependencies(classes), allowMissingColumns=True).join(where, "origin")
+    made = members_table(classes).where(F.array_contains("modifiers", "SYNTHETIC")).select(F.concat("owner", F.lit("#"), "name", "descriptor").alias("owner_member"), F.lit(True).alias("synthetic")).distinct()
+    rows = rows.join(made, "owner_member", "left").withColumn("synthetic", F.coalesce("synthetic", F.lit(False)))
     rows = rows.withColumn("origin", F.concat(F.lit("type:"), "origin")).withColumn("target", F.concat(F.lit("type:"), "target"))
     evidence = conform(rows)
     keys = evidence.select(F.explode(F.array("origin", "target")).alias("stable_key")).unionByName(classes.select(F.concat(F.lit("type:"), "binary_name").alias("stable_key")))

@@ -45,8 +45,37 @@ def test_releases(spark, classes, tmp_path):
             found, _, said = m.resolve(decoded, release=release)
             assert {r["entry"] for r in found.where("binary_name = 'py4j.Gateway'").collect()} == {entry}
         assert not [r for r in found.columns if r in ("release", "scope")]
-        reasons = {r["diagnostic"].split()[1] for r in said.collect()}
-        assert reasons == ({"release-above-target", "release-below-9", "malformed-versioned-path", "version-overflow"} if name == "multi.jar" else {"manifest-not-multi-release"})
+        reasons = {r["diagnostic"] for r in said.collect()}
+        assert reasons == ({"VERSION_OUT_OF_RANGE", "VERSIONED_NAME_INVALID"} if name == "multi.jar" else {"VERSIONS_NOT_ENABLED"})
+
+
+@pytest.mark.parametrize("entry, multi, target, said", [
+    ("a/B.class", False, 17, None), ("META-INF/versions/9/a/B.class", True, 17, None), ("META-INF/versions/17/a/B.class", True, 17, None), ("META-INF/versions/9/a/B.class", False, 17, "VERSIONS_NOT_ENABLED"),
+    ("META-INF/versions/18/a/B.class", True, 17, "VERSION_OUT_OF_RANGE"), ("META-INF/versions/8/a/B.class", True, 17, "VERSION_OUT_OF_RANGE"), ("META-INF/versions/99999999999/B.class", True, 17, "VERSION_OUT_OF_RANGE"),
+    ("META-INF/versions/09/B.class", True, 17, "VERSIONED_NAME_INVALID"), ("META-INF/versions/9/", True, 17, "VERSIONED_NAME_INVALID"), ("META-INF/versions/9", True, 17, "VERSIONED_NAME_INVALID"),
+    ("META-INF/versions/11/META-INF/B.class", True, 17, "VERSIONED_NAME_INVALID"), ("META-INF/versions/x/B.class", None, 17, "VERSIONS_NOT_ENABLED"),
+])
+def test_versioned_entries(spark, entry, multi, target, said):
+    rows = spark.createDataFrame([(entry, multi)], "entry string, multi boolean")
+    assert rows.select(m.versioned_problem(F.col("entry"), F.col("multi"), target)).first()[0] == said
+
+
+def test_archives_leave_diagnostics(spark, classes, tmp_path):
+    one = "py4j/Gateway.class"
+    with zipfile.ZipFile(tmp_path / "odd.jar", "w") as z:
+        for name in ("lib/inner.jar", one, one, "app.WAR", "py4j/Base64.class"):
+            z.writestr(name, classes.get(name, b""))
+    rows = c.read_inputs(spark, [("JAR", str(tmp_path / "odd.jar")), ("JAR", str(tmp_path / "none.jar"))]).collect()
+    assert sorted((r["diagnostic"], r["entry"]) for r in rows if r["diagnostic"] and r["entry"]) == [("NESTED_ARCHIVE", "app.WAR"), ("NESTED_ARCHIVE", "lib/inner.jar"), ("REPEATED_ENTRY", one)]
+    assert [r["container"] for r in rows if r["diagnostic"] == "INPUT_ABSENT"] == [str(tmp_path / "none.jar")]
+    assert sorted(r["entry"] for r in rows if r["content"]) == ["py4j/Base64.class", one]
+    assert c.read_inputs(spark, [("JAR", str(tmp_path / "none.jar"))]).count() == 1
+
+
+def test_entries_leave_a_task_in_bounded_batches():
+    rows = [("j", str(k), "JAR", b"x" * 3_000_000 if k < 6 else b"", None, False) for k in range(700)]
+    found = list(c._in_batches(iter(rows)))
+    assert [r for batch in found for r in batch] == rows and max(map(len, found)) <= c.BATCH_ENTRIES and len(found[0]) == 3
 
 
 def test_scopes_include_and_ignore(spark, classes, tmp_path):
@@ -75,9 +104,9 @@ def test_manifests_are_followed_within_bounds(spark, classes, tmp_path):
     jar(tmp_path / "lib/third.jar", one)
     found, said = c.follow_manifests(spark, [("AUTO", first)])
     assert [Path(p).name for _, p in found] == ["first.jar", "second.jar", "third.jar", "first.jar"]
-    assert sorted(t.split()[0] for _, t in said) == ["MANIFEST_CLASS_PATH_MISSING", "MANIFEST_CLASS_PATH_REJECTED", "MANIFEST_CLASS_PATH_REJECTED"]
-    assert [t for _, t in c.follow_manifests(spark, [("AUTO", first)], max_depth=1)[1] if t.startswith("LIMIT")] == ["LIMIT manifest-depth 1"]
-    assert [t for _, t in c.follow_manifests(spark, [("AUTO", first)], max_entries=2)[1] if t.startswith("LIMIT")] == ["LIMIT manifest-class-path-entries 2"]
+    assert sorted(t.split()[0] for _, t in said) == ["CLASS_PATH_ABSENT", "CLASS_PATH_LEADS_OUT", "CLASS_PATH_LEADS_OUT"]
+    assert [t for _, t in c.follow_manifests(spark, [("AUTO", first)], max_depth=1)[1] if "TOO" in t] == ["CLASS_PATH_TOO_DEEP 1"]
+    assert [t for _, t in c.follow_manifests(spark, [("AUTO", first)], max_entries=2)[1] if "TOO" in t] == ["CLASS_PATH_TOO_LONG 2"]
     entries = c.read_inputs(spark, [("AUTO", first)], manifests=True)
     assert entries.where("content IS NOT NULL").groupBy("precedence").count().count() == 3
 

@@ -52,7 +52,7 @@ def test_archive_bounds():
         z.writestr("a/A.class", b"x")
         z.writestr("b/../../B.class", b"x")
         z.writestr("c/Bomb.class", b"\0" * 1_000_000)
-    found = {e: d for _, e, _, _, d in c.archive_entries("j", buffer.getvalue(), c.ArchiveLimits())}
+    found = {e: d for _, e, _, _, d, _ in c.archive_entries("j", buffer.getvalue(), c.ArchiveLimits())}
     assert found == {"a/A.class": None, "b/../../B.class": "ENTRY_PATH", "c/Bomb.class": "ENTRY_SIZE"}
     assert list(c.archive_entries("j", b"no zip", c.ArchiveLimits()))[0][4].startswith("ARCHIVE_DAMAGED")
 
