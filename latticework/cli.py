@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework import config
+from latticework.functions.patterns import parse_ignore
 from latticework.operators.rules.dependencies import DependencySpec, dependency_rule
 from latticework.operators.rules.outcome import FAILED, INCOMPLETE, SKIPPED, RuleMetadata, RuleOutcome
 from latticework.operators.rules.structure import acyclic
@@ -19,7 +20,7 @@ from latticework.plans.snapshot import SnapshotQuery
 from latticework.session import ship
 from latticework.sinks import render
 from latticework.sources.classfile import decode_entries, read_inputs
-from latticework.sources.model import resolve, type_graph, types_table
+from latticework.sources.model import TARGET_RELEASE, resolve, type_graph, types_table
 
 #: Exit codes.
 OK, USAGE, TECHNICAL, NOT_DECIDED, VIOLATED = 0, 2, 3, 4, 5
@@ -33,8 +34,9 @@ class Analysis:
 
     def __init__(self, spark: SparkSession, c: config.Configuration) -> None:
         ship(spark)
-        entries = read_inputs(spark, [("AUTO", str(p)) for p in c.inputs])
-        classes, self.shadows, self.diagnostics = resolve(decode_entries(entries).persist())
+        ignore = parse_ignore(c.ignore.read_text("utf-8")) if c.ignore else None
+        entries = read_inputs(spark, [("AUTO", str(p)) for p in c.inputs], manifests=c.manifests, ignore=ignore)
+        classes, self.shadows, self.diagnostics = resolve(decode_entries(entries).persist(), release=c.release or TARGET_RELEASE, mode=c.mode)
         self.types, self.graph = types_table(classes), type_graph(classes)
 
     def rule(self, r: config.RuleConfig) -> RuleOutcome:

@@ -35,6 +35,10 @@ class Configuration:
     rules: tuple[RuleConfig, ...] = field(default=())
     allow_incomplete: bool = False
     output_format: str = "console"
+    release: int | None = None
+    mode: str = "CLASSPATH"
+    manifests: bool = False
+    ignore: Path | None = None
 
 
 def load(path: str) -> Configuration:
@@ -64,6 +68,7 @@ def load(path: str) -> Configuration:
     rules: dict[str, dict[str, str]] = {}
     inputs: list[Path] = []
     incomplete, output = False, "console"
+    options: dict[str, object] = {}
     base = file.resolve().parent
     for key, value in values.items():
         if m := _RULE.fullmatch(key):
@@ -79,6 +84,17 @@ def load(path: str) -> Configuration:
             incomplete = value == "true"
         elif key == "format" and value in ("console", "json", "sarif", "junit"):
             output = value
+        elif key == "release" and re.fullmatch(r"[1-9]\d{0,2}", value) and int(value) >= 8:
+            options["release"] = int(value)
+        elif key == "mode" and value in ("classpath", "module-path"):
+            options["mode"] = value.replace("-", "_").upper()
+        elif key == "manifests" and value in ("true", "false"):
+            options["manifests"] = value == "true"
+        elif key == "ignore":
+            place = (base / value).resolve()
+            if base not in place.parents or not place.is_file() or place.stat().st_size > MAX_BYTES:
+                raise ConfigError(f"ignore names a file of at most {MAX_BYTES} bytes in the configuration's folder")
+            options["ignore"] = place
         else:
             raise ConfigError(f"{key} isn't known, or has no such value")
     if not inputs or len(inputs) > MAX_INPUTS or len(rules) > MAX_RULES:
@@ -93,4 +109,4 @@ def load(path: str) -> Configuration:
             made.append(RuleConfig(name, kind, parse(r.pop("origin")), target, **r))
         except PatternError as e:
             raise ConfigError(f"rule {name}: {e}") from e
-    return Configuration(tuple(inputs), tuple(made), incomplete, output)
+    return Configuration(tuple(inputs), tuple(made), incomplete, output, **options)

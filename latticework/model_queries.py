@@ -15,9 +15,10 @@ from latticework.operators import algorithms, baseline, hierarchy, lookup, metri
 from latticework.operators.rules import access, structure
 from latticework.operators.rules import modules as mod
 from latticework.operators.rules.outcome import RuleMetadata, RuleOutcome, violations
-from latticework.plans import selectors
+from latticework.plans import projection, selectors
 from latticework.plans.graph import graph_from
 from latticework.queries import _RULE, _hierarchy, _ids, _shown, _HIER, query
+from latticework.sources.model import References
 
 # ---- graph of users: one giant component ------------------------------------------------------------
 
@@ -482,6 +483,70 @@ def public_library_unreachable(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(structure.unreachable(_RULE, g, _ids(c, "type_key"), structure.public_roots(c)), "origin", "n_evidence")
 
 
+# ---- scopes, references, occurrences ---------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT DISTINCT s_nationkey AS scope, s_suppkey % 20 AS name FROM supplier), q AS (SELECT c_custkey, c_nationkey AS scope, c_custkey % 25 AS name FROM customer),
+r AS (SELECT a.n_nationkey AS scope, b.n_nationkey AS reads FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey)
+SELECT c_custkey, 'n' || coalesce((SELECT scope FROM t WHERE t.scope = q.scope AND t.name = q.name), (SELECT min(reads) FROM r JOIN t ON t.scope = r.reads WHERE r.scope = q.scope AND t.name = q.name)) AS found FROM q""")
+def scoped_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers are types in the scope of their nation, customers references to them; nations of a region read each other, lowest first."""
+    name = lambda key, n: F.concat(F.lit("T"), F.expr(f"{key} % {n}"))
+    scope = lambda key: F.concat(F.lit("n"), key)
+    types = wl.table(spark, sf, "supplier").select(scope("s_nationkey").alias("scope"), name("s_suppkey", 20).alias("name"))
+    asked = wl.table(spark, sf, "customer").select("c_custkey", scope("c_nationkey").alias("scope"), name("c_custkey", 25).alias("name"))
+    n = wl.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    reads = n.join(n.select(F.col("n_nationkey").alias("place"), "n_regionkey"), "n_regionkey").where("n_nationkey <> place").select(scope("n_nationkey").alias("scope"), scope("place").alias("reads"), "place")
+    return lookup.resolve_in_scopes(asked, types, reads).select("c_custkey", "found")
+
+
+_REFERENCES = """f AS (SELECT 'T' || l_suppkey AS o, 'T' || l_partkey AS t, l_returnflag AS s, l_quantity < 10 AS primitive FROM lineitem), d AS (SELECT o, t, count(DISTINCT s) AS n FROM f WHERE NOT primitive GROUP BY o, t)"""
+
+
+def _references(spark: SparkSession, sf: str) -> References:
+    """A line item is a reference of its supplier to its part; small quantities stand for primitive types."""
+    key = lambda c: F.concat(F.lit("T"), c)
+    descriptor = F.when(F.col("l_quantity") < 10, "[I").when(F.col("l_quantity") < 20, F.concat(F.lit("[[LT"), "l_partkey", F.lit(";"))).otherwise(F.concat(F.lit("LT"), "l_partkey", F.lit(";")))
+    rows = wl.table(spark, sf, "lineitem").select(key("l_suppkey").alias("origin"), descriptor.alias("descriptor"), F.lit("FIELD_TYPE").alias("kind"), F.col("l_returnflag").alias("source"))
+    return References(rows, wl.table(spark, sf, "supplier").select(key("s_suppkey").alias("name")))
+
+
+@query(f"WITH {_REFERENCES} SELECT o AS origin, t AS target, n AS n_sources, o = t AS self, t NOT IN (SELECT 'T' || s_suppkey FROM supplier) AS external FROM d")
+def declared_references(spark: SparkSession, sf: str) -> DataFrame:
+    return _references(spark, sf).rows.drop("kind")
+
+
+@query(f"""WITH {_REFERENCES} SELECT 'primitives' AS counter, count(*) FILTER (primitive) AS n FROM f UNION ALL SELECT 'duplicates', (SELECT count(*) FROM f WHERE NOT primitive) - (SELECT sum(n) FROM d)::BIGINT
+UNION ALL SELECT 'self', count(*) FROM d WHERE o = t UNION ALL SELECT 'external', count(*) FROM d WHERE t NOT IN (SELECT 'T' || s_suppkey FROM supplier)""")
+def declared_counters(spark: SparkSession, sf: str) -> DataFrame:
+    found = _references(spark, sf)
+    algorithms.cut(found.rows, "references")  # the one job that reads them fills the counters
+    return spark.createDataFrame(sorted(found.counters().items()), "counter string, n long")
+
+
+@query("SELECT doc_id::VARCHAR AS subject FROM labels WHERE quality = 1 AND toxic = 0 UNION SELECT doc_id::VARCHAR FROM documents WHERE lang = 'de' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def annotation_visibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels are occurrences, visible where quality is 1; toxic ones sit on a use of a type, unless the document is German."""
+    rows = wl.table(spark, sf, "labels").join(wl.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    on_use = (F.col("toxic") == 1) & ~F.col("lang").eqNullSafe("de")
+    occurrences = rows.select(F.col("doc_id").cast("string").alias("subject"), F.lit("Label").alias("annotation"), (F.col("quality") == 1).alias("visible"), F.when(on_use, "TYPE_USE").otherwise("DECLARATION").alias("target"))
+    return hierarchy.annotated_with(hierarchy.occurrences_where(occurrences, visibility="RUNTIME"), "Label", "DIRECT")
+
+
+@query(f"""WITH {wl.TRADE_SQL}, e AS (SELECT DISTINCT a.package AS o, b.package AS t FROM trade JOIN catalog a ON a.type_key = origin JOIN catalog b ON b.type_key = target WHERE trade.kind = 'THROWS' AND a.package <> b.package)
+SELECT DISTINCT 'package:' || package AS stable_key FROM catalog WHERE package NOT IN (SELECT o FROM e UNION SELECT t FROM e)""")
+def isolated_packages(spark: SparkSession, sf: str) -> DataFrame:
+    """Packages that a projection to returns leaves without an edge; they stay nodes."""
+    return projection.packages().including_only("THROWS").without_self_edges().apply(wl.trade(spark, sf))[0].isolated()
+
+
+@query("""SELECT lang, source, CASE WHEN count(*) FILTER (n_chars >= 5000) = 0 THEN 'NOT_APPLICABLE' WHEN max(n_chars) > 20000 THEN 'INCOMPLETE_EVIDENCE' ELSE 'COMPUTED' END AS state FROM documents GROUP BY lang, source""")
+def cohesion_states(spark: SparkSession, sf: str) -> DataFrame:
+    """A type is a language and source, long documents its methods; very long ones have no body here."""
+    d = wl.table(spark, sf, "documents").groupBy("lang", "source").agg(F.count_if(F.col("n_chars") >= 5000).alias("methods"), (F.max("n_chars") <= 20000).alias("bodies"))
+    return d.select("lang", "source", metrics.cohesion_availability(F.col("bodies"), F.col("methods")).alias("state"))
+
+
 # ---- results and baselines -------------------------------------------------------------------------
 
 

@@ -95,6 +95,14 @@ def meta_annotation_states(occurrences: DataFrame, *, max_depth: int = 256) -> D
     return rows.select("annotation", F.coalesce("n_meta", F.lit(0)).alias("n_meta"), F.coalesce("limit", no).alias("limit"), F.coalesce("turns", no).alias("cycle"))
 
 
+def occurrences_where(occurrences: DataFrame, *, visibility: str = "ANY", targets: tuple[str, ...] = ("DECLARATION",)) -> DataFrame:
+    """Occurrences (subject, annotation, visible, target) of a kind: RUNTIME (visible at run time), CLASS or ANY, on DECLARATION, PARAMETER or TYPE_USE targets."""
+    seen = {"ANY": F.lit(True), "RUNTIME": F.col("visible"), "CLASS": ~F.col("visible")}.get(visibility)
+    if seen is None:
+        raise ValueError("a visibility is ANY, RUNTIME or CLASS")
+    return occurrences.where(seen & F.col("target").isin(*targets))
+
+
 def annotated_with(occurrences: DataFrame, annotation: str, mode: str, *, superclass: DataFrame | None = None, inheritable: DataFrame | None = None, max_depth: int = 256) -> DataFrame:
     """(subject): DIRECT, META (through annotations of the annotation) or INHERITED (along the superclass chain).
 

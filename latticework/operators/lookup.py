@@ -66,6 +66,21 @@ def classpath_winners(resources: DataFrame, *, release: int | None = None) -> Da
     return winners(resources, ["scope", "name"], [F.col("precedence"), F.col("release").desc(), F.col("resource")])
 
 
+def resolve_in_scopes(references: DataFrame, types: DataFrame, reads: DataFrame) -> DataFrame:
+    """``references`` (scope, name, ...) with ``found``: the scope that holds the name for them, null where none does.
+
+    types: scope, name.  reads: scope, reads, place.  A scope's own types come first, then those of the scopes it reads, by place
+    and name.  References meet the types once a distinct (scope, name), so a name that all of them use is no hot key.
+    """
+    asked = references.select("scope", "name").distinct()
+    readable = reads.select("scope", F.col("reads").alias("in"), "place").where(F.col("scope") != F.col("reads"))
+    held = types.select(F.col("scope").alias("in"), "name").distinct()
+    own = asked.join(held.withColumnRenamed("in", "scope"), ["scope", "name"], "left_semi").select("scope", "name", F.col("scope").alias("found"))
+    rest = asked.join(own, ["scope", "name"], "left_anti")
+    other = rest.join(readable, "scope").join(held, ["in", "name"]).groupBy("scope", "name").agg(F.min(F.struct("place", "in")).alias("first")).select("scope", "name", F.col("first.in").alias("found"))
+    return references.join(own.unionByName(other), ["scope", "name"], "left")
+
+
 def expand_manifest(entries: DataFrame, manifests: DataFrame, *, max_depth: int = 8, max_entries: int = 1_000) -> DataFrame:
     """(path, depth): class-path entries (path) and what their manifests (path, entry) name, breadth first within bounds."""
     from latticework.operators.algorithms import reachable

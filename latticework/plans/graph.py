@@ -66,6 +66,11 @@ class Graph:
         """Drops evidence rows; an edge goes with its last one, nodes stay."""
         return Graph(self.nodes, self.rows.where(~F.coalesce(removed, F.lit(False))))
 
+    def isolated(self) -> DataFrame:
+        """(stable_key): nodes at neither end of any edge."""
+        ends = self.rows.select(F.explode(F.array("origin", "target")).alias("stable_key"))
+        return self.nodes.select("stable_key").join(ends, "stable_key", "left_anti")
+
     def dangling(self) -> DataFrame:
         """(endpoint, n): endpoints of edges that are no node."""
         ends = self.evidence.select(F.explode(F.array("origin", "target")).alias("endpoint"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from latticework.functions import descriptors as d
 from latticework.functions.classify import FLAGS, call_site_kind, has_flag, member_kind, nesting_kind, type_kind, visibility
 from latticework.functions.identity import package_of
 from latticework.functions.patterns import NamePattern, any_of
-from latticework.operators.lookup import classpath_winners
+from latticework.operators.lookup import classpath_winners, resolve_in_scopes
 from latticework.plans.graph import Graph, conform, nodes_of
 
 
@@ -181,18 +181,55 @@ def code_dependencies(classes: DataFrame) -> DataFrame:
     return calls.unionByName(refs).where("target IS NOT NULL")
 
 
-def type_graph(classes: DataFrame) -> Graph:
-    """Declarations and instructions as one evidence table; nodes are all types seen, external ones included."""
-    where = classes.select(F.col("binary_name").alias("origin"), F.concat(F.lit("location:"), F.translate("binary_name", ".", "/"), F.lit(".class")).alias("location"), "source_file")
+def type_graph(classes: DataFrame, reads: DataFrame | None = None) -> Graph:
+    """Declarations and instructions as one evidence table; nodes are all types seen, external ones included.
+
+    Where ``classes`` have scopes (a module path), so have keys: ``type:<scope>!<name>``, and a name is looked up in its own scope
+    first, then in those that scope ``reads`` (scope, reads, place); without ``reads`` in all others, by precedence.  What no scope
+    holds is external, and has none.
+    """
+    scoped = "scope" in classes.columns
+    if scoped:
+        types = classes.select("scope", F.col("binary_name").alias("name"), "precedence")
+        if reads is None:
+            order = types.groupBy(F.col("scope").alias("reads")).agg(F.min("precedence").alias("place"))
+            reads = types.select("scope").distinct().join(order, F.col("scope") != F.col("reads"))  # scopes are inputs: at most some dozens
+        classes = classes.withColumn("binary_name", F.concat_ws("!", "scope", "binary_name"))
+    name = F.substring_index("binary_name", "!", -1)
+    where = classes.select(F.col("binary_name").alias("origin"), F.concat(F.lit("location:"), F.translate(name, ".", "/"), F.lit(".class")).alias("location"), "source_file")
     rows = declaration_dependencies(classes).unionByName(code_dependencies(classes), allowMissingColumns=True).join(where, "origin")
-    made = members_table(classes).where(F.array_contains("modifiers", "SYNTHETIC")).select(F.concat("owner", F.lit("#"), "name", "descriptor").alias("owner_member"), F.lit(True).alias("synthetic")).distinct()
-    rows = rows.join(made, "owner_member", "left").withColumn("synthetic", F.coalesce("synthetic", F.lit(False)))
+    made = members_table(classes).where(F.array_contains("modifiers", "SYNTHETIC")).select(F.col("owner").alias("origin"), F.concat(F.substring_index("owner", "!", -1), F.lit("#"), "name", "descriptor").alias("owner_member"), F.lit(True).alias("synthetic")).distinct()
+    rows = rows.withColumn("owner_member", F.regexp_replace("owner_member", "^[^#]*!", "")).join(made, ["origin", "owner_member"], "left").withColumn("synthetic", F.coalesce("synthetic", F.lit(False)))
+    if scoped:
+        asked = rows.withColumns({"scope": F.expr("substring(origin, 1, length(origin) - length(substring_index(origin, '!', -1)) - 1)"), "name": F.col("target")})
+        rows = resolve_in_scopes(asked, types, reads).withColumn("target", F.concat_ws("!", "found", "name"))
     rows = rows.withColumn("origin", F.concat(F.lit("type:"), "origin")).withColumn("target", F.concat(F.lit("type:"), "target"))
     evidence = conform(rows)
     keys = evidence.select(F.explode(F.array("origin", "target")).alias("stable_key")).unionByName(classes.select(F.concat(F.lit("type:"), "binary_name").alias("stable_key")))
     return Graph(nodes_of(keys), evidence)
 
 
+class References:
+    """Declared references (origin, descriptor, kind, source) as dependencies, with what was left out counted on the way.
+
+    ``rows``: origin, target, kind, n_sources, self, external (the target is no ``imported`` type (name)).  ``counters`` are read off
+    the job that reads ``rows``, once it has run: primitives, duplicates (a source given twice), self, external.
+    """
+
+    def __init__(self, references: DataFrame, imported: DataFrame) -> None:
+        self._before, self._after = Observation(), Observation()
+        rows = references.select("origin", d.element_name(F.col("descriptor")).alias("target"), "kind", "source")
+        rows = rows.observe(self._before, F.count(F.lit(1)).alias("n"), F.count_if(F.col("target").isNull()).alias("primitives")).where("target IS NOT NULL").distinct()
+        here = imported.select(F.col("name").alias("target"), F.lit(True).alias("here")).distinct()
+        grouped = rows.groupBy("origin", "target", "kind").agg(F.count(F.lit(1)).alias("n_sources"))
+        found = grouped.join(here, "target", "left").select("origin", "target", "kind", "n_sources", (F.col("origin") == F.col("target")).alias("self"), F.col("here").isNull().alias("external"))
+        self.rows = found.observe(self._after, F.sum("n_sources").alias("kept"), F.count_if("self").alias("self"), F.count_if("external").alias("external"))
+
+    def counters(self) -> dict[str, int]:
+        before, after = self._before.get, self._after.get
+        return {"primitives": before["primitives"], "duplicates": before["n"] - before["primitives"] - (after["kept"] or 0), "self": after["self"], "external": after["external"]}
+
+
 def external_types(graph: Graph, types: DataFrame) -> DataFrame:
     """(binary_name): referenced types that no input holds; they stand in as stubs."""
     keys = graph.nodes.where("id_kind = 'type'").select(F.regexp_replace("stable_key", "^type:", "").alias("binary_name"))

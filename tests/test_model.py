@@ -96,6 +96,23 @@ def test_scopes_include_and_ignore(spark, classes, tmp_path):
     assert c.read_inputs(spark, [("DIRECTORY", str(tmp_path / "classes"))], ignore=rules).count() == 1
 
 
+def test_scopes_keep_equal_names_apart(spark, classes, tmp_path):
+    names = ["py4j/Gateway.class", "py4j/Base64.class", "py4j/StringUtil.class", "py4j/Protocol.class"]
+    a = jar(tmp_path / "a.jar", {n: classes[n] for n in names})
+    b = jar(tmp_path / "b.jar", {n: classes[n] for n in names[1:]})
+    decoded = c.decode_entries(c.read_inputs(spark, [("JAR", a), ("JAR", b)])).persist()
+    path, module = m.resolve(decoded)[0], m.resolve(decoded, mode="MODULE_PATH")[0]
+    keys = lambda g: {r["stable_key"] for r in g.nodes.collect()}
+    assert "type:py4j.Protocol" in keys(m.type_graph(path)) and not [k for k in keys(m.type_graph(path)) if "!" in k]
+    g = m.type_graph(module)
+    apart = [k for k in keys(g) if k.endswith("!py4j.Protocol")]
+    assert len(apart) == 2 and "type:java.lang.Object" in keys(g) and not [k for k in keys(g) if k == "type:py4j.Protocol"]
+    # A type's own scope comes first; what it lacks is found in the other.
+    scope = lambda k: k.rpartition("!")[0]
+    edges = {(r["origin"], r["target"]) for r in g.connections().collect() if "!" in r["target"]}
+    assert edges and all(scope(o) == scope(t) or t.endswith("!py4j.Gateway") for o, t in edges)
+
+
 def test_manifests_are_followed_within_bounds(spark, classes, tmp_path):
     (tmp_path / "lib").mkdir()
     one = {"py4j/Gateway.class": classes["py4j/Gateway.class"]}
