@@ -163,6 +163,10 @@ class LsmIndex:
         return self.level.where("n > 1")
 
 
+#: Rows of a digest from which its texts are dealt over so many salts.
+HOT_ROWS, SALTS = 1_000, 32
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (digest, text, keeper's text) whose normalised bytes differ."""
     for batch in batches:
@@ -189,11 +193,15 @@ def exact_dedup(docs: DataFrame, *, digest_bits: int = 64, batches: int = 2, mem
     # Byte verification of the hits: only their texts move, by their digest, to one text of a row that equals their keeper.
     split = spark.createDataFrame([], "digest long")
     if n_members:
-        named = broadcast_if(hits.select("digest", F.col("best.doc_id").alias("keeper"), (-F.col("best.less")).alias("keeper_chars")), n_hits)
-        texts = digested(docs, digest_bits=digest_bits).join(named, "digest")
+        # A digest of many rows is dealt over salts, its keeper's text to each of them, so that no task gets all its texts.
+        hot = F.col("n") > HOT_ROWS
+        named = broadcast_if(hits.select("digest", F.col("best.doc_id").alias("keeper"), (-F.col("best.less")).alias("keeper_chars"), hot.alias("hot")), n_hits)
+        texts = digested(docs, digest_bits=digest_bits).join(named, "digest").withColumn("salt", F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int"))
         keepers = texts.where(F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("n_chars") == F.col("keeper_chars")))
-        keepers = keepers.select("digest", F.col("text").alias("kept_text")).dropDuplicates(["digest"])
-        split = write_table(texts.select("digest", "text").join(keepers, "digest").select("digest", "text", "kept_text").mapInArrow(_verify, "digest long").distinct(), f"{area}/split")
+        keepers = keepers.select("digest", "hot", F.col("text").alias("kept_text")).dropDuplicates(["digest"])
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        keepers = keepers.select("digest", "kept_text", F.explode(salts).alias("salt"))
+        split = write_table(texts.select("digest", "salt", "text").join(keepers, ["digest", "salt"]).select("digest", "text", "kept_text").mapInArrow(_verify, "digest long").distinct(), f"{area}/split")
     n_split = split.count()
     group = F.when(F.lit(False), F.lit(b""))
     keyed = runs
