@@ -210,6 +210,10 @@ def _around(units: DataFrame, places: DataFrame) -> DataFrame:
     return rows.select("doc", "text", "row", "places").mapInArrow(run, "doc long, row long, at long, digest long")
 
 
+#: Places of a window from which they are dealt over so many salts.
+HOT_PLACES, SALTS = 10_000, 32
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc, at, n_words, keeper): the maximal stretches of each document whose every LEAST_WORDS words stand in another document too.
 
@@ -224,10 +228,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     shared = write_table(shared, f"{area}/shared")
     hits = held(found.join(broadcast_if(shared, shared.count()), "digest", "left_semi").distinct())
     place = F.struct("doc", "row", "at")
-    ends = hits.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("z"))
+    ends = held(hits.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("z"), (F.count(F.lit(1)) > HOT_PLACES).alias("hot")))
+    # A window of many places is dealt over salts, its ends to each of them: those are two places, whatever their number.
+    hot = ends.where("hot").select("digest", F.lit(True).alias("many"))
+    salted = hits.join(broadcast_if(hot, hot.count()), "digest", "left").withColumn("salt", F.when(F.col("many"), F.pmod(F.xxhash64("doc", "row", "at"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     # The same window in the smallest document, or, seen from there, in the largest.
     other = F.when(F.col("doc") == F.col("a.doc"), F.col("z")).otherwise(F.col("a"))
-    paired = hits.join(ends, "digest").select("doc", "row", "at", "digest", F.col("a.doc").alias("keeper"), other.alias("other"))
+    paired = salted.join(ends.select("digest", "a", "z", F.explode(salts).alias("salt")), ["digest", "salt"]).select("doc", "row", "at", "digest", F.col("a.doc").alias("keeper"), other.alias("other"))
     paired = paired.select("doc", "row", "at", "digest", "keeper", F.col("other.doc").alias("doc2"), F.col("other.row").alias("row2"), (F.col("other.at") - F.col("at")).alias("shift"))
     order = Window.partitionBy("doc", "row").orderBy("at")
     new = F.lag("at").over(order).isNull() | (F.col("at") - F.lag("at").over(order) > WINDOW)
@@ -236,6 +244,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     paired = paired.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(order)).withColumn("last", F.coalesce(F.lead("new").over(order), F.lit(True)))
     paired = write_table(paired.select("doc", "row", "at", "digest", "keeper", "run", (F.col("new") | F.col("last")).alias("end")), f"{area}/hits")
     hits.unpersist()
+    ends.unpersist()
     inner = paired.groupBy("doc", "row", "run").agg(F.min("at").alias("at"), (F.max("at") + WINDOW - LEAST_WORDS).alias("to"), F.min("keeper").alias("keeper"))
     inner = inner.where("at <= to").select("doc", "row", "at", "to", "keeper")
     open_ = held(paired.where("end").select("digest").distinct())

@@ -167,6 +167,16 @@ def test_exact_dedup_repeated_rows_and_nothing(spark):
     assert exact_dedup.exact_dedup(docs_frame(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_hot_digests_are_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    texts = [(i, "many of these") for i in range(40)] + [(100 + i, " manyofthese") for i in range(5)] + [(200, "one"), (201, "two"), (202, "two")]
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs_frame(spark, texts)).collect()}
+    assert {found[i][:2] for i in (*range(40), *range(100, 105))} == {(0, 45)} and found[0][2] and not found[5][2]
+    assert found[200] == (200, 1, True) and found[202] == (201, 2, False)
+    clash = exact_dedup.exact_dedup(docs_frame(spark, texts), digest_bits=1).collect()  # all under two digests, told apart by their bytes
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in clash} == found
+
+
 def test_bloom_has_no_false_negative():
     rng = np.random.default_rng(5)
     d = rng.integers(-(2**63), 2**63, 4000)
@@ -273,6 +283,16 @@ def passages_by_hand(texts):
     return want
 
 
+def test_windows_of_many_places_are_dealt_over_salts(spark, monkeypatch):
+    rng = random.Random(12)
+    shared = " ".join(f"s{k}" for k in range(80))
+    texts = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + (f" {shared} " if i % 2 else " ") + " ".join(f"v{rng.randrange(10**6)}" for _ in range(30))) for i in range(24)]
+    of = lambda: sorted(tuple(r) for r in substring_dedup.repeated_passages(docs_frame(spark, texts)).collect())
+    plain = of()
+    monkeypatch.setattr(substring_dedup, "HOT_PLACES", 2)
+    assert of() == plain and {r[0] for r in plain} == set(range(1, 24, 2))
+
+
 def test_passages_span_what_is_shared(spark):
     rng = random.Random(23)
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
