@@ -62,16 +62,15 @@ def suppress(changes: DataFrame, suppressions: DataFrame, on: datetime.date) ->
     """
     names = ("rule_id", "subject_id", "location")
     active = F.col("expires_on").isNull() | (F.col("expires_on") >= F.lit(on))
-    # By which keys a suppression names, so that each kind is one row a key and an equi-join; the key of those that name none is a constant.
-    out, fits = changes.withColumn("_all", F.lit(0)), []
-    for k in range(8):
+    # By which keys a suppression names: each kind that occurs, eight at most, is one row a key and an equi-join; one that names none is a constant.
+    kind = sum(F.when(F.col(n).isNotNull(), 1 << i).otherwise(0) for i, n in enumerate(names))
+    kinds = {r["kind"]: r["active"] for r in suppressions.groupBy(kind.alias("kind")).agg(F.bool_or(active).alias("active")).collect()}
+    out, fits = changes, [F.lit(None).cast("boolean")] * 2
+    for k, any_active in sorted(kinds.items()):
         keys = [n for i, n in enumerate(names) if k >> i & 1]
-        of_kind = F.lit(True)
-        for n in names:
-            of_kind &= F.col(n).isNotNull() if n in keys else F.col(n).isNull()
-        part = suppressions.where(of_kind).select(*keys, F.lit(0).alias("_all"), active.alias(f"_active{k}")).groupBy("_all", *keys).agg(F.bool_or(f"_active{k}").alias(f"_active{k}"))
-        out = out.join(part, ["_all", *keys], "left")
-        fits.append(F.col(f"_active{k}"))
+        if keys:
+            out = out.join(suppressions.where(kind == k).groupBy(*keys).agg(F.bool_or(active).alias(f"_active{k}")), keys, "left")
+        fits.append(F.col(f"_active{k}") if keys else F.lit(any_active))
     best = F.greatest(*fits)  # true before false, nulls left out
     state = F.when(F.col("state") == "RESOLVED", "RESOLVED").when(best, "SUPPRESSED").when(~best, "EXPIRED").otherwise(F.col("state"))
     return out.withColumn("state", state).select(*changes.columns)
