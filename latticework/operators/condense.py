@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators.algorithms import shared_folder
+from latticework.operators.algorithms import cut, shared_folder
 
 #: 64-bit words, and so columns, of a block of the bit matrix.
 WORDS = 8
@@ -179,7 +179,9 @@ def reach_by_blocks(edges: DataFrame, sizes: DataFrame, *, pass_columns: int = P
             area.delete(path)
     if not counts:
         return sizes.select("id", F.col("size").alias("reached"))
-    return reduce(DataFrame.unionByName, counts).groupBy("id").agg(F.sum("reached").alias("reached"))
+    found = cut(reduce(DataFrame.unionByName, counts).groupBy("id").agg(F.sum("reached").alias("reached")), "reached")
+    area.delete(area.path)
+    return found
 
 
 def _counted(rows: DataFrame, masks: DataFrame) -> DataFrame:
@@ -197,4 +199,6 @@ def reach_in_large(edges: DataFrame, ids: DataFrame) -> DataFrame:
     short = _ends(edges.select("origin", "target"), part, "component").where("component1 <> component2")
     short = area.write(short.select(F.col("component1").alias("origin"), F.col("component2").alias("target")).distinct(), "short")
     reach = reach_by_blocks(short, sizes)
-    return part.join(reach.withColumnRenamed("id", "component"), "component").select("id", "reached")
+    found = cut(part.join(reach.withColumnRenamed("id", "component"), "component").select("id", "reached"), "reached")
+    area.delete(area.path)
+    return found
