@@ -6,7 +6,8 @@ document holds the item within k edits, at least one piece stands there unchange
 automaton finds all pieces in the whole text; a hit fixes where the item would lie, and Myers'
 bit-parallel algorithm gives the least edit distance of the item to any part of that window.
 
-Items go to the tasks in blocks of ``block_items`` items and ``block_chars`` characters; documents are never joined or
+Items go to the tasks in blocks of ``block_items`` items and ``block_chars`` characters, whose automaton takes a Python worker up to
+some 160 MB (measured by a test); each further block is one more scan, and no task holds two.  Documents are never joined or
 shuffled.  Edge cases: null and empty texts match nothing, and items without a letter or digit are never found; items of
 fewer than ``least_chars`` characters must stand as whole words: the part of the text that is within their budget begins and
 ends where words do; equal items are reported each; of several places in a document the one with the fewest edits, then the
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import table
+from latticework.llm.common import delete_path, new_area, table, write_table
 
 _OTHER = re.compile(r"[\W_]+")
 ERROR_RATE = 0.08
+#: What one automaton holds at most: about 40 bytes a character, and some hundred for each item and piece.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 2_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -159,7 +162,7 @@ class Matcher:
 MATCH = "doc_id long, item_id long, edits int, end long, item_chars int"
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = 25, block_items: int = 20_000, block_chars: int = 20_000_000) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = 25, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, end, item_chars): each item that a document holds within its error budget."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -197,8 +200,11 @@ def item_blocks(items: DataFrame, block_items: int, block_chars: int) -> Iterato
         yield block
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = 25, block_items: int = 20_000, block_chars: int = 20_000_000) -> DataFrame:
-    """``docs`` without the rows that hold an item.  Every row is judged by its own text, so null and repeated doc_ids cost no other row."""
+def decontaminate(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = 25, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the rows that hold an item.  Every row is judged by its own text, so null and repeated doc_ids cost no other row.
+
+    Between blocks the rows left are written, for scans that follow each other within a task would hold all their automata at once.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def without(rows: DataFrame, block: list[tuple[int | None, str]]) -> DataFrame:
@@ -213,7 +219,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, error_rate: float = ERRO
 
         return rows.mapInArrow(run, fields)
 
-    for block in item_blocks(items, block_items, block_chars):
+    area, written = new_area(docs.sparkSession, "clean"), []
+    for k, block in enumerate(item_blocks(items, block_items, block_chars)):
+        if k:
+            docs = write_table(docs, f"{area}/{k}")
+            for path in written:
+                delete_path(docs.sparkSession, path)
+            written = [f"{area}/{k}"]
         docs = without(docs, block)
     return docs
 
