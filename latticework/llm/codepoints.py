@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -44,11 +46,26 @@ def _kept(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(code points, bounds): text i, led and followed by a space, is ``bounds[i]:bounds[i + 1]``; runs of non-letters are one space."""
     letters, keep, ends = _kept(texts)
+    keep[ends] = False  # what parts two texts belongs to neither
     at = np.cumsum(keep) - 1
     bounds = np.concatenate([[0], at[ends] + 1, [at[-1] + 1]]) if len(texts) else np.zeros(1, np.int64)
     return letters[keep], bounds
 
 
+def folded_parts(text: str, size: int) -> Iterator[np.ndarray]:
+    """The code points of ``folded([text])``, from ``size`` characters at a time."""
+    before = 0
+    for at in range(0, max(len(text), 1), size):
+        raw = np.frombuffer(text[at : at + size].encode("utf-32-le", "replace"), np.uint32)
+        edges = np.full(1, SPACE, np.uint32)
+        letters = np.concatenate([edges[at:], fold_table()[np.minimum(raw, _LIMIT - 1)], edges[: at + size >= len(text)]])
+        keep = letters != SPACE
+        keep[1:] |= letters[:-1] != SPACE
+        keep[0] |= before != SPACE
+        before = letters[-1]
+        yield letters[keep]
+
+
 def folded_at(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``folded`` of one text or more, and the place of each code point in its own text (-1 and len(text): what leads and follows it)."""
     letters, keep, ends = _kept(texts)

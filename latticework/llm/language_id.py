@@ -5,7 +5,7 @@ run of other characters being one space); a linear layer and a softmax follow.
 are trained together by stochastic gradient descent in numpy on at most ``max_rows`` labelled
 documents, chosen by a hash of identifier and text, an equal number of each language.  A share of those is left out of training; on it a
 temperature is fitted to the scores, and the rejection bound is the score that all but ``reject`` of
-its rightly labelled texts reach.  Since all layers are linear before the softmax, prediction sums one small row of logits an n-gram.
+its rightly labelled texts reach.  Prediction sums one embedding an n-gram; the layer comes once a text.
 
 Edge cases: null text, or text without a letter, gives ``und`` with score 0 and is rejected; rows without lang or
 text are never learned from; every label is learned, unless there are more labels
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.codepoints import SPACE, blocks, folded
+from latticework.llm.codepoints import SPACE, blocks, folded, folded_parts
 from latticework.llm.common import bucket_of, table
 
 UND = "und"
@@ -51,39 +51,74 @@ def features(codes: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
         yield np.concatenate([ngrams(part, n)[: max(len(part) - n + 1, 1)] for n in ORDERS]) if len(part) else np.zeros(0, np.uint32)
 
 
+#: Characters that are looked at together, n-grams whose sum is taken in single precision, and numbers of a slice of texts by labels.
+PART, STRETCH, CELLS = 500_000, 4_096, 1 << 20
+
+
 @dataclass
 class LanguageModel:
     labels: list[str]
-    logits: np.ndarray  # one row a bucket: embedding times layer
+    embed: np.ndarray  # one row a bucket
+    layer: np.ndarray  # one column a label
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Probabilities, a row a text; all zero for texts without a letter."""
-        codes, bounds = folded(texts)
-        total = np.zeros((len(texts), len(self.labels)))
-        count = np.zeros(len(texts))
-        letters = np.add.reduceat(np.append((codes != SPACE) & (codes != 0), False), bounds[:-1])
-        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    def _summed(self, codes: np.ndarray, bounds: np.ndarray, carried: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum of embeddings, n-grams, letters) a text; those of n-grams that end among the first ``carried`` codes are left out.
+
+        Stretches are measured from the beginning of their text, so its sum is the same whatever texts stand beside it.
+        """
+        long = np.flatnonzero(np.diff(bounds) > STRETCH)
+        starts = np.sort(np.concatenate([bounds[:-1], *(np.arange(bounds[i] + STRETCH, bounds[i + 1], STRETCH) for i in long)]))
+        first = np.searchsorted(starts, bounds[:-1])
+        end = np.repeat(bounds[1:], np.diff(bounds))
+        at = np.arange(len(codes))
+        total = np.zeros((len(bounds) - 1, self.embed.shape[1]))
+        count = np.zeros(len(bounds) - 1)
         for n in ORDERS:
             if len(codes) < n:
                 continue
-            ids = ngrams(codes, n)
-            whole = np.ones(len(codes), bool)
-            whole[np.maximum(0, len(codes) - n + 1) :] = False
-            for k in range(1, n):  # no n-gram crosses into the next text
-                whole[: len(codes) - k] &= text[k:] == text[:-k]
-            whole &= codes != 0
-            rows = self.logits[ids]
+            whole = (at + n <= end) & (at + n > carried)  # no n-gram crosses into the next text
+            rows = self.embed[ngrams(codes, n)]
             rows[~whole] = 0
-            total += np.add.reduceat(rows, bounds[:-1], axis=0)
-            count += np.add.reduceat(whole, bounds[:-1])
-        z = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[letters == 0] = 0
-        return p
+            total += np.add.reduceat(np.add.reduceat(rows, starts, axis=0).astype(np.float64), first, axis=0)
+            count += np.add.reduceat(whole, bounds[:-1], dtype=np.int64)
+        return total, count, np.add.reduceat(codes != SPACE, bounds[:-1], dtype=np.int64)
+
+    def best(self, texts: list[str | None], part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the best label, its probability) of each text; the probability is zero for texts without a letter.
+
+        A text beyond ``part`` characters is summed part by part, and labels are compared in slices of texts, so what is held at once
+        depends neither on the longest text nor on the number of labels.
+        """
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        total, count, letters = self._summed(*folded(["" if len(t or "") > part else t for t in texts]))
+        for i, text in enumerate(texts):
+            if len(text or "") > part:
+                total[i], count[i], carry = 0, 0, np.zeros(0, np.uint32)
+                for codes in folded_parts(text, part):
+                    codes = np.concatenate([carry, codes])
+                    if not len(codes):
+                        continue
+                    more, n, some = self._summed(codes, np.array([0, len(codes)]), len(carry))
+                    total[i] += more[0]
+                    count[i] += n[0]
+                    letters[i] += some[0]
+                    carry = codes[1 - max(ORDERS) :]
+        mean = total / np.maximum(count, 1)[:, None]
+        best, top = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        step = max(1, CELLS // max(1, len(self.labels)))
+        for a in range(0, len(texts), step):
+            part_of = mean[a : a + step]
+            z = np.tile(self.bias.astype(np.float64), (len(part_of), 1))
+            for d, row in enumerate(self.layer):  # the same sums in the same order, however many texts there are
+                z += part_of[:, d, None] * row
+            best[a : a + step] = z.argmax(axis=1)
+            top[a : a + step] = 1 / np.exp((z - z.max(axis=1, keepdims=True)) / self.temperature).sum(axis=1)
+        top[letters == 0] = 0
+        return best, top
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -94,13 +129,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[str, str]], *, dim: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 7, reject: float = 0.002) -> LanguageModel:
     """SGD over (text, lang) rows; each text is also shown as a short window, so that short texts are calibrated too."""
     labels = sorted({lang for _, lang in rows})
+    place = {lang: i for i, lang in enumerate(labels)}
     rng = np.random.default_rng(seed)
     embed = (rng.normal(size=(BUCKETS, dim)) / dim).astype(np.float32)
     layer = np.zeros((dim, len(labels)), np.float32)
     bias = np.zeros(len(labels), np.float32)
     if len(labels) < 2:
-        return LanguageModel(labels, embed @ layer, bias)
-    items: list[tuple[np.ndarray, int, bool]] = []
+        return LanguageModel(labels, embed, layer, bias)
+    items: list[tuple[np.ndarray, np.ndarray, int, bool]] = []  # buckets, their shares, label, whether it is left out
     for k, (text, lang) in enumerate(rows):
         windows = [text]
         if len(text) > 120:
@@ -109,14 +145,13 @@ def train(rows: list[tuple[str, str]], *, dim: int = 16, epochs: int = 4, rate:
         for w in windows:
             ids = next(features(*folded([w])))
             if len(ids) > len(ORDERS):
-                items.append((ids, labels.index(lang), k % 5 == 0))
-    learn, held = [x for x in items if not x[2]], [x for x in items if x[2]]
+                unique, n = np.unique(ids, return_counts=True)
+                items.append((unique, (n / n.sum()).astype(np.float32), place[lang], k % 5 == 0))
+    learn, held = [x for x in items if not x[3]], [x for x in items if x[3]]
     steps, done = max(1, epochs * len(learn)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(learn)):
-            ids, y, _ = learn[i]
-            unique, n = np.unique(ids, return_counts=True)
-            weight = (n / n.sum()).astype(np.float32)
+            unique, weight, y, _ = learn[i]
             x = weight @ embed[unique]
             gradient = _softmax(x @ layer + bias)
             gradient[y] -= 1
@@ -126,10 +161,10 @@ def train(rows: list[tuple[str, str]], *, dim: int = 16, epochs: int = 4, rate:
             bias -= np.float32(0.1) * step * gradient
             embed[unique] -= (step * len(unique) ** 0.5) * weight[:, None] * back
             done += 1
-    model = LanguageModel(labels, (embed @ layer).astype(np.float32), bias.astype(np.float64))
+    model = LanguageModel(labels, embed, layer, bias.astype(np.float64))
     if held:
-        z = np.array([model.logits[ids].mean(axis=0) + bias for ids, _, _ in held])
-        y = np.array([y for _, y, _ in held])
+        z = np.array([weight @ embed[unique] for unique, weight, _, _ in held]) @ layer + bias
+        y = np.array([y for _, _, y, _ in held])
         grid = np.geomspace(0.05, 20, 60)
 
         def loss(t: float) -> float:
@@ -189,9 +224,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     score += [0.0] * len(texts)
                     rejected += [True] * len(texts)
                     continue
-                p = m.scores(texts)
-                best = p.argmax(axis=1)
-                top = p[np.arange(len(texts)), best]
+                best, top = m.best(texts)
                 lang += [m.labels[b] if t > 0 else UND for b, t in zip(best, top, strict=True)]
                 score += top.tolist()
                 rejected += (top < max(m.reject_below, 1e-12)).tolist()
