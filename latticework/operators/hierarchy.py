@@ -167,7 +167,10 @@ def sealed_check(types: DataFrame, asked: DataFrame | None = None) -> DataFrame:
 
 def first_paths(relations: DataFrame, subjects: DataFrame, targets: DataFrame) -> DataFrame:
     """(subject, target, path): the first path found breadth first, edges in order of (origin, target, kind), each node expanded once a subject."""
-    edges = cut(relations.select("origin", "target", "kind").distinct(), "path-edges")
+    edges = relations.select("origin", "target", "kind").distinct()
+    # Only what leads to a target can lie on a path to one, so paths are held for these nodes alone.
+    leading = reachable(edges.select(F.col("target").alias("origin"), F.col("origin").alias("target")), targets)
+    edges = cut(edges.join(leading.select(F.col("id").alias("target")), "target", "left_semi"), "path-edges")
     start = subjects.select(F.col("id").alias("subject"), F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast("array<string>").alias("rank"))
     seen = cut(start, "path-seen")
     frontier = seen

@@ -167,3 +167,22 @@ def test_identifiers_and_import_options(tmp_path):
         (tmp_path / "c.properties").write_text(f"input.1=x.jar\n{wrong}\n")
         with pytest.raises(config.ConfigError):
             config.load(str(tmp_path / "c.properties"))
+
+
+def test_first_paths_by_breadth_first_walks(spark):
+    rng = random.Random(8)
+    names = [f"n{k:02}" for k in range(24)]
+    pairs = sorted({(*rng.sample(names, 2), rng.choice(("EXTENDS", "IMPLEMENTS"))) for _ in range(110)})
+    subjects, targets = names[:10], {"n03", "n15", "n20", "absent"}
+    want = {}
+    for subject in subjects:
+        paths, queue = {subject: [subject]}, [subject]
+        for at in queue:  # grows as it is walked
+            for _, target, _ in sorted((p for p in pairs if p[0] == at), key=lambda p: p[1:]):
+                if target not in paths:
+                    paths[target] = [*paths[at], target]
+                    queue.append(target)
+        want |= {(subject, t): p for t, p in paths.items() if t in targets and t != subject}
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "id string")
+    found = hierarchy.first_paths(spark.createDataFrame(pairs, "origin string, target string, kind string"), ids(subjects), ids(sorted(targets))).collect()
+    assert len(found) == len(want) > 10 and {(r["subject"], r["target"]): r["path"] for r in found} == want
