@@ -249,10 +249,11 @@ def annotation_forbid(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(structure.annotation_rule(_RULE, wl.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id")), marked, require=False), "origin")
 
 
-@query("""WITH t AS (SELECT c_custkey AS k, c_custkey // 2 AS up, c_acctbal > 0 AS sealed, c_mktsegment = 'BUILDING' AS final, c_nationkey AS p FROM customer),
-d AS (SELECT k AS s, 2 * k AS c, p FROM t WHERE sealed UNION ALL SELECT k, k, p FROM t WHERE sealed AND final), o AS (SELECT t.up AS s, t.k AS c FROM t JOIN t u ON u.k = t.up AND u.sealed WHERE t.k > 1),
-b AS (SELECT coalesce(d.s, o.s) AS s, coalesce(d.c, o.c) AS c, d.s IS NOT NULL AS said, o.s IS NOT NULL AS seen, d.p FROM d FULL JOIN o ON d.s = o.s AND d.c = o.c)
-SELECT s::VARCHAR AS sealed, c::VARCHAR AS subtype, code FROM (SELECT b.s, b.c, CASE WHEN NOT said THEN 'UNDECLARED_SUBTYPE' WHEN s = c THEN 'SELF_PERMITTED' WHEN k.k IS NULL THEN 'MISSING_SUBTYPE' WHEN NOT seen THEN 'PERMITTED_NOT_SUBTYPE'
+@query("""WITH t AS (SELECT c_custkey AS k, c_custkey // 2 AS up, coalesce(c_acctbal > 0, false) AS sealed, coalesce(c_mktsegment = 'BUILDING', false) AS final, c_nationkey AS p FROM customer),
+d AS (SELECT s, c, any_value(p) AS p, count(*) AS times FROM (SELECT k AS s, 2 * k AS c, p FROM t WHERE sealed UNION ALL SELECT k, k, p FROM t WHERE sealed AND final) GROUP BY s, c),
+o AS (SELECT DISTINCT t.up AS s, t.k AS c FROM t JOIN t u ON u.k = t.up AND u.sealed WHERE t.k > 1),
+b AS (SELECT coalesce(d.s, o.s) AS s, coalesce(d.c, o.c) AS c, d.times, o.s IS NOT NULL AS seen, d.p FROM d FULL JOIN o ON d.s = o.s AND d.c = o.c)
+SELECT s::VARCHAR AS sealed, c::VARCHAR AS subtype, code FROM (SELECT b.s, b.c, CASE WHEN times IS NULL THEN 'UNDECLARED_SUBTYPE' WHEN times > 1 THEN 'DUPLICATE_PERMITTED' WHEN s = c THEN 'SELF_PERMITTED' WHEN k.k IS NULL THEN 'MISSING_SUBTYPE' WHEN NOT seen THEN 'PERMITTED_NOT_SUBTYPE'
   WHEN NOT (k.final OR k.sealed) THEN 'SUBTYPE_NOT_CLOSED' WHEN b.p <> k.p THEN 'SUBTYPE_IN_OTHER_PACKAGE' END AS code FROM b LEFT JOIN t k ON k.k = b.c) WHERE code IS NOT NULL""")
 def sealed_types(spark: SparkSession, sf: str) -> DataFrame:
     key, final = F.col("c_custkey").cast("string"), F.col("c_mktsegment") == "BUILDING"

@@ -132,7 +132,8 @@ def incomplete_types(relations: DataFrame, subjects: DataFrame, known: DataFrame
 def sealed_check(types: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(sealed, subtype, code): where declared and observed subtypes of sealed types differ.
 
-    types: binary_name, sealed, permitted, superclass, interfaces, modifiers, package.  A permitted subtype that isn't seen as one
+    types: binary_name, sealed, permitted, superclass, interfaces, modifiers, package.  A subtype that is permitted more than once is
+    DUPLICATE_PERMITTED, whatever else is wrong with it.  A permitted subtype that isn't seen as one
     is RELATIONSHIP_UNKNOWN, and not wrong, where its own hierarchy leads to types that nobody knows.  ``asked`` (binary_name)
     limits the answer to these types; one that isn't there is QUERY_TYPE_MISSING.
     """

@@ -43,3 +43,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sealed_types_equal_sql_where_a_subtype_is_permitted_twice(spark, duck, tmp_path):
+    """Type 0 permits 2 * 0 and itself; types without a balance or segment are neither sealed nor final."""
+    rows = [(0, 3, 5.0, "BUILDING"), (1, 3, 5.0, "MACHINERY"), (2, 3, None, None), (3, 4, 5.0, "BUILDING"), (4, 3, 5.0, "BUILDING"), (6, 3, 0.0, None), (9, 3, 1.0, "X"), (9, 4, 1.0, "X")]
+    customer = spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")
+    customer.write.parquet(f"{tmp_path}/customer.parquet")
+    sql = q.ORACLE["sealed_types"].replace("FROM customer)", f"FROM read_parquet('{tmp_path}/customer.parquet/*.parquet'))")
+    found = q.QUERIES["sealed_types"](spark, str(tmp_path))
+    assert ("0", "0", "DUPLICATE_PERMITTED") in {tuple(r) for r in found.collect()}
+    same_as_duck(found, duck, sql)
