@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.identity import check_layer_name
 from latticework.functions.patterns import slice_capture
+from latticework.plans.graph import Graph
 
 
 class GroupingError(ValueError):
@@ -73,6 +74,13 @@ def package_index(types: DataFrame) -> DataFrame:
     return types.groupBy("package").agg(F.count_if(~info).alias("n_types"), F.bool_or(info).alias("has_package_info"), F.array_join(F.sort_array(F.collect_set("container")), ",").alias("origins"))
 
 
+def grouped(graph: Graph, membership: DataFrame, unassigned: str | None = None) -> DataFrame:
+    """The graph's rows with group_origin and group_target, as ``group_edges`` has them."""
+    rows = graph.labelled(membership.select(F.col("type_key").alias("id"), F.col("group_id").alias("label")))
+    rows = rows.withColumnsRenamed({"origin_label": "group_origin", "target_label": "group_target"})
+    return rows.fillna(unassigned, ["group_origin", "group_target"]) if unassigned is not None else rows.where("group_origin IS NOT NULL AND group_target IS NOT NULL")
+
+
 def group_edges(connections: DataFrame, membership: DataFrame, unassigned: str | None = None) -> DataFrame:
     """Evidence or connections with group_origin and group_target; types of no group get ``unassigned``, or their rows go."""
     how = "inner" if unassigned is None else "left"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.identity import UNASSIGNED
-from latticework.operators.grouping import group_edges
+from latticework.operators.grouping import grouped
 from latticework.operators.rules.outcome import RuleMetadata, RuleOutcome, diagnostics, violations
 from latticework.plans.graph import EDGE, Graph
 
@@ -64,11 +64,12 @@ def dependency_rule(metadata: RuleMetadata, graph: Graph, known: DataFrame, orig
 
 
 def _grouped(graph: Graph, membership: DataFrame, kinds: list[str] | None, unassigned: str | None) -> DataFrame:
-    """(group_origin, group_target, n_edges, n_evidence) of edges between unlike groups."""
-    evidence = graph.evidence if kinds is None else graph.evidence.where(F.col("kind").isin(kinds)) if kinds else graph.evidence.where(F.lit(False))
-    edges = evidence.groupBy(*EDGE).agg(F.count(F.lit(1)).alias("n"))
-    rows = group_edges(edges, membership, unassigned).where("group_origin <> group_target")
-    return rows.groupBy("group_origin", "group_target").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("n").alias("n_evidence"))
+    """(group_origin, group_target, n_evidence) of edges between unlike groups."""
+    rows = grouped(graph, membership, unassigned).where("group_origin <> group_target")
+    if kinds is not None:
+        rows = rows.where(F.col("kind").isin(kinds) if kinds else F.lit(False))
+    rows = rows if graph.unique else rows.distinct()
+    return rows.groupBy("group_origin", "group_target").agg(F.count(F.lit(1)).alias("n_evidence"))
 
 
 def slice_rule(metadata: RuleMetadata, graph: Graph, membership: DataFrame, origins: list[str], targets: list[str], kinds: list[str] | None = None) -> RuleOutcome:
@@ -84,10 +85,16 @@ def slices_independent(metadata: RuleMetadata, graph: Graph, membership: DataFra
     return RuleOutcome(metadata, violations(metadata, pairs, "SLICES_DEPEND", origin="a", target="b", kind=None, n="n_evidence"))
 
 
-def layer_rule(metadata: RuleMetadata, graph: Graph, membership: DataFrame, mode: str, subject: list[str], others: list[str] = (), kinds: list[str] | None = None) -> RuleOutcome:
+def layer_counts(graph: Graph, membership: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(group_origin, group_target, n_evidence) between unlike layers."""
+    return _grouped(graph, membership, kinds, UNASSIGNED.removeprefix("layer:"))
+
+
+def layer_rule(metadata: RuleMetadata, graph: Graph, membership: DataFrame, mode: str, subject: list[str], others: list[str] = (), kinds: list[str] | None = None, *, counted: DataFrame | None = None) -> RuleOutcome:
     """NO_ACCESS, MAY_ONLY_ACCESS, ONLY_ACCESSED_BY or ISOLATED; types of no layer are the layer ``<unassigned>``.
 
-    Edges within a layer never count.  An empty ``others`` is an intentional empty allow-list.
+    Edges within a layer never count.  An empty ``others`` is an intentional empty allow-list.  ``counted`` is what
+    ``layer_counts`` gives, for several rules over one graph.
     """
     a, b = F.col("group_origin"), F.col("group_target")
     bad = {
@@ -96,5 +103,5 @@ def layer_rule(metadata: RuleMetadata, graph: Graph, membership: DataFrame, mode
         "ONLY_ACCESSED_BY": b.isin(subject) & ~a.isin(list(others)) & ~a.isin(subject),
         "ISOLATED": a.isin(subject) | b.isin(subject),
     }[mode]
-    rows = _grouped(graph, membership, kinds, UNASSIGNED.removeprefix("layer:")).where(bad)
+    rows = (layer_counts(graph, membership, kinds) if counted is None else counted).where(bad)
     return RuleOutcome(metadata, violations(metadata, rows, f"LAYER_{mode}", origin="group_origin", target="group_target", kind=None, n="n_evidence"))

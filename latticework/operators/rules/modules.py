@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.patterns import NamePattern
-from latticework.operators.grouping import Layer, group_edges, layer_membership
-from latticework.operators.rules.dependencies import layer_rule
+from latticework.operators.algorithms import cut
+from latticework.operators.grouping import Layer, group_edges, grouped, layer_membership
+from latticework.operators.rules.dependencies import layer_counts, layer_rule
 from latticework.operators.rules.outcome import RuleMetadata, RuleOutcome, diagnostics, violations
 from latticework.plans.graph import Graph
 
@@ -151,7 +152,7 @@ def diagram_rule(metadata: RuleMetadata, graph: Graph, membership: DataFrame, ar
     spark = graph.nodes.sparkSession
     drawn = spark.createDataFrame(arrows, "group_origin string, group_target string")
     nowhere = "<unmapped>"
-    rows = group_edges(graph.connections(), membership, nowhere)
+    rows = grouped(graph, membership, nowhere).select("origin", "target", "group_origin", "group_target").where("group_origin <> group_target").distinct()
     seen = rows.where(f"group_origin <> group_target AND group_origin <> '{nowhere}' AND group_target <> '{nowhere}'").groupBy("group_origin", "group_target").agg(F.count(F.lit(1)).alias("n"))
     bad = seen.join(drawn, ["group_origin", "group_target"], "left_anti").withColumn("code", F.lit("NOT_IN_DIAGRAM"))
     if require_declared:
@@ -184,7 +185,8 @@ class Preset:
     def check(self, graph: Graph, types: DataFrame, predicates: dict[str, Column], *, severity: str = "ERROR") -> list[RuleOutcome]:
         """One MAY_ONLY_ACCESS rule a layer; optional layers may be empty."""
         membership = layer_membership(types, [Layer(x, predicates[x], required=False) for x in self.layers if x in predicates])
-        return [layer_rule(RuleMetadata(f"{self.name}.{k}", severity=severity), graph, membership, "MAY_ONLY_ACCESS", [k], list(v)) for k, v in self.allowed if k in predicates]
+        counted = cut(layer_counts(graph, membership), "layers")  # the graph is read once for all rules
+        return [layer_rule(RuleMetadata(f"{self.name}.{k}", severity=severity), graph, membership, "MAY_ONLY_ACCESS", [k], list(v), counted=counted) for k, v in self.allowed if k in predicates]
 
 
 def clean() -> Preset:

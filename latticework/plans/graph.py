@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +35,26 @@ class Graph:
     Evidence is the base table, a set: ``rows`` may hold repeats, ``evidence`` has none.  Arrays are built
     only where a result asks for them, and connectivity reads two columns of ``rows``, so it never carries
     evidence through a shuffle.
+
+    ``unique`` says that ``rows`` hold no repeats as they are made, so nothing is shuffled to find them.  ``attach`` gives what
+    ``labelled`` does in a cheaper way: evidence that is joined from tables of nodes gets its labels there, once a node.
     """
 
     nodes: DataFrame
     rows: DataFrame
+    unique: bool = False
+    attach: Callable[[DataFrame], DataFrame] | None = None
 
     @property
     def evidence(self) -> DataFrame:
-        return self.rows.distinct()
+        return self.rows if self.unique else self.rows.distinct()
+
+    def labelled(self, labels: DataFrame) -> DataFrame:
+        """``rows`` with origin_label and target_label: ``label`` of either end from ``labels`` (id, label), null where it has none."""
+        if self.attach is not None:
+            return self.attach(labels)
+        rows = self.rows.join(labels.select(F.col("id").alias("origin"), F.col("label").alias("origin_label")), "origin", "left")
+        return rows.join(labels.select(F.col("id").alias("target"), F.col("label").alias("target_label")), "target", "left")
 
     def edges(self) -> DataFrame:
         """One row an edge with its distinct evidence, sorted (nulls first)."""
@@ -49,7 +62,8 @@ class Graph:
 
     def edge_counts(self) -> DataFrame:
         """One row an edge with the number of its distinct evidence rows."""
-        return self.rows.select(*EDGE, *DETAIL).distinct().groupBy(*EDGE).agg(F.count(F.lit(1)).alias("n_evidence"))
+        rows = self.rows if self.unique else self.rows.select(*EDGE, *DETAIL).distinct()
+        return rows.groupBy(*EDGE).agg(F.count(F.lit(1)).alias("n_evidence"))
 
     def connections(self) -> DataFrame:
         """Distinct (origin, target): parallel edges collapse before any connectivity."""
@@ -60,15 +74,17 @@ class Graph:
         kept = keys.select("stable_key").distinct()
         evidence = self.rows.join(kept.withColumnRenamed("stable_key", "origin"), "origin", "left_semi")
         evidence = evidence.join(kept.withColumnRenamed("stable_key", "target"), "target", "left_semi")
-        return Graph(self.nodes.join(kept, "stable_key", "left_semi"), evidence.select(self.rows.columns))
+        return Graph(self.nodes.join(kept, "stable_key", "left_semi"), evidence.select(self.rows.columns), self.unique)
 
     def without_evidence(self, removed: Column) -> Graph:
         """Drops evidence rows; an edge goes with its last one, nodes stay."""
-        return Graph(self.nodes, self.rows.where(~F.coalesce(removed, F.lit(False))))
+        kept = ~F.coalesce(removed, F.lit(False))
+        attach = self.attach
+        return replace(self, rows=self.rows.where(kept), attach=attach and (lambda labels: attach(labels).where(kept)))
 
     def isolated(self) -> DataFrame:
         """(stable_key): nodes at neither end of any edge."""
-        ends = self.rows.select(F.explode(F.array("origin", "target")).alias("stable_key"))
+        ends = self.rows.select(F.explode(F.array("origin", "target")).alias("stable_key")).distinct()
         return self.nodes.select("stable_key").join(ends, "stable_key", "left_anti")
 
     def dangling(self) -> DataFrame:

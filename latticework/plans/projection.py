@@ -62,8 +62,7 @@ class Projection:
     def judged(self, graph: Graph) -> DataFrame:
         """Evidence with its mapped ends, new kind and drop_reason (null: kept); reasons in the order kind, exclusion, mapping, self."""
         ends = self.mapped_nodes(graph.nodes)
-        rows = graph.rows.join(ends.withColumnsRenamed({"source": "origin", "mapped": "new_origin"}), "origin", "left")
-        rows = rows.join(ends.withColumnsRenamed({"source": "target", "mapped": "new_target"}), "target", "left")
+        rows = graph.labelled(ends.withColumnsRenamed({"source": "id", "mapped": "label"})).withColumnsRenamed({"origin_label": "new_origin", "target_label": "new_target"})
         excluded = F.lit(False)
         if self.excluded is not None:
             rows = rows.join(self.excluded.select(*EDGE).distinct().withColumn("out", F.lit(True)), EDGE, "left")

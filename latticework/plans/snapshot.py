@@ -51,12 +51,19 @@ class SnapshotQuery:
         return rows.select("source", "id")
 
     def _evidence(self, graph: Graph, places: DataFrame) -> DataFrame:
-        evidence = graph.rows
+        rows = graph.labelled(places.select(F.col("source").alias("id"), F.col("id").alias("label"))).withColumnsRenamed({"origin_label": "o", "target_label": "t"})
         if self.kinds is not None:
-            evidence = evidence.where(F.col("kind").isin(*self.kinds) if self.kinds else F.lit(False))
-        rows = evidence.join(places.withColumnsRenamed({"source": "origin", "id": "o"}), "origin").join(places.withColumnsRenamed({"source": "target", "id": "t"}), "target")
+            rows = rows.where(F.col("kind").isin(*self.kinds) if self.kinds else F.lit(False))
+        rows = rows.where("o IS NOT NULL AND t IS NOT NULL")
         return rows if self.self_edges else rows.where("o <> t")
 
+    @staticmethod
+    def _merged(graph: Graph, rows: DataFrame) -> DataFrame:
+        """(o, t, kinds, n_source_edges, n_evidence): counted by source edge first, so each row is shuffled once, without its detail where the graph has no repeats."""
+        rows = rows if graph.unique else rows.select("o", "t", *EDGE, *DETAIL).distinct()
+        each = rows.groupBy("o", "t", *EDGE).agg(F.count(F.lit(1)).alias("n"))
+        return each.groupBy("o", "t").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.count(F.lit(1)).alias("n_source_edges"), F.sum("n").alias("n_evidence"))
+
     def snapshot(self, graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(nodes, edges, metadata): the first nodes by id, then the first edges between those, then each edge's first evidence.
 
@@ -66,12 +73,10 @@ class SnapshotQuery:
         all_nodes = places.groupBy("id").agg(F.count(F.lit(1)).alias("n_sources"))
         nodes = all_nodes.orderBy("id").limit(self.max_nodes)
         rows = self._evidence(graph, places)
-        all_edges = rows.groupBy("o", "t").agg(
-            F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.count_distinct(*EDGE).alias("n_source_edges"),
-            F.count_distinct(*EDGE, *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in DETAIL]).alias("n_evidence"),
-        )
-        kept = nodes.select("id")
-        edges = all_edges.join(kept.withColumnRenamed("id", "o"), "o", "left_semi").join(kept.withColumnRenamed("id", "t"), "t", "left_semi").orderBy("o", "t").limit(self.max_edges)
+        all_edges = self._merged(graph, rows)
+        kept = F.broadcast(nodes.select("id"))  # at most max_nodes rows, so what isn't shown is never shuffled
+        shown_rows = rows.join(kept.withColumnRenamed("id", "o"), "o", "left_semi").join(kept.withColumnRenamed("id", "t"), "t", "left_semi")
+        edges = self._merged(graph, shown_rows).orderBy("o", "t").limit(self.max_edges)
         shown = F.least(F.col("n_evidence"), F.lit(self.max_evidence))
         edges = edges.select(identity_hash(F.col("o"), F.col("t")).alias("edge_id"), F.col("o").alias("origin"), F.col("t").alias("target"), "kinds", "n_source_edges", "n_evidence", (F.col("n_evidence") - shown).alias("omitted_evidence"))
         metadata = (

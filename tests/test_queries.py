@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 
@@ -54,3 +55,26 @@ def test_sealed_types_equal_sql_where_a_subtype_is_permitted_twice(spark, duck,
     found = q.QUERIES["sealed_types"](spark, str(tmp_path))
     assert ("0", "0", "DUPLICATE_PERMITTED") in {tuple(r) for r in found.collect()}
     same_as_duck(found, duck, sql)
+
+
+def test_trade_is_made_without_repeats_and_labelled_where_it_is_made(spark):
+    """Lines repeat (order, number) in the tables; labels at either end are those that two joins with all evidence would give."""
+    from latticework import workloads as wl
+    from latticework.plans.graph import Graph
+
+    g = wl.trade(spark, DATA)
+    rows = g.rows.collect()
+    assert len(rows) == len(set(rows)) > 0
+    labels = wl.layers(spark, DATA).where("group_id <> 'catalog'").selectExpr("type_key AS id", "group_id AS label")
+    columns = [*g.rows.columns, "origin_label", "target_label"]
+    plain = Graph(g.nodes, g.rows).labelled(labels).select(columns)
+    assert sorted(map(str, g.labelled(labels).select(columns).collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("name", ["layer_isolated", "slice_mutual", "project_package", "snapshot_topn", "plantuml_adherence", "isolated_packages"])
+def test_trade_evidence_is_not_shuffled_by_its_ends(spark, name):
+    """Evidence is several times its tables: it is neither joined with what its ends belong to nor shuffled whole to find repeats."""
+    plan = q.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(location" in plan
+    for keys in ("origin#\\d+, \\d+", "target#\\d+, \\d+", "origin#\\d+, target#\\d+, kind#\\d+, location"):
+        assert not re.search(f"hashpartitioning\\({keys}", plan)
