@@ -52,13 +52,13 @@ def access_states(accesses: DataFrame, types: DataFrame, members: DataFrame, mod
     """
     rows = accesses.groupBy("origin", "target_owner", "target_member").agg(F.count(F.lit(1)).alias("n"))
     side = lambda p, key: types.select(F.col("type").alias(key), F.col("package").alias(f"{p}_package"), F.col("module").alias(f"{p}_module"), F.coalesce("nest_host", "type").alias(f"{p}_host"), F.lit(True).alias(f"{p}_there"))
-    rows = rows.join(side("o", "origin"), "origin", "left").join(side("t", "target_owner"), "target_owner", "left")
+    # What is known of either end is joined end by end first, so each call site is shuffled once for its origin, once for its owner and once for its member.
+    above = ancestors.groupBy("origin").agg(F.collect_set("target").alias("above"), F.bool_or("missing").alias("open"))
+    rows = rows.join(side("o", "origin").join(above, "origin", "full"), "origin", "left")
+    owners = side("t", "target_owner").join(modules.select(F.col("module").alias("t_module"), "kind"), "t_module", "left")
+    owners = owners.join(_export_table(exports).select(F.col("module").alias("t_module"), F.col("package").alias("t_package"), "to", F.lit(True).alias("exported")), ["t_module", "t_package"], "left")
+    rows = rows.withColumn("below", F.array_contains("above", F.col("target_owner"))).drop("above").join(owners, "target_owner", "left")
     rows = rows.join(members.select(F.col("type").alias("target_owner"), F.col("member").alias("target_member"), F.col("visibility").alias("modifier")), ["target_owner", "target_member"], "left")
-    rows = rows.join(modules.select(F.col("module").alias("t_module"), "kind"), "t_module", "left")
-    rows = rows.join(_export_table(exports).select(F.col("module").alias("t_module"), F.col("package").alias("t_package"), "to", F.lit(True).alias("exported")), ["t_module", "t_package"], "left")
-    reach = ancestors.select("origin", F.col("target").alias("target_owner"), F.lit(True).alias("below")).distinct()
-    cut_off = ancestors.groupBy("origin").agg(F.bool_or("missing").alias("open"))
-    rows = rows.join(reach, ["origin", "target_owner"], "left").join(cut_off, "origin", "left")
     there = F.col("o_there") & F.col("t_there") & F.col("modifier").isNotNull()
     visibility = visibility_of(F.col("modifier"), F.col("o_package") == F.col("t_package"), F.col("o_host") == F.col("t_host"))
     export = (
