@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,12 @@ def compare(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """(identity_fp, evidence_fp, state): NEW, UNCHANGED, MOVED or RESOLVED, as a multiset.
 
     Current findings go in order; each takes the first unused equal finding of the baseline, else the first unused
-    one of the same identity.  That is sequential within an identity, so an identity is one group; it comes as counts by
-    evidence, and one walk over them in order pairs them all.
+    one of the same identity.  That is sequential within an identity; it comes as counts by evidence, and one walk over them
+    in order pairs them all.  Identities are many and small, so a task walks over all of its own in one sorted stream and holds one
+    at a time.
     """
 
-    def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("evidence_fp")
-        names, left, new = rows["evidence_fp"].tolist(), rows["old"].tolist(), rows["new"].tolist()
+    def pair(identity: str, names: list[str], left: list[int], new: list[int]) -> list[tuple]:
         out, front = [], 0  # all before front is used up
         for k, n in enumerate(new):
             same = min(n, left[k])
@@ -46,11 +46,26 @@ def compare(baseline: DataFrame, current: DataFrame) -> DataFrame:
                 front += not left[front]
             out += [(names[k], state, count) for state, count in (("UNCHANGED", same), ("MOVED", moved - n), ("NEW", n)) if count]
         out += [(names[k], "RESOLVED", count) for k, count in enumerate(left) if count]
-        return pd.DataFrame([(key[0], *x) for x in out], columns=["identity_fp", "evidence_fp", "state", "n"])
+        return [(identity, *x) for x in out]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda out: pd.DataFrame(out, columns=["identity_fp", "evidence_fp", "state", "n"])
+        at, held = None, ([], [], [])
+        for rows in batches:
+            out: list[tuple] = []
+            for identity, *row in zip(*(rows[c].tolist() for c in ("identity_fp", "evidence_fp", "old", "new")), strict=True):
+                if identity != at:
+                    out += pair(at, *held)
+                    at, held = identity, ([], [], [])
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+            yield frame(out)
+        yield frame(pair(at, *held))
 
     rows = baseline.select("identity_fp", "evidence_fp", F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(current.select("identity_fp", "evidence_fp", F.lit(0).alias("old"), F.lit(1).alias("new")))
     rows = rows.groupBy("identity_fp", "evidence_fp").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
-    found = rows.groupBy("identity_fp").applyInPandas(pair, "identity_fp string, evidence_fp string, state string, n long")
+    rows = rows.repartition("identity_fp").sortWithinPartitions("identity_fp", "evidence_fp")
+    found = rows.mapInPandas(walk, "identity_fp string, evidence_fp string, state string, n long")
     return found.select("identity_fp", "evidence_fp", "state", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("one")).drop("one")
 
 
