@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -82,8 +85,10 @@ def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-#: Edges and nodes of a weak component up to which one task solves it: some tens of MB.  Larger ones are solved by joins.
-PART_EDGES, PART_NODES = 200_000, 20_000
+#: Edges and nodes up to which one task solves a part: some hundred MB, in numbers and not in names.  Larger ones are solved by joins.
+PART_EDGES, PART_NODES = 2_000_000, 1_000_000
+#: Bits of reach that one task holds (200 MB), and edges of small parts that share a task.
+TASK_BITS, SHARED_EDGES = 1_600_000_000, 100_000
 
 
 def strong_parts(successors: list[list[int]]) -> list[list[int]]:
@@ -123,17 +128,18 @@ def strong_parts(successors: list[list[int]]) -> list[list[int]]:
     return parts
 
 
-def _part_graph(rows: pd.DataFrame) -> tuple[list[str], list[list[int]], list[list[int]]]:
-    """(names, successors, strong parts) of edges (origin, target); an edge to itself only names its node."""
+def _part_graph(rows: pd.DataFrame) -> tuple[list[int], list[list[int]], list[list[int]]]:
+    """(ids, successors, strong parts) of edges (origin, target); an edge to itself only names its node."""
     codes, names = pd.factorize(pd.concat([rows["origin"], rows["target"]], ignore_index=True))
     successors: list[list[int]] = [[] for _ in names]
     for o, t in zip(codes[: len(rows)].tolist(), codes[len(rows) :].tolist(), strict=True):
         if o != t:
             successors[o].append(t)
-    return list(names), successors, strong_parts(successors)
+    return names.tolist(), successors, strong_parts(successors)
 
 
-def _strong_of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+def strong_of_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """(id, component) of the strong components over edges (origin, target): a component's name is its least id."""
     names, _, parts = _part_graph(rows)
     out = [(names[v], least) for part in parts for least in [min(names[v] for v in part)] for v in part]
     return pd.DataFrame(out, columns=["id", "component"])
@@ -141,7 +147,7 @@ def _strong_of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _reach_of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """How many nodes each one reaches: bit sets over the strong parts of one weak component after another."""
-    out: list[tuple[str, int]] = []
+    out: list[tuple[int, int]] = []
     for _, part in rows.groupby("part", sort=False):
         names, successors, strong = _part_graph(part)
         of = {v: k for k, members in enumerate(strong) for v in members}
@@ -161,39 +167,75 @@ def _reach_of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "reached"])
 
 
-def _read_once(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct edges and all ids as tables: what they are made from may be costly, and they are read many times."""
+def _numbered(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(distinct edges of numbers, (id) of all numbers, (name, id)): numbers 0, 1, .. in the order of the names.
+
+    What edges are made from may be costly, so it is read once.  All that follows moves numbers, and the least number of a
+    component is its least name.
+    """
     edges = cut(edges.select("origin", "target").distinct(), "edges")
-    ids = edges.select(F.explode(F.array("origin", "target")).alias("id")).unionByName(nodes.select("id")).distinct()
-    return edges, cut(ids, "ids")
+    names = edges.select(F.explode(F.array("origin", "target")).alias("name")).unionByName(nodes.select(F.col("id").alias("name"))).distinct()
+    names = dense(names, "name")
+    for end in ("origin", "target"):
+        edges = edges.join(names.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id")), end).drop(end)
+    return cut(edges.select(F.col("origin_id").alias("origin"), F.col("target_id").alias("target")), "edges"), names.select("id"), names
+
+
+def dense(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` in a table, with ``id``: their places 0, 1, .. in the order of ``by``."""
+    rows = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("at", 33).alias("part")
+    sizes = sorted((r["part"], r["count"]) for r in rows.groupBy(part).count().collect())  # a row a partition
+    before = [(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes]
+    starts = rows.sparkSession.createDataFrame(before, "part long, start long")
+    rows = rows.withColumn("part", part).join(F.broadcast(starts), "part")
+    return cut(rows.withColumn("id", F.expr("start + (at & 8589934591)")).drop("part", "start", "at"), "numbers")
 
 
-def _by_size(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(weak components in buckets for one task each, edges and ids of the larger ones as (origin, target), their number).
+def by_size(edges: DataFrame, ids: DataFrame, most_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of weak components for one task each with ``bucket``, (part, n, nodes) of the larger ones with ``rows`` of theirs).
 
-    A node comes as an edge to itself, so every node has a row.
+    A node comes as an edge to itself, so every node has a row (part, origin, target).
     """
     weak = cut(weak_components(edges, ids), "weak")
     rows = edges.where("origin <> target").unionByName(ids.select(F.col("id").alias("origin"), F.col("id").alias("target")))
     rows = cut(rows.join(weak.select(F.col("id").alias("origin"), F.col("component").alias("part")), "origin"), "parts")
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("origin") == F.col("target")).alias("nodes"))
-    large = cut(sizes.where((F.col("n") > PART_EDGES) | (F.col("nodes") > PART_NODES)).select("part"), "large")
-    n_large = large.count()
-    small = rows.join(large, "part", "left_anti") if n_large else rows
-    buckets = max(32, 8 * rows.count() // PART_EDGES)
-    return small.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))), rows.join(large, "part", "left_semi").select("origin", "target"), n_large
+    big = cut(sizes.where(F.col("n") > min(SHARED_EDGES, PART_EDGES)).withColumn("large", (F.col("n") > PART_EDGES) | (F.col("nodes") > most_nodes)), "big")
+    buckets = max(32, rows.count() // SHARED_EDGES)
+    # Small ones share a task; each of the others has one of its own.
+    shared = -1 - F.pmod(F.xxhash64("part"), F.lit(buckets))
+    rows = rows.join(broadcast_few(big.select("part", "large")), "part", "left").withColumn("bucket", F.when(F.col("large").isNull(), shared).otherwise(F.col("part")))
+    return rows.where("NOT coalesce(large, false)").drop("large"), rows.where("large").drop("large", "bucket")
+
+
+def broadcast_few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint where its counted rows are few; else a shuffle join is left to Spark."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _strong(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, component) by weak components of a bounded size, one task each; the larger ones are contracted first."""
+    from latticework.operators.condense import strong_by_contraction
+
+    small, rest = by_size(edges, ids, PART_NODES)
+    found = small.groupBy("bucket").applyInPandas(strong_of_rows, "id long, component long")
+    if rest.limit(1).count():
+        found = found.unionByName(strong_by_contraction(rest.select("origin", "target"), rest.where("origin = target").select(F.col("origin").alias("id"))))
+    return cut(found, "strong")
 
 
 def strongly_connected(edges: DataFrame, nodes: DataFrame, *, by: str = "parts") -> DataFrame:
     """(id, component, size, cyclic): a component's name is its least id; cyclic means larger than one, or a self edge.
 
-    by="parts": weak components of a bounded size are solved in one task each, larger ones by pivots.  by="pivots": forward and
+    by="parts": weak components of a bounded size are solved in one task each, larger ones by contracting what ranges of nodes
+    hold, then by pivots.  by="pivots": forward and
     backward reach from a pivot a region, trimmed (``condense``).  by="colouring": trimmed, then the least label spreads forwards and each colour's root is followed backwards within its colour, so memory
     stays in proportion to the edges.  by="closure": nodes that reach each other, off the closure; for small graphs.
     """
     from latticework.operators.condense import strong_by_pivots
 
-    edges, ids = _read_once(edges, nodes)
+    edges, ids, names = _numbered(edges, nodes)
     if by == "closure":
         reach = closure(edges, ids)
         back = reach.select(F.col("target").alias("origin"), F.col("origin").alias("target"))
@@ -203,30 +245,32 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame, *, by: str = "parts")
     elif by == "pivots":
         found = cut(strong_by_pivots(edges, ids), "strong")
     else:
-        small, rest, n_large = _by_size(edges, ids)
-        found = small.groupBy("bucket").applyInPandas(_strong_of_bucket, "id string, component string")
-        if n_large:
-            found = found.unionByName(strong_by_pivots(rest, rest.where("origin = target").select(F.col("origin").alias("id"))))
-        found = cut(found, "strong")
+        found = _strong(edges, ids)
     loops = edges.where("origin = target").select(F.col("origin").alias("id")).distinct().withColumn("loop", F.lit(True))
     sizes = found.join(loops, "id", "left").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.bool_or(F.coalesce("loop", F.lit(False))).alias("loop"))
-    return found.join(sizes, "component").select("id", "component", "size", (F.col("loop") | (F.col("size") > 1)).alias("cyclic"))
+    sizes = sizes.join(names.select(F.col("id").alias("component"), F.col("name").alias("least")), "component")
+    rows = found.join(sizes, "component").join(names, "id")
+    return rows.select(F.col("name").alias("id"), F.col("least").alias("component"), "size", (F.col("loop") | (F.col("size") > 1)).alias("cyclic"))
 
 
 def reach_sizes(edges: DataFrame, nodes: DataFrame, *, by: str = "parts") -> DataFrame:
     """(id, reached): how many nodes each one reaches, itself included.
 
-    by="parts": weak components of a bounded size are counted in one task each; larger ones by bit-matrix blocks over the levels
-    of their strong components.  by="blocks": all of them the second way.
+    by="parts": weak components of a bounded size are counted in one task each; larger ones over the graph of their strong
+    components, by ranges of its columns in a task each where one holds its edges, else by bit-matrix blocks over its levels.
+    by="blocks": all of them the last way.
     """
     from latticework.operators.condense import reach_in_large
 
-    edges, ids = _read_once(edges, nodes)
+    edges, ids, names = _numbered(edges, nodes)
     if by == "blocks":
-        return reach_in_large(edges, ids)
-    small, rest, n_large = _by_size(edges, ids)
-    found = small.groupBy("bucket").applyInPandas(_reach_of_bucket, "id string, reached long")
-    return found.unionByName(reach_in_large(rest, rest.where("origin = target").select(F.col("origin").alias("id")))) if n_large else found
+        found = reach_in_large(edges, ids, by="blocks")
+    else:
+        small, rest = by_size(edges, ids, int(TASK_BITS**0.5))
+        found = small.groupBy("bucket").applyInPandas(_reach_of_bucket, "id long, reached long")
+        if rest.limit(1).count():
+            found = found.unionByName(reach_in_large(rest.select("origin", "target"), rest.where("origin = target").select(F.col("origin").alias("id"))))
+    return found.join(names, "id").select(F.col("name").alias("id"), "reached")
 
 
 def _coloured(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -305,14 +349,54 @@ def elementary_cycles(adjacency: dict[str, list[str]], limits: CycleLimits) -> t
     return found, truncated, walked
 
 
+def first_cycle(adjacency: dict[str, list[str]], limits: CycleLimits | None = None) -> list[str] | None:
+    """The first cycle that ``elementary_cycles`` finds in a component; its walk goes into no dead end.
+
+    Where a short walk has not found it, each step takes the least node that still leads back to the start around the path.  Only
+    where that path grows beyond its limit, all ways are walked.
+    """
+    limits = limits or CycleLimits()
+    found = elementary_cycles(adjacency, CycleLimits(1, limits.length, min(1_000, limits.edges)))[0]
+    if found:
+        return found[0][1]
+    into: dict[str, list[str]] = {}
+    for o, targets in adjacency.items():
+        for t in targets:
+            into.setdefault(t, []).append(o)
+    for start in sorted(adjacency):
+        path, on_path = [start], {start}
+        while len(path) <= limits.length:
+            back, todo = {start}, [start]
+            while todo:
+                for x in into.get(todo.pop(), []):
+                    if x >= start and x not in on_path and x not in back:
+                        back.add(x)
+                        todo.append(x)
+            nxt = next((x for x in adjacency.get(path[-1], []) if x in back), None)
+            if nxt == start:
+                return path
+            if nxt is None:
+                break  # no cycle begins here
+            path.append(nxt)
+            on_path.add(nxt)
+        else:
+            found = elementary_cycles(adjacency, CycleLimits(1, limits.length, limits.edges))[0]
+            return found[0][1] if found else None
+    return None
+
+
+def _inner(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """(component, origin, target): the distinct edges within each component (id, component)."""
+    inner = edges.select("origin", "target").distinct()
+    inner = inner.join(part.select(F.col("id").alias("origin"), F.col("component").alias("c1")), "origin").join(part.select(F.col("id").alias("target"), F.col("component").alias("c2")), "target")
+    return inner.where("c1 = c2").select(F.col("c1").alias("component"), "origin", "target")
+
+
 def _walks(edges: DataFrame, part: DataFrame, limits: CycleLimits) -> DataFrame:
     """(component, cycle, at, truncated, walked): each component (id, component) walked with a budget of its own; one row without a cycle where none is found.
 
     The order in which a budget runs out is part of the result, so one task walks one component.
     """
-    inner = edges.select("origin", "target").distinct()
-    inner = inner.join(part.select(F.col("id").alias("origin"), F.col("component").alias("c1")), "origin").join(part.select(F.col("id").alias("target"), F.col("component").alias("c2")), "target")
-    inner = inner.where("c1 = c2").select(F.col("c1").alias("component"), "origin", "target")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         adjacency: dict[str, list[str]] = {}
@@ -323,13 +407,29 @@ def _walks(edges: DataFrame, part: DataFrame, limits: CycleLimits) -> DataFrame:
         out = [(name, c, at, truncated, walked) for at, c in found] or [(name, None, None, truncated, walked)]
         return pd.DataFrame(out, columns=["component", "cycle", "at", "truncated", "walked"])
 
-    return inner.groupBy("component").applyInPandas(walk, "component string, cycle array<string>, at long, truncated boolean, walked long")
+    return _inner(edges, part).groupBy("component").applyInPandas(walk, "component string, cycle array<string>, at long, truncated boolean, walked long")
 
 
 def representative_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, closed_path): the first cycle of every cyclic component."""
-    found = _walks(edges, components.where("cyclic"), CycleLimits(cycles=1)).where("cycle IS NOT NULL")
-    return found.select("component", F.concat("cycle", F.slice("cycle", F.lit(1), F.lit(1))).alias("closed_path"))
+    """(component, closed_path): the first cycle of every cyclic component.  A task walks its components in one sorted stream."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for batch in batches for r in zip(batch["component"], batch["origin"], batch["target"], strict=True))
+        out: list[tuple[str, list[str]]] = []
+        for name, part in groupby(rows, key=itemgetter(0)):
+            adjacency: dict[str, list[str]] = {}
+            for _, o, t in part:
+                adjacency.setdefault(o, []).append(t)
+            cycle = first_cycle(adjacency)
+            if cycle:
+                out.append((name, [*cycle, cycle[0]]))
+            if len(out) >= 1_000:
+                yield pd.DataFrame(out, columns=["component", "closed_path"])
+                out = []
+        yield pd.DataFrame(out, columns=["component", "closed_path"])
+
+    inner = _inner(edges, components.where("cyclic")).repartition("component").sortWithinPartitions("component", "origin", "target")
+    return inner.mapInPandas(run, "component string, closed_path array<string>")
 
 
 def cycles(edges: DataFrame, components: DataFrame, limits: CycleLimits | None = None) -> DataFrame:

@@ -11,10 +11,12 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators.algorithms import cut, shared_folder
+from latticework.operators import algorithms
+from latticework.operators.algorithms import broadcast_few, by_size, cut, dense, shared_folder, strong_of_rows, strong_parts, weak_components
 
 #: 64-bit words, and so columns, of a block of the bit matrix.
 WORDS = 8
@@ -118,6 +120,55 @@ def _marked(area: Area, live: DataFrame, left: DataFrame) -> DataFrame:
     return marks
 
 
+def strong_by_contraction(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, component) over ``edges`` of numbers (origin, target): a component's name is its least id.
+
+    Nodes are cut into ranges of ids whose inner edges one task holds; what is strong within a range becomes one node, and what
+    has no edge in or none out goes.  Ranges grow wider as nodes go, till one task solves the rest; where they find nothing more, what is left goes by
+    pivots.
+    """
+    area = Area(edges.sparkSession, "contracted")
+    live = area.write(edges.select("origin", "target").where("origin <> target").distinct(), "live")
+    named = area.write(ids.select("id", F.col("id").alias("component")).distinct(), "named")
+    while True:
+        old = live
+        live = live.join(live.select(F.col("target").alias("origin")).distinct(), "origin", "left_semi").join(live.select(F.col("origin").alias("target")).distinct(), "target", "left_semi")
+        live = area.write(live.select("origin", "target"), "live")
+        area.drop(old)
+        n_edges = live.count()
+        if not n_edges:
+            break
+        parts = -(-n_edges * 2 // algorithms.PART_EDGES) if n_edges > algorithms.PART_EDGES else 1
+        within = live.withColumn("range", F.lit(0).cast("long"))
+        if parts > 1:
+            places = dense(live.select(F.explode(F.array("origin", "target")).alias("name")).distinct(), "name")
+            n_nodes = places.count()
+            place = places.select(F.col("name").alias("id"), F.expr(f"id div {-(-n_nodes // parts)}").alias("range"))
+            inner = area.write(_ends(live, place, "range").where("range1 = range2").select("origin", "target", F.col("range1").alias("range")), "inner")
+            fits = inner.groupBy("range").count().where(F.col("count") <= algorithms.PART_EDGES).select("range")
+            within = inner.join(F.broadcast(fits), "range", "left_semi")  # a row a range
+        found = within.groupBy("range").applyInPandas(strong_of_rows, "id long, component long").where("id <> component")
+        found = area.write(found.withColumnRenamed("component", "into"), "found")
+        n_found = found.count()
+        if n_found:
+            named, old = area.write(named.join(found.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("into", "component").alias("component")), "named"), named
+            area.drop(old)
+        if parts == 1:
+            break
+        if n_found:
+            old = live
+            for end in ("origin", "target"):
+                live = live.join(found.select(F.col("id").alias(end), F.col("into").alias(f"{end}_into")), end, "left").withColumn(end, F.coalesce(f"{end}_into", end)).drop(f"{end}_into")
+            live = area.write(live.where("origin <> target").select("origin", "target").distinct(), "live")
+            area.drop(old)
+        if n_found * 20 < n_nodes:
+            rest = live.select(F.explode(F.array("origin", "target")).alias("id")).distinct()
+            last = strong_by_pivots(live, rest, area=area).select(F.col("id").alias("component"), F.col("component").alias("into"))
+            named = area.write(named.join(last, "component", "left").select("id", F.coalesce("into", "component").alias("component")), "named")
+            break
+    return named
+
+
 def topological_levels(edges: DataFrame, ids: DataFrame, *, area: Area | None = None) -> tuple[DataFrame, int]:
     """((id, level), number of levels) of an acyclic graph: sinks have level 0, all others one more than the highest they lead to."""
     area = area or Area(edges.sparkSession, "levels")
@@ -152,19 +203,23 @@ def reach_by_blocks(edges: DataFrame, sizes: DataFrame, *, pass_columns: int = P
     A node's row of the bit matrix is the union of its own bit and the rows of what it leads to, which lie in lower levels.
     Columns are numbered along the levels, so what is reached together shares blocks, and ``pass_columns`` of them are carried
     at a time.  What is shuffled grows with edges times the blocks that have a bit, not with pairs of nodes.  Sizes are
-    counted by planes: the columns whose size has a certain bit, as one more block.
+    counted by planes: the columns whose size has a certain bit, as one more block.  Nodes that nothing leads to have no column.
+    Within a level, columns are numbered by weak component, so that a node's bits lie in few blocks.
     """
     spark = edges.sparkSession
     area = Area(spark, "reach")
     level, n_levels = topological_levels(edges, sizes, area=area)
-    numbered = sizes.join(level, "id").repartitionByRange("level", "id").sortWithinPartitions("level", "id").withColumn("number", F.monotonically_increasing_id())
+    led_to = area.write(edges.select(F.col("target").alias("id")).distinct(), "led-to")
+    weak = weak_components(edges, sizes)
+    numbered = sizes.join(led_to, "id", "left_semi").join(level, "id").join(weak, "id")
+    numbered = numbered.repartitionByRange("level", "component", "id").sortWithinPartitions("level", "component", "id").withColumn("number", F.monotonically_increasing_id())
     numbered = numbered.select("id", "size", "level", F.expr(f"number div {COLUMNS}").alias("block"), F.expr(f"number % {COLUMNS}").alias("bit"))
     own = area.write(numbered.select("id", "size", "level", "block", *_words(F.col("bit"))), "own")
     steps = area.write(edges.select("origin", "target").distinct().join(level.withColumnRenamed("id", "origin"), "origin"), "steps", by="level")
     planes = own.withColumn("plane", F.explode(F.expr("filter(sequence(0, 62), k -> shiftright(size, k) & 1 = 1)")))
     masks = area.write(_united(planes.select("block", "plane", *(f"w{k}" for k in range(WORDS))), "block", "plane"), "masks")
     passes = max(1, -(-own.count() // pass_columns))
-    counts: list[DataFrame] = []
+    counts: list[DataFrame] = [area.write(sizes.join(led_to, "id", "left_anti").select("id", F.col("size").alias("reached")), "counts")] if n_levels else []
     for number in range(passes):
         seeds = own.where(F.pmod(F.xxhash64("block"), F.lit(passes)) == number).select("id", "level", "block", *(f"w{k}" for k in range(WORDS)))
         path = f"{area.path}/rows-{number}"
@@ -191,14 +246,69 @@ def _counted(rows: DataFrame, masks: DataFrame) -> DataFrame:
     return rows.join(mask, "block").groupBy("id").agg(F.sum(F.expr(f"shiftleft(cast({ones} AS long), plane)")).alias("reached"))
 
 
-def reach_in_large(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, reached): how many nodes each one reaches, itself included, whatever the graph: components first, then blocks over levels."""
+def _reach_of_range(rows: pd.DataFrame) -> pd.DataFrame:
+    """(id, reached) within one range of columns of an acyclic graph (origin, target, size, first, width): nodes are edges to themselves, with their size."""
+    codes, names = pd.factorize(pd.concat([rows["origin"], rows["target"]], ignore_index=True))
+    origins, targets = codes[: len(rows)].tolist(), codes[len(rows) :].tolist()
+    successors: list[list[int]] = [[] for _ in names]
+    size = [0] * len(names)
+    for o, t, s in zip(origins, targets, rows["size"].tolist(), strict=True):
+        if o == t:
+            size[o] = s
+        else:
+            successors[o].append(t)
+    first, width = int(rows["first"].iloc[0]), int(rows["width"].iloc[0])
+    order = [v for part in strong_parts(successors) for v in part]  # each after all that it leads to
+    planes: dict[int, int] = {}
+    for k, v in enumerate(order[first : first + width]):
+        for bit in range(size[v].bit_length()):
+            if size[v] >> bit & 1:
+                planes[bit] = planes.get(bit, 0) | 1 << k
+    reach = [0] * len(names)
+    out: list[tuple[int, int]] = []
+    ids = names.tolist()
+    for k, v in enumerate(order[first:]):
+        bits = 1 << k if k < width else 0
+        for w in successors[v]:
+            bits |= reach[w]
+        reach[v] = bits
+        if bits:
+            out.append((ids[v], sum((bits & plane).bit_count() << bit for bit, plane in planes.items())))
+    return pd.DataFrame(out, columns=["id", "reached"])
+
+
+def reach_by_ranges(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, reached) as ``reach_by_blocks`` gives it, of a graph of numbers: weak components that one task holds are counted a range of columns at a time.
+
+    A task holds one component's edges and at most TASK_BITS bits; what is larger goes by blocks.
+    """
+    area = Area(edges.sparkSession, "ranges")
+    small, rest = by_size(edges.select("origin", "target").distinct(), sizes.select("id"), algorithms.PART_NODES)
+    nodes = small.where("origin = target").groupBy("part").agg(F.count(F.lit(1)).alias("nodes"))
+    nodes = nodes.withColumn("width", F.greatest(F.lit(64), F.expr(f"{algorithms.TASK_BITS} div nodes")))
+    ranges = area.write(nodes.withColumn("first", F.explode(F.expr("sequence(0L, nodes - 1, width)"))).drop("nodes"), "ranges")
+    rows = small.join(sizes.select(F.col("id").alias("origin"), "size"), "origin").select("part", "origin", "target", "size")
+    rows = rows.join(broadcast_few(ranges), "part")
+    found = rows.groupBy("part", "first").applyInPandas(_reach_of_range, "id long, reached long")
+    found = area.write(found.groupBy("id").agg(F.sum("reached").alias("reached")), "found")
+    if rest.limit(1).count():
+        large = sizes.join(rest.where("origin = target").select(F.col("origin").alias("id")), "id", "left_semi")
+        found = found.unionByName(reach_by_blocks(rest.where("origin <> target").select("origin", "target"), large))
+    return found
+
+
+def reach_in_large(edges: DataFrame, ids: DataFrame, *, by: str = "ranges") -> DataFrame:
+    """(id, reached): how many nodes each one reaches, itself included, whatever the graph: components first, then ranges of columns or blocks over levels."""
     area = Area(edges.sparkSession, "large")
-    part = area.write(strong_by_pivots(edges, ids, area=area), "strong")
+    part = area.write(strong_by_pivots(edges, ids, area=area) if by == "blocks" else strong_by_contraction(edges, ids), "strong")
     sizes = area.write(part.groupBy(F.col("component").alias("id")).agg(F.count(F.lit(1)).alias("size")), "sizes")
-    short = _ends(edges.select("origin", "target"), part, "component").where("component1 <> component2")
-    short = area.write(short.select(F.col("component1").alias("origin"), F.col("component2").alias("target")).distinct(), "short")
-    reach = reach_by_blocks(short, sizes)
+    if part.where("id <> component").limit(1).count():
+        short = _ends(edges.select("origin", "target"), part, "component").where("component1 <> component2")
+        short = short.select(F.col("component1").alias("origin"), F.col("component2").alias("target"))
+    else:
+        short = edges.select("origin", "target").where("origin <> target")
+    short = area.write(short.distinct(), "short")
+    reach = (reach_by_blocks if by == "blocks" else reach_by_ranges)(short, sizes)
     found = cut(part.join(reach.withColumnRenamed("id", "component"), "component").select("id", "reached"), "reached")
     area.delete(area.path)
     return found

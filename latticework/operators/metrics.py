@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.operators.algorithms import reach_sizes, weak_components
+from latticework.operators.algorithms import cut, reach_sizes, weak_components
 from latticework.operators.rules.outcome import RuleMetadata, RuleOutcome, violations
 
 COMPUTED, NOT_APPLICABLE, INCOMPLETE_EVIDENCE = "COMPUTED", "NOT_APPLICABLE", "INCOMPLETE_EVIDENCE"
@@ -46,7 +46,7 @@ def martin(connections: DataFrame, subjects: DataFrame, composition: DataFrame)
 
 def reach_counts(connections: DataFrame, subjects: DataFrame, *, by: str = "parts") -> DataFrame:
     """(subject, depends_on): how many subjects each one reaches, itself included; ``by`` as in ``reach_sizes``."""
-    keys = subjects.select(F.col("subject").alias("id")).distinct()
+    keys = cut(subjects.select(F.col("subject").alias("id")).distinct(), "subjects")
     e = connections.join(keys.withColumnRenamed("id", "origin"), "origin", "left_semi").join(keys.withColumnRenamed("id", "target"), "target", "left_semi").select("origin", "target")
     return reach_sizes(e, keys, by=by).select(F.col("id").alias("subject"), F.col("reached").alias("depends_on"))
 

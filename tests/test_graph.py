@@ -344,3 +344,62 @@ def test_levels_refuse_a_cycle(spark):
     with pytest.raises(ValueError):
         condense.topological_levels(spark.createDataFrame([("A", "B"), ("B", "A")], "origin string, target string"), ids)
     assert condense.reach_by_blocks(spark.createDataFrame([], "origin string, target string"), spark.createDataFrame([], "id string, size long")).count() == 0
+
+
+@pytest.mark.parametrize("seed, most", [(11, 6), (12, 25), (13, 1000)])
+def test_contraction_equals_brute_force(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(a, "PART_EDGES", most)
+    pairs = sorted(random_graph(seed))
+    names = sorted({x for p in pairs for x in p} | {"alone"})
+    at = {x: k for k, x in enumerate(names)}
+    reach = reach_by_hand(pairs) | {"alone": {"alone"}}
+    found = condense.strong_by_contraction(spark.createDataFrame([(at[o], at[t]) for o, t in pairs], "origin long, target long"), spark.createDataFrame([(k,) for k in at.values()], "id long"))
+    assert {r["id"]: r["component"] for r in found.collect()} == {at[x]: min(at[y] for y in seen if x in reach[y]) for x, seen in reach.items()}
+
+
+def test_a_long_ring_of_ranges_is_contracted_in_few_jobs(spark, monkeypatch):
+    """Breadth-first reach took a job a step; ranges of nodes take the ring together."""
+    monkeypatch.setattr(a, "PART_EDGES", 500)
+    n = 2_000
+    calls = []
+    real = condense.Area.write
+    monkeypatch.setattr(condense.Area, "write", lambda self, *args, **kw: calls.append(1) or real(self, *args, **kw))
+    edges = spark.createDataFrame([(k, (k + 1) % n) for k in range(n)] + [(k + 1, k) for k in range(n - 1)], "origin long, target long")
+    found = condense.strong_by_contraction(edges, spark.range(n).select("id"))
+    assert [tuple(r) for r in found.groupBy("component").count().collect()] == [(0, n)]
+    assert len(calls) < 60
+
+
+@pytest.mark.parametrize("bits", [64 * 30, 100 * 30, 1 << 20])
+def test_reach_by_ranges_of_columns(spark, monkeypatch, bits):
+    monkeypatch.setattr(a, "TASK_BITS", bits)
+    n, rng = 150, random.Random(bits)
+    pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(220)})
+    sizes = {k: rng.randint(1, 5) for k in range(n)}
+    reach = reach_by_hand(pairs)
+    found = condense.reach_by_ranges(spark.createDataFrame(pairs, "origin long, target long"), spark.createDataFrame(sorted(sizes.items()), "id long, size long"))
+    assert {r["id"]: r["reached"] for r in found.collect()} == {k: sum(sizes[x] for x in reach.get(k, {k})) for k in sizes}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_first_cycle_is_that_of_the_full_walk(seed):
+    rng = random.Random(seed)
+    n = rng.randint(2, 9)
+    edges = sorted({(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(rng.randint(2, 16))})
+    adjacency = {}
+    for o, t in edges:
+        adjacency.setdefault(o, []).append(t)
+    for length in (2, 4, 100):
+        whole = a.elementary_cycles(adjacency, a.CycleLimits(1, length, 100_000))[0]
+        want = whole[0][1] if whole else None
+        assert a.first_cycle(adjacency, a.CycleLimits(1, length, 100_000)) == want
+
+
+def test_first_cycle_leaves_dead_ends():
+    """The least node leads into a tangle that comes back through one late node only: the walk ran out of its 100,000 edges there."""
+    tangle = [f"b{k:02}" for k in range(40)]
+    adjacency = {"a": ["b00", "z"], "z": ["a"]} | {x: [y for y in tangle if y != x] for x in tangle}
+    adjacency["b39"] = [*adjacency["b39"], "z"]
+    adjacency["b38"] = [x for x in adjacency["b38"] if x != "b39"]
+    assert not a.elementary_cycles({**adjacency, "b39": tangle[:39]}, a.CycleLimits(1))[0]
+    assert a.first_cycle({**adjacency, "b39": tangle[:39]}) == ["a", "z"]
