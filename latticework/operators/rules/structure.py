@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.patterns import NamePattern
-from latticework.operators.algorithms import reachable, representative_cycles, strongly_connected
+from latticework.operators.algorithms import cut, reachable, representative_cycles, strongly_connected
 from latticework.operators.hierarchy import first_paths, supertypes
 from latticework.operators.rules.outcome import RuleMetadata, RuleOutcome, diagnostics, violations
 from latticework.plans.graph import Graph
@@ -22,9 +22,13 @@ def acyclic(metadata: RuleMetadata, graph: Graph, selected: DataFrame, *, kinds:
         g = g.without_evidence(F.col("synthetic"))
     if kinds is not None:
         g = Graph(g.nodes, g.rows.where(F.col("kind").isin(kinds) if kinds else F.lit(False)))
-    g = g.induced(selected)
-    parts = strongly_connected(g.connections(), g.nodes.select(F.col("stable_key").alias("id")), by=by)
-    shown = representative_cycles(g.connections(), parts).select("component", F.array_join("closed_path", " -> ").alias("path"))
+    # What evidence is made from may be costly: connections and nodes are tables before anything is read twice.
+    selected = cut(selected.select("stable_key"), "selected")
+    g = Graph(g.nodes, cut(g.connections(), "connections"), True).induced(selected)
+    edges = g.connections()
+    parts = strongly_connected(edges, g.nodes.select(F.col("stable_key").alias("id")), by=by)
+    parts = cut(parts, "strong")
+    shown = representative_cycles(edges, parts).select("component", F.array_join("closed_path", " -> ").alias("path"))
     rows = parts.where("cyclic").select("component", "size").distinct().join(shown, "component", "left")
     found = violations(metadata, rows, "CYCLE", origin="component", target="path", kind=None, n="size")
     return RuleOutcome(metadata, found, selected=selected.agg(F.count(F.lit(1)).alias("n")))
