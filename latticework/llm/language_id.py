@@ -51,7 +51,9 @@ def features(codes: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
         yield np.concatenate([ngrams(part, n)[: max(len(part) - n + 1, 1)] for n in ORDERS]) if len(part) else np.zeros(0, np.uint32)
 
 
-#: Characters that are looked at together, n-grams whose sum is taken in single precision, and numbers of a slice of texts by labels.
+#: Characters of short texts that are judged together: some 15 MB of scratch arrays a worker.
+BLOCK = 100_000
+#: Characters of a long text that are looked at together, n-grams whose sum is taken in single precision, and numbers of a slice of texts by labels.
 PART, STRETCH, CELLS = 500_000, 4_096, 1 << 20
 
 
@@ -207,6 +209,12 @@ def fit(docs: DataFrame, usable: Column, max_rows: int = 2400, max_labels: int |
     return train(training_rows(docs, usable, max_rows, max_labels))
 
 
+def judged(model: LanguageModel, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``best`` of all texts, in blocks of about BLOCK characters."""
+    for _, block in blocks(texts, BLOCK):
+        yield model.best(block)
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred, score and rejected."""
     spark = docs.sparkSession
@@ -218,13 +226,11 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         m = shared.value
         for batch in batches:
             lang, score, rejected = [], [], []
-            for _, texts in blocks(batch.column(batch.schema.get_field_index("text"))):
-                if not m.labels:
-                    lang += [UND] * len(texts)
-                    score += [0.0] * len(texts)
-                    rejected += [True] * len(texts)
-                    continue
-                best, top = m.best(texts)
+            column = batch.column(batch.schema.get_field_index("text"))
+            if not m.labels:
+                lang, score, rejected = [UND] * len(column), [0.0] * len(column), [True] * len(column)
+                column = column[:0]
+            for best, top in judged(m, column):
                 lang += [m.labels[b] if t > 0 else UND for b, t in zip(best, top, strict=True)]
                 score += top.tolist()
                 rejected += (top < max(m.reject_below, 1e-12)).tolist()

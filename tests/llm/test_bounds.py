@@ -102,3 +102,40 @@ def test_blocks_find_what_one_block_finds(spark):
     kept = decontaminate.decontaminate(docs, bench)
     assert key(kept) == key(decontaminate.decontaminate(docs, bench, block_items=5)) == key(decontaminate.decontaminate(docs, bench, block_chars=61))
     assert kept.count() == 42 and kept.columns == docs.columns
+
+
+def test_short_texts_are_judged_in_small_blocks():
+    """A batch of 2 million characters takes under 25 MB of scratch arrays beside its texts, and gives what each text gives by itself."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from latticework.llm import language_id as li
+
+    rng = np.random.default_rng(1)
+    model = li.LanguageModel(["a", "b", "c"], rng.normal(size=(li.BUCKETS, 16)).astype(np.float32), rng.normal(size=(16, 3)).astype(np.float32), np.zeros(3))
+    texts = [None, "", "12", *("".join(rng.choice(list("abcdefgh "), 2_000)) for _ in range(1_000))]
+    column = pa.array(texts)
+    list(li.judged(model, column[:5]))
+    tracemalloc.start()
+    held = len(column.to_pylist()) and tracemalloc.get_traced_memory()[0]
+    found = list(li.judged(model, column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - held < 25e6
+    best, top = (np.concatenate(x) for x in zip(*found, strict=True))
+    alone = [model.best([t]) for t in texts]
+    assert best.tolist() == [int(b[0]) for b, _ in alone] and top.tolist() == [float(t[0]) for _, t in alone]
+
+
+def test_the_slow_tokenizer_is_read_when_it_is_needed():
+    import pytest
+
+    pytest.importorskip("public_tokenizers")
+    from latticework.llm import packing
+
+    enc = packing.Encoder(packing.public_file("byte_bpe_50k.json"), packing.public_file("byte_bpe_50k.tiktoken"))
+    ids = enc.ids("Plain words.").tolist()
+    assert "slow" not in vars(enc)
+    assert ids == enc.slow.encode("Plain words.", add_special_tokens=False).ids and enc.ids("a <|endoftext|> b").tolist() == enc.slow.encode("a <|endoftext|> b", add_special_tokens=False).ids
