@@ -16,7 +16,7 @@ from latticework.operators.rules import access, structure
 from latticework.operators.rules import modules as mod
 from latticework.operators.rules.outcome import RuleMetadata, RuleOutcome, violations
 from latticework.plans import projection, selectors
-from latticework.plans.graph import graph_from
+from latticework.plans.graph import Graph, graph_from
 from latticework.queries import _RULE, _hierarchy, _ids, _shown, _HIER, query
 from latticework.sources.model import References
 
@@ -94,10 +94,10 @@ def reach_handover_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.reach_counts(g.connections(), g.nodes.select(F.col("stable_key").alias("subject")), by="blocks")
 
 
-def _forward_trade(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _forward_trade(spark: SparkSession, sf: str) -> tuple[Graph, DataFrame]:
     """Trade without returns: an acyclic graph of all customers, parts and suppliers."""
     g = wl.trade(spark, sf).without_evidence(F.col("kind") == "THROWS")
-    return g.connections(), g.nodes.select(F.col("stable_key").alias("subject"))
+    return g, g.nodes.select(F.col("stable_key").alias("subject"))
 
 
 _FORWARD = f"""WITH {wl.TRADE_SQL}, e AS (SELECT DISTINCT origin AS o, target AS t FROM trade WHERE kind <> 'THROWS'),

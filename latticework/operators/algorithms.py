@@ -254,23 +254,35 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame, *, by: str = "parts")
 
 
 def reach_sizes(edges: DataFrame, nodes: DataFrame, *, by: str = "parts") -> DataFrame:
-    """(id, reached): how many nodes each one reaches, itself included.
+    """(id, reached): how many nodes each one reaches, itself included; ``by`` as in ``reach_of_numbers``."""
+    edges, ids, names = _numbered(edges, nodes)
+    return reach_of_numbers(edges, ids, by=by).join(names, "id").select(F.col("name").alias("id"), "reached")
+
+
+#: Levels up to which an acyclic graph needs no components, and bytes an edge that rows of reach may then come to.
+SHALLOW, ROW_BYTES = 8, 1_000
+
+
+def reach_of_numbers(edges: DataFrame, ids: DataFrame, *, by: str = "parts") -> DataFrame:
+    """(id, reached) of a graph of numbers in tables, whose edges may come repeatedly.
 
-    by="parts": weak components of a bounded size are counted in one task each; larger ones over the graph of their strong
-    components, by ranges of its columns in a task each where one holds its edges, else by bit-matrix blocks over its levels.
-    by="blocks": all of them the last way.
+    An acyclic graph of few levels is counted over its levels, by blocks of columns.  Else, by="parts": weak components of a
+    bounded size are counted in one task each; larger ones over the graph of their strong components, by ranges of its columns in a task
+    each where one holds its edges, else by blocks over its levels.  by="blocks": all of them the last way.
     """
-    from latticework.operators.condense import reach_in_large
+    from latticework.operators.condense import reach_by_blocks, reach_in_large
 
-    edges, ids, names = _numbered(edges, nodes)
+    found = reach_by_blocks(edges, ids.select("id", F.lit(1).cast("long").alias("size")), most_levels=SHALLOW, most_bytes=ROW_BYTES if by == "parts" else None)
+    if found is not None:
+        return found
+    edges = cut(edges.select("origin", "target").distinct(), "edges")
     if by == "blocks":
-        found = reach_in_large(edges, ids, by="blocks")
-    else:
-        small, rest = by_size(edges, ids, int(TASK_BITS**0.5))
-        found = small.groupBy("bucket").applyInPandas(_reach_of_bucket, "id long, reached long")
-        if rest.limit(1).count():
-            found = found.unionByName(reach_in_large(rest.select("origin", "target"), rest.where("origin = target").select(F.col("origin").alias("id"))))
-    return found.join(names, "id").select(F.col("name").alias("id"), "reached")
+        return reach_in_large(edges, ids, by="blocks")
+    small, rest = by_size(edges, ids, int(TASK_BITS**0.5))
+    found = small.groupBy("bucket").applyInPandas(_reach_of_bucket, "id long, reached long")
+    if rest.limit(1).count():
+        found = found.unionByName(reach_in_large(rest.select("origin", "target"), rest.where("origin = target").select(F.col("origin").alias("id"))))
+    return found
 
 
 def _coloured(edges: DataFrame, ids: DataFrame) -> DataFrame:

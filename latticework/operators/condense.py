@@ -2,27 +2,33 @@
 
 Components come by forward and backward reach from one pivot a region: what both reach is a component, and what is left falls apart
 into regions that no component crosses.  Reach counts run over the acyclic graph of components, level by level from the sinks: a
-node's reach is a row of a bit matrix, kept in blocks of ``COLUMNS`` bits, and only blocks with a bit set are rows of a
-table.  Everything is joins and aggregates; a round, or a level, ends in a written table.
+node's reach is a row of a matrix, kept in blocks of ``COLUMNS`` columns, and only blocks with a column set are rows of a
+table.  Everything is joins and unions of sorted rows; a round, or a level, ends in a written table.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.operators import algorithms
-from latticework.operators.algorithms import broadcast_few, by_size, cut, dense, shared_folder, strong_of_rows, strong_parts, weak_components
+from latticework.operators.algorithms import broadcast_few, by_size, cut, dense, shared_folder, strong_of_rows, strong_parts
 
-#: 64-bit words, and so columns, of a block of the bit matrix.
-WORDS = 8
-COLUMNS = 64 * WORDS
-#: Columns that one pass over the levels carries: at most 40 kB a node.
+#: Columns of a block, and its bytes with one bit a column; it has two bytes for each column that is set where these are fewer.
+COLUMNS = 65_536
+DENSE = COLUMNS // 8
+#: Columns that one pass over the levels carries: at most 33 kB a node.
 PASS_COLUMNS = 262_144
+#: Rows of edges that one task unites, and bytes of them at a time.
+TASK_EDGES, SLICE = 200_000, 4_000_000
 #: How often nodes without an edge in or out are stripped before each choice of pivots.
 TRIMS = 3
 
@@ -169,15 +175,22 @@ def strong_by_contraction(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return named
 
 
-def topological_levels(edges: DataFrame, ids: DataFrame, *, area: Area | None = None) -> tuple[DataFrame, int]:
-    """((id, level), number of levels) of an acyclic graph: sinks have level 0, all others one more than the highest they lead to."""
+def topological_levels(edges: DataFrame, ids: DataFrame, *, area: Area | None = None, most: int | None = None) -> tuple[DataFrame, int] | None:
+    """((id, level), number of levels) of an acyclic graph: sinks have level 0, all others one more than the highest they lead to.
+
+    With ``most``: None where there are more levels, or a cycle.
+    """
     area = area or Area(edges.sparkSession, "levels")
     left = area.write(ids.select("id").distinct(), "left")
-    live = area.write(edges.select("origin", "target").distinct(), "live")
+    live = edges.select("origin", "target")
     found: list[DataFrame] = []
     while left.limit(1).count():
-        sinks = area.write(left.join(live.select(F.col("origin").alias("id")), "id", "left_anti").withColumn("level", F.lit(len(found))), "level")
+        if len(found) == most:
+            return None
+        sinks = area.write(left.join(live.select(F.col("origin").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(len(found))), "level")
         if not sinks.limit(1).count():
+            if most is not None:
+                return None
             raise ValueError("the graph has a cycle")
         found.append(sinks)
         old = left, live
@@ -187,65 +200,163 @@ def topological_levels(edges: DataFrame, ids: DataFrame, *, area: Area | None =
     return (reduce(DataFrame.unionByName, found) if found else left.withColumn("level", F.lit(0))), len(found)
 
 
-def _words(bit: Column) -> list[Column]:
-    """The words of a block with this one bit set."""
-    value = F.expr("shiftleft(1L, cast(bit % 64 AS int))")
-    return [F.when(F.floor(bit / 64) == k, value).otherwise(F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
-
+def _grouped(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first row of each (id, block), group of each row, offsets and bytes of ``bits``) of sorted rows."""
+    new = np.ones(batch.num_rows, dtype=bool)
+    for c in ("id", "block"):
+        values = batch.column(c)
+        differs = pc.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False)
+        new[1:] = differs if c == "id" else new[1:] | differs
+    bits = batch.column("bits")
+    offsets = np.frombuffer(bits.buffers()[1], dtype=np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+    data = np.frombuffer(bits.buffers()[2], dtype=np.uint8) if bits.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
+    return np.flatnonzero(new), np.cumsum(new) - 1, offsets, data
+
+
+def _united_groups(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row (id, block, n, bits) for each (id, block) of sorted rows: the union of their columns, and how many they are."""
+    starts, group, offsets, data = _grouped(batch)
+    lengths = np.diff(offsets)
+    dense = lengths == DENSE
+    held = np.repeat(~dense, lengths)
+    values = data[offsets[0] : offsets[-1]][held].view("<u2")
+    keys = np.repeat(group << 16, np.where(dense, 0, lengths // 2)) | values
+    keys.sort()
+    keys = keys[np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]))]
+    counts = np.bincount(keys >> 16, minlength=len(starts)).astype(np.int64)
+    ends = np.cumsum(counts)
+    values = (keys & (COLUMNS - 1)).astype("<u2")
+    whole = set(group[dense].tolist()) | set(np.flatnonzero(counts * 2 >= DENSE).tolist())
+    if whole:
+        shown = [values[end - n : end].tobytes() for end, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        for g in whole:
+            flags = np.zeros(COLUMNS, dtype=np.uint8)
+            flags[values[ends[g] - counts[g] : ends[g]]] = 1
+            packed = np.packbits(flags, bitorder="little")
+            last = starts[g + 1] if g + 1 < len(starts) else len(group)
+            for row in np.flatnonzero(dense[starts[g] : last]) + starts[g]:
+                packed |= data[offsets[row] : offsets[row + 1]]
+            counts[g] = np.bitwise_count(packed).sum()
+            shown[g] = packed.tobytes()
+        bits = pa.array(shown, pa.binary())
+    else:
+        places = np.concatenate((np.zeros(1, dtype=np.int32), (2 * ends).astype(np.int32)))
+        bits = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(values.tobytes())])
+    first = pa.array(starts)
+    return pa.RecordBatch.from_arrays([batch.column("id").take(first), batch.column("block").take(first), pa.array(counts), bits], ["id", "block", "n", "bits"])
 
-def _united(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)))
 
+def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, block, n, bits): the union of the columns of each (id, block), from rows (id, block, bits) sorted by both.
 
-def reach_by_blocks(edges: DataFrame, sizes: DataFrame, *, pass_columns: int = PASS_COLUMNS) -> DataFrame:
+    Rows are taken SLICE bytes at a time; what the last group has come to goes on as one row.
+    """
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        batch = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("block"), batch.column("bits").cast(pa.binary())], ["id", "block", "bits"])
+        size = pc.binary_length(batch.column("bits")).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if low == high:
+                continue
+            piece = batch.slice(low, high - low)
+            if rest is not None:
+                piece = pa.concat_batches([rest.select(["id", "block", "bits"]), piece])
+            found = _united_groups(piece)
+            if found.num_rows > 1:
+                yield found.slice(0, found.num_rows - 1)
+            rest = found.slice(found.num_rows - 1)
+    if rest is not None:
+        yield rest
+
+
+def _without_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in unite(batches):
+        yield batch.select(["id", "block", "n"])
+
+
+def _united(rows: DataFrame, n_edges: int, *, bits: bool = True) -> DataFrame:
+    """``unite`` over rows (id, block, bits), in tasks of some TASK_EDGES rows."""
+    kind = rows.schema["id"].dataType.simpleString()
+    dealt = rows.select("id", "block", "bits").repartition(-(-n_edges // TASK_EDGES) or 1, "id").sortWithinPartitions("id", "block")
+    return dealt.mapInArrow(unite if bits else _without_bits, f"id {kind}, block long, n long" + (", bits binary" if bits else ""))
+
+
+#: The weight of a row's columns: its block's plane lies above 32 bits.
+_WEIGHT = "shiftleft(n, cast(shiftright(block, 32) AS int))"
+
+
+def reach_by_blocks(edges: DataFrame, sizes: DataFrame, *, pass_columns: int = PASS_COLUMNS, most_levels: int | None = None, most_bytes: int | None = None) -> DataFrame | None:
     """(id, reached): the summed size of what each node (id, size) of an acyclic graph reaches, itself included.
 
-    A node's row of the bit matrix is the union of its own bit and the rows of what it leads to, which lie in lower levels.
-    Columns are numbered along the levels, so what is reached together shares blocks, and ``pass_columns`` of them are carried
-    at a time.  What is shuffled grows with edges times the blocks that have a bit, not with pairs of nodes.  Sizes are
-    counted by planes: the columns whose size has a certain bit, as one more block.  Nodes that nothing leads to have no column.
-    Within a level, columns are numbered by weak component, so that a node's bits lie in few blocks.
+    What a node reaches below itself is a row of a matrix: a union of the columns and the rows of what it leads to, which lie in lower levels.  Its blocks of
+    ``COLUMNS`` columns are rows of a table where a column is set: two bytes a column, or a bit for each where that is
+    shorter.  ``pass_columns`` of them are carried at a time.  What is shuffled grows with edges times what their targets reach.
+
+    Nodes that nothing leads to come last, all at once, and leave counts only.  What only they lead to needs no column: its size is counted an
+    edge.  Sizes are counted by planes: a node has a column for each bit of its size, and a block holds columns of one bit.
+
+    None where the nodes that are led to have more than ``most_levels`` levels, or a cycle, or where rows of theirs come to more
+    than ``most_bytes`` an edge.  Edges may come repeatedly.
     """
     spark = edges.sparkSession
     area = Area(spark, "reach")
-    level, n_levels = topological_levels(edges, sizes, area=area)
-    led_to = area.write(edges.select(F.col("target").alias("id")).distinct(), "led-to")
-    weak = weak_components(edges, sizes)
-    numbered = sizes.join(led_to, "id", "left_semi").join(level, "id").join(weak, "id")
-    numbered = numbered.repartitionByRange("level", "component", "id").sortWithinPartitions("level", "component", "id").withColumn("number", F.monotonically_increasing_id())
-    numbered = numbered.select("id", "size", "level", F.expr(f"number div {COLUMNS}").alias("block"), F.expr(f"number % {COLUMNS}").alias("bit"))
-    own = area.write(numbered.select("id", "size", "level", "block", *_words(F.col("bit"))), "own")
-    steps = area.write(edges.select("origin", "target").distinct().join(level.withColumnRenamed("id", "origin"), "origin"), "steps", by="level")
-    planes = own.withColumn("plane", F.explode(F.expr("filter(sequence(0, 62), k -> shiftright(size, k) & 1 = 1)")))
-    masks = area.write(_united(planes.select("block", "plane", *(f"w{k}" for k in range(WORDS))), "block", "plane"), "masks")
-    passes = max(1, -(-own.count() // pass_columns))
-    counts: list[DataFrame] = [area.write(sizes.join(led_to, "id", "left_anti").select("id", F.col("size").alias("reached")), "counts")] if n_levels else []
+    edges = edges.select("origin", "target").where("origin <> target")
+    led = area.write(edges.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("ins")), "led")
+    inner = F.col("led").isNotNull().alias("inner")
+    # A stated number of partitions, which adaptive execution doesn't join to larger ones.
+    dealt = edges.repartition(-(-edges.count() // TASK_EDGES) or 1, "origin").join(led.select(F.col("id").alias("origin"), F.lit(True).alias("led")), "origin", "left").select("origin", "target", inner).distinct()
+    dealt = area.write(dealt, "dealt", by="inner")
+    outer, inner = dealt.where("NOT inner").select("origin", "target"), dealt.where("inner").select("origin", "target")
+    levels = topological_levels(inner, led, area=area, most=most_levels)
+    if levels is None:
+        area.delete(area.path)
+        return None
+    level, n_levels = levels
+    n_edges = dealt.count()
+    steps = area.write(inner.join(level.withColumnRenamed("id", "origin"), "origin"), "steps", by="level")
+    # Columns are numbered along the levels, so what is reached together shares blocks.
+    columns = area.write(inner.select(F.col("target").alias("id")).distinct().join(sizes, "id").join(level, "id"), "columns")
+    planes = columns.select(F.col("id").alias("name"), "level", F.explode(F.expr("filter(sequence(0, 62), k -> shiftright(size, k) & 1 = 1)")).alias("plane"))
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    bits = F.unhex(F.concat(two(F.expr("id % 256")), two(F.expr(f"id % {COLUMNS} div 256"))))
+    own = dense(planes, "plane", "level", "name").select(F.col("name").alias("target"), F.expr(f"shiftleft(cast(plane AS long), 32) + id div {COLUMNS}").alias("block"), bits.alias("bits"))
+    own = area.write(own, "own")
+    passes = max(1, -(-columns.count() // pass_columns))
+    of_level = dict(steps.groupBy("level").count().collect())  # a row a level
+    # What has no column is led to by nodes that nothing leads to.
+    plain = outer.join(broadcast_few(columns.select(F.col("id").alias("target"))), "target", "left_anti")
+    heavy = area.write(sizes.where("size <> 1").select(F.col("id").alias("target"), "size"), "heavy")
+    plain = plain.join(broadcast_few(heavy), "target", "left").groupBy(F.col("origin").alias("id")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("reached"))
+    counts: list[DataFrame] = [area.write(plain, "counts")]
+    weight = 0
     for number in range(passes):
-        seeds = own.where(F.pmod(F.xxhash64("block"), F.lit(passes)) == number).select("id", "level", "block", *(f"w{k}" for k in range(WORDS)))
-        path = f"{area.path}/rows-{number}"
-        for k in range(n_levels):
-            rows = seeds.where(F.col("level") == k).drop("level")
-            if k:
-                below = spark.read.schema(seeds.schema).parquet(path).drop("level").withColumnRenamed("id", "target")
-                rows = rows.unionByName(steps.where(F.col("level") == k).join(below, "target").drop("target", "level").withColumnRenamed("origin", "id"))
-            _united(rows, "id", "block").write.parquet(f"{path}/level={k}")
-        if n_levels:
-            counts.append(area.write(_counted(spark.read.schema(seeds.schema).parquet(path), masks), "counts"))
-            area.delete(path)
-    if not counts:
-        return sizes.select("id", F.col("size").alias("reached"))
-    found = cut(reduce(DataFrame.unionByName, counts).groupBy("id").agg(F.sum("reached").alias("reached")), "reached")
+        mine = broadcast_few(own.where(F.pmod("block", F.lit(passes)) == number))
+        below: list[DataFrame] = []
+
+        def reached(step: DataFrame, mine: DataFrame = mine, below: list[DataFrame] = below) -> DataFrame:
+            sides = [mine, reduce(DataFrame.unionByName, below).select(F.col("id").alias("target"), "block", "bits")] if below else [mine]
+            return reduce(DataFrame.unionByName, (step.join(side, "target").select(F.col("origin").alias("id"), "block", "bits") for side in sides))
+
+        for k in range(1, n_levels):
+            step = steps.where(F.col("level") == k).select("origin", "target")
+            rows = area.write(_united(reached(step), of_level[k]), "rows")
+            below.append(rows)
+            if most_bytes is not None:
+                weight += rows.join(led, "id").agg(F.coalesce(F.sum(F.col("ins") * F.length("bits")), F.lit(0))).first()[0]
+                if weight > most_bytes * n_edges:
+                    area.delete(area.path)
+                    return None
+        last = _united(reached(outer), n_edges - sum(of_level.values()), bits=False)
+        last = reduce(DataFrame.unionByName, [last, *(rows.select("id", "block", "n") for rows in below)])
+        counts.append(area.write(last.groupBy("id").agg(F.sum(F.expr(_WEIGHT)).alias("reached")), "counts"))
+        area.drop(*below)
+    total = reduce(DataFrame.unionByName, counts).groupBy("id").agg(F.sum("reached").alias("below"))
+    found = cut(sizes.join(total, "id", "left").select("id", (F.col("size") + F.coalesce("below", F.lit(0))).alias("reached")), "reached")
     area.delete(area.path)
     return found
 
 
-def _counted(rows: DataFrame, masks: DataFrame) -> DataFrame:
-    """(id, reached): the sizes of the columns that a node's blocks have set."""
-    mask = masks.select("block", "plane", *(F.col(f"w{k}").alias(f"m{k}") for k in range(WORDS)))
-    ones = " + ".join(f"bit_count(w{k} & m{k})" for k in range(WORDS))
-    return rows.join(mask, "block").groupBy("id").agg(F.sum(F.expr(f"shiftleft(cast({ones} AS long), plane)")).alias("reached"))
-
-
 def _reach_of_range(rows: pd.DataFrame) -> pd.DataFrame:
     """(id, reached) within one range of columns of an acyclic graph (origin, target, size, first, width): nodes are edges to themselves, with their size."""
     codes, names = pd.factorize(pd.concat([rows["origin"], rows["target"]], ignore_index=True))

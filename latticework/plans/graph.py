@@ -37,13 +37,15 @@ class Graph:
     evidence through a shuffle.
 
     ``unique`` says that ``rows`` hold no repeats as they are made, so nothing is shuffled to find them.  ``attach`` gives what
-    ``labelled`` does in a cheaper way: evidence that is joined from tables of nodes gets its labels there, once a node.
+    ``labelled`` does in a cheaper way: evidence that is joined from tables of nodes gets its labels there, once a node.  ``repeated``
+    does the same where rows may come repeatedly.
     """
 
     nodes: DataFrame
     rows: DataFrame
     unique: bool = False
     attach: Callable[[DataFrame], DataFrame] | None = None
+    repeated: Callable[[DataFrame], DataFrame] | None = None
 
     @property
     def evidence(self) -> DataFrame:
@@ -56,6 +58,11 @@ class Graph:
         rows = self.rows.join(labels.select(F.col("id").alias("origin"), F.col("label").alias("origin_label")), "origin", "left")
         return rows.join(labels.select(F.col("id").alias("target"), F.col("label").alias("target_label")), "target", "left")
 
+    def numbered(self, labels: DataFrame) -> DataFrame:
+        """(origin, target), possibly repeated: connections by ``label`` of their ends from ``labels`` (id, label); those without both go."""
+        rows = (self.repeated or self.labelled)(labels).where("origin_label IS NOT NULL AND target_label IS NOT NULL")
+        return rows.select(F.col("origin_label").alias("origin"), F.col("target_label").alias("target"))
+
     def edges(self) -> DataFrame:
         """One row an edge with its distinct evidence, sorted (nulls first)."""
         return self.rows.groupBy(*EDGE).agg(F.sort_array(F.collect_set(F.struct(*DETAIL))).alias("evidence"))
@@ -79,8 +86,8 @@ class Graph:
     def without_evidence(self, removed: Column) -> Graph:
         """Drops evidence rows; an edge goes with its last one, nodes stay."""
         kept = ~F.coalesce(removed, F.lit(False))
-        attach = self.attach
-        return replace(self, rows=self.rows.where(kept), attach=attach and (lambda labels: attach(labels).where(kept)))
+        attach, repeated = self.attach, self.repeated
+        return replace(self, rows=self.rows.where(kept), attach=attach and (lambda labels: attach(labels).where(kept)), repeated=repeated and (lambda labels: repeated(labels).where(kept)))
 
     def isolated(self) -> DataFrame:
         """(stable_key): nodes at neither end of any edge."""

@@ -381,6 +381,74 @@ def test_reach_by_ranges_of_columns(spark, monkeypatch, bits):
     assert {r["id"]: r["reached"] for r in found.collect()} == {k: sum(sizes[x] for x in reach.get(k, {k})) for k in sizes}
 
 
+@pytest.mark.parametrize("slice_bytes, batch", [(4_000_000, 1_000), (64, 7), (20_000, 3)])
+def test_rows_of_reach_are_united(monkeypatch, slice_bytes, batch):
+    """Rows of one (id, block) in several batches and slices, in two bytes a column or a bit each, give their union."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(condense, "SLICE", slice_bytes)
+    rng = np.random.default_rng(batch)
+    want, rows = {}, []
+    for key in (("a", 0), ("a", 1), ("b", 0), ("c", 5), ("d", 1 << 33), ("e", 0)):
+        for k in range(rng.integers(1, 9)):
+            most = 5_000 if key[0] in "cd" and k % 2 else 40
+            columns = np.unique(rng.integers(0, condense.COLUMNS, most)).astype("<u2")
+            flags = np.zeros(condense.COLUMNS, dtype=np.uint8)
+            flags[columns] = 1
+            rows.append((*key, columns.tobytes() if len(columns) * 2 < condense.DENSE else np.packbits(flags, bitorder="little").tobytes()))
+            want[key] = want.get(key, set()) | set(columns.tolist())
+    names = ["id", "block", "bits"]
+    frames = [pa.RecordBatch.from_pydict({c: [r[k] for r in rows[at : at + batch]] for k, c in enumerate(names)}) for at in range(0, len(rows), batch)]
+    found = {}
+    for r in pa.Table.from_batches(condense.unite(iter(frames))).to_pylist():
+        flat = np.frombuffer(r["bits"], dtype="<u2") if len(r["bits"]) < condense.DENSE else np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little"))
+        found[r["id"], r["block"]] = set(flat.tolist())
+        assert r["n"] == len(flat) and (len(flat) * 2 >= condense.DENSE) == (len(r["bits"]) == condense.DENSE)
+    assert found == want and list(condense.unite(iter([]))) == []
+
+
+@pytest.mark.parametrize("pass_columns", [8, 1_000])
+def test_reach_of_layers_in_blocks_and_passes(spark, monkeypatch, pass_columns):
+    """Edges come repeatedly; some nodes are led to by nodes only that nothing leads to, and some by nothing."""
+    monkeypatch.setattr(condense, "COLUMNS", 4)
+    rng = random.Random(pass_columns)
+    layers = [[10 * k + j for j in range(10)] for k in range(4)]
+    pairs = sorted({(rng.choice(layers[k]), rng.choice(layers[rng.randrange(k)])) for k in (1, 2, 3) for _ in range(14)})
+    sizes = {x: rng.choice([1, 1, 6]) for layer in layers for x in layer}
+    reach = reach_by_hand(pairs)
+    frame = spark.createDataFrame(pairs + pairs[::3] + [(7, 7)], "origin long, target long")
+    nodes = spark.createDataFrame(sorted(sizes.items()), "id long, size long")
+    found = condense.reach_by_blocks(frame, nodes, pass_columns=pass_columns)
+    assert {r["id"]: r["reached"] for r in found.collect()} == {x: sum(sizes[y] for y in reach.get(x, {x})) for x in sizes}
+
+
+def test_reach_over_levels_says_when_they_are_too_many_or_rows_too_large(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(5)], "origin long, target long")
+    sizes = spark.range(6).selectExpr("id", "1L AS size")
+    assert condense.reach_by_blocks(chain, sizes, most_levels=4) is None
+    assert condense.reach_by_blocks(chain, sizes, most_levels=5, most_bytes=0) is None
+    assert sorted(r["reached"] for r in condense.reach_by_blocks(chain, sizes, most_levels=5, most_bytes=100).collect()) == [1, 2, 3, 4, 5, 6]
+    ring = chain.unionByName(spark.createDataFrame([(5, 0)], "origin long, target long"))
+    assert condense.reach_by_blocks(ring, sizes, most_levels=50) is None
+
+
+@pytest.mark.parametrize("by", ["parts", "blocks"])
+def test_an_acyclic_graph_of_few_levels_needs_no_components(spark, monkeypatch, by):
+    """At 60 times sf0.1 the rounds over all edges of weak and strong components took all the time there was."""
+
+    def refuse(*args, **kw):
+        raise AssertionError("components were asked for")
+
+    for module, name in ((a, "weak_components"), (condense, "strong_by_pivots"), (condense, "strong_by_contraction")):
+        monkeypatch.setattr(module, name, refuse)
+    pairs = [(f"c{k}", f"p{(k + j) % 7}") for k in range(9) for j in range(3)] + [(f"p{k}", f"s{(k * j) % 5}") for k in range(7) for j in (1, 2)] + [("c0", "s4"), ("c1", "t")]
+    names = sorted({x for p in pairs for x in p} | {"alone"})
+    reach = closed(pairs, names)
+    found = m.reach_counts(spark.createDataFrame(pairs, "origin string, target string"), spark.createDataFrame([(x,) for x in names], "subject string"), by=by)
+    assert {r["subject"]: r["depends_on"] for r in found.collect()} == {x: len(y) for x, y in reach.items()}
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_first_cycle_is_that_of_the_full_walk(seed):
     rng = random.Random(seed)

@@ -71,6 +71,24 @@ def test_trade_is_made_without_repeats_and_labelled_where_it_is_made(spark):
     assert sorted(map(str, g.labelled(labels).select(columns).collect())) == sorted(map(str, plain.collect()))
 
 
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_trade_that_may_repeat_says_the_same(spark, duck, monkeypatch, bound):
+    """Connections by number are made from lines and orders as they are; no evidence is made distinct for them, and no key moves."""
+    from pyspark.sql import functions as F
+
+    from latticework import workloads as wl
+
+    monkeypatch.setattr(wl, "BROADCAST_ROWS", bound)
+    g = wl.trade(spark, DATA)
+    labels = wl.layers(spark, DATA).where("group_id <> 'catalog'").selectExpr("type_key AS id", "group_id AS label")
+    columns = ["origin", "target", "kind", "location", "bytecode_offset"]
+    same_as_duck(g.repeated(labels).select(columns).distinct(), duck, f"WITH {wl.TRADE_SQL} SELECT {', '.join(columns)} FROM trade")
+    ahead = g.without_evidence(F.col("kind") == "THROWS")
+    want = ahead.labelled(labels).where("origin_label IS NOT NULL AND target_label IS NOT NULL").select("origin_label", "target_label").distinct()
+    assert {tuple(r) for r in ahead.numbered(labels).collect()} == {tuple(r) for r in want.collect()} == {("sales", "supply")}
+    assert "HashAggregate" not in ahead.numbered(labels)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["layer_isolated", "slice_mutual", "project_package", "snapshot_topn", "plantuml_adherence", "isolated_packages"])
 def test_trade_evidence_is_not_shuffled_by_its_ends(spark, name):
     """Evidence is several times its tables: it is neither joined with what its ends belong to nor shuffled whole to find repeats."""
