@@ -329,14 +329,18 @@ def reach_by_blocks(edges: DataFrame, sizes: DataFrame, *, pass_columns: int = P
     heavy = area.write(sizes.where("size <> 1").select(F.col("id").alias("target"), "size"), "heavy")
     plain = plain.join(broadcast_few(heavy), "target", "left").groupBy(F.col("origin").alias("id")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("reached"))
     counts: list[DataFrame] = [area.write(plain, "counts")]
+    bottom = broadcast_few(level.where("level = 0").select(F.col("id").alias("target")))  # nodes without a row
     weight = 0
     for number in range(passes):
         mine = broadcast_few(own.where(F.pmod("block", F.lit(passes)) == number))
         below: list[DataFrame] = []
 
         def reached(step: DataFrame, mine: DataFrame = mine, below: list[DataFrame] = below) -> DataFrame:
-            sides = [mine, reduce(DataFrame.unionByName, below).select(F.col("id").alias("target"), "block", "bits")] if below else [mine]
-            return reduce(DataFrame.unionByName, (step.join(side, "target").select(F.col("origin").alias("id"), "block", "bits") for side in sides))
+            rows = step.join(mine, "target")
+            if below:
+                lower = reduce(DataFrame.unionByName, below).select(F.col("id").alias("target"), "block", "bits")
+                rows = rows.unionByName(step.join(bottom, "target", "left_anti").join(lower, "target"))
+            return rows.select(F.col("origin").alias("id"), "block", "bits")
 
         for k in range(1, n_levels):
             step = steps.where(F.col("level") == k).select("origin", "target")
